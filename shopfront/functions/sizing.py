@@ -1,0 +1,23 @@
+"""Size-checked broadcast.
+
+A join side is broadcast only when a bounded probe proves it small: the
+probe reads at most ``max_rows + 1`` rows (a LIMIT, cheap on any input),
+so the check itself never scans a large table.  Otherwise the plan is left
+to AQE, which may still pick a broadcast from runtime statistics.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DIMENSION_ROWS = 200_000
+
+
+def is_small(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> bool:
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DIMENSION_ROWS) -> DataFrame:
+    """``broadcast(df)`` when it has at most ``max_rows`` rows, else ``df``."""
+    return F.broadcast(df) if is_small(df, max_rows) else df
