@@ -113,7 +113,7 @@ class Shop:
              .otherwise(F.col("p_size")).alias("offer_percentage"),
             F.col("p_type").alias("product_type"),
             F.col("p_brand").alias("skin_type"),
-            F.split("p_name", " ").alias("concerns"),
+            F.split("p_name", " ").cast("array<string>").alias("concerns"),
         )
 
     @cached_property
