@@ -138,4 +138,7 @@ def with_fixtures(body: str, extra_ctes: dict | None = None) -> str:
     if not needed:
         return body.strip()
     parts = ",\n".join(f"{n} AS ({ctes[n].strip()})" for n in needed)
-    return f"WITH {parts}\n{body.strip()}"
+    body = body.strip()
+    if body[:4].upper() == "WITH":
+        return f"WITH {parts},\n{body[4:].lstrip()}"
+    return f"WITH {parts}\n{body}"

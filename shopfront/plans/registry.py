@@ -31,7 +31,7 @@ def register(name: str, oracle: str | None = None, ctes: dict | None = None):
     return deco
 
 
-MODULES = ("q_catalog", "q_kpis")
+MODULES = ("q_catalog", "q_kpis", "q_orders")
 
 
 def load_all() -> None:
