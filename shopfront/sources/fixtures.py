@@ -249,3 +249,19 @@ class Shop:
 
 SHOP_TABLES = ("users", "categories", "products", "orders", "order_items", "reviews",
                "brand_reviews", "wishlist", "cart", "coupons", "coupon_products", "addresses")
+
+
+def quote_carts(shop: Shop) -> DataFrame:
+    """Test carts for Q16/Q17: one cart per user built from the user's cart rows.
+
+    cart_id = user_id, line order = product id, code = 'code' || user_id % 27
+    (codes 25 and 26 do not exist; lower case exercises the case-blind match).
+    """
+    return shop.cart.select(
+        F.col("user_id").alias("cart_id"),
+        F.concat(F.lit("code"), (F.col("user_id") % 27).cast("string")).alias("code"),
+        F.col("product_id").alias("line_no"),
+        "product_id", "quantity")
+
+
+QUOTE_AS_OF = "2024-01-15 00:00:00"
