@@ -174,8 +174,9 @@ def live_cart_stream(ev: DataFrame) -> DataFrame:
 
 def latest_cart(emitted: DataFrame) -> DataFrame:
     """Current carts from the rows ``live_cart_stream`` emitted (latest version per user)."""
-    top = emitted.groupBy("user_id").agg(F.max("version").alias("_v"))
-    return (emitted.join(top, "user_id").filter((F.col("version") == F.col("_v")) & F.col("product_id").isNotNull())
+    latest = F.max("version").over(Window.partitionBy("user_id"))
+    return (emitted.withColumn("_v", latest)
+            .filter((F.col("version") == F.col("_v")) & F.col("product_id").isNotNull())
             .select("user_id", "product_id", "quantity"))
 
 
