@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, any_of, lower_in, lower_overlap
-from ..functions.sizing import broadcast_if_small
 
 SEARCH_TEXT = ("name", "description", "ingredients", "benefits", "product_details")
 
@@ -23,7 +22,7 @@ def _categories_with_parent(categories: DataFrame) -> DataFrame:
     """id, name, parent_id and the parent's name (self left join)."""
     c = categories.alias("c")
     p = categories.select(F.col("id").alias("_pid"), F.col("name").alias("parent_name"))
-    return c.join(broadcast_if_small(p), F.col("c.parent_id") == F.col("_pid"), "left").drop("_pid")
+    return c.join(p, F.col("c.parent_id") == F.col("_pid"), "left").drop("_pid")
 
 
 def _review_stats(reviews: DataFrame | None) -> DataFrame | None:
@@ -85,7 +84,7 @@ def catalog_search(products: DataFrame, categories: DataFrame, reviews: DataFram
         preds.append(any_of([F.lower(F.coalesce(F.col(c), F.lit(""))).like(pattern)
                              for c in SEARCH_TEXT if c in products.columns]))
     df = products.filter(all_of(preds)).join(
-        broadcast_if_small(cats), F.col("category_id") == F.col("_cid"), "left").drop("_cid")
+        cats, F.col("category_id") == F.col("_cid"), "left").drop("_cid")
     if category:
         low = category.lower()
         df = df.filter((F.lower("category_name") == low) | (F.lower("parent_category_name") == low))
@@ -115,7 +114,7 @@ def product_detail(products: DataFrame, categories: DataFrame, reviews: DataFram
     """
     p = products if ids is None else products.filter(F.col("id").isin(list(ids)))
     cats = categories.select(F.col("id").alias("_cid"), F.col("name").alias("category_name"))
-    base = p.join(broadcast_if_small(cats), F.col("category_id") == F.col("_cid"), "left").drop("_cid")
+    base = p.join(cats, F.col("category_id") == F.col("_cid"), "left").drop("_cid")
     base = _with_review_stats(base, reviews)
     if reviews is None:
         if nested:
@@ -214,7 +213,7 @@ def inventory_report(products: DataFrame, categories: DataFrame, reviews: DataFr
     cats = categories.select(F.col("id").alias("_cid"), F.col("name").alias("category_name"))
     orders_per_product = order_items.groupBy(F.col("product_id").alias("_opid")).agg(
         F.count_distinct("order_id").alias("order_count"))
-    out = (p.join(broadcast_if_small(cats), F.col("category_id") == F.col("_cid"), "left").drop("_cid"))
+    out = (p.join(cats, F.col("category_id") == F.col("_cid"), "left").drop("_cid"))
     out = _with_review_stats(out, reviews)
     out = (out.join(orders_per_product, F.col("id") == F.col("_opid"), "left").drop("_opid")
            .withColumn("order_count", F.coalesce(F.col("order_count"), F.lit(0)).cast("long")))

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_by, last_by
-from ..functions.sizing import broadcast_if_small
 from ..sources.model import LINKS, ORDER_STATUSES, PAYMENT_METHODS
 
 NTZ = "timestamp_ntz"
@@ -168,7 +167,7 @@ def ingest_orders(orders: DataFrame, order_items: DataFrame, products: DataFrame
     online: 'pending_payment', temporary, stock and cart untouched.
     """
     price = products.select(F.col("id").alias("_pid"), F.col("price").alias("_price"))
-    priced = lines.join(broadcast_if_small(price), F.col("product_id") == F.col("_pid"), "left")
+    priced = lines.join(price, F.col("product_id") == F.col("_pid"), "left")
     missing = priced.filter(F.col("_pid").isNull()).select("seq").distinct().withColumn("_missing", F.lit(True))
     req = requests.join(missing, "seq", "left")
     error = (F.when(~F.coalesce(F.col("payment_method").isin(list(PAYMENT_METHODS)), F.lit(False)),
@@ -395,7 +394,7 @@ def add_products(products: DataFrame, categories: DataFrame, rows: DataFrame, as
     """
     cats = categories.select(F.col("id").alias("_cid"), F.col("name").alias("_cname"))
     r = rows.withColumn("_cat", _js_int(F.col("category_id")))
-    r = r.join(broadcast_if_small(cats), F.col("_cat") == F.col("_cid"), "left")
+    r = r.join(cats, F.col("_cat") == F.col("_cid"), "left")
     price = _js_float(F.col("price"))
     stock = _js_int(F.when(_blank(F.col("stock_quantity")), F.lit("0")).otherwise(F.col("stock_quantity")))
     offer = _js_int(F.when(_blank(F.col("offer_percentage")), F.lit("0")).otherwise(F.col("offer_percentage")))
@@ -434,7 +433,7 @@ def add_reviews(reviews: DataFrame, products: DataFrame, rows: DataFrame, as_of)
     existing = reviews.select("user_id", "product_id").distinct().withColumn("_had", F.lit(True))
     firsts = first_by(rows.filter((F.col("rating") >= 1) & (F.col("rating") <= 5)),
                       ["user_id", "product_id"], [F.col("seq")], ["seq"]).withColumnRenamed("seq", "_first")
-    r = (rows.join(broadcast_if_small(prods), F.col("product_id") == F.col("_pid"), "left")
+    r = (rows.join(prods, F.col("product_id") == F.col("_pid"), "left")
          .join(existing, ["user_id", "product_id"], "left")
          .join(firsts, ["user_id", "product_id"], "left"))
     error = (F.when(F.col("_pid").isNull(), "Product not found")

@@ -1,9 +1,9 @@
 """Order views Q7, Q8, Q12, Q13.
 
 Items are joined to their orders on ``order_id`` and to products on
-``product_id``; the product side is broadcast only when a bounded probe
-proves it small, otherwise both sides shuffle on the key and AQE splits a
-hot product's partition.  Top-n per user uses ``row_number() <= n``, which
+``product_id``; the planner broadcasts the product side only under its size
+threshold, otherwise both sides shuffle on the key and AQE splits a hot
+product's partition.  Top-n per user uses ``row_number() <= n``, which
 Spark plans with a partial per-partition group limit before the shuffle,
 so a user with a huge order history never sends all of it to one task.
 """
@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sizing import broadcast_if_small
 
 ITEM_FIELDS = ("product_id", "quantity", "price_at_time", "product_name")
 
@@ -26,7 +25,7 @@ def payment_label(method: Column, method_type: Column) -> Column:
 
 def _items_with_names(order_items: DataFrame, products: DataFrame, how: str) -> DataFrame:
     names = products.select(F.col("id").alias("_pid"), F.col("name").alias("product_name"))
-    return order_items.join(broadcast_if_small(names), F.col("product_id") == F.col("_pid"), how).drop("_pid")
+    return order_items.join(names, F.col("product_id") == F.col("_pid"), how).drop("_pid")
 
 
 def _nest_items(flat: DataFrame, order_cols: list[str], fields: list[str], name: str = "items") -> DataFrame:
@@ -112,7 +111,7 @@ def recently_bought(products: DataFrame, order_items: DataFrame, orders: DataFra
     lower product id.  The order date is dropped from the result, as in the
     reference; ``position`` keeps the order.
     """
-    known = order_items.join(broadcast_if_small(products.select(F.col("id").alias("_pid"))),
+    known = order_items.join(products.select(F.col("id").alias("_pid")),
                              F.col("product_id") == F.col("_pid"), "left_semi")
     o = orders.select(F.col("id").alias("_oid"), "user_id", F.col("created_at").alias("order_date"))
     pairs = (known.select("order_id", "product_id")

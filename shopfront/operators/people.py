@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import avg_1dp, money
-from ..functions.sizing import broadcast_if_small
 from .orders import recent_orders, recently_bought
 
 PROFILE = ("id", "name", "email", "phone", "photo_url", "created_at")
@@ -76,7 +75,7 @@ def brand_review_summary(brand_reviews: DataFrame | None, users: DataFrame, sort
     n = brand_reviews.select(F.count(F.lit(1))).scalar()
     avg = F.when(n > 0, avg_1dp(total, n)).otherwise(F.lit(0).cast("decimal(10,1)"))
     names = users.select(F.col("id").alias("_uid"), F.col("name").alias("_uname"))
-    out = (brand_reviews.join(broadcast_if_small(names), F.col("user_id") == F.col("_uid"), "left")
+    out = (brand_reviews.join(names, F.col("user_id") == F.col("_uid"), "left")
            .select("id", "user_id", "rating", "comment", "created_at",
                    F.coalesce(F.col("_uname"), F.lit("Anonymous")).alias("user_name"),
                    avg.alias("average_rating"), n.alias("review_count")))
@@ -88,13 +87,13 @@ def brand_review_summary(brand_reviews: DataFrame | None, users: DataFrame, sort
 def cart_contents(cart: DataFrame, products: DataFrame, user_ids: list[int] | None = None) -> DataFrame:
     """Q19: cart rows with product name, price and image (unknown products drop)."""
     p = products.select(F.col("id").alias("_pid"), "name", "price", "image_url")
-    return _for_users(cart, user_ids).join(broadcast_if_small(p), F.col("product_id") == F.col("_pid")).drop("_pid")
+    return _for_users(cart, user_ids).join(p, F.col("product_id") == F.col("_pid")).drop("_pid")
 
 
 def wishlist_contents(wishlist: DataFrame, products: DataFrame, user_ids: list[int] | None = None) -> DataFrame:
     """Q20: wishlist rows with name, price, description, image and category."""
     p = products.select(F.col("id").alias("_pid"), "name", "price", "description", "image_url", "category")
-    return _for_users(wishlist, user_ids).join(broadcast_if_small(p), F.col("product_id") == F.col("_pid")).drop("_pid")
+    return _for_users(wishlist, user_ids).join(p, F.col("product_id") == F.col("_pid")).drop("_pid")
 
 
 def address_book(addresses: DataFrame, user_ids: list[int] | None = None) -> DataFrame:

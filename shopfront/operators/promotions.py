@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
-from ..functions.sizing import broadcast_if_small
 
 # The reasons a coupon is refused, in the order they are checked.
 REASON_UNKNOWN = "Invalid coupon code"
@@ -79,7 +78,7 @@ def _cart_coupons(carts: DataFrame, coupons: DataFrame, coupon_products: DataFra
         F.count(F.lit(1)).alias("_n_products"))
     cp = cp.join(n_products, F.col("coupon_id") == F.col("_hc"), "left").drop("_hc")
     keys = carts.select("cart_id", "code").distinct()
-    return keys.join(broadcast_if_small(cp), F.upper("code") == F.col("_ucode"), "left").drop("_ucode")
+    return keys.join(cp, F.upper("code") == F.col("_ucode"), "left").drop("_ucode")
 
 
 def _priced_lines(carts: DataFrame, products: DataFrame, cart_coupons: DataFrame,
@@ -89,7 +88,7 @@ def _priced_lines(carts: DataFrame, products: DataFrame, cart_coupons: DataFrame
     Lines of unknown products are dropped (the reference skips them).
     """
     price = products.select(F.col("id").alias("_pid"), F.col("price"))
-    lines = (carts.join(broadcast_if_small(price), F.col("product_id") == F.col("_pid"), "inner").drop("_pid")
+    lines = (carts.join(price, F.col("product_id") == F.col("_pid"), "inner").drop("_pid")
              .withColumn("line_amount", money(F.col("price") * F.col("quantity")))
              .join(cart_coupons, ["cart_id", "code"], "inner"))
     links = coupon_products.select(F.col("coupon_id").alias("_lc"), F.col("product_id").alias("_lp"),

@@ -85,25 +85,30 @@ def profile_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> tuple[D
 def fk_audit(tables: dict[str, DataFrame], links: tuple[Link, ...] = LINKS) -> DataFrame:
     """For every link among ``tables``: child rows, null links and orphans.
 
-    An orphan is a non-null key with no parent row (a left-anti join on the
-    key).  Links whose tables or column are absent are skipped.
+    An orphan is a non-null key with no parent row.  The keys of all links
+    into one parent table are unioned (tagged by link) and probed against
+    that parent's ids in a single key join, then one aggregate counts per
+    link — one join per parent table instead of one per link.  Links whose
+    tables or column are absent are skipped.
     """
-    parts = []
+    by_parent: dict[str, list[Link]] = {}
     for link in links:
-        if link.child not in tables or link.parent not in tables or link.column not in tables[link.child].columns:
-            continue
-        child = tables[link.child].select(F.col(link.column).alias("_k"))
-        parent = tables[link.parent].select(F.col("id").alias("_k")).distinct()
-        orphans = child.filter(F.col("_k").isNotNull()).join(parent, "_k", "left_anti") \
-            .select(F.count(F.lit(1))).scalar()
-        stats = child.agg(F.count(F.lit(1)).alias("child_rows"),
-                          F.sum(F.when(F.col("_k").isNull(), 1).otherwise(0)).cast("long").alias("null_links"))
-        parts.append(stats.select(
-            F.lit(link.child).alias("child_table"), F.lit(link.column).alias("column_name"),
-            F.lit(link.parent).alias("parent_table"), F.lit(link.on_delete).alias("on_delete"),
-            "child_rows", F.coalesce("null_links", F.lit(0)).cast("long").alias("null_links"),
-            orphans.alias("orphan_rows")))
-    return reduce(DataFrame.unionByName, parts)
+        if link.child in tables and link.parent in tables and link.column in tables[link.child].columns:
+            by_parent.setdefault(link.parent, []).append(link)
+    probes = []
+    for parent, ls in by_parent.items():
+        keys = reduce(DataFrame.unionByName, [
+            tables[l.child].select(F.lit(l.child).alias("child_table"), F.lit(l.column).alias("column_name"),
+                                   F.lit(l.parent).alias("parent_table"), F.lit(l.on_delete).alias("on_delete"),
+                                   F.col(l.column).cast("long").alias("_k")) for l in ls])
+        ids = tables[parent].select(F.col("id").cast("long").alias("_k")).distinct().withColumn("_hit", F.lit(True))
+        probes.append(keys.join(ids, "_k", "left"))
+    return reduce(DataFrame.unionByName, probes).groupBy(
+        "child_table", "column_name", "parent_table", "on_delete").agg(
+        F.count(F.lit(1)).alias("child_rows"),
+        F.sum(F.when(F.col("_k").isNull(), 1).otherwise(0)).cast("long").alias("null_links"),
+        F.sum(F.when(F.col("_k").isNotNull() & F.col("_hit").isNull(), 1).otherwise(0)).cast("long")
+         .alias("orphan_rows"))
 
 
 def payment_audit(payments: DataFrame, secret: bytes | str) -> DataFrame:

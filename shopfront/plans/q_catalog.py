@@ -27,7 +27,7 @@ ORDER BY p.created_at DESC, p.id
 
 @register("q01_catalog_search", oracle=_Q1_SELECT.format(where="", page="LIMIT 10 OFFSET 0"))
 def q01_catalog_search(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.catalog_search(s.products, s.categories, s.reviews)
 
 
@@ -37,7 +37,7 @@ def q01_catalog_search(spark, sf_dir):
   AND p.price >= 920 AND p.price <= 990
   AND LOWER(p.product_type) IN ('economy', 'small', 'standard', 'promo')""", page=""))
 def q01_catalog_search_filtered(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.catalog_search(s.products, s.categories, s.reviews, category="america",
                                   search="OL", min_price=920, max_price=990,
                                   product_types=["economy", "SMALL", "Standard", "promo"], limit=None)
@@ -48,7 +48,7 @@ def q01_catalog_search_filtered(spark, sf_dir):
   AND list_has_any(list_transform(p.concerns, lambda x: lower(x)), ['red', 'blue'])""",
                                                                       page="LIMIT 10 OFFSET 20"))
 def q01_catalog_search_types_page3(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.catalog_search(s.products, s.categories, s.reviews,
                                   skin_types=["brand#2", "BRAND#7", "Brand#12"],
                                   concerns=["RED", "blue"], page=3, limit=10)
@@ -66,7 +66,7 @@ LEFT JOIN shop_categories pc ON c.parent_id = pc.id
 WHERE LOWER(p.name) LIKE '%ring%'
 """)
 def q01_catalog_search_no_reviews_table(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.catalog_search(s.products, s.categories, None, search="ring", limit=None)
 
 
@@ -87,7 +87,7 @@ LEFT JOIN (SELECT product_id, AVG(rating) AS avg_rating, COUNT(id) AS n FROM sho
 LEFT JOIN shop_reviews r ON r.product_id = p.id
 """)
 def q02_product_detail(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.product_detail(s.products, s.categories, s.reviews)
 
 
@@ -96,7 +96,7 @@ SELECT r.*, u.name AS user_name
 FROM shop_reviews r JOIN shop_users u ON r.user_id = u.id
 """)
 def q03_product_reviews(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.product_reviews(s.reviews, s.users)
 
 
@@ -108,7 +108,7 @@ LEFT JOIN shop_products pr ON c.id = pr.category_id
 GROUP BY ALL
 """)
 def q04_category_summary(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.category_summary(s.categories, s.products)
 
 
@@ -125,7 +125,7 @@ LEFT JOIN shop_categories pa ON c.parent_id = pa.id
 LEFT JOIN shop_products p ON p.category_id = c.id
 """)
 def q05_category_with_products(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.category_with_products(s.categories, s.products)
 
 
@@ -146,7 +146,7 @@ GROUP BY ALL
 
 @register("q06_inventory_report", oracle=_Q6.format(where=""))
 def q06_inventory_report(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.inventory_report(s.products, s.categories, s.reviews, s.order_items)
 
 
@@ -157,7 +157,7 @@ def q06_inventory_report(spark, sf_dir):
   AND p.product_type IN ('ECONOMY', 'SMALL', 'PROMO', 'large')
   AND list_has_any(p.concerns, ['red', 'ring', 'Bolt'])"""))
 def q06_inventory_report_filtered(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return catalog.inventory_report(s.products, s.categories, s.reviews, s.order_items,
                                     category_id=3, search="O", price_min="901.5", price_max=995,
                                     product_types=["ECONOMY", "SMALL", "PROMO", "large"],

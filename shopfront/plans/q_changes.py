@@ -124,7 +124,7 @@ FROM per_key k
 WHERE NOT EXISTS (SELECT 1 FROM shop_cart c WHERE c.user_id = k.user_id AND c.product_id = k.product_id)
 """, **_PER_KEY)
 def c01_merge_cart(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.merge_cart(s.cart, I.cart_adds(s), I.AS_OF).tables["cart"]
 
 
@@ -135,7 +135,7 @@ SELECT a.seq, a.user_id, a.product_id,
 FROM c_adds a JOIN per_key k ON k.user_id = a.user_id AND k.product_id = a.product_id
 """, **_PER_KEY)
 def c01_merge_cart_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.merge_cart(s.cart, I.cart_adds(s), I.AS_OF).outcome
 
 
@@ -163,7 +163,7 @@ WHERE NOT EXISTS (SELECT 1 FROM c_edits r
                      OR (r.op = 'clear' AND r.user_id = c.user_id))
 """, **_EDIT_STATUS)
 def c02_edit_cart(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.edit_cart(s.cart, I.cart_edits(s)).tables["cart"]
 
 
@@ -173,7 +173,7 @@ UNION ALL
 SELECT seq, op, id, user_id, CAST(NULL AS VARCHAR) FROM c_edits WHERE op = 'clear'
 """, **_EDIT_STATUS)
 def c02_edit_cart_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.edit_cart(s.cart, I.cart_edits(s)).outcome
 
 
@@ -204,13 +204,13 @@ FROM (SELECT user_id, product_id, MAX(seq) FILTER (WHERE op = 'add' AND error IS
 WHERE a.last_op = 'add' AND a.add_seq IS NOT NULL
 """, **_W_OUT)
 def c03_merge_wishlist(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.merge_wishlist(s.wishlist, I.wishlist_ops(s), I.AS_OF).tables["wishlist"]
 
 
 @reg("c03_merge_wishlist_outcome", "SELECT * FROM w_out", **_W_OUT)
 def c03_merge_wishlist_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.merge_wishlist(s.wishlist, I.wishlist_ops(s), I.AS_OF).outcome
 
 
@@ -238,7 +238,7 @@ SELECT seq, user_id, payment_method, error,
 FROM req_out
 """, **_REQ_OUT)
 def c04_ingest_orders_outcome(spark, sf_dir):
-    return _ingest(Shop(spark, sf_dir)).outcome
+    return _ingest(Shop.of(spark, sf_dir)).outcome
 
 
 @reg("c04_ingest_orders_stock", """
@@ -250,7 +250,7 @@ LEFT JOIN (SELECT l.product_id, SUM(l.quantity) AS units
            WHERE r.error IS NULL AND r.payment_method = 'cod' GROUP BY l.product_id) u ON u.product_id = p.id
 """, **_REQ_OUT)
 def c04_ingest_orders_stock(spark, sf_dir):
-    return _ingest(Shop(spark, sf_dir)).tables["products"]
+    return _ingest(Shop.of(spark, sf_dir)).tables["products"]
 
 
 @reg("c04_ingest_orders_cart", """
@@ -258,7 +258,7 @@ SELECT * FROM shop_cart
 WHERE user_id NOT IN (SELECT user_id FROM req_out WHERE error IS NULL AND payment_method = 'cod')
 """, **_REQ_OUT)
 def c04_ingest_orders_cart(spark, sf_dir):
-    return _ingest(Shop(spark, sf_dir)).tables["cart"]
+    return _ingest(Shop.of(spark, sf_dir)).tables["cart"]
 
 
 @reg("c04_ingest_orders_orders", f"""
@@ -270,7 +270,7 @@ SELECT (SELECT MAX(id) FROM shop_orders) + seq, user_id, COALESCE(total_amount,
 FROM req_out WHERE error IS NULL
 """, **_REQ_OUT)
 def c04_ingest_orders_orders(spark, sf_dir):
-    return _ingest(Shop(spark, sf_dir)).tables["orders"]
+    return _ingest(Shop.of(spark, sf_dir)).tables["orders"]
 
 
 @reg("c04_ingest_orders_items", """
@@ -281,7 +281,7 @@ FROM c_lines l JOIN req_out r ON r.seq = l.seq JOIN shop_products p ON p.id = l.
 WHERE r.error IS NULL
 """, **_REQ_OUT)
 def c04_ingest_orders_items(spark, sf_dir):
-    return _ingest(Shop(spark, sf_dir)).tables["order_items"]
+    return _ingest(Shop.of(spark, sf_dir)).tables["order_items"]
 
 
 # ------------------------------------------------------------------ C5 / C6
@@ -304,7 +304,7 @@ def _confirm(s):
 
 @reg("c05_confirm_payments_outcome", "SELECT seq, order_id, user_id, payment_id, error FROM pay_out", **_PAY)
 def c05_confirm_payments_outcome(spark, sf_dir):
-    return _confirm(Shop(spark, sf_dir)).outcome
+    return _confirm(Shop.of(spark, sf_dir)).outcome
 
 
 @reg("c05_confirm_payments_orders", """
@@ -318,7 +318,7 @@ SELECT o.* REPLACE (
 FROM shop_orders o LEFT JOIN (SELECT * FROM pay_out WHERE error IS NULL) w ON w.order_id = o.id
 """, **_PAY)
 def c05_confirm_payments_orders(spark, sf_dir):
-    return _confirm(Shop(spark, sf_dir)).tables["orders"]
+    return _confirm(Shop.of(spark, sf_dir)).tables["orders"]
 
 
 @reg("c05_confirm_payments_stock", """
@@ -330,14 +330,14 @@ LEFT JOIN (SELECT oi.product_id, SUM(oi.quantity) AS units FROM shop_order_items
            GROUP BY oi.product_id) u ON u.product_id = p.id
 """, **_PAY)
 def c05_confirm_payments_stock(spark, sf_dir):
-    return _confirm(Shop(spark, sf_dir)).tables["products"]
+    return _confirm(Shop.of(spark, sf_dir)).tables["products"]
 
 
 @reg("c05_confirm_payments_cart", """
 SELECT * FROM shop_cart WHERE user_id NOT IN (SELECT user_id FROM pay_out WHERE error IS NULL)
 """, **_PAY)
 def c05_confirm_payments_cart(spark, sf_dir):
-    return _confirm(Shop(spark, sf_dir)).tables["cart"]
+    return _confirm(Shop.of(spark, sf_dir)).tables["cart"]
 
 
 _CAN = {"cancel_out": _first_ok("c_cancel")}
@@ -345,7 +345,7 @@ _CAN = {"cancel_out": _first_ok("c_cancel")}
 
 @reg("c06_cancel_temporary_outcome", "SELECT seq, order_id, user_id, error FROM cancel_out", **_CAN)
 def c06_cancel_temporary_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.cancel_temporary(s.orders, s.order_items, I.cancels(s)).outcome
 
 
@@ -353,7 +353,7 @@ def c06_cancel_temporary_outcome(spark, sf_dir):
 SELECT * FROM shop_orders WHERE id NOT IN (SELECT order_id FROM cancel_out WHERE error IS NULL)
 """, **_CAN)
 def c06_cancel_temporary_orders(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.cancel_temporary(s.orders, s.order_items, I.cancels(s)).tables["orders"]
 
 
@@ -361,7 +361,7 @@ def c06_cancel_temporary_orders(spark, sf_dir):
 SELECT * FROM shop_order_items WHERE order_id NOT IN (SELECT order_id FROM cancel_out WHERE error IS NULL)
 """, **_CAN)
 def c06_cancel_temporary_items(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.cancel_temporary(s.orders, s.order_items, I.cancels(s)).tables["order_items"]
 
 
@@ -370,7 +370,7 @@ SELECT * FROM shop_orders
 WHERE id NOT IN (SELECT id FROM shop_orders WHERE is_temporary = true AND created_at < TIMESTAMP '{I.STALE_BEFORE}')
 """)
 def c06_purge_stale_orders(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.purge_stale(s.orders, s.order_items, I.STALE_BEFORE).tables["orders"]
 
 
@@ -385,7 +385,7 @@ FROM c_status s"""}
 
 @reg("c07_change_order_status_outcome", "SELECT * FROM status_out", **_ST)
 def c07_change_order_status_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.change_order_status(s.orders, I.status_changes(s), I.AS_OF).outcome
 
 
@@ -397,7 +397,7 @@ LEFT JOIN (SELECT order_id, arg_max(status, seq) AS status FROM status_out WHERE
            GROUP BY order_id) w ON w.order_id = o.id
 """, **_ST)
 def c07_change_order_status_orders(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.change_order_status(s.orders, I.status_changes(s), I.AS_OF).tables["orders"]
 
 
@@ -417,7 +417,7 @@ FROM shop_cart c
 LEFT JOIN (SELECT * FROM alloc WHERE valid) a ON a.cart_id = c.user_id AND a.product_id = c.product_id
 """, **_ALLOC)
 def c08_apply_coupons_cart(spark, sf_dir):
-    return _apply(Shop(spark, sf_dir)).tables["cart"]
+    return _apply(Shop.of(spark, sf_dir)).tables["cart"]
 
 
 @reg("c08_apply_coupons_coupons", """
@@ -428,7 +428,7 @@ LEFT JOIN (SELECT coupon_id, COUNT(*) AS n
        ON u.coupon_id = c.id
 """, **_ALLOC)
 def c08_apply_coupons_coupons(spark, sf_dir):
-    return _apply(Shop(spark, sf_dir)).tables["coupons"]
+    return _apply(Shop.of(spark, sf_dir)).tables["coupons"]
 
 
 # ------------------------------------------------------------------ C9
@@ -442,7 +442,7 @@ SELECT p.* REPLACE (COALESCE(x.name, p.name) AS name, COALESCE(x.description, p.
 FROM shop_products p LEFT JOIN c_patch x ON x.id = p.id
 """)
 def c09_patch_products(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.patch_rows(s.products, I.product_patches(s), ["name", "description", "price"],
                         ["offer_percentage"], I.AS_OF).tables["table"]
 
@@ -473,7 +473,7 @@ SELECT seq, name, error, CASE WHEN error IS NULL THEN (SELECT MAX(id) FROM shop_
 FROM prow_out
 """, **_PROWS)
 def c10_add_products_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.add_products(s.products, s.categories, I.product_rows(s), I.AS_OF).outcome
 
 
@@ -487,7 +487,7 @@ FROM prow_out r JOIN shop_categories c ON c.id = r.cat
 WHERE r.error IS NULL
 """, **_PROWS)
 def c10_add_products_products(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.add_products(s.products, s.categories, I.product_rows(s), I.AS_OF).tables["products"]
 
 
@@ -506,7 +506,7 @@ FROM c_rrows r"""}
 
 @reg("c11_add_reviews_outcome", "SELECT seq, user_id, product_id, error FROM rv_out", **_RV)
 def c11_add_reviews_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.add_reviews(s.reviews, s.products, I.review_rows(s), I.AS_OF).outcome
 
 
@@ -517,14 +517,14 @@ SELECT (SELECT MAX(id) FROM shop_reviews) + seq, product_id, user_id, rating, co
 FROM rv_out WHERE error IS NULL
 """, **_RV)
 def c11_add_reviews_reviews(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.add_reviews(s.reviews, s.products, I.review_rows(s), I.AS_OF).tables["reviews"]
 
 
 # Sequential add/update/delete per user: checked against a Python replay in tests.
 @register("c11_brand_review_changes")
 def c11_brand_review_changes(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.brand_review_changes(s.brand_reviews, I.brand_review_rows(s), I.AS_OF).tables["brand_reviews"]
 
 
@@ -544,7 +544,7 @@ FROM c_cats r"""}
 
 @reg("c12_upsert_categories_outcome", "SELECT seq, id, name, error FROM cat_out", **_CAT)
 def c12_upsert_categories_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.upsert_categories(s.categories, I.category_rows(s), I.AS_OF).outcome
 
 
@@ -557,7 +557,7 @@ SELECT (SELECT MAX(id) FROM shop_categories) + seq, name, description, parent_id
 FROM cat_out WHERE error IS NULL AND id IS NULL
 """, **_CAT)
 def c12_upsert_categories(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.upsert_categories(s.categories, I.category_rows(s), I.AS_OF).tables["categories"]
 
 
@@ -573,7 +573,7 @@ FROM c_cdel d"""}
 
 @reg("c13_delete_categories_outcome", "SELECT * FROM cdel_out", **_CDEL)
 def c13_delete_categories_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.delete_categories(s.categories, s.products, I.category_deletes(s)).outcome
 
 
@@ -581,7 +581,7 @@ def c13_delete_categories_outcome(spark, sf_dir):
 SELECT * FROM shop_categories WHERE id NOT IN (SELECT id FROM cdel_out WHERE error IS NULL)
 """, **_CDEL)
 def c13_delete_categories(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.delete_categories(s.categories, s.products, I.category_deletes(s)).tables["categories"]
 
 
@@ -596,7 +596,7 @@ WHERE set_id = (SELECT MAX(set_id) FROM c_sets t WHERE t.coupon_id = s.coupon_id
 GROUP BY coupon_id, product_id
 """)
 def c14_replace_coupon_products(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.replace_coupon_products(s.coupon_products, I.coupon_sets(s)).tables["coupon_products"]
 
 
@@ -608,7 +608,7 @@ SELECT r.seq, r.code,
 FROM c_ccreate r
 """)
 def c14_create_coupons_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.create_coupons(s.coupons, I.coupon_creates(s), I.AS_OF).outcome
 
 
@@ -626,7 +626,7 @@ _ADMINS = "(SELECT id FROM shop_users WHERE role = 'admin')"
 
 @register("c15_cascade_users_orders", oracle=f"SELECT * FROM shop_orders WHERE user_id NOT IN {_ADMINS}")
 def c15_cascade_users_orders(spark, sf_dir):
-    return _cascade_users(Shop(spark, sf_dir)).tables["orders"]
+    return _cascade_users(Shop.of(spark, sf_dir)).tables["orders"]
 
 
 @register("c15_cascade_users_order_items", oracle=f"""
@@ -634,12 +634,12 @@ SELECT * FROM shop_order_items
 WHERE order_id NOT IN (SELECT id FROM shop_orders WHERE user_id IN {_ADMINS})
 """)
 def c15_cascade_users_order_items(spark, sf_dir):
-    return _cascade_users(Shop(spark, sf_dir)).tables["order_items"]
+    return _cascade_users(Shop.of(spark, sf_dir)).tables["order_items"]
 
 
 @register("c15_cascade_users_cart", oracle=f"SELECT * FROM shop_cart WHERE user_id NOT IN {_ADMINS}")
 def c15_cascade_users_cart(spark, sf_dir):
-    return _cascade_users(Shop(spark, sf_dir)).tables["cart"]
+    return _cascade_users(Shop.of(spark, sf_dir)).tables["cart"]
 
 
 @register("c15_cascade_regions_categories", oracle="""
@@ -647,7 +647,7 @@ SELECT c.* REPLACE (CASE WHEN c.parent_id BETWEEN 100 AND 104 THEN NULL ELSE c.p
 FROM shop_categories c WHERE c.id NOT BETWEEN 100 AND 104
 """)
 def c15_cascade_regions_categories(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     regions = s.raw.region.select((F.col("r_regionkey") + 100).cast("long").alias("id"))
     return C.cascade_delete({"categories": s.categories, "products": s.products}, "categories",
                             regions).tables["categories"]
@@ -680,7 +680,7 @@ FROM (SELECT * FROM shop_addresses
 LEFT JOIN winner w ON w.user_id = r.user_id
 """, **_ADDR)
 def c16_default_address(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.enforce_default_address(s.addresses, I.address_changes(s), I.AS_OF).tables["addresses"]
 
 
@@ -690,5 +690,5 @@ UNION ALL
 SELECT seq, op, user_id, id, CASE WHEN found THEN NULL ELSE 'Address not found' END FROM s_out
 """, **_ADDR)
 def c16_default_address_outcome(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return C.enforce_default_address(s.addresses, I.address_changes(s), I.AS_OF).outcome

@@ -27,7 +27,7 @@ LEFT JOIN (SELECT product_id, COUNT(*) AS n FROM shop_wishlist GROUP BY product_
 
 @register("q11_product_performance", oracle=_Q11_BODY.format(fan=""))
 def q11_product_performance(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return kpis.product_performance(s.products, s.order_items, s.reviews, s.wishlist)
 
 
@@ -51,7 +51,7 @@ GROUP BY p.id, p.name, p.price
 
 @register("q11_product_performance_as_written", oracle=_Q11_AS_WRITTEN)
 def q11_product_performance_as_written(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return kpis.product_performance(s.products, s.order_items, s.reviews, s.wishlist,
                                     as_written=True)
 
@@ -63,7 +63,7 @@ SELECT (SELECT COUNT(*) FROM shop_users WHERE role != 'admin') AS total_users,
        CAST(COALESCE((SELECT SUM(total_amount) FROM shop_orders), 0) AS DECIMAL(18,2)) AS total_revenue
 """)
 def q09_shop_kpis(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return kpis.shop_kpis(s.users, s.products, s.orders)
 
 
@@ -76,5 +76,5 @@ FROM shop_users u
 WHERE role != 'admin'
 """)
 def q10_customer_value(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return kpis.customer_value(s.users, s.orders)

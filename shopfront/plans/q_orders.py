@@ -19,7 +19,7 @@ LEFT JOIN shop_products p ON oi.product_id = p.id
 WHERE (o.is_temporary = false OR o.is_temporary IS NULL)
 """)
 def q07_order_history(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return orders.order_history(s.orders, s.order_items, s.products)
 
 
@@ -33,7 +33,7 @@ JOIN shop_order_items oi ON o.id = oi.order_id
 JOIN shop_products p ON oi.product_id = p.id
 """)
 def q08_order_book(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return orders.order_book(s.orders, s.users, s.order_items, s.products)
 
 
@@ -54,7 +54,7 @@ FROM shop_users u,
 JOIN valid_items v ON v.order_id = t.id
 """)
 def q12_recent_orders(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return orders.recent_orders(s.orders, s.order_items, s.products, n=5)
 
 
@@ -70,7 +70,7 @@ JOIN shop_products p ON p.id = d.product_id
 WHERE d.position <= 5
 """)
 def q13_recently_bought(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return orders.recently_bought(s.products, s.order_items, s.orders, n=5)
 
 
@@ -84,7 +84,7 @@ SELECT u.id, u.name, u.email, u.phone, u.created_at,
 FROM shop_users u
 """)
 def q14_customer_dashboard(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return people.customer_dashboard(s.users, s.orders, s.order_items, s.products, s.cart, s.wishlist)
 
 
@@ -101,7 +101,7 @@ LEFT JOIN shop_users u ON br.user_id = u.id
 CROSS JOIN review_stats rs
 """)
 def q18_brand_review_summary(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return people.brand_review_summary(s.brand_reviews, s.users)
 
 
@@ -109,7 +109,7 @@ def q18_brand_review_summary(spark, sf_dir):
 SELECT c.*, p.name, p.price, p.image_url FROM shop_cart c JOIN shop_products p ON c.product_id = p.id
 """)
 def q19_cart_contents(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return people.cart_contents(s.cart, s.products)
 
 
@@ -118,7 +118,7 @@ SELECT w.*, p.name, p.price, p.description, p.image_url, p.category
 FROM shop_wishlist w JOIN shop_products p ON w.product_id = p.id
 """)
 def q20_wishlist_contents(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return people.wishlist_contents(s.wishlist, s.products)
 
 
@@ -128,7 +128,7 @@ SELECT a.*, CAST(row_number() OVER (PARTITION BY user_id
 FROM shop_addresses a
 """)
 def q21_address_book(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return people.address_book(s.addresses)
 
 
@@ -143,7 +143,7 @@ LEFT JOIN (SELECT user_id, 'cart' AS kind, id AS item_id, product_id AS item_pro
        ON x.user_id = u.id
 """)
 def q22_user_snapshot(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return people.user_snapshot(s.users, s.cart, s.wishlist)
 
 
@@ -151,7 +151,7 @@ def q22_user_snapshot(spark, sf_dir):
 SELECT oi.*, o.user_id AS owner_id FROM shop_order_items oi JOIN shop_orders o ON o.id = oi.order_id
 """)
 def q23_order_items_owner(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return access.row_owners(s.order_items, "order_items", "select", {"orders": s.orders})
 
 
@@ -160,23 +160,23 @@ SELECT oi.* FROM shop_order_items oi
 WHERE EXISTS (SELECT 1 FROM shop_orders o WHERE o.id = oi.order_id AND o.user_id = 7)
 """)
 def q23_visible_order_items(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return access.visible_rows(s.order_items, "order_items", "select", 7, "user", {"orders": s.orders})
 
 
 @register("q23_visible_cart_rows", oracle="SELECT * FROM shop_cart WHERE user_id = 42")
 def q23_visible_cart_rows(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return access.visible_rows(s.cart, "cart", "update", 42, "user")
 
 
 @register("q23_orders_delete_denied", oracle="SELECT * FROM shop_orders WHERE false")
 def q23_orders_delete_denied(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return access.visible_rows(s.orders, "orders", "delete", 7, "admin")
 
 
 @register("q23_coupons_admin_update", oracle="SELECT * FROM shop_coupons")
 def q23_coupons_admin_update(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return access.visible_rows(s.coupons, "coupons", "update", 0, "admin")

@@ -24,13 +24,13 @@ WHERE {where}
 c.is_active = true AND c.start_date <= {_AS_OF} AND c.end_date >= {_AS_OF}
 AND (c.usage_limit IS NULL OR c.times_used < c.usage_limit)"""))
 def q15_coupon_catalog(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return promotions.coupon_catalog(s.coupons, s.coupon_products, s.products, as_of=QUOTE_AS_OF)
 
 
 @register("q15_coupon_catalog_all", oracle=_Q15.format(where="true"))
 def q15_coupon_catalog_all(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return promotions.coupon_catalog(s.coupons, s.coupon_products, s.products, active_only=False)
 
 
@@ -100,13 +100,13 @@ FROM (SELECT q.*, {_reason('total_amount')} AS reason
 
 @register("q16_coupon_quote", oracle=_Q16, ctes=_lines(_INTENDED))
 def q16_coupon_quote(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return promotions.coupon_quote(quote_carts(s), s.coupons, s.coupon_products, s.products, QUOTE_AS_OF)
 
 
 @register("q16_coupon_quote_as_written", oracle=_Q16, ctes=_lines(_LISTED))
 def q16_coupon_quote_as_written(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return promotions.coupon_quote(quote_carts(s), s.coupons, s.coupon_products, s.products, QUOTE_AS_OF,
                                    as_written=True)
 
@@ -136,12 +136,12 @@ FROM (SELECT r.*, SUM(raw) OVER (PARTITION BY cart_id, code) AS raw_sum, {_reaso
 
 @register("q17_coupon_allocation", oracle=_q17("total_amount"), ctes=_lines(_INTENDED))
 def q17_coupon_allocation(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return promotions.coupon_allocation(quote_carts(s), s.coupons, s.coupon_products, s.products, QUOTE_AS_OF)
 
 
 @register("q17_coupon_allocation_as_written", oracle=_q17("running"), ctes=_lines(_LISTED))
 def q17_coupon_allocation_as_written(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return promotions.coupon_allocation(quote_carts(s), s.coupons, s.coupon_products, s.products,
                                         QUOTE_AS_OF, as_written=True)

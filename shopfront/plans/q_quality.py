@@ -44,7 +44,7 @@ _ADDRESS_RULES = [("required", "address_line2"), ("phone", "phone_number"), ("re
 
 def _check(table: str, rules):
     def build(spark, sf_dir):
-        s = Shop(spark, sf_dir)
+        s = Shop.of(spark, sf_dir)
         return quality.check_rules(s.table(table), rules, keep=["id"]).drop("broken")
     return build
 
@@ -63,7 +63,7 @@ SELECT id, name, email, role, created_at, NULL FROM shop_users
 WHERE id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)
 """)
 def d02_copy_users(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     rich = s.raw.customer.filter(F.col("c_acctbal") > 5000).select(F.col("c_custkey").alias("id"))
     target = (s.users.join(rich, "id", "left_semi")
               .select("id", "name", "email", "role", "created_at", F.lit(True).alias("is_verified")))
@@ -79,7 +79,7 @@ _N_COLUMNS = {"users": 6, "categories": 5, "products": 13, "orders": 8, "order_i
     f"SELECT '{t}' AS table_name, COUNT(*) AS row_count, {_N_COLUMNS[t]} AS n_columns FROM shop_{t}"
     for t in SHOP_TABLES))
 def d03_profile_tables(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     summary, _ = quality.profile_tables(spark, {t: s.table(t) for t in SHOP_TABLES})
     return summary.drop("sample_row")
 
@@ -101,7 +101,7 @@ def _fk_sql() -> str:
 
 @register("d04_fk_audit", oracle=_fk_sql())
 def d04_fk_audit(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return quality.fk_audit({t: s.table(t) for t in SHOP_TABLES})
 
 
@@ -110,7 +110,7 @@ _PRODUCT_TEXT = "'nation_' || CAST(p.id % 30 AS VARCHAR)"
 
 def _backfill(as_written: bool):
     def build(spark, sf_dir):
-        s = Shop(spark, sf_dir)
+        s = Shop.of(spark, sf_dir)
         p = s.products.withColumn("category", F.concat(F.lit("nation_"), (F.col("id") % 30).cast("string")))
         out = migrate.backfill_category(p, s.categories, as_written=as_written)
         return out.select("id", "category", "category_id", "backfill")
@@ -155,7 +155,7 @@ SELECT (SELECT base FROM b) + 2 * nc.s + 1, nc.name, nc.name || ' in ' || nc.par
 FROM nc JOIN pid ON pid.name = nc.parent
 """)
 def d06_seed_categories(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     p = s.raw.part
     tree = p.select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("parent"),
                     F.concat(F.lit("Type "), F.col("p_type")).alias("parent_description"),
@@ -179,7 +179,7 @@ SELECT id, name, description, price, category, image_url, category_id,
 FROM shop_products
 """)
 def d07_evolve_products(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return migrate.evolve(s.products, _SPECS)
 
 
@@ -210,7 +210,7 @@ FROM (SELECT 'order_' || CAST(o_orderkey AS VARCHAR) AS gateway_order_id,
       FROM orders)
 """)
 def d08_payment_audit(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     o = s.raw.orders
     gid = F.concat(F.lit("order_"), F.col("o_orderkey").cast("string"))
     pid = F.concat(F.lit("pay_"), F.col("o_orderkey").cast("string"))

@@ -24,7 +24,7 @@ FROM (SELECT product_id, CAST(SUM(quantity) AS BIGINT) AS units_sold, COUNT(*) A
 LEFT JOIN shop_products p ON p.id = s.product_id
 """)
 def t01_stock_ledger(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return T.stock_ledger_batch(T.order_lines(s.raw.events), s.products)
 
 
@@ -63,7 +63,7 @@ SELECT f.user_id, f.product_id,
 FROM first_add f LEFT JOIN last_set s ON s.user_id = f.user_id AND s.product_id = f.product_id
 """)
 def t02_live_cart(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return T.live_cart_batch(T.cart_events(s.raw.events))
 
 
@@ -101,7 +101,7 @@ SELECT a.event_id, a.user_id,
 FROM att2 a LEFT JOIN term t ON t.user_id = a.user_id AND t.req_id = a.req_id
 """)
 def t03_verification_funnel(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return T.verification_batch(T.code_events(s.raw.events))
 
 
@@ -113,5 +113,5 @@ WHERE o.is_temporary = true
                   AND l.l_shipdate <= o.created_at + INTERVAL 30 DAY)
 """)
 def t04_unpaid_orders(spark, sf_dir):
-    s = Shop(spark, sf_dir)
+    s = Shop.of(spark, sf_dir)
     return T.unpaid_batch(T.order_starts(s.orders), T.payment_results(s.raw.lineitem), "30 days")

@@ -50,6 +50,16 @@ class RawTables:
 class Shop:
     """The 12 shop tables derived from the driver tables (all lazy)."""
 
+    _cache: dict = {}
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> "Shop":
+        """One instance per (session, folder): file listings and plans are built once."""
+        key = (spark, sf_dir.rstrip("/"))
+        if key not in cls._cache:
+            cls._cache[key] = cls(spark, sf_dir)
+        return cls._cache[key]
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
