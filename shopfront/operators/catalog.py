@@ -137,12 +137,16 @@ def product_detail(products: DataFrame, categories: DataFrame, reviews: DataFram
 
 
 def product_reviews(reviews: DataFrame, users: DataFrame, product_ids: list[int] | None = None,
-                    sort: bool = True) -> DataFrame:
-    """Q3: reviews with the author's name, newest first (orphans dropped)."""
+                    sort: bool | None = None) -> DataFrame:
+    """Q3: reviews with the author's name, newest first (orphans dropped).
+
+    Newest first is per product: sorted by default only when
+    ``product_ids`` narrows the result.
+    """
     r = reviews if product_ids is None else reviews.filter(F.col("product_id").isin(list(product_ids)))
     u = users.select(F.col("id").alias("_uid"), F.col("name").alias("user_name"))
     out = r.join(u, F.col("user_id") == F.col("_uid"), "inner").drop("_uid")
-    if sort:
+    if sort or (sort is None and product_ids is not None):
         out = out.orderBy(F.col("created_at").desc_nulls_first(), F.col("id"))
     return out
 

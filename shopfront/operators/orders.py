@@ -36,12 +36,15 @@ def _nest_items(flat: DataFrame, order_cols: list[str], fields: list[str], name:
 
 def order_history(orders: DataFrame, order_items: DataFrame, products: DataFrame,
                   user_ids: list[int] | None = None, order_ids: list[int] | None = None,
-                  nested: bool = False, sort: bool = True) -> DataFrame:
+                  nested: bool = False, sort: bool | None = None) -> DataFrame:
     """Q7: a user's non-temporary orders with a payment label and their items.
 
     Orders whose flag is false or null count; temporary ones do not.  An
     order without items keeps one row whose item columns are null (nested:
     one all-null item, as the reference's LEFT JOIN + json_agg yields).
+    Newest first is a per-user order: by default the result is sorted only
+    when ``user_ids`` narrows it (a global sort of every user's history
+    would be a full range shuffle that no reader needs).
     """
     o = orders.filter((F.col("is_temporary") == F.lit(False)) | F.col("is_temporary").isNull())
     if user_ids is not None:
@@ -54,7 +57,7 @@ def order_history(orders: DataFrame, order_items: DataFrame, products: DataFrame
         F.col("order_id").alias("_oid"), *[F.col(f).alias(f"item_{f}") for f in ITEM_FIELDS])
     flat = o.join(items, F.col("id") == F.col("_oid"), "left").drop("_oid")
     out = _nest_items(flat, o.columns, list(ITEM_FIELDS)) if nested else flat
-    if sort:
+    if sort or (sort is None and user_ids is not None):
         out = out.orderBy(F.col("created_at").desc_nulls_first(), F.col("id"))
     return out
 
