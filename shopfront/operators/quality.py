@@ -116,12 +116,14 @@ def payment_audit(payments: DataFrame, secret: bytes | str) -> DataFrame:
 
     ``payments``: gateway_order_id, payment_id, signature, amount.
     ``signature_ok`` = signature equals hex HMAC-SHA256(secret,
-    gateway_order_id + '|' + payment_id); ``amount_minor`` = floor(amount *
-    100 + 0.5); ``amount_ok`` = amount > 0.
+    gateway_order_id + '|' + payment_id); ``amount_minor`` = Math.round of
+    the amount times 100 in double arithmetic, i.e. floor(double(amount) *
+    100 + 0.5) (1.005 gives 100, as in the reference); ``amount_ok`` =
+    amount > 0.
     """
     msg = F.concat(F.col("gateway_order_id"), F.lit("|"), F.col("payment_id"))
     return payments.select(
         "*",
         (F.coalesce(F.col("signature") == hmac_sha256_hex(secret, msg), F.lit(False))).alias("signature_ok"),
-        F.floor(F.col("amount") * 100 + F.lit(0.5)).cast("long").alias("amount_minor"),
+        F.floor(F.col("amount").cast("double") * F.lit(100.0) + F.lit(0.5)).cast("long").alias("amount_minor"),
         F.coalesce(F.col("amount") > 0, F.lit(False)).alias("amount_ok"))

@@ -200,7 +200,7 @@ _MSG = "'order_' || CAST(o_orderkey AS VARCHAR) || '|' || 'pay_' || CAST(o_order
 @register("d08_payment_audit", oracle=f"""
 SELECT gateway_order_id, payment_id, signature, amount, expected_signature,
        signature = expected_signature AS signature_ok,
-       CAST(floor(amount * 100 + 0.5) AS BIGINT) AS amount_minor, amount > 0 AS amount_ok
+       CAST(floor(CAST(amount AS DOUBLE) * 100.0 + 0.5) AS BIGINT) AS amount_minor, amount > 0 AS amount_ok
 FROM (SELECT 'order_' || CAST(o_orderkey AS VARCHAR) AS gateway_order_id,
              'pay_' || CAST(o_orderkey AS VARCHAR) AS payment_id,
              CASE WHEN o_orderstatus <> 'F' THEN {_hmac_sql(PAYMENT_SECRET, _MSG)}
