@@ -13,10 +13,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_by, last_by
+from ..functions.scan import key_scan
 from ..sources.model import LINKS, ORDER_STATUSES, PAYMENT_METHODS
 
 NTZ = "timestamp_ntz"
@@ -129,8 +130,9 @@ def merge_wishlist(wishlist: DataFrame, ops: DataFrame, as_of) -> Change:
     had = wishlist.select("user_id", "product_id", F.col("id").alias("_old_id"),
                           F.col("created_at").alias("_old_created")).groupBy("user_id", "product_id") \
         .agg(F.min(F.struct("_old_id", "_old_created")).alias("_old"))
-    w = Window.partitionBy("user_id", "product_id").orderBy("seq")
-    o = ops.join(had, ["user_id", "product_id"], "left").withColumn("_prev", F.lag("op").over(w))
+    # previous op of the pair via key_scan: a hot pair is split over many tasks
+    o = key_scan(ops.join(had, ["user_id", "product_id"], "left"), ["user_id", "product_id"], ["seq"],
+                 lag_of="op", count_name="_n_ops", lag_name="_prev").drop("_n_ops")
     before = F.when(F.col("_prev").isNull(), F.col("_old").isNotNull()).otherwise(F.col("_prev") == "add")
     o = o.withColumn("_present_before", before).withColumn(
         "error", F.when((F.col("op") == "add") & F.col("_present_before"), "Item already in wishlist")

@@ -6,10 +6,11 @@ filter that Catalyst pushes into the scans.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import avg_1dp, money
+from ..functions.scan import key_scan
 from .orders import recent_orders, recently_bought
 
 PROFILE = ("id", "name", "email", "phone", "photo_url", "created_at")
@@ -99,9 +100,12 @@ def wishlist_contents(wishlist: DataFrame, products: DataFrame, user_ids: list[i
 def address_book(addresses: DataFrame, user_ids: list[int] | None = None) -> DataFrame:
     """Q21: a user's addresses, default first (null before true, as PostgreSQL
     sorts ``DESC``), then newest, with the 1-based ``position``."""
-    w = Window.partitionBy("user_id").orderBy(F.col("is_default").desc_nulls_first(),
-                                              F.col("created_at").desc_nulls_first(), F.col("id"))
-    return _for_users(addresses, user_ids).withColumn("position", F.row_number().over(w))
+    a = _for_users(addresses, user_ids)
+    # the same order as ascending sort columns; key_scan splits a user with many rows
+    a = a.withColumn("_o_def", F.when(F.col("is_default").isNull(), 0).when(F.col("is_default"), 1).otherwise(2)) \
+         .withColumn("_o_ts", -F.unix_micros(F.col("created_at").cast("timestamp")))
+    out = key_scan(a, ["user_id"], ["_o_def", "_o_ts", "id"], count_name="position")
+    return out.select(*addresses.columns, F.col("position").cast("int").alias("position"))
 
 
 def user_snapshot(users: DataFrame, cart: DataFrame, wishlist: DataFrame,

@@ -16,10 +16,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from ..functions.scan import key_scan
+
 # A one-time code lives 10 minutes and the third wrong try locks it.
 CODE_TTL_MS = 10 * 60 * 1000
 MAX_WRONG = 3
@@ -174,9 +176,10 @@ def live_cart_stream(ev: DataFrame) -> DataFrame:
 
 def latest_cart(emitted: DataFrame) -> DataFrame:
     """Current carts from the rows ``live_cart_stream`` emitted (latest version per user)."""
-    latest = F.max("version").over(Window.partitionBy("user_id"))
-    return (emitted.withColumn("_v", latest)
-            .filter((F.col("version") == F.col("_v")) & F.col("product_id").isNotNull())
+    # max per user as a partial aggregate joined back (no window gathering a user's rows)
+    latest = emitted.groupBy(F.col("user_id").alias("_u")).agg(F.max("version").alias("_v"))
+    return (emitted.join(latest, (F.col("user_id") == F.col("_u")) & (F.col("version") == F.col("_v")))
+            .filter(F.col("product_id").isNotNull())
             .select("user_id", "product_id", "quantity"))
 
 
@@ -200,15 +203,16 @@ def verification_batch(ev: DataFrame) -> DataFrame:
     'invalid'; later ones, and attempts before any request, are
     'no code'.
     """
-    w_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    s = ev.withColumn("session", F.sum(F.when(F.col("kind") == "request", 1).otherwise(0)).over(w_user))
+    # running counts per user / per session through key_scan, so one user with
+    # a third of all events is split over many tasks instead of one window
+    s = key_scan(ev, ["user_id"], ["ts", "event_id"], count_if=F.col("kind") == "request", count_name="session")
     req = s.filter(F.col("kind") == "request").select("user_id", "session", F.col("ts").alias("issued"))
     a = s.filter(F.col("kind") == "attempt").join(req, ["user_id", "session"], "left")
-    w_sess = Window.partitionBy("user_id", "session").orderBy("ts", "event_id")
     age_ms = F.floor(F.unix_micros("ts") / 1000) - F.floor(F.unix_micros("issued") / 1000)
     late = age_ms > CODE_TTL_MS
-    a = a.withColumn("_wrong_before", F.coalesce(F.sum(F.when(~F.col("correct"), 1).otherwise(0)).over(
-        w_sess.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    wrong = F.when(~F.col("correct"), 1).otherwise(0)
+    a = key_scan(a, ["user_id", "session"], ["ts", "event_id"], count_if=~F.col("correct"), count_name="_wrong_incl")
+    a = a.withColumn("_wrong_before", F.col("_wrong_incl") - wrong).drop("_wrong_incl")
     terminal = late | F.col("correct") | (F.col("_wrong_before") >= MAX_WRONG - 1)
     a = a.withColumn("_terminal", terminal)
     first_term = a.filter("_terminal").groupBy("user_id", "session").agg(
