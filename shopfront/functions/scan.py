@@ -87,11 +87,13 @@ def _local_pass(keys: list[str], lag_of: str | None):
 
 def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column | None = None,
              lag_of: str | None = None, count_name: str = "running_count",
-             lag_name: str = "previous") -> DataFrame:
+             lag_name: str = "previous", sum_of: Column | None = None) -> DataFrame:
     """``df`` plus, per row, within its key in ``order`` (ascending, nulls first):
 
     * ``count_name`` — rows so far including this one for which ``count_if``
       holds (every row when ``count_if`` is None: the 1-based row number);
+      with ``sum_of`` (an integral column; nulls count 0) the running sum of
+      it instead;
     * ``lag_name`` — ``lag_of`` of the previous row of the key (when given).
 
     Same results as ``F.sum(...).over(w)`` / ``F.lag(...).over(w)`` with
@@ -101,6 +103,8 @@ def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
     flag = F.lit(1) if count_if is None else F.when(count_if, 1).otherwise(0)
+    if sum_of is not None:
+        flag = F.coalesce(sum_of.cast("long"), F.lit(0))
     d = (df.withColumn(_F, flag.cast("long"))
          .repartitionByRange(n, *sort)
          .withColumn(_PID, F.spark_partition_id()))

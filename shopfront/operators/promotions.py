@@ -10,10 +10,11 @@ caps are doubles, as in the reference's JavaScript arithmetic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import money
+from ..functions.scan import key_scan
 
 # The reasons a coupon is refused, in the order they are checked.
 REASON_UNKNOWN = "Invalid coupon code"
@@ -163,9 +164,10 @@ def coupon_allocation(carts: DataFrame, coupons: DataFrame, coupon_products: Dat
     totals = lines.groupBy("cart_id", "code").agg(money(F.sum("line_amount")).alias("total_amount"))
     lines = lines.join(totals, ["cart_id", "code"], "inner")
     if as_written:
-        w = (Window.partitionBy("cart_id", "code").orderBy("line_no", "product_id")
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        share_base = F.sum("line_amount").over(w)
+        # running total in cents through key_scan (exact; a long cart is split over tasks)
+        lines = key_scan(lines, ["cart_id", "code"], ["line_no", "product_id"],
+                         sum_of=(F.col("line_amount") * 100).cast("long"), count_name="_run_cents")
+        share_base = F.col("_run_cents").cast("double") / F.lit(100.0)
     else:
         share_base = F.col("total_amount")
     amount = F.col("line_amount").cast("double")

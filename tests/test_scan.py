@@ -50,3 +50,16 @@ def test_row_number_with_two_keys(spark):
         assert rows(got, ["id"]) == rows(want, ["id"])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_running_sum_matches_window(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        df = _skewed(spark, 4000).withColumn("amt", F.when(F.col("id") % 17 == 0, F.lit(None))
+                                             .otherwise(F.col("t") - 300))
+        got = key_scan(df, ["k"], ["t", "id"], sum_of=F.col("amt"), count_name="s")
+        w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(Window.unboundedPreceding, 0)
+        want = df.withColumn("s", F.coalesce(F.sum(F.coalesce("amt", F.lit(0))).over(w), F.lit(0)))
+        assert rows(got, ["id"]) == rows(want, ["id"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
