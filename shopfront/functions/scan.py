@@ -33,8 +33,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-_F, _PID, _PFIRST = "_scan_f", "_scan_pid", "_scan_pfirst"
-_LCOUNT, _LLAG = "_scan_lcount", "_scan_llag"
+_PID, _PFIRST, _LLAG = "_scan_pid", "_scan_pfirst", "_scan_llag"
+
+
+def _f(i: int) -> str:
+    return f"_scan_f{i}"
+
+
+def _loc(i: int) -> str:
+    return f"_scan_l{i}"
 
 
 def _same_key(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> pd.Series:
@@ -53,19 +60,20 @@ def _same_key(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> pd.Seri
     return same
 
 
-def _local_pass(keys: list[str], lag_of: str | None):
+def _local_pass(keys: list[str], n_sums: int, lag_of: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, carry_n, carry_v, first_batch = None, 0, None, True
+        last_key, carry, carry_v, first_batch = None, [0] * n_sums, None, True
         for pdf in batches:
             if pdf.empty:
                 continue
             pdf = pdf.reset_index(drop=True)
             same = _same_key(pdf, keys, last_key)
             seg = (~same).cumsum()
-            f = pdf[_F].astype("int64")
-            cnt = f.groupby(seg).cumsum()
-            cnt[seg == 0] += carry_n
-            pdf[_LCOUNT] = cnt
+            for i in range(n_sums):
+                cnt = pdf[_f(i)].astype("int64").groupby(seg).cumsum()
+                cnt[seg == 0] += carry[i]
+                pdf[_loc(i)] = cnt
+                carry[i] = int(cnt.iloc[-1])
             pfirst = pd.Series(False, index=pdf.index)
             if first_batch:
                 pfirst.iloc[0] = True
@@ -79,7 +87,6 @@ def _local_pass(keys: list[str], lag_of: str | None):
                 pdf[_LLAG] = prev.where(pd.notna(prev), None)
                 carry_v = col.iloc[-1]
             last_key = tuple(pdf[k].iloc[-1] for k in keys)
-            carry_n = int(cnt.iloc[-1])
             first_batch = False
             yield pdf
     return run
@@ -87,13 +94,16 @@ def _local_pass(keys: list[str], lag_of: str | None):
 
 def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column | None = None,
              lag_of: str | None = None, count_name: str = "running_count",
-             lag_name: str = "previous", sum_of: Column | None = None) -> DataFrame:
+             lag_name: str = "previous", sum_of: Column | None = None,
+             sums: dict[str, Column] | None = None) -> DataFrame:
     """``df`` plus, per row, within its key in ``order`` (ascending, nulls first):
 
     * ``count_name`` — rows so far including this one for which ``count_if``
       holds (every row when ``count_if`` is None: the 1-based row number);
       with ``sum_of`` (an integral column; nulls count 0) the running sum of
       it instead;
+    * ``sums`` — several such running sums in one pass, by output name
+      (replaces ``count_name`` / ``count_if`` / ``sum_of``);
     * ``lag_name`` — ``lag_of`` of the previous row of the key (when given).
 
     Same results as ``F.sum(...).over(w)`` / ``F.lag(...).over(w)`` with
@@ -102,12 +112,16 @@ def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
-    flag = F.lit(1) if count_if is None else F.when(count_if, 1).otherwise(0)
-    if sum_of is not None:
-        flag = F.coalesce(sum_of.cast("long"), F.lit(0))
-    d = (df.withColumn(_F, flag.cast("long"))
-         .repartitionByRange(n, *sort)
-         .withColumn(_PID, F.spark_partition_id()))
+    if sums is None:
+        flag = F.lit(1) if count_if is None else F.when(count_if, 1).otherwise(0)
+        if sum_of is not None:
+            flag = sum_of
+        sums = {count_name: flag}
+    names = list(sums)
+    d = df
+    for i, name in enumerate(names):
+        d = d.withColumn(_f(i), F.coalesce(sums[name].cast("long"), F.lit(0)))
+    d = d.repartitionByRange(n, *sort).withColumn(_PID, F.spark_partition_id())
     if spark.conf.get("spark.sql.exchange.reuse", "true").lower() != "true":
         # both branches below must see one partitioning; without exchange reuse
         # pin it in the shared checkpoint folder instead of sampling twice
@@ -115,33 +129,38 @@ def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column
         ensure_checkpoint_dir(spark)
         d = d.checkpoint(eager=True)
 
-    fields = list(d.schema.fields) + [StructField(_LCOUNT, LongType()), StructField(_PFIRST, BooleanType())]
+    fields = list(d.schema.fields) + [StructField(_loc(i), LongType()) for i in range(len(names))] \
+        + [StructField(_PFIRST, BooleanType())]
     if lag_of is not None:
         fields.append(StructField(_LLAG, d.schema[lag_of].dataType))
-    local = d.sortWithinPartitions(*sort).mapInPandas(_local_pass(keys, lag_of), StructType(fields))
+    local = d.sortWithinPartitions(*sort).mapInPandas(_local_pass(keys, len(names), lag_of), StructType(fields))
 
-    # per (key, partition): rows counted and the last value; a hot key has at most n such rows.
+    # per (key, partition): the partition's sums and last value; a hot key has at most n such rows.
     # Taken from ``local`` (not ``d``): the two branches then share one identical range
     # exchange, which Spark reuses, so both see the same partition bounds.
-    aggs = [F.sum(_F).alias("_n")]
+    aggs = [F.sum(_f(i)).alias(f"_n{i}") for i in range(len(names))]
     if lag_of is not None:
         aggs.append(F.max_by(F.col(lag_of), F.struct(*[F.col(c) for c in order])).alias("_last"))
     per_part = local.groupBy(*keys, _PID).agg(*aggs)
     w = Window.partitionBy(*keys).orderBy(_PID)
-    carry = per_part.withColumn("_off", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    carry = per_part.withColumn("_seen", F.count(F.lit(1)).over(before))
+    for i in range(len(names)):
+        carry = carry.withColumn(f"_off{i}", F.coalesce(F.sum(f"_n{i}").over(before), F.lit(0)))
     if lag_of is not None:
         carry = carry.withColumn("_carry_v", F.lag("_last").over(w))
     # only the first key of a partition continues from an earlier one: <= n rows
-    carry = carry.filter(F.col("_off").isNotNull()).select(
-        *[F.col(k).alias(f"_ck_{k}") for k in keys], F.col(_PID).alias("_c_pid"), "_off",
-        *(["_carry_v"] if lag_of is not None else []))
+    carry = carry.filter(F.col("_seen") > 0).select(
+        *[F.col(k).alias(f"_ck_{k}") for k in keys], F.col(_PID).alias("_c_pid"),
+        *[f"_off{i}" for i in range(len(names))], *(["_carry_v"] if lag_of is not None else []))
 
     cond = F.col(_PID) == F.col("_c_pid")
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col(f"_ck_{k}"))
-    j = local.join(F.broadcast(carry), cond, "left")
-    out = j.withColumn(count_name, F.col(_LCOUNT) + F.coalesce(F.col("_off"), F.lit(0)))
+    out = local.join(F.broadcast(carry), cond, "left")
+    for i, name in enumerate(names):
+        out = out.withColumn(name, F.col(_loc(i)) + F.coalesce(F.col(f"_off{i}"), F.lit(0)))
     if lag_of is not None:
         out = out.withColumn(lag_name, F.when(F.col(_PFIRST) & F.col("_c_pid").isNotNull(), F.col("_carry_v"))
                              .otherwise(F.col(_LLAG)))
-    return out.select(*df.columns, count_name, *([lag_name] if lag_of is not None else []))
+    return out.select(*df.columns, *names, *([lag_name] if lag_of is not None else []))

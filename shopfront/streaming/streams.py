@@ -203,16 +203,19 @@ def verification_batch(ev: DataFrame) -> DataFrame:
     'invalid'; later ones, and attempts before any request, are
     'no code'.
     """
-    # running counts per user / per session through key_scan, so one user with
-    # a third of all events is split over many tasks instead of one window
-    s = key_scan(ev, ["user_id"], ["ts", "event_id"], count_if=F.col("kind") == "request", count_name="session")
-    req = s.filter(F.col("kind") == "request").select("user_id", "session", F.col("ts").alias("issued"))
+    # one key_scan over (user; ts, event_id): the session number (requests so far)
+    # and the wrong attempts so far; a session's count is the difference to its
+    # request row.  One user with a third of all events is split over many tasks.
+    is_req = F.col("kind") == "request"
+    wrong = F.when((F.col("kind") == "attempt") & ~F.col("correct"), 1).otherwise(0)
+    s = key_scan(ev, ["user_id"], ["ts", "event_id"],
+                 sums={"session": F.when(is_req, 1).otherwise(0), "_wrong_run": wrong})
+    req = s.filter(is_req).select("user_id", "session", F.col("ts").alias("issued"),
+                                  F.col("_wrong_run").alias("_wrong_at_issue"))
     a = s.filter(F.col("kind") == "attempt").join(req, ["user_id", "session"], "left")
     age_ms = F.floor(F.unix_micros("ts") / 1000) - F.floor(F.unix_micros("issued") / 1000)
     late = age_ms > CODE_TTL_MS
-    wrong = F.when(~F.col("correct"), 1).otherwise(0)
-    a = key_scan(a, ["user_id", "session"], ["ts", "event_id"], count_if=~F.col("correct"), count_name="_wrong_incl")
-    a = a.withColumn("_wrong_before", F.col("_wrong_incl") - wrong).drop("_wrong_incl")
+    a = a.withColumn("_wrong_before", F.col("_wrong_run") - wrong - F.coalesce(F.col("_wrong_at_issue"), F.lit(0)))
     terminal = late | F.col("correct") | (F.col("_wrong_before") >= MAX_WRONG - 1)
     a = a.withColumn("_terminal", terminal)
     first_term = a.filter("_terminal").groupBy("user_id", "session").agg(
