@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-_PID, _PFIRST, _LLAG = "_scan_pid", "_scan_pfirst", "_scan_llag"
+_PID, _PFIRST, _PLAST, _LLAG = "_scan_pid", "_scan_pfirst", "_scan_plast", "_scan_llag"
 
 
 def _f(i: int) -> str:
@@ -62,7 +62,7 @@ def _same_key(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> pd.Seri
 
 def _local_pass(keys: list[str], n_sums: int, lag_of: str | None):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, carry, carry_v, first_batch = None, [0] * n_sums, None, True
+        last_key, carry, carry_v, first_batch, pending = None, [0] * n_sums, None, True, None
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -88,7 +88,13 @@ def _local_pass(keys: list[str], n_sums: int, lag_of: str | None):
                 carry_v = col.iloc[-1]
             last_key = tuple(pdf[k].iloc[-1] for k in keys)
             first_batch = False
-            yield pdf
+            pdf[_PLAST] = False
+            if pending is not None:
+                yield pending
+            pending = pdf
+        if pending is not None:
+            pending.loc[pending.index[-1], _PLAST] = True
+            yield pending
     return run
 
 
@@ -133,24 +139,34 @@ def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column
         + [StructField(_PFIRST, BooleanType())]
     if lag_of is not None:
         fields.append(StructField(_LLAG, d.schema[lag_of].dataType))
+    fields.append(StructField(_PLAST, BooleanType()))
     local = d.sortWithinPartitions(*sort).mapInPandas(_local_pass(keys, len(names), lag_of), StructType(fields))
 
-    # per (key, partition): the partition's sums and last value; a hot key has at most n such rows.
-    # Taken from ``local`` (not ``d``): the two branches then share one identical range
-    # exchange, which Spark reuses, so both see the same partition bounds.
-    aggs = [F.sum(_f(i)).alias(f"_n{i}") for i in range(len(names))]
+    # Carry table from the partitions' first and last rows only (<= 2n rows; a
+    # key's rows in an earlier partition are that partition's tail, so its
+    # contribution is the last row's local sums).  Built from ``local`` (not
+    # ``d``) so both branches share one identical range exchange, which Spark
+    # reuses: one sampling, one set of partition bounds.
+    n_cols = [f"_n{i}" for i in range(len(names))]
+    v_type = StructType([StructField("v", d.schema[lag_of].dataType)]) if lag_of is not None else None
+    first = F.struct(F.lit(0).alias("_tag"), *[F.lit(0).cast("long").alias(c) for c in n_cols],
+                     *([F.lit(None).cast(v_type).alias("_v")] if lag_of is not None else []))
+    last = F.struct(F.lit(1).alias("_tag"), *[F.col(_loc(i)).alias(c) for i, c in enumerate(n_cols)],
+                    *([F.struct(F.col(lag_of).alias("v")).alias("_v")] if lag_of is not None else []))
+    edges = (local.filter(F.col(_PFIRST) | F.col(_PLAST))
+             .select(*keys, _PID, F.explode(F.filter(F.array(F.when(F.col(_PFIRST), first),
+                                                             F.when(F.col(_PLAST), last)),
+                                                     lambda e: e.isNotNull())).alias("_e"))
+             .select(*keys, _PID, "_e.*"))
+    # a first row sorts before its own partition's last row, so it sees only earlier partitions
+    before = Window.partitionBy(*keys).orderBy(_PID, "_tag").rowsBetween(Window.unboundedPreceding, -1)
+    carry = edges.withColumn("_seen", F.sum("_tag").over(before))
+    for i, c in enumerate(n_cols):
+        carry = carry.withColumn(f"_off{i}", F.coalesce(F.sum(c).over(before), F.lit(0)))
     if lag_of is not None:
-        aggs.append(F.max_by(F.col(lag_of), F.struct(*[F.col(c) for c in order])).alias("_last"))
-    per_part = local.groupBy(*keys, _PID).agg(*aggs)
-    w = Window.partitionBy(*keys).orderBy(_PID)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    carry = per_part.withColumn("_seen", F.count(F.lit(1)).over(before))
-    for i in range(len(names)):
-        carry = carry.withColumn(f"_off{i}", F.coalesce(F.sum(f"_n{i}").over(before), F.lit(0)))
-    if lag_of is not None:
-        carry = carry.withColumn("_carry_v", F.lag("_last").over(w))
+        carry = carry.withColumn("_carry_v", F.last("_v", ignorenulls=True).over(before).getField("v"))
     # only the first key of a partition continues from an earlier one: <= n rows
-    carry = carry.filter(F.col("_seen") > 0).select(
+    carry = carry.filter((F.col("_tag") == 0) & (F.col("_seen") > 0)).select(
         *[F.col(k).alias(f"_ck_{k}") for k in keys], F.col(_PID).alias("_c_pid"),
         *[f"_off{i}" for i in range(len(names))], *(["_carry_v"] if lag_of is not None else []))
 

@@ -138,13 +138,12 @@ def merge_wishlist(wishlist: DataFrame, ops: DataFrame, as_of) -> Change:
         "error", F.when((F.col("op") == "add") & F.col("_present_before"), "Item already in wishlist")
                   .when((F.col("op") == "remove") & ~F.col("_present_before"), "Item not found in wishlist"))
     outcome = o.select("seq", "op", "user_id", "product_id", "error")
-    last = last_by(o, ["user_id", "product_id"], [F.col("seq")], ["op"]).withColumnRenamed("op", "_last_op")
-    removed_once = o.filter((F.col("op") == "remove") & F.col("error").isNull()) \
-        .select("user_id", "product_id").distinct().withColumn("_removed", F.lit(True))
-    last_add = last_by(o.filter((F.col("op") == "add") & F.col("error").isNull()),
-                       ["user_id", "product_id"], [F.col("seq")], ["seq"]).withColumnRenamed("seq", "_add_seq")
-    touched = (last.join(removed_once, ["user_id", "product_id"], "left")
-               .join(last_add, ["user_id", "product_id"], "left"))
+    # one partial aggregate per pair: last op, any successful remove, last successful add
+    ok = F.col("error").isNull()
+    touched = o.groupBy("user_id", "product_id").agg(
+        F.max_by("op", "seq").alias("_last_op"),
+        F.max(F.when((F.col("op") == "remove") & ok, F.lit(True))).alias("_removed"),
+        F.max(F.when((F.col("op") == "add") & ok, F.col("seq"))).alias("_add_seq"))
     # untouched and kept-old rows stay as they are; re-added pairs get a new row
     drop_old = touched.filter(F.col("_removed").isNotNull()).select("user_id", "product_id")
     kept = wishlist.join(drop_old, ["user_id", "product_id"], "left_anti")
