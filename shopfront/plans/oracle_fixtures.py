@@ -139,6 +139,8 @@ def with_fixtures(body: str, extra_ctes: dict | None = None) -> str:
         return body.strip()
     parts = ",\n".join(f"{n} AS ({ctes[n].strip()})" for n in needed)
     body = body.strip()
+    if body[:14].upper() == "WITH RECURSIVE":
+        return f"WITH RECURSIVE {parts},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
         return f"WITH {parts},\n{body[4:].lstrip()}"
     return f"WITH {parts}\n{body}"

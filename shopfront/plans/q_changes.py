@@ -521,13 +521,67 @@ def c11_add_reviews_reviews(spark, sf_dir):
     return C.add_reviews(s.reviews, s.products, I.review_rows(s), I.AS_OF).tables["reviews"]
 
 
-# Sequential add/update/delete per user: checked against a Python replay in tests.
-@register("c11_brand_review_changes")
+# Sequential add/update/delete per user; the oracle is the plain per-user fold as a
+# recursive CTE (the Spark job follows the chain of successful adds instead).
+_BROWS = {"c_brows": """
+SELECT e.event_id AS seq,
+       CASE e.event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op,
+       e.user_id,
+       CASE WHEN e.event_id % 3 = 2 THEN COALESCE(b.id, e.event_id) ELSE e.event_id END AS id,
+       CAST(1 + floor(e.value) % 5 AS INTEGER) AS rating,
+       'e' || CAST(e.event_id AS VARCHAR) AS comment
+FROM events e LEFT JOIN shop_brand_reviews b ON b.user_id = e.user_id
+WHERE e.event_type = 'error'"""}
+
+
+_BRAND_FOLD = f"""
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seq) AS k FROM c_brows),
+st AS (
+  SELECT u.user_id, CAST(0 AS BIGINT) AS k, b.id IS NOT NULL AS present, b.id AS rid, b.rating, b.comment,
+         b.created_at
+  FROM (SELECT DISTINCT user_id FROM c_brows) u LEFT JOIN shop_brand_reviews b ON b.user_id = u.user_id
+  UNION ALL
+  SELECT s.user_id, o.k,
+         CASE WHEN o.op = 'add' THEN TRUE
+              WHEN o.op = 'delete' AND s.present AND s.rid = o.id THEN FALSE ELSE s.present END,
+         CASE WHEN o.op = 'add' AND NOT s.present THEN o.id
+              WHEN o.op = 'delete' AND s.present AND s.rid = o.id THEN NULL ELSE s.rid END,
+         CASE WHEN (o.op = 'add' AND NOT s.present) OR (o.op = 'update' AND s.present) THEN o.rating
+              WHEN o.op = 'delete' AND s.present AND s.rid = o.id THEN NULL ELSE s.rating END,
+         CASE WHEN (o.op = 'add' AND NOT s.present) OR (o.op = 'update' AND s.present) THEN o.comment
+              WHEN o.op = 'delete' AND s.present AND s.rid = o.id THEN NULL ELSE s.comment END,
+         CASE WHEN o.op = 'add' AND NOT s.present THEN {AS}
+              WHEN o.op = 'delete' AND s.present AND s.rid = o.id THEN NULL ELSE s.created_at END
+  FROM st s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1)"""
+
+
+@reg("c11_brand_review_changes", f"""
+WITH RECURSIVE {_BRAND_FOLD}
+SELECT * FROM shop_brand_reviews b WHERE NOT EXISTS (SELECT 1 FROM c_brows r WHERE r.user_id = b.user_id)
+UNION ALL
+SELECT rid AS id, user_id, rating, comment, created_at
+FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC) AS r FROM st)
+WHERE r = 1 AND present
+""", **_BROWS)
 def c11_brand_review_changes(spark, sf_dir):
     s = Shop.of(spark, sf_dir)
     return C.brand_review_changes(s.brand_reviews, I.brand_review_rows(s), I.AS_OF).tables["brand_reviews"]
 
 
+@reg("c11_brand_review_outcome", f"""
+WITH RECURSIVE {_BRAND_FOLD}
+SELECT p.user_id, p.seq,
+       CASE WHEN p.op = 'add' AND s.present THEN 'You have already submitted a brand review'
+            WHEN p.op = 'update' AND NOT s.present THEN 'Review not found'
+            WHEN p.op = 'delete' AND NOT (s.present AND s.rid = p.id)
+              THEN 'Review not found or you do not have permission to delete it' END AS error
+FROM o p JOIN st s ON s.user_id = p.user_id AND s.k = p.k - 1
+""", **_BROWS)
+def c11_brand_review_outcome(spark, sf_dir):
+    s = Shop.of(spark, sf_dir)
+    return C.brand_review_changes(s.brand_reviews, I.brand_review_rows(s), I.AS_OF).outcome
+
+
 # ------------------------------------------------------------------ C12 / C13
 
 _CAT = {"cat_out": """

@@ -63,3 +63,64 @@ def test_running_sum_matches_window(spark):
         assert rows(got, ["id"]) == rows(want, ["id"])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _replay_brand(orig, ops, as_of):
+    """Plain sequential replay of the brand-review rules (the brute-force check)."""
+    state = {u: dict(present=True, id=i, rating=r, comment=c, created=t) for u, (i, r, c, t) in orig.items()}
+    errors = {}
+    for seq, op, u, i, r, c in sorted(ops):
+        s = state.get(u, dict(present=False))
+        err = None
+        if op == "add":
+            if s["present"]:
+                err = "You have already submitted a brand review"
+            else:
+                s = dict(present=True, id=i, rating=r, comment=c, created=as_of)
+        elif op == "update":
+            if s["present"]:
+                s = dict(s, rating=r, comment=c)
+            else:
+                err = "Review not found"
+        elif s["present"] and s["id"] == i:
+            s = dict(present=False)
+        else:
+            err = "Review not found or you do not have permission to delete it"
+        state[u] = s
+        errors[seq] = err
+    final = sorted((s["id"], u, s["rating"], s["comment"], s["created"]) for u, s in state.items() if s["present"])
+    return errors, final
+
+
+def test_brand_review_chain_matches_replay(spark):
+    import datetime
+    import random
+
+    from shopfront.operators import changes as C
+    rnd = random.Random(7)
+    t0 = datetime.datetime(2024, 1, 1)
+    as_of = datetime.datetime(2024, 2, 1)
+    orig = {1: (501, 4, "o1", t0), 3: (503, 2, "o3", t0)}
+    ops, seq = [], 0
+    for u, n in ((1, 400), (2, 30), (3, 12), (4, 1)):   # user 1 is hot: a long add/delete chain
+        for _ in range(n):
+            seq += rnd.randint(1, 3)
+            op = rnd.choice(["add", "add", "delete", "delete", "update"])
+            rid = rnd.choice([501, 503, seq, seq - 1, seq - 2, seq - 3]) if op == "delete" else seq
+            ops.append((seq, op, u, rid, rnd.randint(1, 5), f"c{seq}"))
+    # delete ids that hit recent adds make long chains
+    br = spark.createDataFrame([(i, u, r, c, t) for u, (i, r, c, t) in orig.items()],
+                               "id long, user_id long, rating int, comment string, created_at timestamp_ntz")
+    df = spark.createDataFrame(ops, "seq long, op string, user_id long, id long, rating int, comment string")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        ch = C.brand_review_changes(br, df, as_of)
+        got_err = {r["seq"]: r["error"] for r in ch.outcome.collect()}
+        got_final = sorted((r["id"], r["user_id"], r["rating"], r["comment"], r["created_at"])
+                           for r in ch.tables["brand_reviews"].collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    want_err, want_final = _replay_brand(orig, ops, as_of)
+    assert got_err == want_err
+    assert got_final == want_final
+    assert sum(e is None for e in want_err.values()) > 50   # the hot user really alternates
