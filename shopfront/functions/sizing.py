@@ -9,6 +9,7 @@ shuffle sizes (``spark.sql.adaptive.autoBroadcastJoinThreshold``) and
 splits skewed partitions (``spark.sql.adaptive.skewJoin.enabled``).  Both
 thresholds are set in ``shopfront.session``.
 
-``F.broadcast`` is written out only for sides whose row count is fixed by
-the schema itself (the 25-row nation dimension in the fixtures).
+``F.broadcast`` is written out only for sides with a proven row bound: the
+25-row nation dimension in the fixtures, and the carry table of
+``functions.scan.key_scan`` (at most two rows per shuffle partition).
 """
