@@ -71,27 +71,33 @@ _COUPON_COLS = ["coupon_id", "discount_type", "discount_value", "min_purchase_am
                 "max_discount_amount", "is_active", "start_date", "end_date", "usage_limit", "times_used"]
 
 
-def _cart_coupons(carts: DataFrame, coupons: DataFrame, coupon_products: DataFrame) -> DataFrame:
-    """One row per (cart_id, code) with the coupon the code names (case-blind), if any."""
+def _coupon_dim(coupons: DataFrame, coupon_products: DataFrame) -> DataFrame:
+    """Coupons keyed by upper-cased code, with their number of listed products."""
     cp = coupons.select(F.upper("code").alias("_ucode"), F.col("id").alias("coupon_id"),
                         *[c for c in _COUPON_COLS[1:]])
     n_products = coupon_products.groupBy(F.col("coupon_id").alias("_hc")).agg(
         F.count(F.lit(1)).alias("_n_products"))
-    cp = cp.join(n_products, F.col("coupon_id") == F.col("_hc"), "left").drop("_hc")
+    return cp.join(n_products, F.col("coupon_id") == F.col("_hc"), "left").drop("_hc")
+
+
+def _cart_coupons(carts: DataFrame, cp: DataFrame) -> DataFrame:
+    """One row per (cart_id, code) with the coupon the code names (case-blind), if any."""
     keys = carts.select("cart_id", "code").distinct()
     return keys.join(cp, F.upper("code") == F.col("_ucode"), "left").drop("_ucode")
 
 
-def _priced_lines(carts: DataFrame, products: DataFrame, cart_coupons: DataFrame,
+def _priced_lines(carts: DataFrame, products: DataFrame, cp: DataFrame,
                   coupon_products: DataFrame, as_written: bool) -> DataFrame:
     """Cart lines with price, amount, coupon and an ``applies`` flag.
 
-    Lines of unknown products are dropped (the reference skips them).
+    Lines of unknown products are dropped (the reference skips them).  Lines
+    meet the coupon dimension directly on the code (no join with a per-cart
+    table), so the planner may broadcast it when small.
     """
     price = products.select(F.col("id").alias("_pid"), F.col("price"))
     lines = (carts.join(price, F.col("product_id") == F.col("_pid"), "inner").drop("_pid")
              .withColumn("line_amount", money(F.col("price") * F.col("quantity")))
-             .join(cart_coupons, ["cart_id", "code"], "inner"))
+             .join(cp, F.upper("code") == F.col("_ucode"), "left").drop("_ucode"))
     links = coupon_products.select(F.col("coupon_id").alias("_lc"), F.col("product_id").alias("_lp"),
                                    F.lit(True).alias("_listed"))
     lines = lines.join(links, (F.col("coupon_id") == F.col("_lc")) & (F.col("product_id") == F.col("_lp")),
@@ -128,8 +134,9 @@ def coupon_quote(carts: DataFrame, coupons: DataFrame, coupon_products: DataFram
     discount nothing).
     """
     at = F.lit(as_of).cast("timestamp_ntz")
-    cc = _cart_coupons(carts, coupons, coupon_products)
-    lines = _priced_lines(carts, products, cc, coupon_products, as_written)
+    cp = _coupon_dim(coupons, coupon_products)
+    cc = _cart_coupons(carts, cp)
+    lines = _priced_lines(carts, products, cp, coupon_products, as_written)
     sums = lines.groupBy("cart_id", "code").agg(
         F.sum("line_amount").alias("_total"),
         F.sum(F.when(F.col("applies"), F.col("line_amount"))).alias("_applicable"))
@@ -159,8 +166,8 @@ def coupon_allocation(carts: DataFrame, coupons: DataFrame, coupon_products: Dat
     Refused carts keep their lines with a null discount and the reason.
     """
     at = F.lit(as_of).cast("timestamp_ntz")
-    cc = _cart_coupons(carts, coupons, coupon_products)
-    lines = _priced_lines(carts, products, cc, coupon_products, as_written)
+    cp = _coupon_dim(coupons, coupon_products)
+    lines = _priced_lines(carts, products, cp, coupon_products, as_written)
     totals = lines.groupBy("cart_id", "code").agg(money(F.sum("line_amount")).alias("total_amount"))
     lines = lines.join(totals, ["cart_id", "code"], "inner")
     if as_written:
