@@ -101,7 +101,7 @@ def _local_pass(keys: list[str], n_sums: int, lag_of: str | None):
 def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column | None = None,
              lag_of: str | None = None, count_name: str = "running_count",
              lag_name: str = "previous", sum_of: Column | None = None,
-             sums: dict[str, Column] | None = None) -> DataFrame:
+             sums: dict[str, Column] | None = None, partitions: int | None = None) -> DataFrame:
     """``df`` plus, per row, within its key in ``order`` (ascending, nulls first):
 
     * ``count_name`` — rows so far including this one for which ``count_if``
@@ -114,9 +114,15 @@ def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column
 
     Same results as ``F.sum(...).over(w)`` / ``F.lag(...).over(w)`` with
     ``w = Window.partitionBy(keys).orderBy(order)``.
+
+    ``partitions`` — range partitions; default ``shopfront.scan.partitions``
+    from the session, else ``spark.sql.shuffle.partitions``.  Adaptive
+    execution does not resize a repartition with a fixed count, so on a
+    large input set it to about input bytes / 128 MB.
     """
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = partitions or int(spark.conf.get("shopfront.scan.partitions", None)
+                          or spark.conf.get("spark.sql.shuffle.partitions"))
     sort = [F.col(c).asc_nulls_first() for c in [*keys, *order]]
     if sums is None:
         flag = F.lit(1) if count_if is None else F.when(count_if, 1).otherwise(0)

@@ -124,3 +124,15 @@ def test_brand_review_chain_matches_replay(spark):
     assert got_err == want_err
     assert got_final == want_final
     assert sum(e is None for e in want_err.values()) > 50   # the hot user really alternates
+
+
+def test_partition_count_knob(spark):
+    df = _skewed(spark, 2000)
+    w = Window.partitionBy("k").orderBy("t", "id")
+    want = rows(df.withColumn("rn", F.row_number().over(w).cast("long")), ["id"])
+    assert rows(key_scan(df, ["k"], ["t", "id"], count_name="rn", partitions=5), ["id"]) == want
+    spark.conf.set("shopfront.scan.partitions", "11")
+    try:
+        assert rows(key_scan(df, ["k"], ["t", "id"], count_name="rn"), ["id"]) == want
+    finally:
+        spark.conf.unset("shopfront.scan.partitions")
