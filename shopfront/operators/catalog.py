@@ -104,14 +104,19 @@ def catalog_search(products: DataFrame, categories: DataFrame, reviews: DataFram
 
 
 def product_detail(products: DataFrame, categories: DataFrame, reviews: DataFrame | None,
-                   ids: list[int] | None = None, nested: bool = False) -> DataFrame:
+                   ids: list[int] | None = None, nested: bool = False, as_json: bool = False) -> DataFrame:
     """Q2: product, category name, rating, review count and its reviews.
 
     ``nested=True`` gives the reference's shape: a ``reviews`` array of
     {id, rating, comment, created_at, user_id} ([] when there is none) —
-    meant for id lookups or bounded review sets.  The default is one row per
-    review (``review_*`` columns; null for a product without reviews).
+    meant for id lookups or bounded review sets.  ``as_json=True`` (with
+    ``nested``) renders that array as JSON text, null fields kept.  The
+    default is one row per review (``review_*`` columns; null for a product
+    without reviews).
     """
+    if as_json:
+        out = product_detail(products, categories, reviews, ids, nested=True)
+        return out.withColumn("reviews", F.to_json("reviews", {"ignoreNullFields": "false"}))
     p = products if ids is None else products.filter(F.col("id").isin(list(ids)))
     cats = categories.select(F.col("id").alias("_cid"), F.col("name").alias("category_name"))
     base = p.join(cats, F.col("category_id") == F.col("_cid"), "left").drop("_cid")

@@ -89,6 +89,15 @@ def test_product_detail_nested_empty_list(shop):
     assert got[3]["reviews"] == [] and len(got[1]["reviews"]) == 3 and got[1]["review_count"] == 3
 
 
+def test_product_detail_reviews_as_json_keep_nulls(shop):
+    import json
+    out = catalog.product_detail(shop["products"], shop["categories"], shop["reviews"], nested=True, as_json=True)
+    got = {r["id"]: r["reviews"] for r in rows(out)}
+    assert json.loads(got[3]) == []
+    first = json.loads(got[1])
+    assert len(first) == 3 and set(first[0]) == {"id", "rating", "comment", "created_at", "user_id"}
+
+
 def test_inventory_filters_are_case_sensitive(shop):
     out = catalog.inventory_report(shop["products"], shop["categories"], shop["reviews"], shop["order_items"],
                                    concerns=["dry"])
