@@ -136,3 +136,25 @@ def test_partition_count_knob(spark):
         assert rows(key_scan(df, ["k"], ["t", "id"], count_name="rn"), ["id"]) == want
     finally:
         spark.conf.unset("shopfront.scan.partitions")
+
+
+def test_address_book_hot_user_matches_window(spark):
+    from shopfront.operators import people
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        a = spark.range(3000).select(
+            F.col("id"),
+            F.when(F.col("id") % 3 != 0, F.lit(1)).otherwise(F.col("id") % 40).cast("long").alias("user_id"),
+            F.concat(F.lit("line "), F.col("id").cast("string")).alias("address_line1"),
+            F.when(F.col("id") % 7 == 0, F.lit(None)).otherwise(F.col("id") % 5 == 0).alias("is_default"),
+            F.when(F.col("id") % 11 == 0, F.lit(None)).otherwise(
+                F.timestamp_seconds(F.lit(1700000000) + (F.col("id") * 37) % 500)).cast("timestamp_ntz")
+             .alias("created_at"))
+        got = people.address_book(a)
+        w = Window.partitionBy("user_id").orderBy(F.col("is_default").desc_nulls_first(),
+                                                  F.col("created_at").desc_nulls_first(), F.col("id"))
+        want = a.withColumn("position", F.row_number().over(w))
+        assert got.columns == want.columns
+        assert rows(got, ["id"]) == rows(want, ["id"])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
