@@ -158,3 +158,43 @@ def test_address_book_hot_user_matches_window(spark):
         assert rows(got, ["id"]) == rows(want, ["id"])
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def _verification_by_window(ev):
+    """The per-user window formulation of T3's batch twin (one task per user)."""
+    from shopfront.streaming.streams import CODE_TTL_MS, MAX_WRONG
+    w_user = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    s = ev.withColumn("session", F.sum(F.when(F.col("kind") == "request", 1).otherwise(0)).over(w_user))
+    req = s.filter(F.col("kind") == "request").select("user_id", "session", F.col("ts").alias("issued"))
+    a = s.filter(F.col("kind") == "attempt").join(req, ["user_id", "session"], "left")
+    w_sess = Window.partitionBy("user_id", "session").orderBy("ts", "event_id")
+    late = (F.floor(F.unix_micros("ts") / 1000) - F.floor(F.unix_micros("issued") / 1000)) > CODE_TTL_MS
+    a = a.withColumn("_wb", F.coalesce(F.sum(F.when(~F.col("correct"), 1).otherwise(0)).over(
+        w_sess.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    a = a.withColumn("_term", late | F.col("correct") | (F.col("_wb") >= MAX_WRONG - 1))
+    ft = a.filter("_term").groupBy("user_id", "session").agg(F.min(F.struct("ts", "event_id")).alias("_t"))
+    a = a.join(ft, ["user_id", "session"], "left")
+    me = F.struct("ts", "event_id")
+    out = (F.when(F.col("issued").isNull(), "no code")
+           .when(F.col("_t").isNotNull() & (me > F.col("_t")), "no code")
+           .when(F.col("_t").isNotNull() & (me == F.col("_t")),
+                 F.when(late, "expired").when(F.col("correct"), "verified").otherwise("locked"))
+           .otherwise("invalid"))
+    return a.select("event_id", "user_id", out.alias("outcome"))
+
+
+def test_verification_hot_user_matches_window(spark):
+    from shopfront.streaming.streams import verification_batch
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        ev = spark.range(4000).select(
+            F.col("id").alias("event_id"),
+            F.when(F.col("id") % 4 != 0, F.lit(1)).otherwise(F.col("id") % 30).cast("long").alias("user_id"),
+            F.timestamp_seconds(F.lit(1700000000) + F.col("id") * 97 + (F.col("id") % 13) * 60).alias("ts"),
+            F.when(F.col("id") % 6 == 0, "request").otherwise("attempt").alias("kind"),
+            F.when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("id") % 5 == 0).alias("correct"))
+        got = rows(verification_batch(ev), ["event_id"])
+        assert got == rows(_verification_by_window(ev), ["event_id"])
+        assert {"verified", "locked", "invalid", "no code"} <= {r["outcome"] for r in got}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
