@@ -198,3 +198,37 @@ def test_verification_hot_user_matches_window(spark):
         assert {"verified", "locked", "invalid", "no code"} <= {r["outcome"] for r in got}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_wishlist_hot_pair_matches_replay(spark):
+    import datetime
+    import random
+
+    from shopfront.operators import changes as C
+    rnd = random.Random(11)
+    t0 = datetime.datetime(2024, 1, 1)
+    snap = [(1, 1, 10, t0), (2, 2, 20, t0)]
+    ops = []
+    for seq in range(1, 2500):
+        pair = (1, 10) if seq % 4 else (rnd.randint(1, 5), rnd.choice([10, 20, 30]))   # (1, 10) is hot
+        ops.append((seq, rnd.choice(["add", "remove"]), *pair))
+    present = {(u, p) for _, u, p, _ in snap}
+    want = {}
+    for seq, op, u, p in ops:
+        if op == "add":
+            want[seq] = "Item already in wishlist" if (u, p) in present else None
+            present.add((u, p))
+        else:
+            want[seq] = None if (u, p) in present else "Item not found in wishlist"
+            present.discard((u, p))
+    w = spark.createDataFrame(snap, "id long, user_id long, product_id long, created_at timestamp_ntz")
+    o = spark.createDataFrame(ops, "seq long, op string, user_id long, product_id long")
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    try:
+        ch = C.merge_wishlist(w, o, "2024-02-01")
+        got = {r["seq"]: r["error"] for r in ch.outcome.collect()}
+        final = {(r["user_id"], r["product_id"]) for r in ch.tables["wishlist"].collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert got == want
+    assert final == present
