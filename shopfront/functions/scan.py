@@ -1,4 +1,4 @@
-"""Per-key running counts and previous values that stay bounded on a hot key.
+"""Per-key running counts, running sums and previous values that stay bounded on a hot key.
 
 A window ``partitionBy(key).orderBy(...)`` sends every row of a key to one
 task, so a key holding a third of the rows becomes a third of the job in a
@@ -8,11 +8,12 @@ partitioner samples that composite, so one hot key is cut into many
 partitions of bounded size — and then
 
 1. in each sorted partition a vectorized pass (``mapInPandas``, Arrow
-   batches) computes the running count and previous value per key segment;
-2. a key that continues from earlier partitions takes its carry (count so
-   far, last value) from a table with at most one row per partition — only
-   the first key of a partition can continue from an earlier one — which is
-   therefore broadcast on a proven bound (the partition count).
+   batches) computes the running sums and previous value per key segment;
+2. a key that continues from earlier partitions takes its carry (sums so
+   far, last value) from a table built from the partitions' first and last
+   rows; only the first key of a partition can continue from an earlier
+   one, so the carry table has at most one row per partition and is
+   broadcast on that proven bound (the partition count).
 
 The branch that builds the carry table and the main branch read the same
 range exchange, which Spark reuses (one sampling, one partitioner; a lost
