@@ -232,3 +232,13 @@ def test_wishlist_hot_pair_matches_replay(spark):
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert got == want
     assert final == present
+
+
+def test_range_exchange_is_reused(spark):
+    # both branches must read one range shuffle (one sampling, one set of bounds)
+    df = _skewed(spark, 3000)
+    got = key_scan(df, ["k"], ["t", "id"], count_if=F.col("flag"), lag_of="v")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan
+    assert "ReusedExchange" in plan
