@@ -9,6 +9,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from shopfront.plans import registry
 
 TABLES = ("region nation customer supplier part orders lineitem events").split()
 
@@ -41,8 +42,9 @@ def duck():
     return con
 
 
-ORACLES = E.oracle_sql()
-QUERIES = E.queries()
+registry.load_all()
+ORACLES = dict(registry.ORACLES)
+QUERIES = {name: fn for name, fn in E.queries().items() if name in registry.QUERIES}
 
 
 def test_every_query_has_an_oracle():
