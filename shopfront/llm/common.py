@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,27 +79,28 @@ class ChunkTable:
     """Bounded table of chunk -> value that segments each distinct chunk once.
 
     ``segment`` gets a list of unseen chunks and returns their values.  Chunks
-    over ``longest`` characters are never kept; when more than ``limit`` chunks
-    are kept, only those of the current batch stay.
+    over ``longest`` characters are never kept.  When ``limit`` chunks have come
+    into use, those that were not used for as long are forgotten.
     """
 
-    def __init__(self, segment: Callable[[list[str]], list], limit: int = 400_000, longest: int = 64):
-        self.segment, self.limit, self.longest, self.known = segment, limit, longest, {}
-
-    def join(self, rows: Iterable[list[str]]) -> Iterator[list]:
-        """Values of each row's chunks, joined back by position."""
-        rows = list(rows)
-        wanted = {c for row in rows for c in row}
-        missing = sorted(wanted.difference(self.known))
+    def __init__(self, segment: Callable[[list[str]], list], limit: int = 250_000, longest: int = 64):
+        self.segment, self.limit, self.longest = segment, limit, longest
+        self.known, self.older = {}, {}
+
+    def join(self, rows: list[list[str]], combine: Callable = list) -> Iterator:
+        """Values of each row's chunks, joined back by position with ``combine``."""
+        wanted: set[str] = set()
+        for row in rows:
+            wanted.update(row)
+        wanted = wanted.difference(self.known)
+        missing = list(wanted.difference(self.older))
+        self.known.update((c, self.older[c]) for c in wanted.difference(missing))
         self.known.update(zip(missing, self.segment(missing), strict=True))
         get = self.known.__getitem__
-        yield from (list(map(get, row)) for row in rows)
-        if len(self.known) > self.limit:
-            self.known = {c: self.known[c] for c in wanted}
+        for row in rows:
+            yield combine(map(get, row))
         for c in missing:
             if len(c) > self.longest:
-                self.known.pop(c, None)
-
-
-#: Words as the contracts have them: runs of bytes that are not ASCII white space.
-ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+                del self.known[c]
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}

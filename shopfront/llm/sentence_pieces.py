@@ -54,14 +54,12 @@ class Pieces:
 
     def segment(self, chunks: list[str]) -> list[tuple[int, str, str, list[int]]]:
         """(count, ids as text, decoded text, ids) of marked words; each starts with a blank."""
-        out = []
-        for c in chunks:
-            if c.strip(" "):
-                ids = self.sp.encode(c[1:])
-            else:  # a run of blanks at the end of a text
-                ids = self.sp.encode("a" + c)[len(self.lead):]
-            out.append((len(ids), ",".join(map(str, ids)), " " + self.sp.decode(ids), ids))
-        return out
+        ids = self.sp.encode([c[1:] for c in chunks], num_threads=1)
+        for i, c in enumerate(chunks):
+            if not c.strip(" "):  # a run of blanks at the end of a text
+                ids[i] = self.sp.encode("a" + c)[len(self.lead):]
+        texts = self.sp.decode(ids, num_threads=1) if ids else []
+        return [(len(i), ",".join(map(str, i)), " " + t, i) for i, t in zip(ids, texts, strict=True)]
 
     def encode(self, texts: list[str]) -> list[tuple[int, str, str, list[int]]]:
         """(count, ids as text, decoded text, ids) of whole texts."""
@@ -75,6 +73,17 @@ class Pieces:
         return out
 
 
+_own: dict[bytes, Pieces] = {}
+
+
+def pieces_of(model: bytes) -> Pieces:
+    """This process's segmenter; a Python worker keeps its table from task to task."""
+    if model not in _own:
+        _own.clear()
+        _own[model] = Pieces(model)
+    return _own[model]
+
+
 def encode_decode(docs: DataFrame, model: bytes, outputs=("n_tokens", "ids", "decoded")) -> DataFrame:
     """doc_id and the wanted ``outputs`` (keys of TYPES) of every whole text.
 
@@ -95,7 +104,7 @@ def encode_decode(docs: DataFrame, model: bytes, outputs=("n_tokens", "ids", "de
     def run(batches):
         pieces = None
         for b in batches:
-            pieces = pieces or Pieces(shared.value)
+            pieces = pieces or pieces_of(shared.value)
             rows = pieces.encode(b.column("text").to_pylist())
             cols = [pa.array([make[o](r) for r in rows], TYPES[o][1]) for o in outputs]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", *outputs])

@@ -40,8 +40,10 @@ FORMAT = {
     "compression": "zstd",
 }
 
-#: Where a blank does not simply start the next pre-token, or an added token may occur: such texts go whole.
-AWKWARD = re.compile(r" \s|\s |^ | $|[\x1c-\x1f]|<\|")
+#: What keeps chunks (joined by blanks) from being segmented on their own: a blank next to other white space (an empty
+#: chunk, or one with white space at an end), separators that libraries tell apart differently, the mark below, and the
+#: start of an added token.
+AWKWARD = re.compile(r"\s\s|[\0\x1c-\x1f]|<\|")
 
 
 class ByteBpe:
@@ -49,33 +51,64 @@ class ByteBpe:
 
     The byte-level pre-tokenizer starts a new pre-token at every blank between
     two other characters, and merges never cross pre-tokens; so the ids of a
-    text are the ids of its chunks in a row.
+    text are the ids of its chunks in a row.  An AWKWARD chunk has no value, and
+    its text goes whole.
     """
 
+    JOINED = 256  # unseen chunks that go to the library as one text
+
     def __init__(self, spec: str):
         import os
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
-        self.table = ChunkTable(self.encode_whole)
+        names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
+        self.leads = np.array([n is not None and n.startswith("Ġ") for n in names])  # ids that start with a blank
+        self.table = ChunkTable(self.segment)
 
-    def encode_whole(self, texts: list[str]) -> list[bytes]:
+    def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in got]
 
+    def segment(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of chunks: with a leading NUL, of a text's start; else of a blank and the chunk."""
+        out: list[bytes | None] = []
+        own = [c[1:] for c in chunks if c[:1] == "\0"]
+        rest = [c for c in chunks if c[:1] != "\0"]
+        firsts = [None if AWKWARD.search(f" {c} ") else ids for c, ids in zip(own, self.whole(own), strict=True)]
+        for i in range(0, len(rest), self.JOINED):
+            part = rest[i:i + self.JOINED]
+            text = " " + " ".join(part)
+            if AWKWARD.search(text + " "):
+                out += [None if AWKWARD.search(f" {c} ") else self.whole([" " + c])[0] for c in part]
+                continue
+            raw = self.whole([text])[0]  # no chunk holds a blank, so each has one id that starts with it
+            cut = [*(np.flatnonzero(self.leads[np.frombuffer(raw, "<u4")]) * 4).tolist(), len(raw)]
+            out += [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]
+        rest, own = iter(out), iter(firsts)
+        return [next(own if c[:1] == "\0" else rest) for c in chunks]
+
     def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
-        whole = [bool(AWKWARD.search(t)) for t in texts]
-        rows = [[] if w or not t else self.chunks(t) for t, w in zip(texts, whole, strict=True)]
-        out = [b"".join(row) + tail for row in self.table.join(rows)]
-        for i, w in enumerate(whole):
-            if w:
-                out[i] = self.encode_whole([texts[i]])[0] + tail
-        return out
+        def combine(ids):
+            try:
+                return b"".join(ids) + tail
+            except TypeError:  # a chunk without a value
+                return None
+
+        rows = [("\0" + t).split(" ") if t else [] for t in texts]
+        found = self.table.join(rows, combine)
+        return [self.whole([t])[0] + tail if ids is None else ids for t, ids in zip(texts, found, strict=True)]
+
+
+_own: dict[str, ByteBpe] = {}
+
 
-    @staticmethod
-    def chunks(text: str) -> list[str]:
-        first, *rest = text.split(" ")
-        return [first, *(" " + c for c in rest)]
+def byte_bpe(spec: str) -> ByteBpe:
+    """This process's encoder; a Python worker keeps its table from task to task."""
+    if spec not in _own:
+        _own.clear()
+        _own[spec] = ByteBpe(spec)
+    return _own[spec]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int = 0,
@@ -92,7 +125,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int =
     def run(batches):
         bpe = None
         for b in batches:
-            bpe = bpe or ByteBpe(spec.value)
+            bpe = bpe or byte_bpe(spec.value)
             raw = bpe.encode(b.column("text").to_pylist(), tail)
             n = np.fromiter((len(x) // 4 for x in raw), "i4", len(raw))
             offsets = np.concatenate([[0], np.cumsum(n, dtype="i8")]).astype("i4")
@@ -135,15 +168,15 @@ def checksums(tokens: DataFrame) -> DataFrame:
         run, "doc_id long, part int, n_tokens long, ids_crc32 long")
 
 
-def with_starts(sums: DataFrame) -> DataFrame:
-    """Adds ``start``: ids of all documents before, by doc_id.
+def with_starts(sums: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Adds ``start`` to the ``checksums`` of ``tokens``: ids of all documents before, by doc_id.
 
     A running sum inside each file's range, plus the sums of the ranges before
-    it (one row per file, so that table is as small as the file list).
+    it (one row per file, from the files' ``n_tokens`` alone).
     """
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "ids_crc32", "n_tokens")
     ranges = Window.orderBy("part")
-    before = sums.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select(
+    before = tokens.groupBy("part").agg(F.sum("n_tokens").alias("_n")).select(
         "part", (F.sum("_n").over(ranges) - F.col("_n")).alias("_before"))
     local = F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     return (sums.withColumn("_local", local).join(before, "part")
@@ -155,4 +188,5 @@ def token_output(docs: DataFrame, tokenizer_json: str, end_id: int = 0, path: st
     spark = docs.sparkSession
     path = path or scratch(spark, "tokens")
     write_tokens(docs, path, tokenizer_json, end_id)
-    return with_starts(checksums(read_tokens(spark, path)))
+    tokens = read_tokens(spark, path)
+    return with_starts(checksums(tokens), tokens)
