@@ -94,6 +94,21 @@ def _values_of(data: bytes, size: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
+def _runs(places: np.ndarray) -> bytes:
+    """Sorted places as (first, last) pairs of consecutive ones."""
+    cut = np.flatnonzero(np.diff(places) > 1)
+    return np.stack([places[np.append(0, cut + 1)], places[np.append(cut, -1)]], axis=1).astype("<u4").tobytes()
+
+
+def _within(runs: list[bytes], before: int, after: int, n: int) -> np.ndarray:
+    """Which of n words lie from ``before`` words ahead of a place to ``after`` words behind one."""
+    pairs = np.frombuffer(b"".join(runs), "<u4").reshape(-1, 2).astype(np.int64)
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, np.maximum(pairs[:, 0] - before, 0), 1)
+    np.add.at(step, np.minimum(pairs[:, 1] + after + 1, n), -1)
+    return np.cumsum(step)[:n] > 0
+
+
 MESSAGE = "bucket int, batch long, kind string, a binary, b binary"
 NAMES = ["bucket", "batch", "kind", "a", "b"]
 
@@ -133,7 +148,7 @@ class Batch:
         again = np.repeat(n > 1, n)
         out = [docs]
         if again.any():
-            out.append((own, name, "hits", np.sort(place[again]).astype("<i8").tobytes(), b""))
+            out.append((own, name, "hits", _bytes_of(np.sort(place[again]), 3), b""))
         if len(h):
             marked = np.logical_or.reduceat(mark, first).astype(np.uint64)
             h, ref = h[first], place[first].astype(np.uint64) | marked << np.uint64(23)
@@ -145,7 +160,7 @@ class Batch:
 
 
 def _meet(messages: DataFrame, size: int) -> DataFrame:
-    """(key, places) by document: packed word numbers where hashes of its batch were met, from MESSAGE rows."""
+    """(key, places) by document: runs of word numbers where hashes of its batch were met, from MESSAGE rows."""
 
     def owner(tab: pa.Table) -> pa.Table:
         rows = list(zip(*(tab.column(c).to_pylist() for c in NAMES)))
@@ -160,11 +175,11 @@ def _meet(messages: DataFrame, size: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             n = np.diff(np.append(first, len(h)))
             met = np.repeat((n > 1) & (np.bitwise_or.reduceat(ref, first) >> np.uint64(23) & np.uint64(1)).astype(bool), n)
-            place, who = (ref[met] & np.uint64((1 << 23) - 1)).astype("<i8"), who[met]
-            order = np.argsort(who, kind="stable")
+            place, who = ref[met] & np.uint64((1 << 23) - 1), who[met]
+            order = np.lexsort((place, who))
             place, who = place[order], who[order]
             edge = np.searchsorted(who, np.arange(len(probes) + 1))
-            out += [(r[0], r[1], "hits", place[x:y].tobytes(), b"")
+            out += [(r[0], r[1], "hits", _bytes_of(place[x:y], 3), b"")
                     for r, x, y in zip(probes, edge[:-1].tolist(), edge[1:].tolist()) if x < y]
         return pa.Table.from_batches([_message(out)])
 
@@ -172,7 +187,7 @@ def _meet(messages: DataFrame, size: int) -> DataFrame:
         rows = list(zip(*(tab.column(c).to_pylist() for c in NAMES)))
         keys, bases, places = [], [], []
         docs = [r for r in rows if r[2] == "docs"]
-        hits = [np.frombuffer(r[3], "<i8") for r in rows if r[2] == "hits"]
+        hits = [_values_of(r[3], 3).astype(np.int64) for r in rows if r[2] == "hits"]
         if docs and hits:
             key, (start, base) = np.frombuffer(docs[0][3], "<i8"), np.frombuffer(docs[0][4], "<i8").reshape(2, -1)
             at = np.unique(np.concatenate(hits))
@@ -181,7 +196,7 @@ def _meet(messages: DataFrame, size: int) -> DataFrame:
             for i in np.unique(doc).tolist():
                 keys.append(int(key[i]))
                 bases.append(int(base[i]))
-                places.append((at[edge[i]:edge[i + 1]] - start[i] + base[i]).astype("<i8").tobytes())
+                places.append(_runs(at[edge[i]:edge[i + 1]] - start[i] + base[i]))
         return pa.table([pa.array(keys, pa.int64()), pa.array(bases, pa.int64()), pa.array(places, pa.binary())],
                         ["key", "base", "places"])
 
@@ -239,11 +254,7 @@ def repeats(keyed: DataFrame, size: int = SIZE) -> DataFrame:
         last = len(h) - size
         if last < 0:
             return None
-        at = np.frombuffer(b"".join(places), "<i8")
-        step = np.zeros(len(h) + 2, np.int64)  # a hit at x: windows that start in x - (size - block) .. x
-        np.add.at(step, np.maximum(at - (size - block), 0), 1)
-        np.add.at(step, at + 1, -1)
-        start = np.flatnonzero(np.cumsum(step)[:last + 1] > 0)
+        start = np.flatnonzero(_within(places, size - block, 0, len(h))[:last + 1])
         return key, len(h), rolling(h, size)[start], start, np.ones(len(start), bool)
 
     probes = keyed.select("key", "text").mapInArrow(lambda b: _send(b, bits, 4, anchors), MESSAGE)
@@ -266,11 +277,7 @@ def drop_repeats(docs: DataFrame, size: int = SIZE, texts: bool = False) -> Data
                 w = split(text)
                 kept = w
                 if places:
-                    step = np.zeros(len(w) + 1, np.int64)
-                    at = np.frombuffer(b"".join(places), "<i8")
-                    np.add.at(step, at, 1)
-                    np.add.at(step, at + size, -1)
-                    kept = [x for x, c in zip(w, np.cumsum(step).tolist()) if not c]
+                    kept = [x for x, c in zip(w, _within(places, 0, size - 1, len(w)).tolist()) if not c]
                 line = b" ".join(kept)
                 out.append((doc_id, len(w), len(w) - len(kept), hashlib.sha256(line).hexdigest(), line.decode()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
