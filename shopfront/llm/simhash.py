@@ -1,13 +1,15 @@
 """Operator 5: SimHash near-duplicates found by Golay-code fuzzy hashing.
 
 Fingerprints of 64 bits link when at most ``max_bits`` (up to 3) differ.  The
-bits are cut in segments of 23, 23 and 18.  Three errors over three segments
-leave at least two segments with at most one error each.  Every 23-bit word
-decodes to exactly one codeword of the perfect binary Golay code (an index of
-12 bits); a word and its one-bit neighbours decode to at most six.  So one side
-is indexed by the codeword indices of each pair of segments (3 keys), the other
-probes with all indices that its neighbours decode to, and a link's two ends
-always meet under some pair.  Meetings are verified by the bit distance.
+bits are cut in segments of 23, 23 and 18.  Every 23-bit word decodes to
+exactly one codeword of the perfect binary Golay code (an index of 12 bits); a
+word and its one-bit neighbours decode to at most six.  Three errors over three
+segments leave at most one in each segment, or else at most one in two segments
+together.  So one side is indexed by the codeword indices of all three segments,
+and by one segment's bits with another's index (7 keys of 30 to 36 bits, few of
+which meet by chance); the other side probes with all indices that its
+neighbours decode to, and a link's two ends always meet.  Meetings are verified
+by the bit distance.
 
 Only distinct fingerprints are compared.  A first round links each fingerprint
 to one member of its bucket (verified, no pairs), so that a dense group becomes
@@ -31,7 +33,7 @@ from .common import cut
 from .components import components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
-PAIRS = ((0, 1), (0, 2), (1, 2))
+PAIRS = ((0, 1), (1, 0), (0, 2), (2, 0), (1, 2), (2, 1))  # (no error, at most one error)
 GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1, the binary Golay code
 SEED = 42
 
@@ -93,17 +95,25 @@ def _segments(fp: np.ndarray) -> list[np.ndarray]:
 
 
 def index_keys(fp: np.ndarray, golay: Golay) -> np.ndarray:
-    """One key for each pair of segments, one row a fingerprint."""
-    c = [golay.index(s) for s in _segments(fp)]
-    return np.stack([(p << 24) | (c[x] << 12) | c[y] for p, (x, y) in enumerate(PAIRS)], axis=1)
+    """One key for all segments and one for each of PAIRS, one row a fingerprint."""
+    raw = _segments(fp)
+    c = [golay.index(s) for s in raw]
+    keys = [(c[0] << 24) | (c[1] << 12) | c[2]]
+    keys += [(p << 36) | (raw[x] << 12) | c[y] for p, (x, y) in enumerate(PAIRS, 1)]
+    return np.stack(keys, axis=1)
 
 
 def probe_keys(fp: np.ndarray, golay: Golay) -> list[np.ndarray]:
-    """All keys under which a fingerprint with at most one error in two segments is indexed."""
-    near = [golay.near(s, n) for s, (_, n) in zip(_segments(fp), SEGMENTS, strict=True)]
-    near = [[np.unique(row) for row in rows] for rows in near]
-    return [np.concatenate([((p << 24) | (near[x][i][:, None] << 12) | near[y][i]).ravel()
-                            for p, (x, y) in enumerate(PAIRS)]) for i in range(len(fp))]
+    """All keys under which a fingerprint with at most three errors is indexed."""
+    raw = _segments(fp)
+    near = [[np.unique(row) for row in golay.near(s, n)] for s, (_, n) in zip(raw, SEGMENTS, strict=True)]
+    out = []
+    for i, (a, b, c) in enumerate(zip(*near, strict=True)):
+        own = (a, b, c)
+        keys = [((a[:, None, None] << 24) | (b[:, None] << 12) | c).ravel()]
+        keys += [(p << 36) | (raw[x][i] << 12) | own[y] for p, (x, y) in enumerate(PAIRS, 1)]
+        out.append(np.concatenate(keys))
+    return out
 
 
 def _keyed(classes: DataFrame, probe: bool) -> DataFrame:
@@ -115,13 +125,13 @@ def _keyed(classes: DataFrame, probe: bool) -> DataFrame:
             fp = b.column("fp").to_numpy().view("<u8")
             keys = probe_keys(fp, golay) if probe else list(index_keys(fp, golay))
             n = np.fromiter(map(len, keys), np.int64, len(keys))
-            flat = np.concatenate(keys).astype("i4") if keys else np.zeros(0, "i4")
+            flat = np.concatenate(keys).astype("i8") if keys else np.zeros(0, "i8")
             at = np.repeat(np.arange(len(n)), n)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(flat), b.column("fp").take(pa.array(at)), b.column("cls").take(pa.array(at))],
                 ["key", "fp", "cls"])
 
-    return classes.select("fp", "cls").mapInArrow(run, "key int, fp long, cls long")
+    return classes.select("fp", "cls").mapInArrow(run, "key long, fp long, cls long")
 
 
 def _classes(distinct: DataFrame, links: DataFrame) -> DataFrame:
