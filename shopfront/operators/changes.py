@@ -5,7 +5,7 @@ all users' changes apply in one pass.  Change rows carry a unique ``seq``
 (arrival order); where the reference's effect depends on order, the
 last (or first) row per key is taken with a max/min over a struct, a
 partial aggregate that a hot key cannot overload.  New rows get
-``id = max(existing id) + seq`` so ids stay unique without a global
+``id = max(existing id) + 1 + seq`` so ids stay unique without a global
 numbering pass.  The caller writes the returned snapshots (``sources.io``).
 """
 
@@ -38,9 +38,9 @@ def _ts(as_of) -> Column:
 
 
 def _next_id(existing: DataFrame, seq: Column) -> Column:
-    """A fresh id per change row: the table's max id plus the row's seq."""
-    base = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    return (base + seq).cast("long")
+    """A fresh id per change row: one more than the table's max id, plus the row's seq (from 0)."""
+    base = existing.select(F.coalesce(F.max("id") + 1, F.lit(0)).cast("long")).scalar()
+    return F.when(seq < 0, F.raise_error(F.lit("seq must not be negative"))).otherwise(base + seq).cast("long")
 
 
 def _align(df: DataFrame, like: DataFrame) -> DataFrame:
@@ -284,7 +284,7 @@ def purge_stale(orders: DataFrame, order_items: DataFrame, older_than) -> Change
 
 def change_order_status(orders: DataFrame, changes: DataFrame, as_of) -> Change:
     """``changes`` (seq, order_id, status); whitelist, then the last valid change wins."""
-    valid = F.col("status").isin(list(ORDER_STATUSES))
+    valid = F.coalesce(F.col("status").isin(list(ORDER_STATUSES)), F.lit(False))  # a null status is invalid
     known = orders.select(F.col("id").alias("_oid"))
     c = changes.join(known, F.col("order_id") == F.col("_oid"), "left")
     outcome = c.select("seq", "order_id", "status",
@@ -306,11 +306,14 @@ def apply_coupons(cart: DataFrame, coupons: DataFrame, allocations: DataFrame) -
 
     ``allocations`` are Q17 rows: cart_id (= user_id), code, product_id,
     coupon_id, valid, line_discount.  Every cart row of (user, product)
-    gets the discount; coupons gain the number of carts that used them.
+    gets the discount of that product's last allocation (by line_no, then
+    code), so a cart with two rows of one product keeps two rows; coupons
+    gain the number of carts that used them.
     """
     ok = allocations.filter(F.col("valid"))
-    d = ok.select(F.col("cart_id").alias("_u"), F.col("product_id").alias("_p"),
-                  F.col("line_discount").cast("decimal(12,4)").alias("_disc"))
+    d = (ok.groupBy(F.col("cart_id").alias("_u"), F.col("product_id").alias("_p"))
+         .agg(F.max(F.struct("line_no", "code", "line_discount")).alias("_last"))
+         .select("_u", "_p", F.col("_last.line_discount").cast("decimal(12,4)").alias("_disc")))
     c = cart.join(d, (F.col("user_id") == F.col("_u")) & (F.col("product_id") == F.col("_p")), "left")
     if "discount_amount" not in cart.columns:
         c = c.withColumn("discount_amount", F.lit(None).cast("decimal(12,4)"))
@@ -617,7 +620,7 @@ def replace_coupon_products(coupon_products: DataFrame, sets: DataFrame) -> Chan
     coupon_id, product_id); an empty set is one row with a null product.
     The highest set_id per coupon wins and replaces all its links;
     coupons without a set keep theirs; duplicates in a set collapse.  A new
-    link takes the id max(id) + the seq of its first row.
+    link takes the id max(id) + 1 + the seq of its first row.
     """
     winner = sets.groupBy("coupon_id").agg(F.max("set_id").alias("_win"))
     members = (sets.join(winner, "coupon_id").filter(F.col("set_id") == F.col("_win"))
@@ -656,7 +659,8 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame) -> C
     """Delete ``ids`` (column id) of ``root`` following the schema's links.
 
     A root id still referenced through a RESTRICT link is refused
-    ('restricted by <child>.<column>').  CASCADE links delete the children,
+    ('restricted by <child>.<column>'), an id that ``root`` does not hold is
+    'not found'.  CASCADE links delete the children,
     level by level along the fixed link list; SET NULL links clear the
     referencing column.  Tables absent from ``tables`` are skipped.  Every
     step is a semi/anti join on the link key.
@@ -712,8 +716,11 @@ def cascade_delete(tables: dict[str, DataFrame], root: str, ids: DataFrame) -> C
                                    .otherwise(F.col(link.column)).cast(df.schema[link.column].dataType))
                        .drop("_gone", "_g"))
         out[name] = cur
-    outcome = (wanted.join(blocked, "id", "left") if blocked is not None
-               else wanted.withColumn("error", F.lit(None).cast("string")))
+    known = tables[root].select("id", F.lit(True).alias("_known")).distinct()
+    outcome = wanted.join(known, "id", "left")
+    outcome = outcome.join(blocked, "id", "left") if blocked is not None \
+        else outcome.withColumn("error", F.lit(None).cast("string"))
+    outcome = outcome.select("id", F.when(F.col("_known").isNull(), "not found").otherwise(F.col("error")).alias("error"))
     return Change(out, outcome)
 
 

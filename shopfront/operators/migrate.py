@@ -25,17 +25,20 @@ SEED_CHILDREN = {
 }
 
 
-def copy_matching(source: DataFrame, target: DataFrame, key: str = "id") -> DataFrame:
+def copy_matching(source: DataFrame, target: DataFrame, key: str = "id", unique: tuple[str, ...] = ()) -> DataFrame:
     """Append ``source`` rows to ``target`` over the columns both share.
 
-    Rows whose key already exists in the target are skipped (ON CONFLICT DO
-    NOTHING); target-only columns are null for copied rows; the result has
+    Rows whose key, or whose value of a ``unique`` column, already exists in
+    the target are skipped (ON CONFLICT DO NOTHING; nulls never conflict);
+    target-only columns are null for copied rows; the result has
     the target's columns.  Running it twice gives the same table.
     """
     shared = [c for c in source.columns if c in target.columns]
     if not shared:
         return target
-    fresh = source.select(*shared).join(target.select(key), key, "left_anti")
+    fresh = source.select(*shared)
+    for c in (key, *(u for u in unique if u in shared)):
+        fresh = fresh.join(target.select(c), c, "left_anti")
     return target.unionByName(fresh, allowMissingColumns=True).select(*target.columns)
 
 
@@ -79,14 +82,14 @@ def seed_categories(categories: DataFrame, tree: DataFrame, as_of) -> DataFrame:
     """Insert-if-absent by exact name: parents first, then children.
 
     ``tree``: seq (unique per row), parent, parent_description,
-    parent_image, child (may be null).  A new parent takes id max(id) +
-    2*min(seq) of its rows, a new child max(id) + 2*seq + 1 of its first row,
+    parent_image, child (may be null).  A new parent takes id max(id) + 1 +
+    2*min(seq) of its rows, a new child max(id) + 2*seq + 2 of its first row,
     so ids are unique without a numbering pass.  A child gets its parent's
     id (existing or new) and the text 'X in Y category'; a name that exists
     already (as parent or child) is skipped.  Running it twice changes
     nothing.
     """
-    base = categories.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    base = categories.select(F.coalesce(F.max("id") + 1, F.lit(0)).cast("long")).scalar()
     taken = categories.select(F.col("name").alias("_n"))
     parents = tree.groupBy("parent").agg(
         F.min(F.struct("seq", "parent_description", "parent_image")).alias("_p"))

@@ -179,7 +179,9 @@ def coupon_allocation(carts: DataFrame, coupons: DataFrame, coupon_products: Dat
         share_base = F.col("total_amount")
     amount = F.col("line_amount").cast("double")
     pct = amount * F.col("discount_value").cast("double") / F.lit(100.0)
-    fixed = F.col("discount_value").cast("double") * (amount / share_base.cast("double"))
+    # a cart (or running) total of zero has nothing to share: the line's part is 0
+    fixed = F.coalesce(F.col("discount_value").cast("double") * (amount / F.nullif(share_base.cast("double"), F.lit(0.0))),
+                       F.lit(0.0))
     raw = F.when(F.col("applies"), F.when(F.col("discount_type") == "percentage", pct).otherwise(fixed)) \
         .otherwise(F.lit(0.0))
     lines = lines.withColumn("_raw", raw)

@@ -90,7 +90,7 @@ SELECT CAST(n_nationkey + 1000 AS BIGINT), CAST(n_nationkey + 500 AS BIGINT) FRO
     "c_sets": """
 SELECT p_partkey AS seq, CAST(substr(p_brand, 7, 10) AS BIGINT) AS set_id,
        CAST(substr(p_brand, 7, 10) AS BIGINT) - 1 AS coupon_id, p_partkey AS product_id
-FROM part WHERE p_size < 10""",
+FROM part""",
     "c_ccreate": """
 SELECT CAST(r_regionkey AS BIGINT) AS seq,
        CASE WHEN r_regionkey % 2 = 1 THEN 'code' || CAST(r_regionkey AS VARCHAR) ELSE 'new' || lower(r_name) END AS code
@@ -118,7 +118,7 @@ SELECT c.id, c.user_id, c.product_id, CAST(c.quantity + COALESCE(k.add_q, 0) AS
        c.selected, c.created_at
 FROM shop_cart c LEFT JOIN per_key k ON k.user_id = c.user_id AND k.product_id = c.product_id
 UNION ALL
-SELECT (SELECT MAX(id) FROM shop_cart) + k.first_seq, k.user_id, k.product_id, CAST(k.add_q AS INTEGER),
+SELECT (SELECT MAX(id) + 1 FROM shop_cart) + k.first_seq, k.user_id, k.product_id, CAST(k.add_q AS INTEGER),
        false, {AS}
 FROM per_key k
 WHERE NOT EXISTS (SELECT 1 FROM shop_cart c WHERE c.user_id = k.user_id AND c.product_id = k.product_id)
@@ -197,7 +197,7 @@ SELECT w.* FROM shop_wishlist w
 WHERE NOT EXISTS (SELECT 1 FROM w_out s WHERE s.user_id = w.user_id AND s.product_id = w.product_id
                   AND s.op = 'remove' AND s.error IS NULL)
 UNION ALL
-SELECT (SELECT MAX(id) FROM shop_wishlist) + a.add_seq, a.user_id, a.product_id, {AS}
+SELECT (SELECT MAX(id) + 1 FROM shop_wishlist) + a.add_seq, a.user_id, a.product_id, {AS}
 FROM (SELECT user_id, product_id, MAX(seq) FILTER (WHERE op = 'add' AND error IS NULL) AS add_seq,
              arg_max(op, seq) AS last_op
       FROM w_out GROUP BY user_id, product_id) a
@@ -232,7 +232,7 @@ def _ingest(s):
 
 @reg("c04_ingest_orders_outcome", """
 SELECT seq, user_id, payment_method, error,
-       CASE WHEN error IS NULL THEN (SELECT MAX(id) FROM shop_orders) + seq END AS order_id,
+       CASE WHEN error IS NULL THEN (SELECT MAX(id) + 1 FROM shop_orders) + seq END AS order_id,
        CASE WHEN error IS NULL THEN CASE WHEN payment_method = 'cod' THEN 'pending' ELSE 'pending_payment' END
        END AS status
 FROM req_out
@@ -264,7 +264,7 @@ def c04_ingest_orders_cart(spark, sf_dir):
 @reg("c04_ingest_orders_orders", f"""
 SELECT * FROM shop_orders
 UNION ALL
-SELECT (SELECT MAX(id) FROM shop_orders) + seq, user_id, COALESCE(total_amount, CAST(0 AS DECIMAL(10,2))),
+SELECT (SELECT MAX(id) + 1 FROM shop_orders) + seq, user_id, COALESCE(total_amount, CAST(0 AS DECIMAL(10,2))),
        CASE WHEN payment_method = 'cod' THEN 'pending' ELSE 'pending_payment' END, {AS},
        payment_method, payment_method, payment_method <> 'cod'
 FROM req_out WHERE error IS NULL
@@ -276,7 +276,7 @@ def c04_ingest_orders_orders(spark, sf_dir):
 @reg("c04_ingest_orders_items", """
 SELECT * FROM shop_order_items
 UNION ALL
-SELECT (SELECT MAX(id) FROM shop_orders) + l.seq, l.product_id, l.quantity, p.price
+SELECT (SELECT MAX(id) + 1 FROM shop_orders) + l.seq, l.product_id, l.quantity, p.price
 FROM c_lines l JOIN req_out r ON r.seq = l.seq JOIN shop_products p ON p.id = l.product_id
 WHERE r.error IS NULL
 """, **_REQ_OUT)
@@ -469,7 +469,7 @@ FROM (SELECT x.*,
 
 
 @reg("c10_add_products_outcome", """
-SELECT seq, name, error, CASE WHEN error IS NULL THEN (SELECT MAX(id) FROM shop_products) + seq END AS product_id
+SELECT seq, name, error, CASE WHEN error IS NULL THEN (SELECT MAX(id) + 1 FROM shop_products) + seq END AS product_id
 FROM prow_out
 """, **_PROWS)
 def c10_add_products_outcome(spark, sf_dir):
@@ -480,7 +480,7 @@ def c10_add_products_outcome(spark, sf_dir):
 @reg("c10_add_products_products", f"""
 SELECT * FROM shop_products
 UNION ALL
-SELECT (SELECT MAX(id) FROM shop_products) + r.seq, r.name, COALESCE(r.description, ''),
+SELECT (SELECT MAX(id) + 1 FROM shop_products) + r.seq, r.name, COALESCE(r.description, ''),
        CAST(r.pr AS DECIMAL(10,2)), c.name, NULL, r.cat, CAST(r.st AS INTEGER), {AS}, CAST(r.off AS INTEGER),
        NULL, NULL, NULL
 FROM prow_out r JOIN shop_categories c ON c.id = r.cat
@@ -513,7 +513,7 @@ def c11_add_reviews_outcome(spark, sf_dir):
 @reg("c11_add_reviews_reviews", f"""
 SELECT * FROM shop_reviews
 UNION ALL
-SELECT (SELECT MAX(id) FROM shop_reviews) + seq, product_id, user_id, rating, comment, {AS}
+SELECT (SELECT MAX(id) + 1 FROM shop_reviews) + seq, product_id, user_id, rating, comment, {AS}
 FROM rv_out WHERE error IS NULL
 """, **_RV)
 def c11_add_reviews_reviews(spark, sf_dir):
@@ -607,7 +607,7 @@ SELECT c.id, COALESCE(u.name, c.name) AS name, COALESCE(u.description, c.descrip
        CASE WHEN u.id IS NOT NULL THEN u.parent_id ELSE c.parent_id END AS parent_id, c.created_at
 FROM shop_categories c LEFT JOIN (SELECT * FROM cat_out WHERE error IS NULL AND id IS NOT NULL) u ON u.id = c.id
 UNION ALL
-SELECT (SELECT MAX(id) FROM shop_categories) + seq, name, description, parent_id, {AS}
+SELECT (SELECT MAX(id) + 1 FROM shop_categories) + seq, name, description, parent_id, {AS}
 FROM cat_out WHERE error IS NULL AND id IS NULL
 """, **_CAT)
 def c12_upsert_categories(spark, sf_dir):
@@ -644,7 +644,7 @@ def c13_delete_categories(spark, sf_dir):
 @reg("c14_replace_coupon_products", """
 SELECT * FROM shop_coupon_products WHERE coupon_id NOT IN (SELECT coupon_id FROM c_sets)
 UNION ALL
-SELECT (SELECT MAX(id) FROM shop_coupon_products) + MIN(seq), coupon_id, product_id
+SELECT (SELECT MAX(id) + 1 FROM shop_coupon_products) + MIN(seq), coupon_id, product_id
 FROM c_sets s
 WHERE set_id = (SELECT MAX(set_id) FROM c_sets t WHERE t.coupon_id = s.coupon_id) AND product_id IS NOT NULL
 GROUP BY coupon_id, product_id
@@ -710,7 +710,7 @@ def c15_cascade_regions_categories(spark, sf_dir):
 # ------------------------------------------------------------------ C16
 
 _ADDR = {
-    "a_out": "SELECT c.*, (SELECT MAX(id) FROM shop_addresses) + c.seq AS new_id FROM c_addr c WHERE op = 'add'",
+    "a_out": "SELECT c.*, (SELECT MAX(id) + 1 FROM shop_addresses) + c.seq AS new_id FROM c_addr c WHERE op = 'add'",
     "s_out": """
 SELECT c.*, EXISTS (SELECT 1 FROM shop_addresses a WHERE a.id = c.id AND a.user_id = c.user_id) AS found
 FROM c_addr c WHERE op = 'set_default'""",

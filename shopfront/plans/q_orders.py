@@ -170,12 +170,6 @@ def q23_visible_cart_rows(spark, sf_dir):
     return access.visible_rows(s.cart, "cart", "update", 42, "user")
 
 
-@register("q23_orders_delete_denied", oracle="SELECT * FROM shop_orders WHERE false")
-def q23_orders_delete_denied(spark, sf_dir):
-    s = Shop.of(spark, sf_dir)
-    return access.visible_rows(s.orders, "orders", "delete", 7, "admin")
-
-
 @register("q23_coupons_admin_update", oracle="SELECT * FROM shop_coupons")
 def q23_coupons_admin_update(spark, sf_dir):
     s = Shop.of(spark, sf_dir)

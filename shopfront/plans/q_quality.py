@@ -67,7 +67,7 @@ def d02_copy_users(spark, sf_dir):
     rich = s.raw.customer.filter(F.col("c_acctbal") > 5000).select(F.col("c_custkey").alias("id"))
     target = (s.users.join(rich, "id", "left_semi")
               .select("id", "name", "email", "role", "created_at", F.lit(True).alias("is_verified")))
-    return migrate.copy_matching(s.users, target)
+    return migrate.copy_matching(s.users, target, unique=("email",))
 
 
 # Fixed column counts of the fixture tables (the profile's n_columns).
@@ -139,7 +139,7 @@ register("d05_backfill_category_as_written", oracle=_backfill_sql(_PICK_AS_WRITT
 @register("d06_seed_categories", oracle=f"""
 WITH tree AS (SELECT p_partkey AS seq, p_type AS parent, 'Type ' || p_type AS parent_description,
                      p_type || ' ' || p_brand AS child FROM part),
-     b AS (SELECT MAX(id) AS base FROM shop_categories),
+     b AS (SELECT MAX(id) + 1 AS base FROM shop_categories),
      np AS (SELECT parent AS name, MIN(seq) AS s, arg_min(parent_description, seq) AS description
             FROM tree WHERE parent NOT IN (SELECT name FROM shop_categories) GROUP BY parent),
      pid AS (SELECT name, id FROM shop_categories UNION ALL SELECT name, (SELECT base FROM b) + 2 * s FROM np),

@@ -7,6 +7,7 @@ settings the cluster left unset, so cluster-wide values always win.
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -55,19 +56,39 @@ def configure(spark: SparkSession) -> SparkSession:
             spark.conf.set(k, v)
     # The comparison with the oracle and the NTZ fixture columns need UTC.
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    A cluster sets this to a shared file system; only when it is unset
-    (local tests) do we pick a scratch folder of our own.
+    A folder that the launcher set (by configuration or through the API) is
+    kept.  Only a local master without one gets a scratch folder; a cluster
+    without one is an error, as its executors could not share the files.
     """
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
-        "spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    current = sc._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return conf_dir or current.get()
     if not conf_dir:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="shopfront-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
-    spark.sparkContext.setCheckpointDir(conf_dir)
+    sc.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, wherever their Python starts."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shopfront_shipped", False):
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    # the driver's own folder: Spark serves the file to the executors from here
+    folder = tempfile.mkdtemp(prefix="shopfront-ship-")
+    sc.addPyFile(shutil.make_archive(os.path.join(folder, "shopfront"), "zip", os.path.dirname(package),
+                                     os.path.basename(package)))
+    sc._shopfront_shipped = True

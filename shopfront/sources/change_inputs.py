@@ -170,10 +170,10 @@ def category_deletes(s: Shop) -> DataFrame:
 
 
 def coupon_sets(s: Shop) -> DataFrame:
-    """C14: one product set per brand for coupon brand-1: the brand's parts of size < 10."""
+    """C14: one product set per brand for coupon brand-1: all parts of the brand."""
     p = s.raw.part
     brand = F.substring("p_brand", 7, 10).cast("long")
-    return p.filter(F.col("p_size") < 10).select(
+    return p.select(
         F.col("p_partkey").alias("seq"), brand.alias("set_id"), (brand - 1).alias("coupon_id"),
         F.col("p_partkey").alias("product_id"))
 

@@ -31,11 +31,16 @@ def _k() -> Column:
     return F.regexp_extract("props", r"([0-9]+)", 1).cast("long")
 
 
-def file_stream(spark: SparkSession, folder: str, table: str, max_files: int = 1) -> DataFrame:
-    """A file stream over ``folder``'s ``<table>*.parquet`` files (schema taken from them)."""
+def file_stream(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
+    """A file stream over ``folder``'s ``<table>*.parquet`` files (schema taken from them).
+
+    A micro-batch takes all files that are there, or ``max_files`` of them.
+    """
     schema = spark.read.option("pathGlobFilter", f"{table}*.parquet").parquet(folder).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(folder))
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    if max_files:
+        stream = stream.option("maxFilesPerTrigger", max_files)
+    return stream.parquet(folder)
 
 
 # ------------------------------------------------------------------ T1

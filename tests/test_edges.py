@@ -215,15 +215,15 @@ def test_ingest_orders_batch(spark, order_tables):
     ch = C.ingest_orders(orders_, items, products, cart, req, lines, "2024-02-01")
     out = {r["seq"]: r for r in rows(ch.outcome)}
     assert out[3]["error"] == "Invalid payment method" and out[5]["error"] == "Product not found"
-    assert out[1]["order_id"] == 13 and out[1]["status"] == "pending" and out[4]["status"] == "pending_payment"
+    assert out[1]["order_id"] == 14 and out[1]["status"] == "pending" and out[4]["status"] == "pending_payment"
     stock = {r["id"]: r["stock_quantity"] for r in rows(ch.tables["products"])}
     assert stock == {1: 1, 2: -3}          # two cod orders of product 2 sum up; stock may go negative
     new = {r["id"]: r for r in rows(ch.tables["orders"])}
-    assert new[13]["total_amount"] == D("0.00") and new[16]["is_temporary"] is True
+    assert new[14]["total_amount"] == D("0.00") and new[17]["is_temporary"] is True
     assert sorted(r["user_id"] for r in rows(ch.tables["cart"])) == [2]   # cod buyers 1 and 3 emptied
-    new_items = [r for r in rows(ch.tables["order_items"]) if r["order_id"] >= 13]
+    new_items = [r for r in rows(ch.tables["order_items"]) if r["order_id"] >= 14]
     assert sorted((r["order_id"], r["price_at_time"]) for r in new_items) == [
-        (13, D("20.00")), (14, D("20.00")), (16, D("10.00"))]
+        (14, D("20.00")), (15, D("20.00")), (17, D("10.00"))]
 
 
 def test_confirm_and_cancel(spark, order_tables):
@@ -264,7 +264,7 @@ def test_cart_merge_and_edit(spark, order_tables):
                                  "seq long, user_id long, product_id long, quantity int")
     ch = C.merge_cart(cart, adds, "2024-02-01")
     got = {(r["user_id"], r["product_id"]): r for r in rows(ch.tables["cart"])}
-    assert got[(1, 1)]["quantity"] == 3 and got[(1, 5)]["quantity"] == 5 and got[(1, 5)]["id"] == 5
+    assert got[(1, 1)]["quantity"] == 3 and got[(1, 5)]["quantity"] == 5 and got[(1, 5)]["id"] == 6
     assert [r["action"] for r in rows(ch.outcome, ["seq"])] == ["updated", "inserted", "updated"]
     edits = spark.createDataFrame([
         (1, "set_quantity", 1, 1, 9, None), (2, "set_selected", 1, 1, None, True), (3, "remove", 1, 2, None, None),
@@ -289,7 +289,7 @@ def test_wishlist_sequence(spark):
     assert [r["error"] for r in rows(ch.outcome, ["seq"])] == [
         "Item already in wishlist", None, "Item not found in wishlist", None, None, "Item already in wishlist"]
     assert sorted((r["id"], r["user_id"], r["product_id"]) for r in rows(ch.tables["wishlist"])) == [
-        (14, 7, 1), (15, 8, 2)]
+        (15, 7, 1), (16, 8, 2)]
 
 
 def test_reviews_duplicates_and_ranges(spark, shop):
@@ -330,7 +330,7 @@ def test_default_address_rules(spark):
                                 "is_default boolean")
     ch = C.enforce_default_address(addr, chg, "2024-02-01")
     got = {r["id"]: r["is_default"] for r in rows(ch.tables["addresses"])}
-    assert got == {1: False, 2: False, 12: True, 13: False, 15: True}   # new ids = max(2) + seq
+    assert got == {1: False, 2: False, 13: True, 14: False, 16: True}   # new ids = max(2) + 1 + seq
     per_user = {}
     for r in rows(ch.tables["addresses"]):
         per_user[r["user_id"]] = per_user.get(r["user_id"], 0) + bool(r["is_default"])
@@ -352,7 +352,7 @@ def test_category_upsert_and_delete(spark, shop):
         "Category name already exists"]
     got = {r["id"]: r for r in rows(ch.tables["categories"])}
     assert got[4]["name"] == "Serums" and got[4]["description"] == "new text" and got[4]["parent_id"] == 3
-    assert got[11]["name"] == "Toners"
+    assert got[12]["name"] == "Toners"
     dels = spark.createDataFrame([(1, 9), (2, 3), (3, 42), (4, 4)], "seq long, id long")
     products = shop["products"].filter(F.col("id") != 2)
     dc = C.delete_categories(shop["categories"], products, dels)

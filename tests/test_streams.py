@@ -44,7 +44,7 @@ def _run_to_memory(df, name, mode="append"):
 
 
 def test_stock_ledger_stream_equals_batch(spark, event_dir, tmp_path):
-    lines = T.order_lines(T.file_stream(spark, event_dir, "events"))
+    lines = T.order_lines(T.file_stream(spark, event_dir, "events", max_files=1))
     q = T.write_ledger(T.stock_ledger_stream(lines), str(tmp_path / "ledger"), str(tmp_path / "ckpt"))
     q.awaitTermination(300)
     assert q.exception() is None
@@ -65,7 +65,7 @@ def test_stock_ledger_ignores_replayed_lines(spark, event_dir, tmp_path):
     # the last file arrives twice; its rows are within the watermark
     last = sorted(os.listdir(event_dir))[-1]
     open(os.path.join(d, "events_99.parquet"), "wb").write(open(os.path.join(event_dir, last), "rb").read())
-    lines = T.order_lines(T.file_stream(spark, d, "events"))
+    lines = T.order_lines(T.file_stream(spark, d, "events", max_files=1))
     q = T.write_ledger(T.stock_ledger_stream(lines, watermark="7 days"), str(tmp_path / "l2"), str(tmp_path / "c2"))
     q.awaitTermination(300)
     got = rows(T.ledger_view(spark, str(tmp_path / "l2")), ["product_id"])
@@ -91,7 +91,7 @@ def _replay_carts(events):
 
 
 def test_live_cart_stream_batch_and_replay_agree(spark, event_dir):
-    emitted = _run_to_memory(T.live_cart_stream(T.cart_events(T.file_stream(spark, event_dir, "events"))),
+    emitted = _run_to_memory(T.live_cart_stream(T.cart_events(T.file_stream(spark, event_dir, "events", max_files=1))),
                              "t2_cart")
     stream = sorted((r["user_id"], r["product_id"], r["quantity"]) for r in rows(T.latest_cart(emitted)))
     ev = T.cart_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
@@ -128,7 +128,7 @@ def _replay_codes(events):
 
 
 def test_verification_stream_batch_and_replay_agree(spark, event_dir):
-    got = _run_to_memory(T.verification_stream(T.code_events(T.file_stream(spark, event_dir, "events"))),
+    got = _run_to_memory(T.verification_stream(T.code_events(T.file_stream(spark, event_dir, "events", max_files=1))),
                          "t3_codes")
     stream = {r["event_id"]: r["outcome"] for r in rows(got)}
     ev = T.code_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"))
@@ -171,8 +171,8 @@ def test_unpaid_stream_is_the_settled_part_of_the_batch(spark, tmp_path):
     results = T.payment_results(s.raw.lineitem)
     _split(spark, s.orders.select("id", "user_id", "created_at", "is_temporary"), d, "orders", "created_at", 4)
     _split(spark, s.raw.lineitem.select("l_orderkey", "l_shipdate"), d, "lineitem", "l_shipdate", 4)
-    st = T.order_starts(T.file_stream(spark, d, "orders"))
-    rs = T.payment_results(T.file_stream(spark, d, "lineitem"))
+    st = T.order_starts(T.file_stream(spark, d, "orders", max_files=1))
+    rs = T.payment_results(T.file_stream(spark, d, "lineitem", max_files=1))
     got = {r["order_id"] for r in rows(_run_to_memory(T.unpaid_stream(st, rs, "30 days", "1 day"), "t4_unpaid"))}
     batch = {r["order_id"]: r for r in rows(T.unpaid_batch(starts, results, "30 days"))}
     assert got <= set(batch)
