@@ -6,7 +6,7 @@ inverse-document-frequency band; it has at most (mean distinct terms of a
 text) / ``low`` members at any corpus size, so it may be broadcast.  ``LEXICONS``
 randomised subsets of it are drawn by hash, from dense (half of the terms) to
 sparse.  A fingerprint holds, for each subset, the hash of a text's sorted
-distinct terms in it (``------`` if there are none).  An edit spares the hashes
+distinct terms in it (16 bits, zero if there are none).  An edit spares the hashes
 of sparse subsets, and only long texts fill these; so the likeness of two
 fingerprints is the largest share of equal hashes, among the subsets that either
 fills, over the densities of which at least ``ENOUGH`` are filled.
@@ -37,7 +37,6 @@ from .grams import mix
 TERM = re.compile(r"[^\W\d_]+")
 LEXICONS = 64  # at most 64
 DENSITIES = 8  # a term is in lexicon i with chance 2 ** -(1 + i % DENSITIES)
-EMPTY = "------"
 ENOUGH = 4
 
 
@@ -91,43 +90,43 @@ def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1) -> np.ndarra
 
 
 def subsets(t: np.ndarray) -> np.ndarray:
-    """Bit i: the term is in lexicon i."""
+    """Members of the lexicons: one row a term, one column a lexicon."""
     out, left = np.zeros(len(t), np.uint64), np.full(len(t), np.uint64(0xFFFFFFFFFFFFFFFF))
     for d in range(DENSITIES):
         left = left & mix(t + np.uint64((d + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
         out |= left & np.uint64(sum(1 << i for i in range(LEXICONS) if i % DENSITIES == d))
-    return out
+    return np.unpackbits(out[:, None].view("u1"), axis=1, bitorder="little")[:, :LEXICONS]
 
 
-def fingerprint(text: str, band: np.ndarray) -> list[str]:
-    """One hash of 6 hex digits a lexicon."""
+def _hashes(t: np.ndarray, members: np.ndarray) -> np.ndarray:
+    """Polynomial hash of each column's terms in their order; 1 to 65535, or 0 for no term."""
+    rank = np.cumsum(members, axis=0, dtype=np.int64)
+    power = np.cumprod(np.full(int(rank[-1].max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    h = np.where(members, mix(t)[:, None] * power[rank], np.uint64(0)).sum(0, dtype=np.uint64)
+    return np.where(rank[-1] > 0, mix(h + rank[-1].astype(np.uint64)) % np.uint64(65535) + np.uint64(1), 0).astype("<u2")
+
+
+def fingerprint(text: str, band: np.ndarray) -> np.ndarray:
+    """One 16-bit hash a lexicon."""
     import xxhash
     t = np.sort(terms(text))
+    held = t[:0]
     if len(band) and len(t):
-        at = np.minimum(np.searchsorted(band, t), len(band) - 1)
-        held = t[band[at] == t]
-    else:
-        held = t[:0]
-    if not len(held):
-        whole = t.tobytes() if len(t) else text.encode("utf-8", "surrogatepass")
-        return [xxhash.xxh64_hexdigest(whole, i)[:6] for i in range(LEXICONS)]
-    sets = subsets(held)
-    out = []
-    for i in range(LEXICONS):
-        own = held[(sets >> np.uint64(i) & np.uint64(1)).astype(bool)]
-        out.append(xxhash.xxh64_hexdigest(own.tobytes(), i)[:6] if len(own) else EMPTY)
-    return out
-
-
-def likeness(a: list[str], b: list[str]) -> float:
+        held = t[band[np.minimum(np.searchsorted(band, t), len(band) - 1)] == t]
+    if len(held):
+        return _hashes(held, subsets(held))
+    if not len(t):
+        t = np.array([xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))], np.uint64)
+    seeded = t[:, None] + np.arange(LEXICONS, dtype=np.uint64)  # all terms, another hash for each lexicon
+    return (mix(mix(seeded).sum(0, dtype=np.uint64)) % np.uint64(65535) + np.uint64(1)).astype("<u2")
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """Largest share of equal hashes, over the densities with ``ENOUGH`` filled lexicons, else over all lexicons."""
-    if a == b:
+    if (a == b).all():
         return 1.0
-    equal, filled = np.zeros(DENSITIES), np.zeros(DENSITIES)
-    for i, (x, y) in enumerate(zip(a, b, strict=True)):
-        if x != EMPTY or y != EMPTY:
-            filled[i % DENSITIES] += 1
-            equal[i % DENSITIES] += x == y
+    filled = ((a > 0) | (b > 0)).reshape(-1, DENSITIES).sum(0)
+    equal = ((a == b) & (a > 0)).reshape(-1, DENSITIES).sum(0)
     full = filled >= ENOUGH
     return float((equal[full] / filled[full]).max() if full.any() else equal.sum() / filled.sum())
 
@@ -138,33 +137,33 @@ def fingerprints(docs: DataFrame, band: np.ndarray) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            got = ["".join(fingerprint(t or "", shared.value)) for t in b.column("text").to_pylist()]
+            got = [fingerprint(t or "", shared.value).tobytes().hex() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.string())], ["doc_id", "fingerprint"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, " \
+RESULT = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, " \
          "near_edited double, near_next double"
 
 
-def _result(doc_id, text: str, following: str, own: list[str], theirs: list[str], band: np.ndarray) -> tuple:
+def _result(doc_id, text: str, following: str, own: np.ndarray, theirs: np.ndarray, band: np.ndarray) -> tuple:
     q = len(text) // 4
     edited = text[:len(text) - q] + following[:q]
     changed = fingerprint(edited, band)
-    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-    return (doc_id, len(text), sha, "".join(own), "".join(changed), likeness(own, changed), likeness(own, theirs))
+    sha = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).digest()
+    return (doc_id, len(text), sha, own.tobytes(), changed.tobytes(), likeness(own, changed), likeness(own, theirs))
 
 
 def _batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     kinds = {"doc_id": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64(),
-             "part": pa.int32()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.string()))
+             "part": pa.int32(), "edge": pa.string(), "text": pa.string()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds.get(n, pa.binary()))
                                        for i, n in enumerate(names)], names)
 
 
 def edited_likeness(docs: DataFrame, low: float = 0.001, high: float = 0.1) -> DataFrame:
-    """RESULT for every document, its edited text and the next document by doc_id.
+    """RESULT (digests in hex) for every document, its edited text and the next document by doc_id.
 
     The texts are dealt once by ranges of doc_id and streamed in order.  The
     last row of a range waits for the first of the next: these rows (two a
@@ -210,4 +209,6 @@ def edited_likeness(docs: DataFrame, low: float = 0.001, high: float = 0.1) -> D
             yield _batch([_result(i, t, f, fingerprint(t, band), fingerprint(f, band), band) for i, t, f in rows], names[3:])
 
     rest = waiting.select("doc_id", "text", "following").mapInArrow(finish, RESULT)
-    return done.filter("edge is null").select(*names[3:]).unionAll(rest)
+    hexed = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    return done.filter("edge is null").select(*names[3:]).unionAll(rest).withColumns(
+        {c: F.lower(F.hex(c)) for c in hexed})
