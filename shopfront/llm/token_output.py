@@ -41,9 +41,9 @@ FORMAT = {
 }
 
 #: What keeps chunks (joined by blanks) from being segmented on their own: a blank next to other white space (an empty
-#: chunk, or one with white space at an end), separators that libraries tell apart differently, the mark below, and the
-#: start of an added token.
-AWKWARD = re.compile(r"\s\s|[\0\x1c-\x1f]|<\|")
+#: chunk, or one with white space at an end), separators that libraries tell apart differently, and the start of an
+#: added token.
+AWKWARD = re.compile(r"\s\s|[\x1c-\x1f]|<\|")
 
 
 class ByteBpe:
@@ -71,10 +71,10 @@ class ByteBpe:
         return [np.asarray(e.ids, "<u4").tobytes() for e in got]
 
     def segment(self, chunks: list[str]) -> list[bytes | None]:
-        """Ids of chunks: with a leading NUL, of a text's start; else of a blank and the chunk."""
+        """Ids of chunks: a text's start, marked by a leading blank; else a blank and the chunk."""
         out: list[bytes | None] = []
-        own = [c[1:] for c in chunks if c[:1] == "\0"]
-        rest = [c for c in chunks if c[:1] != "\0"]
+        own = [c[1:] for c in chunks if c[:1] == " "]
+        rest = [c for c in chunks if c[:1] != " "]
         firsts = [None if AWKWARD.search(f" {c} ") else ids for c, ids in zip(own, self.whole(own), strict=True)]
         for i in range(0, len(rest), self.JOINED):
             part = rest[i:i + self.JOINED]
@@ -86,7 +86,7 @@ class ByteBpe:
             cut = [*(np.flatnonzero(self.leads[np.frombuffer(raw, "<u4")]) * 4).tolist(), len(raw)]
             out += [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]
         rest, own = iter(out), iter(firsts)
-        return [next(own if c[:1] == "\0" else rest) for c in chunks]
+        return [next(own if c[:1] == " " else rest) for c in chunks]
 
     def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
         def combine(ids):
@@ -95,7 +95,10 @@ class ByteBpe:
             except TypeError:  # a chunk without a value
                 return None
 
-        rows = [("\0" + t).split(" ") if t else [] for t in texts]
+        rows = [t.split(" ") if t else [] for t in texts]
+        for row in rows:
+            if row:
+                row[0] = " " + row[0]  # no other chunk holds a blank
         found = self.table.join(rows, combine)
         return [self.whole([t])[0] + tail if ids is None else ids for t, ids in zip(texts, found, strict=True)]
 
