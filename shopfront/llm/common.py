@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,3 +105,17 @@ class ChunkTable:
                 del self.known[c]
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
+
+
+def packed_bytes(values: np.ndarray, size: int) -> bytes:
+    """Little-endian values as planes of bytes, the highest first (sorted values then compress)."""
+    planes = np.ascontiguousarray(values.astype("<u8").view("u1").reshape(-1, 8)[:, :size].T)
+    return planes[::-1].tobytes()
+
+
+def unpacked_bytes(data: bytes, size: int) -> np.ndarray:
+    """The values of ``packed_bytes``."""
+    planes = np.frombuffer(data, "u1").reshape(size, -1)[::-1]
+    out = np.zeros((planes.shape[1], 8), "u1")
+    out[:, :size] = planes.T
+    return out.view("<u8")[:, 0]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, packed_bytes, partitions, unpacked_bytes
 from .grams import mix
 
 TERM = re.compile(r"[^\W\d_]+")
@@ -41,25 +41,36 @@ ENOUGH = 4
 
 
 def terms(text: str) -> np.ndarray:
-    """Hashes of the distinct terms of a whole text."""
+    """48-bit hashes of the distinct terms of a whole text."""
     import xxhash
     found = {w for w in TERM.findall(text.lower())}
-    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in found), "<u8", len(found))
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) >> 16 for w in found), "<u8", len(found))
 
 
-def term_counts(docs: DataFrame, flush: int = 500_000) -> DataFrame:
-    """(term, n): texts that hold a term; counted in each task before the shuffle."""
+def _summed(hashes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct sorted hashes and the sums of their counts."""
+    h = np.concatenate(hashes)
+    order = np.argsort(h, kind="stable")
+    h, n = h[order], np.concatenate(counts)[order]
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first], np.add.reduceat(n, first)
 
-    def rows(total):
-        g, n = total
-        return pa.RecordBatch.from_arrays([pa.array(g.view("<i8")), pa.array(n)], ["term", "n"])
 
-    def merged(parts):
-        g = np.concatenate([p[0] for p in parts])
-        order = np.argsort(g, kind="stable")
-        g, n = g[order], np.concatenate([p[1] for p in parts])[order]
-        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-        return g[first], np.add.reduceat(n, first)
+def terms_between(docs: DataFrame, least: float, most: float, flush: int = 500_000) -> DataFrame:
+    """(term): those that ``least`` to ``most`` texts hold.
+
+    Tasks count their texts' terms and send each distinct one once (again after
+    ``flush`` terms), packed in buckets of the hash; a bucket's task adds up.
+    """
+    bits = min(20, max(8, (4 * partitions(docs.sparkSession) - 1).bit_length()))
+
+    def rows(h, n):
+        edge = np.searchsorted(h >> np.uint64(48 - bits), np.arange((1 << bits) + 1))
+        cuts = [(b, x, y) for b, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if x < y]
+        low = h & np.uint64((1 << (48 - bits)) - 1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([c[0] for c in cuts], pa.int32()), pa.array([packed_bytes(low[x:y], 5) for _, x, y in cuts], pa.binary()),
+             pa.array([packed_bytes(n[x:y], 5) for _, x, y in cuts], pa.binary())], ["bucket", "terms", "counts"])
 
     def run(batches):
         parts, size = [], 0
@@ -67,26 +78,30 @@ def term_counts(docs: DataFrame, flush: int = 500_000) -> DataFrame:
             got = [terms(t or "") for t in b.column("text").to_pylist()]
             if not got:
                 continue
-            g, n = np.unique(np.concatenate(got), return_counts=True)
-            parts.append((g, n.astype("i8")))
-            size += len(g)
+            parts.append(_summed(got, [np.ones(len(g), "<u8") for g in got]) if any(map(len, got)) else (got[0], got[0]))
+            size += len(parts[-1][0])
             if size > flush:
-                parts = [merged(parts)]
+                parts = [_summed(*zip(*parts))]
                 size = len(parts[0][0])
                 if size > flush // 2:
-                    yield rows(parts[0])
+                    yield rows(*parts[0])
                     parts, size = [], 0
         if size:
-            yield rows(merged(parts))
+            yield rows(*_summed(*zip(*parts)))
+
+    def add_up(key, tab):
+        h, n = _summed(*([unpacked_bytes(x, 5) for x in tab.column(c).to_pylist()] for c in ("terms", "counts")))
+        kept = h[(n >= least) & (n <= most)] | np.uint64(key[0].as_py() << (48 - bits))
+        return pa.table([pa.array(kept.astype("<i8"))], ["term"])
 
-    return docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    sent = docs.select("text").mapInArrow(run, "bucket int, terms binary, counts binary")
+    return sent.groupBy("bucket").applyInArrow(add_up, "term long")
 
 
 def lexicon(docs: DataFrame, low: float = 0.001, high: float = 0.1) -> np.ndarray:
     """Sorted hashes of the terms that ``low`` to ``high`` of all documents, and two at least, hold."""
     n = docs.count()
-    kept = term_counts(docs).filter((F.col("n") >= max(2.0, low * n)) & (F.col("n") <= high * n)).select("term")
-    return np.sort(kept.toArrow().column("term").to_numpy().astype("<i8").view("<u8"))
+    return np.sort(terms_between(docs, max(2.0, low * n), high * n).toArrow().column("term").to_numpy().astype("<u8"))
 
 
 def subsets(t: np.ndarray) -> np.ndarray:

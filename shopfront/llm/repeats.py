@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import packed_bytes, partitions, unpacked_bytes
 from .grams import mix
 
 SIZE = 35
@@ -81,19 +81,6 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
         width *= 2
 
 
-def _bytes_of(values: np.ndarray, size: int) -> bytes:
-    """Little-endian values as planes of bytes, the highest first (sorted values then compress)."""
-    planes = np.ascontiguousarray(values.astype("<u8").view("u1").reshape(-1, 8)[:, :size].T)
-    return planes[::-1].tobytes()
-
-
-def _values_of(data: bytes, size: int) -> np.ndarray:
-    planes = np.frombuffer(data, "u1").reshape(size, -1)[::-1]
-    out = np.zeros((planes.shape[1], 8), "u1")
-    out[:, :size] = planes.T
-    return out.view("<u8")[:, 0]
-
-
 def _runs(places: np.ndarray) -> bytes:
     """Sorted places as (first, last) pairs of consecutive ones."""
     cut = np.flatnonzero(np.diff(places) > 1)
@@ -148,13 +135,13 @@ class Batch:
         again = np.repeat(n > 1, n)
         out = [docs]
         if again.any():
-            out.append((own, name, "hits", _bytes_of(np.sort(place[again]), 3), b""))
+            out.append((own, name, "hits", packed_bytes(np.sort(place[again]), 3), b""))
         if len(h):
             marked = np.logical_or.reduceat(mark, first).astype(np.uint64)
             h, ref = h[first], place[first].astype(np.uint64) | marked << np.uint64(23)
             edge = np.searchsorted(h >> np.uint64(64 - bits), np.arange((1 << bits) + 1))
             low = (h >> np.uint64(64 - bits - 32)) & np.uint64(0xFFFFFFFF) if size == 4 else h
-            out += [(b, name, "probes", _bytes_of(low[x:y], size), _bytes_of(ref[x:y], 3))
+            out += [(b, name, "probes", packed_bytes(low[x:y], size), packed_bytes(ref[x:y], 3))
                     for b, (x, y) in enumerate(zip(edge[:-1].tolist(), edge[1:].tolist())) if x < y]
         return out
 
@@ -167,8 +154,8 @@ def _meet(messages: DataFrame, size: int) -> DataFrame:
         out = [r for r in rows if r[2] != "probes"]
         probes = [r for r in rows if r[2] == "probes"]
         if len(probes) > 1:
-            h = np.concatenate([_values_of(r[3], size) for r in probes])
-            ref = np.concatenate([_values_of(r[4], 3) for r in probes])
+            h = np.concatenate([unpacked_bytes(r[3], size) for r in probes])
+            ref = np.concatenate([unpacked_bytes(r[4], 3) for r in probes])
             who = np.repeat(np.arange(len(probes)), [len(r[4]) // 3 for r in probes])
             order = np.argsort(h, kind="stable")
             h, ref, who = h[order], ref[order], who[order]
@@ -179,7 +166,7 @@ def _meet(messages: DataFrame, size: int) -> DataFrame:
             order = np.lexsort((place, who))
             place, who = place[order], who[order]
             edge = np.searchsorted(who, np.arange(len(probes) + 1))
-            out += [(r[0], r[1], "hits", _bytes_of(place[x:y], 3), b"")
+            out += [(r[0], r[1], "hits", packed_bytes(place[x:y], 3), b"")
                     for r, x, y in zip(probes, edge[:-1].tolist(), edge[1:].tolist()) if x < y]
         return pa.Table.from_batches([_message(out)])
 
@@ -187,7 +174,7 @@ def _meet(messages: DataFrame, size: int) -> DataFrame:
         rows = list(zip(*(tab.column(c).to_pylist() for c in NAMES)))
         keys, bases, places = [], [], []
         docs = [r for r in rows if r[2] == "docs"]
-        hits = [_values_of(r[3], 3).astype(np.int64) for r in rows if r[2] == "hits"]
+        hits = [unpacked_bytes(r[3], 3).astype(np.int64) for r in rows if r[2] == "hits"]
         if docs and hits:
             key, (start, base) = np.frombuffer(docs[0][3], "<i8"), np.frombuffer(docs[0][4], "<i8").reshape(2, -1)
             at = np.unique(np.concatenate(hits))

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from shopfront.llm import (components, decontaminate, imatch, language, queries, repeats, secrets, sentence_pieces,
+from shopfront.llm import (common, components, decontaminate, imatch, language, queries, repeats, secrets, sentence_pieces,
                            simhash, token_output, toxicity, urls)
 
 SF = "/root/testdata/sf0.001"
@@ -193,7 +193,7 @@ def test_repeat_hashes_and_packing():
         assert (again[:150 - n + 1] == got[50:]).all() and (again[150:] == got).all()
     for size in (3, 4, 8):
         x = np.array([RNG.getrandbits(8 * size) for _ in range(50)], np.uint64)
-        assert (repeats._values_of(repeats._bytes_of(x, size), size) == x).all()
+        assert (common.unpacked_bytes(common.packed_bytes(x, size), size) == x).all()
 
 
 def test_leaks(spark, docs, none):
@@ -290,6 +290,14 @@ def test_url_filter(spark):
     assert urls.judge_urls(pages.limit(0), urls.labelled_urls(spark)).count() == 0
 
 
+def test_lexicon_counts_all_texts(docs):
+    n = collections.Counter(t for r in document_rows() for t in imatch.terms(r[1] or "").tolist())
+    for least, most in ((1, 1), (2, 3), (2, 99)):
+        for flush in (500_000, 50):
+            got = [r.term for r in imatch.terms_between(docs, least, most, flush).collect()]
+            assert sorted(got) == sorted(t for t, c in n.items() if least <= c <= most)
+
+
 def test_imatch(docs, none):
     got = imatch.edited_likeness(docs.filter("doc_id is not null").dropDuplicates(["doc_id"]), low=0.05, high=0.9)
     rows = {r.doc_id: r for r in got.collect()}
