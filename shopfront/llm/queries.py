@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, imatch, language, repeats, secrets, sentence_pieces, simhash, token_output, toxicity, urls
+from . import (decontaminate, imatch, language, oracles, repeats, secrets, sentence_pieces, simhash, token_output,
+               toxicity, urls)
 from .common import held_out, table
 
 #: Tokenizer files: read by the driver, sent to the executors.
@@ -75,4 +76,4 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_token_output, op2_decontamination, op3_language, op4_secrets, op5_simhash, op6_sentencepiece, op7_url_filter,
     op8_toxicity, op9_substring_dedup, op10_imatch)}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_secrets": oracles.SECRETS, "op9_substring_dedup": oracles.REPEATS}
