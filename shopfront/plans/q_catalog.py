@@ -6,22 +6,22 @@ from ..operators import catalog
 from ..sources.fixtures import Shop
 from .registry import register
 
-_Q1_SELECT = """
-SELECT p.id, p.name, p.description, p.price, p.category, p.image_url,
-       COALESCE(p.stock_quantity, 0) AS stock_quantity, p.created_at,
-       c.name AS category_name, pc.name AS parent_category_name,
-       COALESCE(AVG(r.rating), 0) AS average_rating, COUNT(DISTINCT r.id) AS review_count,
-       COALESCE(p.offer_percentage, 0) AS offer_percentage,
-       COUNT(*) OVER () AS total_matches
-FROM shop_products p
-LEFT JOIN shop_categories c ON p.category_id = c.id
-LEFT JOIN shop_categories pc ON c.parent_id = pc.id
-LEFT JOIN shop_reviews r ON p.id = r.product_id
-WHERE 1=1 {where}
-GROUP BY p.id, p.name, p.description, p.price, p.category, p.image_url, p.stock_quantity,
-         p.created_at, p.offer_percentage, c.name, pc.name
-ORDER BY p.created_at DESC, p.id
-{page}
+_RATED = "(SELECT product_id, AVG(rating) AS stars, COUNT(*) AS n FROM shop_reviews GROUP BY product_id)"
+_TREE = ("(SELECT own.id, own.name, up.name AS parent FROM shop_categories own"
+         " LEFT JOIN shop_categories up ON up.id = own.parent_id)")
+
+# Matches are picked and counted first; ratings join the picked rows.
+_Q1_SELECT = f"""
+SELECT hit.id, hit.name, hit.description, hit.price, hit.category, hit.image_url, hit.created_at,
+       IFNULL(hit.stock_quantity, 0) AS stock_quantity, IFNULL(hit.offer_percentage, 0) AS offer_percentage,
+       hit.category_name, hit.parent_category_name, hit.total_matches,
+       IFNULL(rated.stars, 0) AS average_rating, IFNULL(rated.n, 0) AS review_count
+FROM (SELECT p.*, tree.name AS category_name, tree.parent AS parent_category_name, COUNT(*) OVER () AS total_matches
+      FROM shop_products p LEFT JOIN {_TREE} tree ON tree.id = p.category_id
+      {{where}}) hit
+LEFT JOIN {_RATED} rated ON rated.product_id = hit.id
+ORDER BY hit.created_at DESC, hit.id
+{{page}}
 """
 
 
@@ -32,9 +32,9 @@ def q01_catalog_search(spark, sf_dir):
 
 
 @register("q01_catalog_search_filtered", oracle=_Q1_SELECT.format(where="""
-  AND (LOWER(c.name) = LOWER('america') OR LOWER(pc.name) = LOWER('america'))
-  AND (LOWER(p.name) LIKE LOWER('%OL%') OR LOWER(p.description) LIKE LOWER('%OL%'))
-  AND p.price >= 920 AND p.price <= 990
+WHERE 'america' IN (LOWER(tree.name), LOWER(tree.parent))
+  AND (p.name ILIKE '%ol%' OR p.description ILIKE '%ol%')
+  AND p.price BETWEEN 920 AND 990
   AND LOWER(p.product_type) IN ('economy', 'small', 'standard', 'promo')""", page=""))
 def q01_catalog_search_filtered(spark, sf_dir):
     s = Shop.of(spark, sf_dir)
@@ -44,7 +44,7 @@ def q01_catalog_search_filtered(spark, sf_dir):
 
 
 @register("q01_catalog_search_types_page3", oracle=_Q1_SELECT.format(where="""
-  AND LOWER(p.skin_type) IN ('brand#2', 'brand#7', 'brand#12')
+WHERE LOWER(p.skin_type) IN ('brand#2', 'brand#7', 'brand#12')
   AND list_has_any(list_transform(p.concerns, lambda x: lower(x)), ['red', 'blue'])""",
                                                                       page="LIMIT 10 OFFSET 20"))
 def q01_catalog_search_types_page3(spark, sf_dir):
@@ -130,17 +130,14 @@ def q05_category_with_products(spark, sf_dir):
 
 
 _Q6 = f"""
-SELECT {_PRODUCT_COLS}, c.name AS category_name,
-       COALESCE(AVG(r.rating), 0) AS average_rating,
-       COUNT(DISTINCT r.id) AS review_count,
-       COUNT(DISTINCT o.id) AS order_count
+SELECT {_PRODUCT_COLS}, (SELECT c.name FROM shop_categories c WHERE c.id = p.category_id) AS category_name,
+       IFNULL(rated.stars, 0) AS average_rating, IFNULL(rated.n, 0) AS review_count,
+       IFNULL(sold.n, 0) AS order_count
 FROM shop_products p
-LEFT JOIN shop_categories c ON p.category_id = c.id
-LEFT JOIN shop_reviews r ON p.id = r.product_id
-LEFT JOIN shop_order_items oi ON p.id = oi.product_id
-LEFT JOIN shop_orders o ON oi.order_id = o.id
-WHERE 1=1 {{where}}
-GROUP BY ALL
+LEFT JOIN {_RATED} rated ON rated.product_id = p.id
+LEFT JOIN (SELECT product_id, COUNT(DISTINCT order_id) AS n FROM shop_order_items
+           WHERE order_id IN (SELECT id FROM shop_orders) GROUP BY product_id) sold ON sold.product_id = p.id
+{{where}}
 """
 
 
@@ -151,9 +148,9 @@ def q06_inventory_report(spark, sf_dir):
 
 
 @register("q06_inventory_report_filtered", oracle=_Q6.format(where="""
-  AND p.category_id = 3
+WHERE p.category_id = 3
   AND (p.name ILIKE '%O%' OR p.description ILIKE '%O%')
-  AND p.price >= 901.5 AND p.price <= 995
+  AND p.price BETWEEN 901.5 AND 995
   AND p.product_type IN ('ECONOMY', 'SMALL', 'PROMO', 'large')
   AND list_has_any(p.concerns, ['red', 'ring', 'Bolt'])"""))
 def q06_inventory_report_filtered(spark, sf_dir):

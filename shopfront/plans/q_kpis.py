@@ -33,19 +33,23 @@ def q11_product_performance(spark, sf_dir):
 
 # The literal fan-out join of the reference: items x reviews x wishlist rows.
 _Q11_AS_WRITTEN = """
-SELECT p.id, p.name, p.price,
-       COUNT(DISTINCT o.id) AS total_orders,
-       CAST(SUM(oi.quantity) AS BIGINT) AS total_units_sold,
-       CAST(SUM(oi.quantity * oi.price_at_time) AS DECIMAL(18,2)) AS total_revenue,
-       COALESCE(AVG(r.rating), 0) AS average_rating,
-       COUNT(DISTINCT r.id) AS review_count,
-       COUNT(DISTINCT w.id) AS wishlist_count
+SELECT p.id, p.name, p.price, fan.* EXCLUDE (product_id)
 FROM shop_products p
-LEFT JOIN shop_order_items oi ON p.id = oi.product_id
-LEFT JOIN shop_orders o ON oi.order_id = o.id
-LEFT JOIN shop_reviews r ON p.id = r.product_id
-LEFT JOIN shop_wishlist w ON p.id = w.product_id
-GROUP BY p.id, p.name, p.price
+JOIN (SELECT p0.id AS product_id,
+             COUNT(DISTINCT sold.order_id) AS total_orders,
+             CAST(SUM(sold.units) AS BIGINT) AS total_units_sold,
+             CAST(SUM(sold.money) AS DECIMAL(18,2)) AS total_revenue,
+             IFNULL(AVG(seen.rating), 0) AS average_rating,
+             COUNT(DISTINCT seen.review_id) AS review_count,
+             COUNT(DISTINCT seen.wish_id) AS wishlist_count
+      FROM shop_products p0
+      LEFT JOIN (SELECT product_id, quantity AS units, quantity * price_at_time AS money,
+                        (SELECT o.id FROM shop_orders o WHERE o.id = order_id) AS order_id
+                 FROM shop_order_items) sold ON sold.product_id = p0.id
+      LEFT JOIN (SELECT COALESCE(r.product_id, w.product_id) AS product_id, r.rating, r.id AS review_id, w.id AS wish_id
+                 FROM shop_reviews r FULL JOIN shop_wishlist w ON w.product_id = r.product_id) seen
+             ON seen.product_id = p0.id
+      GROUP BY p0.id) fan ON fan.product_id = p.id
 """
 
 
@@ -57,10 +61,10 @@ def q11_product_performance_as_written(spark, sf_dir):
 
 
 @register("q09_shop_kpis", oracle="""
-SELECT (SELECT COUNT(*) FROM shop_users WHERE role != 'admin') AS total_users,
-       (SELECT COUNT(*) FROM shop_products) AS total_products,
-       (SELECT COUNT(*) FROM shop_orders) AS total_orders,
-       CAST(COALESCE((SELECT SUM(total_amount) FROM shop_orders), 0) AS DECIMAL(18,2)) AS total_revenue
+SELECT people.n AS total_users, goods.n AS total_products, sales.n AS total_orders, sales.money AS total_revenue
+FROM (SELECT COUNT(*) FILTER (WHERE role <> 'admin') AS n FROM shop_users) people,
+     (SELECT COUNT(*) AS n FROM shop_products) goods,
+     (SELECT COUNT(*) AS n, CAST(IFNULL(SUM(total_amount), 0) AS DECIMAL(18,2)) AS money FROM shop_orders) sales
 """)
 def q09_shop_kpis(spark, sf_dir):
     s = Shop.of(spark, sf_dir)
@@ -68,12 +72,11 @@ def q09_shop_kpis(spark, sf_dir):
 
 
 @register("q10_customer_value", oracle="""
-SELECT id, name, email, role, created_at,
-       (SELECT COUNT(*) FROM shop_orders o WHERE o.user_id = u.id) AS total_orders,
-       CAST((SELECT COALESCE(SUM(total_amount), 0) FROM shop_orders o WHERE o.user_id = u.id)
-            AS DECIMAL(18,2)) AS total_spent
-FROM shop_users u
-WHERE role != 'admin'
+SELECT u.id, u.name, u.email, u.role, u.created_at, COUNT(o.id) AS total_orders,
+       CAST(IFNULL(SUM(o.total_amount), 0) AS DECIMAL(18,2)) AS total_spent
+FROM shop_users u LEFT JOIN shop_orders o ON o.user_id = u.id
+WHERE u.role <> 'admin'
+GROUP BY ALL
 """)
 def q10_customer_value(spark, sf_dir):
     s = Shop.of(spark, sf_dir)
