@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopfront.session import ensure_checkpoint_dir
@@ -63,16 +63,26 @@ def held_out(doc_id: str = "doc_id"):
 def bounded_sample(rows: DataFrame, key: str, most: int, by: str | None = None) -> DataFrame:
     """At most ``most`` rows (of each value of ``by``): those with the smallest hash of ``key``.
 
-    Only keys are ranked; the second scan picks the rows by a broadcast of at
-    most ``most`` keys per value.  Ties keep the smaller key.
+    Only keys are ranked; the last scan picks the rows by a broadcast of at
+    most ``most`` keys per value.  Ties keep the smaller key.  With ``by``, a
+    count of keys per hash range (65,536 ranges a value, added up before the
+    shuffle) first tells how far in hash order a value's sample reaches, so
+    that no task ranks more than ``most`` keys and one range of a value.
     """
-    order = [F.xxhash64(F.col(key)), F.col(key)]
+    hashed = F.xxhash64(F.col(key))
+    order = [hashed, F.col(key)]
     if by is None:
         ids = rows.select(key).orderBy(*order).limit(most)
     else:
-        from pyspark.sql import Window
+        keys = rows.select(key, by, F.shiftright(hashed, 48).alias("_range"))
+        up_to = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        reach = (keys.groupBy(by, "_range").agg(F.count("*").alias("_n"))
+                 .withColumn("_before", F.coalesce(F.sum("_n").over(up_to), F.lit(0))).filter(F.col("_before") < most)
+                 .groupBy(F.col(by).alias("_by")).agg(F.max("_range").alias("_last")))
+        near = keys.join(F.broadcast(reach), F.col(by).eqNullSafe(F.col("_by")) & (F.col("_range") <= F.col("_last")),
+                         "left_semi")
         w = Window.partitionBy(by).orderBy(*order)
-        ids = rows.select(key, by).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select(key)
+        ids = near.select(key, by).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).select(key)
     return rows.join(F.broadcast(ids.distinct()), key, "left_semi")
 
 
