@@ -159,8 +159,11 @@ def ingest_orders(orders: DataFrame, order_items: DataFrame, products: DataFrame
                   requests: DataFrame, lines: DataFrame, as_of) -> Change:
     """C4: place a batch of orders.
 
-    ``requests``: seq, user_id, payment_method, total_amount;
-    ``lines``: seq, product_id, quantity.  The method must be 'cod' or
+    ``requests``: seq, user_id, payment_method, total_amount, and any further
+    column of ``orders`` (the shipping fields), which is taken over;
+    ``lines``: seq, product_id, quantity, and a unique ``line_seq`` (from 0)
+    if ``order_items`` has an id (a new item gets max(id) + 1 + line_seq).
+    The method must be 'cod' or
     'online' ('Invalid payment method'); an order naming an unknown product
     is refused whole ('Product not found').  A null total becomes 0.  Line
     prices are copied from products.  cod: status 'pending', stock drops by
@@ -178,15 +181,22 @@ def ingest_orders(orders: DataFrame, order_items: DataFrame, products: DataFrame
                                                                         _next_id(orders, F.col("seq"))))
     ok = req.filter(F.col("error").isNull())
     is_cod = F.col("payment_method") == "cod"
-    new_orders = ok.select(
-        F.col("order_id").alias("id"), "user_id",
-        F.coalesce(F.col("total_amount").cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)")).alias("total_amount"),
-        F.when(is_cod, "pending").otherwise("pending_payment").alias("status"),
-        _ts(as_of).alias("created_at"), F.col("payment_method"),
-        F.col("payment_method").alias("payment_method_type"), F.lit("pending").alias("payment_status"),
-        (~is_cod).alias("is_temporary"))
+    decided = {
+        "id": F.col("order_id"), "user_id": F.col("user_id"),
+        "total_amount": F.coalesce(F.col("total_amount").cast("decimal(10,2)"), F.lit(0).cast("decimal(10,2)")),
+        "status": F.when(is_cod, "pending").otherwise("pending_payment"),
+        "created_at": _ts(as_of), "payment_method": F.col("payment_method"),
+        "payment_method_type": F.col("payment_method"), "payment_status": F.lit("pending"),
+        "is_temporary": ~is_cod}
+    given = [c for c in orders.columns if c in requests.columns and c not in decided]
+    new_orders = ok.select(*[c.alias(name) for name, c in decided.items()], *given)
+    item_id = []
+    if "id" in order_items.columns:
+        if "line_seq" not in lines.columns:
+            raise ValueError("order_items has ids: lines need a unique line_seq")
+        item_id = [_next_id(order_items, F.col("line_seq")).alias("id")]
     new_items = (priced.join(ok.select("seq", "order_id", "payment_method"), "seq", "inner")
-                 .select("order_id", "product_id", F.col("quantity").cast("int").alias("quantity"),
+                 .select(*item_id, "order_id", "product_id", F.col("quantity").cast("int").alias("quantity"),
                          F.col("_price").alias("price_at_time"), "payment_method"))
     cod_units = new_items.filter(F.col("payment_method") == "cod").groupBy("product_id") \
         .agg(F.sum("quantity").alias("_units"))
@@ -330,16 +340,16 @@ def apply_coupons(cart: DataFrame, coupons: DataFrame, allocations: DataFrame) -
 # ---------------------------------------------------------------- generic patches
 
 def patch_rows(table: DataFrame, patches: DataFrame, keep_cols: list[str], overwrite_cols: list[str],
-               as_of, key: str = "id", stamp: str | None = "updated_at") -> Change:
+               as_of, key: str = "id", stamp: str | None = "updated_at", missing: str = "Not found") -> Change:
     """Partial update by ``key`` in seq order.
 
     ``keep_cols`` take the last non-null patched value (COALESCE(new, old));
     ``overwrite_cols`` take the last patch's value even when null.  Patched
-    rows get ``stamp`` = as_of; patches of unknown keys answer 'Not found'.
+    rows get ``stamp`` = as_of; patches of unknown keys answer ``missing``.
     """
     known = table.select(F.col(key).alias("_k"))
     p = patches.join(known, F.col(key) == F.col("_k"), "left")
-    outcome = p.select("seq", key, F.when(F.col("_k").isNull(), "Not found").alias("error"))
+    outcome = p.select("seq", key, F.when(F.col("_k").isNull(), missing).alias("error"))
     p = p.filter(F.col("_k").isNotNull())
     aggs = [F.max(F.col("seq")).alias("_last_seq")]
     for c in keep_cols:
@@ -388,13 +398,19 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
+#: Optional columns of a new product: they are taken over, empty texts as null.
+PRODUCT_EXTRAS = ("usage_instructions", "size", "benefits", "ingredients", "product_details",
+                  "image_url", "image_url2", "image_url3")
+
+
 def add_products(products: DataFrame, categories: DataFrame, rows: DataFrame, as_of) -> Change:
     """Admin product inserts (all fields as submitted text).
 
     Checks in order: name, price and category present; category id an
     integer; category exists; price, stock and offer parse; offer 0..100.
-    The category's name is copied into ``category``; empty texts become
-    null; stock and offer default to 0.
+    The category's name is copied into ``category``; stock and offer default
+    to 0; of PRODUCT_EXTRAS, those that ``rows`` and ``products`` both have
+    are taken over, with empty texts as null.
     """
     cats = categories.select(F.col("id").alias("_cid"), F.col("name").alias("_cname"))
     r = rows.withColumn("_cat", _js_int(F.col("category_id")))
@@ -419,7 +435,8 @@ def add_products(products: DataFrame, categories: DataFrame, rows: DataFrame, as
         F.col("_cname").alias("category"), F.col("_cat").alias("category_id"),
         F.col("_stock").cast("int").alias("stock_quantity"),
         F.col("_offer").cast("int").alias("offer_percentage"),
-        _ts(as_of).alias("created_at"))
+        _ts(as_of).alias("created_at"),
+        *[F.when(~_blank(F.col(c)), F.col(c)).alias(c) for c in PRODUCT_EXTRAS if c in rows.columns])
     outcome = r.select("seq", "name", "error",
                        F.when(F.col("error").isNull(), _next_id(products, F.col("seq"))).alias("product_id"))
     return Change({"products": _align(products, products).unionByName(_align(new, products))}, outcome)
@@ -460,7 +477,9 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
     already submitted a brand review'); update: rating and comment of the
     user's review ('Review not found'); delete: by (id, user) ('Review not
     found or you do not have permission to delete it').  Ops of a user apply
-    in seq order; the state before an op follows from the previous ops.
+    in seq order; the state before an op follows from the previous ops.  A
+    rating outside 1..5 (or null) changes nothing ('Rating must be between 1
+    and 5'); an add that names no id gets max(id) + 1 + seq.
 
     No user's ops are gathered in one place.  The review exists between a
     successful add (or the original review) and the first later delete of
@@ -476,8 +495,11 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
     from ..sources.io import cut
     lo = F.lit(-(2 ** 63)).cast("long")           # position of a review that predates the batch
     old = brand_reviews.groupBy("user_id").agg(F.min(F.struct("id", "rating", "comment", "created_at")).alias("_o"))
-    ops = rows.select("seq", "op", "user_id", "id", "rating", "comment")
-    adds = ops.filter(F.col("op") == "add")
+    rated = F.coalesce(F.col("rating").between(1, 5), F.lit(False))
+    ops = rows.select("seq", "op", "user_id",
+                      F.when(F.col("op") == "add", F.coalesce("id", _next_id(brand_reviews, F.col("seq"))))
+                       .otherwise(F.col("id")).alias("id"), "rating", "comment", rated.alias("_rated"))
+    adds = ops.filter((F.col("op") == "add") & F.col("_rated"))
     dels = ops.filter(F.col("op") == "delete")
     touched = ops.select("user_id").distinct()
     # chain nodes: every add (review id = op id) and each touched user's original review
@@ -527,9 +549,10 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
               .select("user_id", F.col("del_seq").alias("_s"), F.lit("D").alias("_kind"), F.lit(None).cast("long").alias("rid")))
     events = ev_add.unionByName(ev_del)
     # state before each op: the last event at an earlier seq (an op sorts before its own event)
-    probe3 = ops.select("user_id", F.col("seq").alias("_s"), F.lit(0).alias("_t"), "op", F.col("id").alias("_oid"))
+    probe3 = ops.select("user_id", F.col("seq").alias("_s"), F.lit(0).alias("_t"), "op", F.col("id").alias("_oid"),
+                        "_rated")
     ek = events.select("user_id", "_s", F.lit(1).alias("_t"), F.lit(None).cast("string").alias("op"),
-                       F.lit(None).cast("long").alias("_oid"))
+                       F.lit(None).cast("long").alias("_oid"), F.lit(True).alias("_rated"))
     sc3 = key_scan(probe3.unionByName(ek), ["user_id"], ["_s", "_t"], count_if=F.col("_t") == 1, count_name="_c")
     numbered = (sc3.filter("_t = 1").select(F.col("user_id").alias("_u"), F.col("_c").alias("_n"), F.col("_s").alias("_es"))
                 .join(events.select(F.col("user_id").alias("_u"), F.col("_s").alias("_es"), "_kind", "rid"), ["_u", "_es"]))
@@ -537,6 +560,7 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
     present = F.coalesce(F.col("_kind") == "A", F.lit(False))
     err = (F.when((F.col("op") == "add") & present, "You have already submitted a brand review")
            .when((F.col("op") == "update") & ~present, "Review not found")
+           .when(F.col("op").isin("add", "update") & ~F.col("_rated"), "Rating must be between 1 and 5")
            .when((F.col("op") == "delete") & ~(present & (F.col("_oid") == F.col("rid"))),
                  "Review not found or you do not have permission to delete it"))
     outcome = st.select("user_id", F.col("_s").alias("seq"), err.alias("error"))
@@ -544,7 +568,7 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
     # final review per touched user: the last event; rating/comment from the last later update
     last_ev = events.groupBy("user_id").agg(F.max_by(F.struct("_kind", "rid"), "_s").alias("_e"),
                                             F.max("_s").alias("_es"))
-    last_upd = ops.filter(F.col("op") == "update").groupBy(F.col("user_id").alias("_uu")).agg(
+    last_upd = ops.filter((F.col("op") == "update") & F.col("_rated")).groupBy(F.col("user_id").alias("_uu")).agg(
         F.max_by(F.struct("rating", "comment"), "seq").alias("_upd"), F.max("seq").alias("_us"))
     added = adds.select(F.col("user_id").alias("_au"), F.col("seq").alias("_es"), F.col("rating").alias("_ar"),
                         F.col("comment").alias("_ac"))
@@ -567,39 +591,54 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
 
 
 def upsert_categories(categories: DataFrame, rows: DataFrame, as_of) -> Change:
-    """``rows`` (seq, id, name, description, parent_id); id null = insert.
+    """``rows`` (seq, id, name, description, parent_id, image_url if the table has it); id null = insert.
 
     A name may not equal another category's name case-blind ('Category name
-    already exists'), counting earlier rows of the batch; an update of an
-    unknown id answers 'Category not found'.  Updates COALESCE name and
-    description and overwrite parent_id.
+    already exists'), counting earlier rows of the batch for other
+    categories; an update of an unknown id answers 'Category not found'.
+    Updates COALESCE name, description and image_url and overwrite parent_id.
     """
-    existing = categories.select(F.lower("name").alias("_lname"), F.col("id").alias("_holder"))
-    batch_names = first_by(rows.filter(F.col("name").isNotNull()).withColumn("_lname", F.lower("name")),
-                           ["_lname"], [F.col("seq")], ["seq"]).withColumnRenamed("seq", "_first_seq")
+    image = [c for c in ("image_url",) if c in rows.columns and c in categories.columns]
+    # one row per stored name: it clashes unless its only holder is the updated category itself
+    existing = categories.groupBy(F.lower("name").alias("_lname")).agg(
+        F.min("id").alias("_low"), F.max("id").alias("_high"))
+    # who claims a name in the batch: an updated category, or an insert by its own seq
+    claims = rows.select("seq", F.lower("name").alias("_lname"), F.struct(
+        F.col("id").alias("i"), F.when(F.col("id").isNull(), F.col("seq")).alias("s")).alias("_who"))
+    firsts = claims.filter(F.col("_lname").isNotNull()).groupBy("_lname", "_who").agg(F.min("seq").alias("_at"))
+    # the name's first claimant, and when the first other one came
+    lead = firsts.groupBy("_lname").agg(F.min(F.struct("_at", "_who")).alias("_lead"))
+    second = (firsts.join(lead, "_lname").filter(F.col("_at") > F.col("_lead._at"))
+              .groupBy("_lname").agg(F.min("_at").alias("_second")))
     ids = categories.select(F.col("id").alias("_known"))
-    r = (rows.withColumn("_lname", F.lower("name"))
-         .join(existing, "_lname", "left")
-         .join(batch_names, "_lname", "left")
+    r = (rows.join(claims.drop("_lname"), "seq").withColumn("_lname", F.lower("name"))
+         .join(existing, "_lname", "left").join(lead, "_lname", "left").join(second, "_lname", "left")
          .join(ids, F.col("id") == F.col("_known"), "left"))
-    clash = (F.col("_holder").isNotNull() & (F.col("id").isNull() | (F.col("_holder") != F.col("id")))) \
-        | (F.col("_first_seq") < F.col("seq"))
+    other = F.when(F.col("_who").eqNullSafe(F.col("_lead._who")), F.col("_second")).otherwise(F.col("_lead._at"))
+    stored = F.col("_low").isNotNull() & (F.col("id").isNull() | (F.col("_low") != F.col("id"))
+                                          | (F.col("_high") != F.col("id")))
+    clash = stored | F.coalesce(other < F.col("seq"), F.lit(False))
     error = (F.when(F.col("name").isNotNull() & clash, "Category name already exists")
              .when(F.col("id").isNotNull() & F.col("_known").isNull(), "Category not found"))
     r = r.withColumn("error", error)
     ok = r.filter(F.col("error").isNull())
     inserts = ok.filter(F.col("id").isNull()).select(
-        _next_id(categories, F.col("seq")).alias("id"), "name", "description", "parent_id",
+        _next_id(categories, F.col("seq")).alias("id"), "name", "description", "parent_id", *image,
         _ts(as_of).alias("created_at"))
     patched = patch_rows(categories, ok.filter(F.col("id").isNotNull()).select(
-        "seq", "id", "name", "description", "parent_id"), ["name", "description"], ["parent_id"], as_of,
+        "seq", "id", "name", "description", "parent_id", *image), ["name", "description", *image], ["parent_id"], as_of,
         stamp=None).tables["table"]
     return Change({"categories": _align(patched, categories).unionByName(_align(inserts, categories))},
                   r.select("seq", "id", "name", "error"))
 
 
 def delete_categories(categories: DataFrame, products: DataFrame, ids: DataFrame) -> Change:
-    """``ids`` (seq, id): refuse with subcategories, then with products, then when missing."""
+    """``ids`` (seq, id): refuse with subcategories, then with products, then when missing.
+
+    The first delete of a category that may go removes it; later ones of the
+    batch answer 'Category not found'.  Subcategories are those of the
+    snapshot: a parent goes in the batch after its last child.
+    """
     subs = categories.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("_sp")).distinct()
     used = products.filter(F.col("category_id").isNotNull()).select(F.col("category_id").alias("_up")).distinct()
     known = categories.select(F.col("id").alias("_known"))
@@ -607,8 +646,9 @@ def delete_categories(categories: DataFrame, products: DataFrame, ids: DataFrame
          .join(known, F.col("id") == F.col("_known"), "left"))
     error = (F.when(F.col("_sp").isNotNull(), "Cannot delete category with existing subcategories")
              .when(F.col("_up").isNotNull(), "Cannot delete category with existing products")
-             .when(F.col("_known").isNull(), "Category not found"))
-    r = r.withColumn("error", error)
+             .when(F.col("_known").isNull() | (F.col("seq") > F.col("_first")), "Category not found"))
+    firsts = ids.groupBy(F.col("id").alias("_fid")).agg(F.min("seq").alias("_first"))
+    r = r.join(firsts, F.col("id") == F.col("_fid"), "left").withColumn("error", error)
     gone = r.filter(F.col("error").isNull()).select("id").distinct()
     return Change({"categories": categories.join(gone, "id", "left_anti")}, r.select("seq", "id", "error"))
 
@@ -635,8 +675,14 @@ def replace_coupon_products(coupon_products: DataFrame, sets: DataFrame) -> Chan
                   outcome)
 
 
-def create_coupons(coupons: DataFrame, rows: DataFrame, as_of) -> Change:
-    """C14 (create): code upper-cased, minimum defaults to 0, a taken code is refused."""
+def create_coupons(coupons: DataFrame, rows: DataFrame, as_of, coupon_products: DataFrame | None = None,
+                   links: DataFrame | None = None) -> Change:
+    """C14 (create): code upper-cased, minimum defaults to 0, a taken code is refused.
+
+    ``links`` (seq unique per link, coupon_seq = the coupon row's seq,
+    product_id) are the products of the new coupons; links of refused
+    coupons are dropped, repeated ones collapse to the first.
+    """
     taken = coupons.select(F.upper("code").alias("_ucode")).withColumn("_taken", F.lit(True))
     firsts = first_by(rows.withColumn("_ucode", F.upper("code")), ["_ucode"], [F.col("seq")], ["seq"]) \
         .withColumnRenamed("seq", "_first")
@@ -649,8 +695,15 @@ def create_coupons(coupons: DataFrame, rows: DataFrame, as_of) -> Change:
                     F.coalesce("min_purchase_amount", F.lit(0)).alias("min_purchase_amount"),
                     "max_discount_amount", "start_date", "end_date", "usage_limit",
                     F.lit(0).alias("times_used"), F.lit(True).alias("is_active"), _ts(as_of).alias("created_at"))
-    return Change({"coupons": _align(coupons, coupons).unionByName(_align(new, coupons))},
-                  r.select("seq", "code", "error"))
+    tables = {"coupons": _align(coupons, coupons).unionByName(_align(new, coupons))}
+    if links is not None:
+        made = ok.select(F.col("seq").alias("_made"), _next_id(coupons, F.col("seq")).alias("coupon_id"))
+        fresh = (links.filter(F.col("product_id").isNotNull()).groupBy("coupon_seq", "product_id")
+                 .agg(F.min("seq").alias("_seq")).join(made, F.col("coupon_seq") == F.col("_made"))
+                 .select(_next_id(coupon_products, F.col("_seq")).alias("id"), "coupon_id", "product_id"))
+        tables["coupon_products"] = _align(coupon_products, coupon_products).unionByName(
+            _align(fresh, coupon_products))
+    return Change(tables, r.select("seq", "code", "error"))
 
 
 # ---------------------------------------------------------------- cascades and defaults

@@ -284,6 +284,22 @@ def c04_ingest_orders_items(spark, sf_dir):
     return _ingest(Shop.of(spark, sf_dir)).tables["order_items"]
 
 
+@reg("c04_ingest_orders_shipping", """
+SELECT id, user_id, NULL AS shipping_full_name, NULL AS shipping_city FROM shop_orders
+UNION ALL
+SELECT (SELECT MAX(id) + 1 FROM shop_orders) + r.seq, r.user_id, c.c_name, c.c_mktsegment
+FROM c_req r LEFT JOIN customer c ON c.c_custkey = r.user_id
+WHERE r.payment_method IN ('cod', 'online')
+""")
+def c04_ingest_orders_shipping(spark, sf_dir):
+    s = Shop.of(spark, sf_dir)
+    req, lines = I.shipped_order_requests(s)
+    columns = ("shipping_full_name", "shipping_city")
+    orders = s.orders.withColumns({c: F.lit(None).cast("string") for c in columns})
+    got = C.ingest_orders(orders, s.order_items, s.products, s.cart, req, lines, I.AS_OF)
+    return got.tables["orders"].select("id", "user_id", *columns)
+
+
 # ------------------------------------------------------------------ C5 / C6
 
 def _first_ok(src: str) -> str:
@@ -447,6 +463,33 @@ def c09_patch_products(spark, sf_dir):
                         ["offer_percentage"], I.AS_OF).tables["table"]
 
 
+_COUPON_PATCH = {"c_cpatch": """
+SELECT id AS seq, id + 3 AS id, CASE WHEN id % 2 = 0 THEN 'about ' || CAST(id AS VARCHAR) END AS description,
+       CASE WHEN id % 3 = 0 THEN false END AS is_active
+FROM shop_coupons"""}
+
+
+def _patch_coupons(s):
+    return C.patch_rows(s.coupons, I.coupon_patches(s), ["description", "is_active"], [], I.AS_OF, stamp=None,
+                        missing="Coupon not found")
+
+
+@reg("c09_patch_coupons", """
+SELECT c.* REPLACE (COALESCE(x.description, c.description) AS description,
+                    COALESCE(x.is_active, c.is_active) AS is_active)
+FROM shop_coupons c LEFT JOIN c_cpatch x ON x.id = c.id
+""", **_COUPON_PATCH)
+def c09_patch_coupons(spark, sf_dir):
+    return _patch_coupons(Shop.of(spark, sf_dir)).tables["table"]
+
+
+@reg("c09_patch_coupons_outcome", """
+SELECT seq, id, CASE WHEN id NOT IN (SELECT id FROM shop_coupons) THEN 'Coupon not found' END AS error FROM c_cpatch
+""", **_COUPON_PATCH)
+def c09_patch_coupons_outcome(spark, sf_dir):
+    return _patch_coupons(Shop.of(spark, sf_dir)).outcome
+
+
 # ------------------------------------------------------------------ C10
 
 _PROWS = {"prow_out": f"""
@@ -491,6 +534,21 @@ def c10_add_products_products(spark, sf_dir):
     return C.add_products(s.products, s.categories, I.product_rows(s), I.AS_OF).tables["products"]
 
 
+@reg("c10_add_products_details", """
+SELECT id, NULL AS size, NULL AS benefits, NULL AS image_url FROM shop_products
+UNION ALL
+SELECT (SELECT MAX(id) + 1 FROM shop_products) + r.seq,
+       CASE WHEN p.p_partkey % 3 <> 0 THEN CAST(p.p_size AS VARCHAR) END, p.p_type, '/uploads/' || p.p_name
+FROM prow_out r JOIN part p ON p.p_partkey = r.seq
+WHERE r.error IS NULL
+""", **_PROWS)
+def c10_add_products_details(spark, sf_dir):
+    s = Shop.of(spark, sf_dir)
+    products = s.products.withColumns({c: F.lit(None).cast("string") for c in C.PRODUCT_EXTRAS})
+    got = C.add_products(products, s.categories, I.detailed_product_rows(s), I.AS_OF)
+    return got.tables["products"].select("id", "size", "benefits", "image_url")
+
+
 # ------------------------------------------------------------------ C11
 
 _RV = {"rv_out": """
@@ -589,7 +647,8 @@ SELECT r.*,
        CASE WHEN r.name IS NOT NULL AND (
                  EXISTS (SELECT 1 FROM shop_categories c WHERE lower(c.name) = lower(r.name)
                          AND (r.id IS NULL OR c.id <> r.id))
-              OR EXISTS (SELECT 1 FROM c_cats y WHERE lower(y.name) = lower(r.name) AND y.seq < r.seq))
+              OR EXISTS (SELECT 1 FROM c_cats y WHERE lower(y.name) = lower(r.name) AND y.seq < r.seq
+                         AND (y.id IS NULL OR r.id IS NULL OR y.id <> r.id)))
             THEN 'Category name already exists'
             WHEN r.id IS NOT NULL AND r.id NOT IN (SELECT id FROM shop_categories) THEN 'Category not found'
        END AS error
@@ -666,6 +725,34 @@ def c14_create_coupons_outcome(spark, sf_dir):
     return C.create_coupons(s.coupons, I.coupon_creates(s), I.AS_OF).outcome
 
 
+def _create_coupons(s):
+    return C.create_coupons(s.coupons, I.coupon_creates(s), I.AS_OF, s.coupon_products, I.coupon_links(s))
+
+
+_NEW_COUPONS = {"c_new": """
+SELECT (SELECT MAX(id) + 1 FROM shop_coupons) + r.seq AS id, upper(r.code) AS code, r.seq
+FROM c_ccreate r
+WHERE NOT EXISTS (SELECT 1 FROM shop_coupons c WHERE upper(c.code) = upper(r.code))
+  AND NOT EXISTS (SELECT 1 FROM c_ccreate y WHERE upper(y.code) = upper(r.code) AND y.seq < r.seq)"""}
+
+
+@reg("c14_create_coupons", """
+SELECT id, code FROM shop_coupons UNION ALL SELECT id, code FROM c_new
+""", **_NEW_COUPONS)
+def c14_create_coupons(spark, sf_dir):
+    return _create_coupons(Shop.of(spark, sf_dir)).tables["coupons"].select("id", "code")
+
+
+@reg("c14_create_coupons_links", """
+SELECT id, coupon_id, product_id FROM shop_coupon_products
+UNION ALL
+SELECT (SELECT MAX(id) + 1 FROM shop_coupon_products) + p.p_partkey, n.id, p.p_partkey
+FROM part p JOIN c_new n ON n.seq = p.p_partkey % 5
+""", **_NEW_COUPONS)
+def c14_create_coupons_links(spark, sf_dir):
+    return _create_coupons(Shop.of(spark, sf_dir)).tables["coupon_products"].select("id", "coupon_id", "product_id")
+
+
 # ------------------------------------------------------------------ C15
 
 def _cascade_users(s):

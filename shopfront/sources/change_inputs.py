@@ -204,3 +204,38 @@ def address_changes(s: Shop) -> DataFrame:
         F.col("o_custkey").alias("user_id"), F.col("o_orderkey").alias("id"),
         F.concat(F.lit("New "), F.col("o_orderkey").cast("string")).alias("address_line1"),
         (F.col("o_orderpriority") == "2-HIGH").alias("is_default"))
+
+
+def shipped_order_requests(s: Shop) -> tuple[DataFrame, DataFrame]:
+    """C4 with shipping fields from the customer, and a unique line_seq."""
+    req, _ = order_requests(s)
+    c = s.raw.customer.select(F.col("c_custkey").alias("_ck"), F.col("c_name").alias("shipping_full_name"),
+                              F.col("c_mktsegment").alias("shipping_city"))
+    li = s.raw.lineitem.select(
+        F.col("l_orderkey").alias("seq"), F.col("l_partkey").alias("product_id"),
+        F.col("l_quantity").cast("int").alias("quantity"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("line_seq"))
+    return req.join(c, F.col("user_id") == F.col("_ck"), "left").drop("_ck"), li
+
+
+def detailed_product_rows(s: Shop) -> DataFrame:
+    """C10 with texts and images; every third size is empty."""
+    more = s.raw.part.select(
+        F.col("p_partkey").alias("seq"),
+        F.when(F.col("p_partkey") % 3 == 0, "").otherwise(F.col("p_size").cast("string")).alias("size"),
+        F.col("p_type").alias("benefits"), F.concat(F.lit("/uploads/"), "p_name").alias("image_url"))
+    return product_rows(s).join(more, "seq")
+
+
+def coupon_links(s: Shop) -> DataFrame:
+    """C14 (create): every part joins the coupon of region partkey modulo 5."""
+    return s.raw.part.select(F.col("p_partkey").alias("seq"), (F.col("p_partkey") % 5).cast("long").alias("coupon_seq"),
+                             F.col("p_partkey").alias("product_id"))
+
+
+def coupon_patches(s: Shop) -> DataFrame:
+    """Every coupon patches the one three ids on: text of even ids, every third switched off."""
+    return s.coupons.select(
+        F.col("id").alias("seq"), (F.col("id") + 3).alias("id"),
+        F.when(F.col("id") % 2 == 0, F.concat(F.lit("about "), F.col("id").cast("string"))).alias("description"),
+        F.when(F.col("id") % 3 == 0, F.lit(False)).alias("is_active"))

@@ -73,3 +73,56 @@ def test_zero_total_cart_gets_no_discount(spark, as_written):
     links = spark.createDataFrame([], "id long, coupon_id long, product_id long")
     got = rows(promotions.coupon_allocation(carts, coupons, links, products, AS_OF, as_written=as_written))
     assert len(got) == 1 and got[0]["line_discount"] in (None, 0.0)
+
+
+def test_orders_keep_shipping_fields_and_items_get_ids(spark):
+    orders = spark.createDataFrame([(1, 7, "x")], "id long, user_id long, shipping_city string")
+    items = spark.createDataFrame([(4, 1, 5, 2)], "id long, order_id long, product_id long, quantity int")
+    products = spark.createDataFrame([(5, D("2.00"), 10)], "id long, price decimal(10,2), stock_quantity int")
+    cart = spark.createDataFrame([(1, 7)], "id long, user_id long")
+    req = spark.createDataFrame([(0, 7, "cod", 4, "Pune")], "seq long, user_id long, payment_method string, "
+                                                            "total_amount int, shipping_city string")
+    lines = spark.createDataFrame([(0, 5, 1, 0), (0, 5, 2, 1)], "seq long, product_id long, quantity int, line_seq long")
+    got = C.ingest_orders(orders, items, products, cart, req, lines, AS_OF)
+    assert [(r["id"], r["shipping_city"]) for r in rows(got.tables["orders"], ["id"])] == [(1, "x"), (2, "Pune")]
+    assert [r["id"] for r in rows(got.tables["order_items"], ["id"])] == [4, 5, 6]
+    with pytest.raises(ValueError, match="line_seq"):
+        C.ingest_orders(orders, items, products, cart, req, lines.drop("line_seq"), AS_OF)
+
+
+def test_brand_rating_is_checked_and_missing_ids_are_fresh(spark):
+    old = spark.createDataFrame([(3, 1, 4, "a", AS_OF)], "id long, user_id long, rating int, comment string, "
+                                                         "created_at timestamp_ntz")
+    ops = spark.createDataFrame([(0, "update", 1, None, 9, "b"), (1, "add", 2, None, 9, "c"),
+                                 (2, "add", 2, None, 5, "d"), (3, "add", 2, None, 9, "e")],
+                                "seq long, op string, user_id long, id long, rating int, comment string")
+    got = C.brand_review_changes(old, ops, AS_OF)
+    bad = "Rating must be between 1 and 5"
+    assert [r["error"] for r in rows(got.outcome, ["seq"])] == [
+        bad, bad, None, "You have already submitted a brand review"]
+    kept = rows(got.tables["brand_reviews"], ["id"])
+    assert [(r["id"], r["rating"], r["comment"]) for r in kept] == [(3, 4, "a"), (6, 5, "d")]
+
+
+CATS = "id long, name string, description string, parent_id long, image_url string"
+
+
+def test_category_batch_names_and_images(spark):
+    cats = spark.createDataFrame([(1, "Oil", None, None, "o.png"), (2, "Soap", None, None, None),
+                                  (3, "SOAP", None, None, None)], CATS)
+    batch = spark.createDataFrame([(0, 1, "Balm", None, None, None), (1, 1, "balm", None, None, "b.png"),
+                                   (2, None, "BALM", None, None, None), (3, 2, "soap", None, None, None),
+                                   (4, None, "Wax", None, None, "w.png")], "seq long, " + CATS)
+    got = C.upsert_categories(cats, batch, AS_OF)
+    taken = "Category name already exists"
+    assert [r["error"] for r in rows(got.outcome, ["seq"])] == [None, None, taken, taken, None]
+    new = {r["id"]: (r["name"], r["image_url"]) for r in rows(got.tables["categories"])}
+    assert new == {1: ("balm", "b.png"), 2: ("Soap", None), 3: ("SOAP", None), 8: ("Wax", "w.png")}
+
+
+def test_second_delete_of_a_category_is_not_found(spark):
+    cats = spark.createDataFrame([(1, None), (2, None)], "id long, parent_id long")
+    products = spark.createDataFrame([], "id long, category_id long")
+    got = C.delete_categories(cats, products, spark.createDataFrame([(0, 1), (1, 1)], "seq long, id long"))
+    assert [r["error"] for r in rows(got.outcome, ["seq"])] == [None, "Category not found"]
+    assert [r["id"] for r in rows(got.tables["categories"])] == [2]
