@@ -11,10 +11,12 @@ by block: passages whose largest impacts add up to less than the threshold stop
 the rest are scored.  All entries at or above the threshold are retrieved.
 
 A retrieved (document, item) is verified on the words around the passages that
-found it: ``overlap`` of the item's five-word shingles of the question (all
-sentences but the last) and of the answer (the last sentence; the whole item if
-it has one only) must both occur.  Parts of under five words count as one
-shingle.
+found it: ``overlap`` of the five-word shingles of the whole item must occur, or
+else of the question (all sentences but the last) and of the answer (the last
+sentence; the whole item if it has one only) both.  Parts of under five words
+count as one shingle; a part of under ``WIDE`` words also counts as found if
+``overlap`` of its shingles do when it is widened to ``WIDE`` words of the item.
+The overlaps reported are the parts', the larger of both counts.
 
 The index is broadcast, in shards of at most ``shard_chars`` characters of item
 text (chosen by hash of item_id); more shards mean more passes over the
@@ -42,6 +44,7 @@ SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 ENTRY = 64
 BLOCK = 8
 SHINGLE = 5
+WIDE = 2 * SHINGLE - 1  # words of a part that has SHINGLE shingles
 K1, B = 1.2, 0.75
 
 
@@ -57,13 +60,16 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
 @dataclass
 class Item:
     item_id: int
-    question: set[tuple[str, ...]]
-    answer: set[tuple[str, ...]]
-
-    def overlaps(self, w: list[str]) -> tuple[float, float]:
-        have = {k: {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} for k in {len(s) for s in self.question | self.answer}}
+    whole: set[tuple[str, ...]]
+    question: list[set[tuple[str, ...]]]  # as it is, and widened
+    answer: list[set[tuple[str, ...]]]
+
+    def overlaps(self, w: list[str]) -> tuple[float, float, float]:
+        """Of the whole item, the question and the answer."""
+        sides = [self.whole, *self.question, *self.answer]
+        have = {k: {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} for k in {len(s) for side in sides for s in side}}
         part = lambda side: sum(s in have[len(s)] for s in side) / len(side)
-        return part(self.question), part(self.answer)
+        return part(self.whole), max(map(part, self.question)), max(map(part, self.answer))
 
 
 @dataclass
@@ -91,7 +97,8 @@ def build_index(rows: list[tuple[int, str | None]]) -> Index:
         answer = words(parts[-1]) if len(parts) > 1 else w
         question = words(" ".join(parts[:-1])) if len(parts) > 1 else w
         entries += [(len(items), w[i:i + ENTRY]) for i in range(0, len(w), ENTRY) if i == 0 or len(w) - i >= SHINGLE]
-        items.append(Item(item_id, shingles(question), shingles(answer)))
+        items.append(Item(item_id, shingles(w), [shingles(question), shingles(w[:max(len(question), WIDE)])],
+                          [shingles(answer), shingles(w[-max(len(answer), WIDE):])]))
     vocabulary = sorted({t for _, w in entries for t in w})
     terms = {t: i for i, t in enumerate(vocabulary)}
     df = np.zeros(len(terms))
@@ -173,8 +180,8 @@ def leaks(index: Index, texts: list[str | None], threshold: float, overlap: floa
         hit[0], hit[1], hit[2] = min(hit[0], p), max(hit[1], p), max(hit[2], s)
     for (d, i), (low, high, s) in sorted(found.items()):
         around = docs[d][max(0, (low - 1) * ENTRY):(high + 3) * ENTRY]
-        q, a = index.items[i].overlaps(around)
-        if q >= overlap and a >= overlap:
+        whole, q, a = index.items[i].overlaps(around)
+        if whole >= overlap or (q >= overlap and a >= overlap):
             yield d, index.items[i].item_id, s, q, a
 
 

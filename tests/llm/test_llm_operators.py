@@ -211,6 +211,28 @@ def test_leaks(spark, docs, none):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_one_word_edits_of_items_are_leaks(spark):
+    """Every edit of one word that leaves 0.8 of an item's five-word shingles, at every place of every item."""
+    rows = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rows += [(-1, " ".join(WORDS[:30]) + "? " + " ".join(WORDS[30:33]) + "."), (-2, "Who is it? " + " ".join(WORDS[40:70]) + ".")]
+    index = decontaminate.build_index(rows)
+    pieces = lambda w: {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))}
+    texts, wanted = [], []
+    for item_id, text in rows:
+        w = decontaminate.words(text)
+        around = [f"word{i}" for i in range(40)]
+        for i in range(len(w)):
+            for new in (w[:i] + ["edited"] + w[i + 1:], w[:i] + w[i + 1:], w[:i] + ["edited"] + w[i:]):
+                if len(pieces(w) & pieces(new)) >= 0.8 * len(pieces(w)):
+                    texts.append(" ".join(around + new + around))
+                    wanted.append(item_id)
+    got = {(d, i) for d, i, *_ in decontaminate.leaks(index, texts, 0.5, 0.8)}
+    missed = [(i, t) for d, (t, i) in enumerate(zip(texts, wanted, strict=True)) if (d, i) not in got]
+    assert len(texts) > 1000 and not missed, (len(missed), len(texts), missed[:3])
+    apart = rows[-2][1].split("? ")  # words between question and answer, and the answer as it is
+    assert [i for _, i, *_ in decontaminate.leaks(index, [f"{apart[0]}? and now the answer: {apart[1]}"], 0.5, 0.8)] == [-1]
+
+
 def test_wand_retrieves_all_above_threshold():
     items = [(i, " ".join(RNG.choice(WORDS[:80]) for _ in range(RNG.randint(3, 120)))) for i in range(60)]
     index = decontaminate.build_index(items)
