@@ -20,7 +20,8 @@ The overlaps reported are the parts', the larger of both counts.
 
 The index is broadcast, in shards of at most ``shard_chars`` characters of item
 text (chosen by hash of item_id); more shards mean more passes over the
-documents.  Term statistics are those of a shard.
+documents.  Term statistics are those of the whole benchmark, counted in Spark;
+the driver gets the counts of one shard's terms at a time.
 
 Defined results: null and empty texts, and items without a word, meet nothing;
 ties and repeated items are all reported, repeated (doc_id, item_id) rows once;
@@ -32,6 +33,8 @@ kept by ``drop_leaks``.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +42,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 ENTRY = 64
@@ -57,6 +62,17 @@ def shingles(w: list[str]) -> set[tuple[str, ...]]:
     return {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} if w else set()
 
 
+def entries_of(w: list[str]) -> list[list[str]]:
+    return [w[i:i + ENTRY] for i in range(0, len(w), ENTRY) if i == 0 or len(w) - i >= SHINGLE] if w else []
+
+
+@dataclass
+class Counts:
+    entries: int
+    words: int
+    holding: dict[str, int]  # term -> entries with it
+
+
 @dataclass
 class Item:
     item_id: int
@@ -86,8 +102,38 @@ class Index:
     impact: np.ndarray
 
 
-def build_index(rows: list[tuple[int, str | None]]) -> Index:
-    """Index of (item_id, text) rows; a pure function of a bounded shard."""
+def count_terms(entries: Iterable[list[str]]) -> Counts:
+    out = Counts(0, 0, Counter())
+    for w in entries:
+        out.entries, out.words = out.entries + 1, out.words + len(w)
+        out.holding.update(set(w))
+    return out
+
+
+def term_counts(items: DataFrame) -> DataFrame:
+    """(shard, term, n, words): entries of all shards that hold a term of a shard; term null: all entries, their words."""
+
+    def run(batches):
+        for b in batches:
+            shards: dict[int, list] = {}
+            for k, t in zip(b.column("shard").to_pylist(), b.column("text").to_pylist()):
+                shards.setdefault(k, []).extend(entries_of(words(t)))
+            for k, entries in shards.items():
+                got = count_terms(entries)
+                n = len(got.holding)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k] * (n + 1), pa.int64()), pa.array([None, *got.holding], pa.string()),
+                     pa.array([got.entries, *got.holding.values()], pa.int64()),
+                     pa.array([got.words] + [0] * n, pa.int64())], ["shard", "term", "n", "words"])
+
+    own = cut(items.select("shard", "text").mapInArrow(run, "shard long, term string, n long, words long")
+              .groupBy("shard", "term").agg(F.sum("n").alias("n"), F.sum("words").alias("words")))
+    total = own.groupBy(F.col("term").alias("_term")).agg(F.sum("n").alias("n"), F.sum("words").alias("words"))
+    return cut(own.select("shard", "term").join(total, F.col("term").eqNullSafe(F.col("_term"))).drop("_term"))
+
+
+def build_index(rows: list[tuple[int, str | None]], counts: Counts | None = None) -> Index:
+    """Index of (item_id, text) rows, a bounded shard; ``counts`` are those of all shards (default: of ``rows``)."""
     items, entries = [], []
     for item_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or "")):
         w = words(text)
@@ -96,16 +142,15 @@ def build_index(rows: list[tuple[int, str | None]]) -> Index:
         parts = [p for p in SENTENCE.split(text.strip()) if words(p)]
         answer = words(parts[-1]) if len(parts) > 1 else w
         question = words(" ".join(parts[:-1])) if len(parts) > 1 else w
-        entries += [(len(items), w[i:i + ENTRY]) for i in range(0, len(w), ENTRY) if i == 0 or len(w) - i >= SHINGLE]
+        entries += [(len(items), e) for e in entries_of(w)]
         items.append(Item(item_id, shingles(w), [shingles(question), shingles(w[:max(len(question), WIDE)])],
                           [shingles(answer), shingles(w[-max(len(answer), WIDE):])]))
     vocabulary = sorted({t for _, w in entries for t in w})
     terms = {t: i for i, t in enumerate(vocabulary)}
-    df = np.zeros(len(terms))
-    for _, w in entries:
-        df[[terms[t] for t in set(w)]] += 1
-    idf = np.log(1 + (len(entries) - df + 0.5) / (df + 0.5))
-    mean = sum(len(w) for _, w in entries) / max(1, len(entries))
+    counts = counts or count_terms(w for _, w in entries)
+    df = np.array([counts.holding[t] for t in vocabulary], float)
+    idf = np.log(1 + (counts.entries - df + 0.5) / (df + 0.5))
+    mean = counts.words / max(1, counts.entries)
     post = []
     for e, (_, w) in enumerate(entries):
         t, tf = np.unique([terms[x] for x in w], return_counts=True)
@@ -204,10 +249,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
                                                  ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
         return run
 
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
+    counted = term_counts(items) if shards > 1 else None
     out = None
     for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).collect() if shards > 1 else items.collect()
-        index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows]))
+        rows, counts = items.filter(F.col("shard") == k).select("item_id", "text").collect(), None
+        if counted is not None:
+            known = {r["term"]: r for r in counted.filter((F.col("shard") == k) | F.col("term").isNull()).collect()}
+            if None in known:
+                counts = Counts(known[None]["n"], known[None]["words"], {t: r["n"] for t, r in known.items()})
+        index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], counts))
         got = docs.select("doc_id", "text").mapInArrow(
             scan(index), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = got if out is None else out.unionAll(got)

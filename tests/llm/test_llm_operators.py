@@ -243,6 +243,16 @@ def test_leaks(spark, docs, none):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+def test_leak_scores_do_not_depend_on_shards(spark):
+    rows = [(i, " ".join(RNG.choice(WORDS[:60 + i]) for _ in range(RNG.randint(10, 150)))) for i in range(40)]
+    benchmark = spark.createDataFrame([*rows, (None, rows[3][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(t.split()[:len(t.split()) * 9 // 10])) for i, t in rows], "doc_id long, text string")
+    whole, sharded = (decontaminate.find_leaks(docs, benchmark, **o).collect() for o in ({}, {"shard_chars": 3000}))
+    key = lambda r: (r.doc_id, r.item_id is None, r.item_id or 0)
+    assert len(whole) > 20 and list(map(key, sorted(whole, key=key))) == list(map(key, sorted(sharded, key=key)))
+    assert np.allclose([r.score for r in sorted(whole, key=key)], [r.score for r in sorted(sharded, key=key)], atol=1e-12)
+
+
 def test_one_word_edits_of_items_are_leaks(spark):
     """Every edit of one word that leaves 0.8 of an item's five-word shingles, at every place of every item."""
     rows = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
