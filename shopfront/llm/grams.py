@@ -35,7 +35,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def gram_slices(text: str | None, n: int) -> Iterator[np.ndarray]:
     """Hashes of all n-grams of a text, slice by slice; nothing if it has no letter."""
     carry = np.zeros(1, "<u4")
-    seen = False
+    seen = given = False
     text = text or ""
     for at in range(0, len(text), SLICE):
         codes = fold_table()[np.frombuffer(text[at:at + SLICE].encode("utf-32-le", "surrogatepass"), "<u4")]
@@ -51,8 +51,9 @@ def gram_slices(text: str | None, n: int) -> Iterator[np.ndarray]:
             h = np.zeros(len(codes) - n + 1, np.uint64)
             for i in range(n):
                 h = h * np.uint64(0x9E3779B97F4A7C15) + codes[i:len(codes) - n + 1 + i]
+            given = True
             yield mix(h)
-        elif at + SLICE >= len(text) and len(text) <= SLICE:  # shorter than one n-gram: it is one
+        elif at + SLICE >= len(text) and not given:  # shorter than one n-gram: it is one, all in the carry
             h = np.uint64(0)
             with np.errstate(over="ignore"):
                 for c in codes:

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from shopfront.llm import (common, components, decontaminate, imatch, language, oracles, queries, repeats, secrets,
+from shopfront.llm import (common, components, decontaminate, grams, imatch, language, oracles, queries, repeats, secrets,
                            sentence_pieces, simhash, token_output, toxicity, urls)
 
 SF = "/root/testdata/sf0.001"
@@ -294,6 +294,16 @@ def test_wand_retrieves_all_above_threshold():
         assert set(zip(p.tolist(), e.tolist())) == want and np.allclose(s, exact[p, e])
 
 
+def test_few_letters_in_long_texts_give_the_same_gram():
+    gap = " " * (grams.SLICE + 5)
+    for short in ("q", "qu", "q u"):
+        want = [h.tolist() for h in grams.gram_slices(short, 6)]
+        assert len(want) == 1 and len(want[0]) == 1
+        for long in (short + gap, gap + short, gap + short + gap, gap * 2 + short, short.replace(" ", gap)):
+            assert [h.tolist() for h in grams.gram_slices(long, 6)] == want, (short, len(long))
+    assert list(grams.gram_slices(gap, 6)) == []
+
+
 def test_language(spark, docs, none):
     rows = [(r[0], r[1], None) for r in document_rows()]
     pred = {(r.doc_id, r.lang_pred, r.score) for r in language.predict(
