@@ -26,14 +26,12 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays: that with the smallest doc_id.
+    """One row of each SimHash group stays: that with the smallest doc_id (null last), ties by the text's hash.
 
-    Rows without doc_id stay; rows that share a doc_id share its fate.
+    Rows that share a doc_id but not the text are decided each by its own text; of equal rows one stays.
     """
     prepare(spark)
-    found = simhash.near_duplicates(docs, words_per_shingle=3, max_bits=3)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+    return simhash.drop_near_duplicates(docs, words_per_shingle=3, max_bits=3)
 
 
 def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shopfront.session import ensure_checkpoint_dir
@@ -44,7 +44,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
 
 
-def packed(docs: DataFrame, *also: str) -> DataFrame:
+def packed(docs: DataFrame, *also: str | Column) -> DataFrame:
     """doc_id, text (and ``also``), and the whole row as ``_row``, so that no further column can clash."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     return docs.select("doc_id", "text", *also, whole.alias("_row"))

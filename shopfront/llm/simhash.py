@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed, unpacked
 from .components import components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
@@ -56,15 +56,16 @@ def fingerprint(text: str | None, words_per_shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, words_per_shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long, of every whole text."""
+def fingerprints(docs: DataFrame, words_per_shingle: int = 3, *also: str) -> DataFrame:
+    """(doc_id, fp) and the long columns ``also``: the fingerprint as a signed long, of every whole text."""
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t, words_per_shingle) for t in b.column("text").to_pylist()], "<u8")
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view("<i8"))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view("<i8")), *map(b.column, also)],
+                                             ["doc_id", "fp", *also])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", *also).mapInArrow(run, ", ".join(f"{c} long" for c in ("doc_id", "fp", *also)))
 
 
 class Golay:
@@ -162,12 +163,41 @@ def link_classes(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
             .select("fp", F.coalesce("component", "cls").alias("cls")))
 
 
+def _with_least(found: DataFrame, order: Column, max_bits: int) -> DataFrame:
+    """``found`` with ``least``: the smallest ``order`` that links reach, its own included."""
+    distinct = found.groupBy("fp").agg(F.min(order).alias("own"))
+    classes = link_classes(distinct, max_bits)
+    ids = distinct.join(classes, "fp")
+    ids = ids.join(ids.groupBy("cls").agg(F.min("own").alias("least")), "cls").select("fp", "least")
+    return found.join(ids, "fp")
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """(doc_id, fingerprint, component_id): the smallest doc_id that links reach, itself included."""
     found = cut(fingerprints(docs, words_per_shingle))
-    distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    classes = link_classes(distinct, max_bits)
-    ids = distinct.join(classes, "fp")
-    ids = ids.join(ids.groupBy("cls").agg(F.min("least_id").alias("component_id")), "cls").select("fp", "component_id")
-    return found.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-                                        "component_id")
+    return _with_least(found, F.col("doc_id"), max_bits).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words_per_shingle: int = 3, max_bits: int = 3) -> DataFrame:
+    """One row of ``docs`` from each group: the smallest doc_id (null last), then the smallest hash of the text.
+
+    Rows are told apart by doc_id and text hash, so rows that share only one of them have their own fate.  Of rows that
+    share both, the one with the smallest hash of the whole row stays.
+    """
+    rows = packed(docs, F.xxhash64("text").alias("text_hash"))
+    found = cut(fingerprints(rows, words_per_shingle, "text_hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["id"]) & (a["text_hash"] == b["hash"])
+    gone = (_with_least(found, order, max_bits).filter(~order.eqNullSafe(F.col("least")))
+            .select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct())
+    rows = rows.drop("text")
+    left = rows.join(gone, same(rows, gone), "left_anti")
+    again = cut(found.groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).agg(
+        F.count("*").alias("n")).filter("n > 1").drop("n"))
+    if again.isEmpty():
+        return unpacked(left)
+    once = left.join(again, same(left, again), "left_anti").select("_row")
+    one = left.join(again, same(left, again), "left_semi").groupBy("doc_id", "text_hash").agg(
+        F.min_by("_row", F.xxhash64("_row")).alias("_row")).select("_row")
+    return unpacked(once.unionAll(one))

@@ -132,6 +132,19 @@ def test_simhash_links(spark, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
+def test_near_duplicate_rows_with_shared_and_null_ids(spark):
+    a, b, c, d, e = (" ".join(RNG.choice(WORDS) for _ in range(80)) for _ in range(5))
+    rows = [(1, a, "s"), (2, a, "s"), (2, b, "s"), (3, c, "s"), (3, c, "s"), (3, c, "t"), (None, d, "s"), (None, d, "s"),
+            (None, a, "s"), (None, e, "s"), (4, e.upper(), "s"), (5, d[:-1] + d[-1].upper(), "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, text_hash string").repartition(3)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    kept = [(r[0], r[1].lower()) for r in got.collect()]
+    assert got.columns == docs.columns
+    assert sorted(kept, key=repr) == sorted([(1, a), (2, b), (3, c), (5, d), (4, e)], key=repr)
+    nulls = spark.createDataFrame([(None, d, "s"), (None, d, "s"), (None, e, "s")], docs.schema)
+    assert sorted(r[1] for r in corpus_pipeline.drop_near_duplicates(spark, nulls, SF).collect()) == sorted([d, e])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 130)] + [(5, 5), (200, 201), (201, 200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
