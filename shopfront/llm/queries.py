@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, imatch, language, oracles, repeats, secrets, sentence_pieces, simhash, token_output,
-               toxicity, urls)
+from . import (decontaminate, imatch, interactions, language, oracles, repeats, rules, secrets, sentence_pieces, simhash,
+               token_output, toxicity, urls, whitening)
 from .common import held_out, table
 
 #: Tokenizer files: read by the driver, sent to the executors.
@@ -73,7 +73,24 @@ def op10_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = whitening.whitened_components(table(spark, sf_dir, "embeddings"), components=8)
+    return rows.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marks = table(spark, sf_dir, "labels").select(
+        "doc_id", (F.col("quality") == 1).alias("good"), (F.col("toxic") == 1).alias("toxic"))
+    return interactions.audit_filters(table(spark, sf_dir, "documents"), marks, interactions.quality_filters())
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").filter(~held_out()).select("doc_id", F.col("quality").alias("label"))
+    rated = rules.rate_quality(table(spark, sf_dir, "documents"), labels, threshold=0.7)
+    return rated.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_output, op2_decontamination, op3_language, op4_secrets, op5_simhash, op6_sentencepiece, op7_url_filter,
-    op8_toxicity, op9_substring_dedup, op10_imatch)}
-ORACLES = {"op4_secrets": oracles.SECRETS, "op9_substring_dedup": oracles.REPEATS}
+    op8_toxicity, op9_substring_dedup, op10_imatch, op11_whitening, op12_filter_audit, op13_quality)}
+ORACLES = {"op12_filter_audit": oracles.FILTER_AUDIT, "op4_secrets": oracles.SECRETS, "op9_substring_dedup": oracles.REPEATS}
