@@ -114,12 +114,12 @@ class RuleEnsemble:
         return 1 / (1 + F.exp(-z))
 
 
-def train(docs: DataFrame, labels: DataFrame, trees: int = 24, depth: int = 3, lasso: float = 0.002,
+def train(rows: DataFrame, labels: DataFrame, trees: int = 24, depth: int = 3, lasso: float = 0.002,
           rounds: int = 40, seed: int = 13) -> RuleEnsemble:
-    """Rule ensemble from the texts of ``docs`` that ``labels`` (doc_id, label 0 or 1) covers."""
+    """Rule ensemble from the ``measured`` rows (with doc_id) that ``labels`` (doc_id, label 0 or 1) covers."""
     known = (labels.filter("label in (0, 1) and doc_id is not null").groupBy("doc_id")
              .agg(F.min("label").cast("double").alias("label")))
-    rows = cut(measured(docs.select("doc_id", "text").join(known, "doc_id"), "label"))
+    rows = cut(rows.join(known, "doc_id").drop("doc_id"))
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     zeros, ones = sizes.get(0.0, 0), sizes.get(1.0, 0)
     if not zeros or not ones:
@@ -135,12 +135,16 @@ def train(docs: DataFrame, labels: DataFrame, trees: int = 24, depth: int = 3, l
     return RuleEnsemble(round(float(lasso_fit.intercept), 6), tuple((r, w) for r, w in zip(rules, weights) if w))
 
 
-def score(docs: DataFrame, model: RuleEnsemble) -> DataFrame:
-    """(doc_id, score) of every whole text."""
-    return measured(docs, "doc_id").select("doc_id", model.column().alias("score"))
+def score(rows: DataFrame, model: RuleEnsemble) -> DataFrame:
+    """(doc_id, score) of ``measured`` rows."""
+    return rows.select("doc_id", model.column().alias("score"))
 
 
 def rate_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
-    """(doc_id, score, predicted); only texts that ``labels`` (doc_id, label) covers are learned from."""
-    return score(docs, train(docs, labels, **options)).withColumn(
+    """(doc_id, score, predicted); only texts that ``labels`` (doc_id, label) covers are learned from.
+
+    The texts are read once: training joins and scoring reads their statistics, a few numbers a document.
+    """
+    rows = cut(measured(docs, "doc_id"))
+    return score(rows, train(rows, labels, **options)).withColumn(
         "predicted", (F.col("score") >= threshold).cast("int"))

@@ -216,9 +216,10 @@ def test_rules_compile_to_columns(spark):
     labels = spark.createDataFrame(
         [(i, int("BUY" not in (t or "") and "|" not in (t or ""))) for i, t in enumerate(texts)] + [(2, 0), (None, 1), (5, None), (6, 7)],
         "doc_id long, label int")
-    model = rules.train(docs, labels, lasso=0.0001)
+    measured = rules.measured(docs, "doc_id")
+    model = rules.train(measured, labels, lasso=0.0001)
     assert model.weighted
-    got = collections.Counter((r.doc_id, round(r.score, 9)) for r in rules.score(docs, model).collect())
+    got = collections.Counter((r.doc_id, round(r.score, 9)) for r in rules.score(measured, model).collect())
     want = collections.Counter()
     for i, t in enumerate(texts):
         s = dict(zip(rules.NAMES, rules.statistics(t)))
