@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..sources.fixtures import Shop
+from ..streaming import codes
 from ..streaming import streams as T
 from .registry import register
 
@@ -115,3 +116,40 @@ WHERE o.is_temporary = true
 def t04_unpaid_orders(spark, sf_dir):
     s = Shop.of(spark, sf_dir)
     return T.unpaid_batch(T.order_starts(s.orders), T.payment_results(s.raw.lineitem), "30 days")
+
+
+_STATUS = {**_CODE_EV, "newest": """
+SELECT user_id, event_id AS request_id, ts AS issued FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS back
+    FROM kev WHERE kind = 'request') WHERE back = 1""",
+           "tries": """
+SELECT n.user_id, n.request_id, e.ts, e.correct,
+       count(*) FILTER (WHERE NOT e.correct) OVER (PARTITION BY n.user_id ORDER BY e.ts, e.event_id) AS wrong,
+       row_number() OVER (PARTITION BY n.user_id ORDER BY e.ts, e.event_id) AS place
+FROM newest n JOIN kev e ON e.user_id = n.user_id AND e.kind = 'attempt'
+ AND (e.ts > n.issued OR (e.ts = n.issued AND e.event_id > n.request_id))
+ AND floor(epoch_us(e.ts) / 1000) - floor(epoch_us(n.issued) / 1000) <= 600000""",
+           "decided": """
+SELECT user_id, arg_min(correct, place) AS correct, min(ts) AS ts FROM tries
+WHERE correct OR wrong = 3 GROUP BY user_id""",
+           "status": """
+SELECT n.user_id, n.request_id,
+       CASE WHEN d.correct THEN 'verified' WHEN NOT d.correct THEN 'locked'
+            WHEN (SELECT max(floor(epoch_us(ts) / 1000)) FROM kev) - floor(epoch_us(n.issued) / 1000) > 600000
+            THEN 'expired' ELSE 'open' END AS status,
+       CAST(floor(epoch_us(coalesce(d.ts, n.issued)) / 1000) AS BIGINT) AS decided_ms
+FROM newest n LEFT JOIN decided d ON d.user_id = n.user_id"""}
+
+
+@register("t03_code_status", ctes=_STATUS, oracle="""
+SELECT user_id, request_id, status, decided_ms + CASE WHEN status = 'expired' THEN 600000 ELSE 0 END AS at_ms FROM status
+""")
+def t03_code_status(spark, sf_dir):
+    s = Shop.of(spark, sf_dir)
+    return codes.code_status_batch(T.code_events(s.raw.events))
+
+
+@register("t03_code_funnel", ctes=_STATUS, oracle="SELECT status, count(*) AS n_users FROM status GROUP BY status")
+def t03_code_funnel(spark, sf_dir):
+    s = Shop.of(spark, sf_dir)
+    return codes.funnel(codes.code_status_batch(T.code_events(s.raw.events)))

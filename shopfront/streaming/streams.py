@@ -5,10 +5,10 @@ with ``availableNow`` over Parquet files and compare it with the twin.
 Event time is cast from the source's zone-less ``ts`` to TIMESTAMP because
 watermarks need it.
 
-T1 stock ledger       dedup within the watermark + running sums (update mode)
-T2 live cart          applyInPandasWithState keyed by user
-T3 code verification  applyInPandasWithState keyed by user (expiry checked on attempt)
-T4 unpaid orders      stream-stream left outer interval join with watermarks
+T1 stock ledger       dedup within the watermark + running sums + stock left (update mode); ``ledger`` keeps the table
+T2 live cart          applyInPandasWithState keyed by user and product bucket; idle rows leave the state
+T3 code verification  applyInPandasWithState keyed by user (outcome of attempts); ``codes`` has the funnel with timers
+T4 unpaid orders      stream-stream left outer interval join with watermarks, moved on by ticks
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..functions.scan import key_scan
+from .ledger import MergedTable, start
 
 # A one-time code lives 10 minutes and the third wrong try locks it.
 CODE_TTL_MS = 10 * 60 * 1000
@@ -53,12 +54,17 @@ def order_lines(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("ts"))
 
 
-def stock_ledger_stream(lines: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Running units per product; a line seen twice within the watermark counts once."""
-    return (lines.withWatermark("ts", watermark)
+def stock_ledger_stream(lines: DataFrame, watermark: str = "1 hour", products: DataFrame | None = None) -> DataFrame:
+    """Running units per product; a line seen twice within the watermark counts once.
+
+    With ``products`` (a table, not a stream) each row also has the product's
+    stock_quantity and stock_left.
+    """
+    sold = (lines.withWatermark("ts", watermark)
             .dropDuplicatesWithinWatermark(["line_id"])
             .groupBy("product_id")
             .agg(F.sum("quantity").cast("long").alias("units_sold"), F.count(F.lit(1)).alias("n_lines")))
+    return with_stock_left(sold, products) if products is not None else sold
 
 
 def stock_ledger_batch(lines: DataFrame, products: DataFrame) -> DataFrame:
@@ -74,28 +80,19 @@ def with_stock_left(sold: DataFrame, products: DataFrame) -> DataFrame:
             .withColumn("stock_left", (F.col("stock_quantity") - F.col("units_sold")).cast("long")))
 
 
-def write_ledger(stream: DataFrame, path: str, checkpoint: str, trigger_once: bool = True):
-    """Append each micro-batch's updated totals to a Parquet change table.
+def ledger_table(path: str, compact_every: int = 10) -> MergedTable:
+    """Where ``write_ledger`` keeps the totals per product."""
+    return MergedTable(path, ("product_id",), compact_every)
 
-    Rows carry ``batch_id``; a retried batch overwrites its own partition,
-    so the sink is idempotent.  ``ledger_view`` reads the latest totals.
-    """
-    def upsert(batch: DataFrame, batch_id: int) -> None:
-        (batch.withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("batch_id").parquet(path))
 
-    w = stream.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if trigger_once else w
-    return w.start()
+def write_ledger(stream: DataFrame, path: str, checkpoint: str, trigger_once: bool = True, compact_every: int = 10):
+    """Keep the ledger table at ``path`` up to date with each micro-batch's changed totals."""
+    return start(stream, ledger_table(path, compact_every), checkpoint, "update", trigger_once)
 
 
 def ledger_view(spark: SparkSession, path: str) -> DataFrame:
-    """Latest running totals per product from the change table."""
-    ch = spark.read.parquet(path)
-    last = ch.groupBy("product_id").agg(F.max(F.struct("batch_id", "units_sold", "n_lines")).alias("_l"))
-    return last.select("product_id", F.col("_l.units_sold").alias("units_sold"),
-                       F.col("_l.n_lines").alias("n_lines"))
+    """Latest running totals per product: one base and fewer batches than ``compact_every`` are read."""
+    return ledger_table(path).read(spark)
 
 
 # ------------------------------------------------------------------ T2
@@ -141,50 +138,93 @@ def live_cart_batch(ev: DataFrame) -> DataFrame:
                     (F.coalesce(F.col("_s.quantity"), F.lit(0)) + F.col("_adds")).cast("int").alias("quantity")))
 
 
-CART_OUT = "user_id long, product_id long, quantity int, version long"
-CART_STATE = "products array<bigint>, quantities array<int>, version long"
+CART_OUT = "user_id long, bucket int, product_id long, quantity int, version long"
+CART_STATE = "products array<bigint>, quantities array<int>, touched array<bigint>, version long"
+#: Parts of one user's cart; a user with a third of all events is spread over so many keys.
+CART_BUCKETS = 16
 
 
-def _cart_step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    (user,) = key
-    cart: dict[int, int] = {}
-    version = 0
-    if state.exists:
-        prods, qtys, version = state.get
-        cart = dict(zip(prods, qtys))
-    pdf = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
-    for kind, pid, qty in zip(pdf["kind"], pdf["product_id"], pdf["quantity"]):
-        if kind in ("clear", "order"):
-            cart.clear()
-        elif kind == "add":
-            cart[int(pid)] = cart.get(int(pid), 0) + int(qty)
-        elif kind == "set" and int(pid) in cart:
-            cart[int(pid)] = int(qty)
-        elif kind == "remove":
-            cart.pop(int(pid), None)
-    version += len(pdf)
-    state.update((list(cart.keys()), list(cart.values()), version))
-    rows = [(user, p, q, version) for p, q in sorted(cart.items())] or [(user, None, None, version)]
-    yield pd.DataFrame(rows, columns=["user_id", "product_id", "quantity", "version"])
-
-
-def live_cart_stream(ev: DataFrame) -> DataFrame:
-    """Per user, the whole current cart after each micro-batch that touched it.
-
-    State per user is the cart itself (bounded by the products in it).  An
-    empty cart is one row with a null product; the latest ``version`` per
-    user is the current cart.
+def cart_parts(ev: DataFrame, buckets: int = CART_BUCKETS) -> DataFrame:
+    """Cart events with the ``bucket`` of their product; a clear or order goes to all buckets of its user.
+
+    Events on a product without a product id, or of no kind, are left out.
     """
-    return ev.groupBy("user_id").applyInPandasWithState(
-        _cart_step, CART_OUT, CART_STATE, "append", GroupStateTimeout.NoTimeout)
+    whole = F.col("kind").isin("clear", "order")
+    own = F.array(F.pmod(F.xxhash64("product_id"), F.lit(buckets)).cast("int"))
+    every = F.array(*[F.lit(i) for i in range(buckets)])
+    return (ev.filter(whole | (F.col("kind").isin("add", "set", "remove") & F.col("product_id").isNotNull()))
+            .withColumn("bucket", F.explode(F.when(whole, every).otherwise(own))))
+
+
+def _cart_step(ttl_ms: int | None):
+    def run(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        user, bucket = key
+        cart: dict[int, tuple[int, int]] = {}  # product -> quantity, last change in milliseconds
+        version = -1
+        if state.exists:
+            products, quantities, touched, version = state.get
+            cart = dict(zip(products, zip(quantities, touched)))
+        before = {p: q for p, (q, _) in cart.items()}
+        if state.hasTimedOut:
+            version = max(version + 1, state.getCurrentWatermarkMs() * 1000)
+        else:
+            rows = pd.concat(list(frames), ignore_index=True).sort_values(["ts", "event_id"])
+            for ts, kind, pid, qty in zip(rows["ts"], rows["kind"], rows["product_id"], rows["quantity"]):
+                now = int(pd.Timestamp(ts).value // 1_000_000)
+                if ttl_ms is not None and kind in ("add", "set") and int(pid) in cart and now - cart[int(pid)][1] > ttl_ms:
+                    del cart[int(pid)]
+                if kind in ("clear", "order"):
+                    cart.clear()
+                elif kind == "add":
+                    cart[int(pid)] = (cart.get(int(pid), (0, 0))[0] + int(qty), now)
+                elif kind == "set" and int(pid) in cart:
+                    cart[int(pid)] = (int(qty), now)
+                elif kind == "remove":
+                    cart.pop(int(pid), None)
+            version = max(version + 1, int(pd.Timestamp(rows["ts"].max()).value // 1000))
+        if ttl_ms is not None:
+            seen = state.getCurrentWatermarkMs()
+            cart = {p: (q, at) for p, (q, at) in cart.items() if at + ttl_ms >= seen}
+        if cart:
+            state.update((list(cart), [q for q, _ in cart.values()], [at for _, at in cart.values()], version))
+            if ttl_ms is not None:
+                state.setTimeoutTimestamp(min(at for _, at in cart.values()) + ttl_ms + 1)
+        elif ttl_ms is not None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(([], [], [], version))
+        if cart or before:
+            out = [(user, bucket, p, q, version) for p, (q, _) in sorted(cart.items())] \
+                or [(user, bucket, None, None, version)]
+            yield pd.DataFrame(out, columns=["user_id", "bucket", "product_id", "quantity", "version"])
+    return run
+
+
+def live_cart_stream(ev: DataFrame, ttl: str | None = None, delay: str = "1 hour", buckets: int = CART_BUCKETS) -> DataFrame:
+    """Per user and product bucket, that part of the cart after each micro-batch that changed it.
+
+    State per key is the part of the cart (bounded by its products).  With
+    ``ttl`` (like '30 days') a product that nobody has touched for longer is
+    dropped by an event-time timer, its change is emitted, and a key without
+    products leaves the state store; events older than the watermark (``delay``)
+    are then dropped by Spark.  An empty part is one row with a null product;
+    the latest ``version`` per key is current.
+    """
+    parts, timeout, ttl_ms = cart_parts(ev, buckets), GroupStateTimeout.NoTimeout, None
+    if ttl is not None:
+        parts, timeout = parts.withWatermark("ts", delay), GroupStateTimeout.EventTimeTimeout
+        ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    return parts.groupBy("user_id", "bucket").applyInPandasWithState(
+        _cart_step(ttl_ms), CART_OUT, CART_STATE, "append", timeout)
 
 
 def latest_cart(emitted: DataFrame) -> DataFrame:
-    """Current carts from the rows ``live_cart_stream`` emitted (latest version per user)."""
-    # max per user as a partial aggregate joined back (no window gathering a user's rows)
-    latest = emitted.groupBy(F.col("user_id").alias("_u")).agg(F.max("version").alias("_v"))
-    return (emitted.join(latest, (F.col("user_id") == F.col("_u")) & (F.col("version") == F.col("_v")))
-            .filter(F.col("product_id").isNotNull())
+    """Current carts from the rows ``live_cart_stream`` emitted (latest version per user and bucket)."""
+    # max per key as a partial aggregate joined back (no window gathering a user's rows)
+    latest = emitted.groupBy(F.col("user_id").alias("_u"), F.col("bucket").alias("_b")).agg(F.max("version").alias("_v"))
+    same = (F.col("user_id").eqNullSafe(F.col("_u")) & (F.col("bucket") == F.col("_b")) & (F.col("version") == F.col("_v")))
+    return (emitted.join(latest, same).filter(F.col("product_id").isNotNull())
             .select("user_id", "product_id", "quantity"))
 
 
@@ -293,17 +333,40 @@ def _within(timeout: str) -> Column:
             & (F.col("result_ts") <= F.col("start_ts") + F.expr(f"INTERVAL {timeout}")))
 
 
+#: Keys of ticks on either side of a join: no id has them and they do not meet.  (A null key would be
+#: filtered out below the watermark, and the tick with it.)
+LEFT_TICK, RIGHT_TICK = -(2 ** 63), 2 ** 63 - 1
+
+
+def with_ticks(stream: DataFrame, key: str, tick_key: int, time_col: str, ticks: DataFrame) -> DataFrame:
+    """``stream`` and, for each row of ``ticks`` (tick_ts), a row that has nothing but its time and ``tick_key``.
+
+    A join's watermark is that of its slowest side: a side that falls silent
+    holds back the other side's results for good.  Ticks (from any clock that
+    knows that everything up to then has been delivered) move it on.
+    """
+    given = {key: F.lit(tick_key), time_col: F.col("tick_ts")}
+    return stream.unionByName(ticks.select(
+        *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema.fields]))
+
+
 def unpaid_stream(starts: DataFrame, results: DataFrame, timeout: str = "30 days",
-                  delay: str = "1 day") -> DataFrame:
+                  delay: str = "1 day", ticks: DataFrame | None = None) -> DataFrame:
     """T4: orders with no payment result within ``timeout`` of their start.
 
     A left outer interval join; watermarks on both sides bound the state,
     and an unmatched order is emitted once the watermark passes its
     deadline.  Matched rows are dropped, so the output is the unpaid set.
+    ``ticks`` (a stream with tick_ts) settle orders when no data comes.
     """
+    if ticks is not None:
+        starts = with_ticks(starts, "order_id", LEFT_TICK, "start_ts", ticks)
+        results = with_ticks(results, "result_order_id", RIGHT_TICK, "result_ts", ticks)
     s = starts.withWatermark("start_ts", delay)
     r = results.withWatermark("result_ts", delay)
-    return s.join(r, _within(timeout), "leftOuter").filter(F.col("result_order_id").isNull()) \
+    # written over both sides, so that it stays above the join: below it, it would keep ticks from the watermark
+    real = F.coalesce("result_order_id", "order_id") != LEFT_TICK
+    return s.join(r, _within(timeout), "leftOuter").filter(F.col("result_order_id").isNull() & real) \
         .select("order_id", "user_id", F.col("start_ts").cast("timestamp_ntz").alias("start_ts"))
 
 
