@@ -11,13 +11,17 @@ numbering pass.  The caller writes the returned snapshots (``sources.io``).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import first_by, last_by
+from ..functions.components import component_roots
 from ..functions.scan import key_scan
+from ..sources.io import cut
 from ..sources.model import LINKS, ORDER_STATUSES, PAYMENT_METHODS
 
 NTZ = "timestamp_ntz"
@@ -492,7 +496,6 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
     folder.  Every op then reads the state left by the last successful event
     before it (again a running count and an equi-join).
     """
-    from ..sources.io import cut
     lo = F.lit(-(2 ** 63)).cast("long")           # position of a review that predates the batch
     old = brand_reviews.groupBy("user_id").agg(F.min(F.struct("id", "rating", "comment", "created_at")).alias("_o"))
     rated = F.coalesce(F.col("rating").between(1, 5), F.lit(False))
@@ -590,36 +593,120 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
                   outcome)
 
 
+#: What a category change is answered; fixed values.
+NAME_TAKEN, NO_CATEGORY = "Category name already exists", "Category not found"
+HAS_CHILDREN = "Cannot delete category with existing subcategories"
+HAS_PRODUCTS = "Cannot delete category with existing products"
+
+_CLAIMS = "group string, ord long, seq long, what string, id long, lname string"
+
+
+def _claim_replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Holders of names, group by group in order; per claim whether it was refused (``taken``).
+
+    Rows come sorted by (group, ord).  What is remembered is the holders of
+    the current group's names, never its rows.
+    """
+    group, holders, held_by = None, {}, {}
+    for rows in batches:
+        taken = []
+        for g, seq, what, who, name in zip(rows["group"], rows["seq"], rows["what"], rows["id"], rows["lname"]):
+            if g != group:
+                group, holders, held_by = g, {}, {}
+            who = None if pd.isna(who) else int(who)
+            by = holders.setdefault(name, set())
+            if what == "stored":
+                by.add(who)
+                held_by[who] = name
+                taken.append(False)
+            elif what == "update":
+                refused = name != "" and bool(by - {who})
+                taken.append(refused)
+                if not refused:
+                    holders.get(held_by.get(who), set()).discard(who)
+                    by.add(who)
+                    held_by[who] = name
+            else:  # insert, or a look at the name that changes nothing
+                taken.append(bool(by))
+                if what == "insert" and not by:
+                    by.add(-1 - int(seq))
+        yield pd.DataFrame({"seq": rows["seq"], "what": rows["what"], "lname": rows["lname"], "taken": taken})
+
+
+def _claim_outcomes(categories: DataFrame, rows: DataFrame) -> DataFrame:
+    """(seq, taken) of every row that names a category, as if the rows came one by one.
+
+    Names that some category has or gets in the batch depend on each other
+    through it; such names form a group (connected components), and groups
+    are independent.  Inside a group only renamings of stored categories can
+    free a name, so between two of them one look and the first insert of a
+    name decide for all rows with that name: the replay reads the renamings
+    and at most two rows a name and gap, however many rows ask for it.
+    """
+    stored = categories.select(F.col("id").alias("_sid"), F.lower("name").alias("_sname"))
+    r = rows.select("seq", "id", F.lower("name").alias("lname")).filter("lname is not null")
+    r = r.join(stored.select("_sid"), F.col("id") == F.col("_sid"), "left").withColumn(
+        "renames", F.col("_sid").isNotNull()).drop("_sid")
+    renames = r.filter("renames").select("id", "lname")
+    held = stored.join(renames.select("id").distinct(), F.col("_sid") == F.col("id"), "left_semi")
+    has = renames.unionByName(held.select(F.col("_sid").alias("id"), F.col("_sname").alias("lname"))).distinct()
+    hub = has.groupBy(F.col("lname").alias("_n")).agg(F.min("id").alias("_hub"))
+    roots = component_roots(has.join(hub, F.col("lname") == F.col("_n")).select(
+        F.col("id").alias("a"), F.col("_hub").alias("b")))
+    of_name = cut(hub.join(roots, F.col("_hub") == F.col("node"))
+                  .select("_n", F.concat(F.lit("i"), F.col("root").cast("string")).alias("_g")))
+
+    def grouped(df: DataFrame, name: str) -> DataFrame:
+        return (df.join(of_name, F.col(name) == F.col("_n"), "left")
+                .withColumn("group", F.coalesce("_g", F.concat(F.lit("n"), F.col(name)))).drop("_n", "_g"))
+
+    claims = cut(key_scan(grouped(r, "lname"), ["group"], ["seq"], count_if=F.col("renames"), count_name="gap"))
+    others = claims.filter(~F.col("renames"))
+    first = others.groupBy("group", "gap", "lname").agg(
+        F.min("seq").alias("_look"), F.min(F.when(F.col("id").isNull(), F.col("seq"))).alias("_insert"))
+    asked = claims.select("lname").distinct().unionByName(has.select("lname")).distinct()
+    known = stored.join(asked, F.col("_sname") == F.col("lname"), "left_semi")
+    start, none = F.lit(-(2 ** 62)), F.lit(None).cast("long")
+    feed = (grouped(known, "_sname").select("group", start.alias("ord"), none.alias("seq"), F.lit("stored").alias("what"),
+                                            F.col("_sid").alias("id"), F.col("_sname").alias("lname"))
+            .unionByName(claims.filter("renames").select("group", (F.col("seq") * 2).alias("ord"), "seq",
+                                                         F.lit("update").alias("what"), "id", "lname"))
+            .unionByName(first.select("group", (F.col("_look") * 2).alias("ord"), F.col("_look").alias("seq"),
+                                      F.lit("look").alias("what"), none.alias("id"), "lname"))
+            .unionByName(first.filter("_insert is not null").select(
+                "group", (F.col("_insert") * 2 + 1).alias("ord"), F.col("_insert").alias("seq"),
+                F.lit("insert").alias("what"), none.alias("id"), "lname")))
+    done = cut(feed.repartition("group").sortWithinPartitions("group", "ord").mapInPandas(
+        _claim_replay, "seq long, what string, lname string, taken boolean"))
+    renamed = done.filter("what = 'update'").select("seq", "taken")
+    looks = done.filter("what = 'look'").select(F.col("seq").alias("_look"), F.col("taken").alias("_held"))
+    rest = (others.join(first.select(F.col("group").alias("_fg"), F.col("gap").alias("_fgap"),
+                                     F.col("lname").alias("_fn"), "_look", "_insert"),
+                        (F.col("group") == F.col("_fg")) & (F.col("gap") == F.col("_fgap")) & (F.col("lname") == F.col("_fn")))
+            .join(looks, "_look"))
+    return renamed.unionByName(rest.select(
+        "seq", (F.col("_held") | F.coalesce(F.col("_insert") < F.col("seq"), F.lit(False))).alias("taken")))
+
+
 def upsert_categories(categories: DataFrame, rows: DataFrame, as_of) -> Change:
     """``rows`` (seq, id, name, description, parent_id, image_url if the table has it); id null = insert.
 
-    A name may not equal another category's name case-blind ('Category name
-    already exists'), counting earlier rows of the batch for other
-    categories; an update of an unknown id answers 'Category not found'.
-    Updates COALESCE name, description and image_url and overwrite parent_id.
+    The rows apply one after the other in seq order.  A name may not equal
+    another category's name at that moment, case-blind ('Category name
+    already exists'): a refused row holds no name, and a renamed category
+    gives its old name back.  An update of an unknown id answers 'Category
+    not found' if its name is free; an update without a name (null or empty)
+    asks for none.  Updates COALESCE name, description and image_url and
+    overwrite parent_id.
     """
     image = [c for c in ("image_url",) if c in rows.columns and c in categories.columns]
-    # one row per stored name: it clashes unless its only holder is the updated category itself
-    existing = categories.groupBy(F.lower("name").alias("_lname")).agg(
-        F.min("id").alias("_low"), F.max("id").alias("_high"))
-    # who claims a name in the batch: an updated category, or an insert by its own seq
-    claims = rows.select("seq", F.lower("name").alias("_lname"), F.struct(
-        F.col("id").alias("i"), F.when(F.col("id").isNull(), F.col("seq")).alias("s")).alias("_who"))
-    firsts = claims.filter(F.col("_lname").isNotNull()).groupBy("_lname", "_who").agg(F.min("seq").alias("_at"))
-    # the name's first claimant, and when the first other one came
-    lead = firsts.groupBy("_lname").agg(F.min(F.struct("_at", "_who")).alias("_lead"))
-    second = (firsts.join(lead, "_lname").filter(F.col("_at") > F.col("_lead._at"))
-              .groupBy("_lname").agg(F.min("_at").alias("_second")))
     ids = categories.select(F.col("id").alias("_known"))
-    r = (rows.join(claims.drop("_lname"), "seq").withColumn("_lname", F.lower("name"))
-         .join(existing, "_lname", "left").join(lead, "_lname", "left").join(second, "_lname", "left")
+    taken = _claim_outcomes(categories, rows).select(F.col("seq").alias("_cseq"), "taken")
+    r = (rows.join(taken, F.col("seq") == F.col("_cseq"), "left")
          .join(ids, F.col("id") == F.col("_known"), "left"))
-    other = F.when(F.col("_who").eqNullSafe(F.col("_lead._who")), F.col("_second")).otherwise(F.col("_lead._at"))
-    stored = F.col("_low").isNotNull() & (F.col("id").isNull() | (F.col("_low") != F.col("id"))
-                                          | (F.col("_high") != F.col("id")))
-    clash = stored | F.coalesce(other < F.col("seq"), F.lit(False))
-    error = (F.when(F.col("name").isNotNull() & clash, "Category name already exists")
-             .when(F.col("id").isNotNull() & F.col("_known").isNull(), "Category not found"))
+    asks = F.col("id").isNull() | (F.col("name") != "")
+    error = (F.when(asks & F.col("taken"), NAME_TAKEN)
+             .when(F.col("id").isNotNull() & F.col("_known").isNull(), NO_CATEGORY))
     r = r.withColumn("error", error)
     ok = r.filter(F.col("error").isNull())
     inserts = ok.filter(F.col("id").isNull()).select(
@@ -632,24 +719,63 @@ def upsert_categories(categories: DataFrame, rows: DataFrame, as_of) -> Change:
                   r.select("seq", "id", "name", "error"))
 
 
+def _delete_times(categories: DataFrame, used: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, gone): the seq of the delete that removes each category that goes.
+
+    A category goes with its first delete after its last child has gone, if it
+    has no products.  Decided level by level from the leaves up; each round
+    settles all categories whose children are settled, so there are as many
+    rounds as levels of categories that the batch deletes.
+    """
+    asked = ids.groupBy("id").agg(F.min("seq").alias("first"), F.max("seq").alias("last"))
+    links = categories.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).filter("parent is not null")
+    may = (categories.select("id").distinct().join(asked, "id").join(used, F.col("id") == F.col("_up"), "left_anti"))
+    # a child that may not go keeps its parent, so only links between those that may are followed
+    stuck = (links.join(may.select(F.col("id").alias("_m")), F.col("child") == F.col("_m"), "left_anti")
+             .select(F.col("parent").alias("_stuck")).distinct())
+    left = cut(may.join(stuck, F.col("id") == F.col("_stuck"), "left_anti").select("id"))
+    inside = links.join(may.select(F.col("id").alias("_m")), F.col("child") == F.col("_m"), "left_semi")
+    inside = cut(inside.join(left.select(F.col("id").alias("_p")), F.col("parent") == F.col("_p"), "left_semi"))
+    gone = None
+    while True:
+        waits = inside if gone is None else inside.join(
+            gone.select(F.col("id").alias("_g")), F.col("child") == F.col("_g"), "left_anti")
+        ready = left.join(waits.select(F.col("parent").alias("_w")).distinct(), F.col("id") == F.col("_w"), "left_anti")
+        if gone is None:
+            after = ready.withColumn("_after", F.lit(-(2 ** 63)))
+        else:
+            ready = ready.join(gone.select(F.col("id").alias("_g")), F.col("id") == F.col("_g"), "left_anti")
+            last_child = (inside.join(gone.withColumnRenamed("id", "_g"), F.col("child") == F.col("_g"))
+                          .groupBy("parent").agg(F.max("gone").alias("_after")))
+            after = ready.join(last_child, F.col("id") == F.col("parent"), "left").select("id", F.coalesce(
+                "_after", F.lit(-(2 ** 63))).alias("_after"))
+        step = cut(ids.join(after.withColumnRenamed("id", "_aid"), F.col("id") == F.col("_aid"))
+                   .filter(F.col("seq") > F.col("_after")).groupBy("id").agg(F.min("seq").alias("gone")))
+        if step.isEmpty():
+            return gone if gone is not None else step
+        gone = step if gone is None else cut(gone.unionByName(step))
+
+
 def delete_categories(categories: DataFrame, products: DataFrame, ids: DataFrame) -> Change:
     """``ids`` (seq, id): refuse with subcategories, then with products, then when missing.
 
-    The first delete of a category that may go removes it; later ones of the
-    batch answer 'Category not found'.  Subcategories are those of the
-    snapshot: a parent goes in the batch after its last child.
+    The deletes apply one after the other in seq order: a parent goes if its
+    last child went before it in the batch.  A category that is its own
+    ancestor always has a child and stays.
     """
-    subs = categories.filter(F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("_sp")).distinct()
     used = products.filter(F.col("category_id").isNotNull()).select(F.col("category_id").alias("_up")).distinct()
-    known = categories.select(F.col("id").alias("_known"))
+    gone = _delete_times(categories, used, ids)
+    went = gone.select(F.col("id").alias("_gid"), F.col("gone").alias("_gone"))
+    # until when a category has children: for good if one of them stays
+    subs = (categories.filter(F.col("parent_id").isNotNull()).join(went, F.col("id") == F.col("_gid"), "left")
+            .groupBy(F.col("parent_id").alias("_sp")).agg(F.max(F.coalesce("_gone", F.lit(2 ** 63 - 1))).alias("_until")))
+    known = categories.select(F.col("id").alias("_known")).distinct()
     r = (ids.join(subs, F.col("id") == F.col("_sp"), "left").join(used, F.col("id") == F.col("_up"), "left")
-         .join(known, F.col("id") == F.col("_known"), "left"))
-    error = (F.when(F.col("_sp").isNotNull(), "Cannot delete category with existing subcategories")
-             .when(F.col("_up").isNotNull(), "Cannot delete category with existing products")
-             .when(F.col("_known").isNull() | (F.col("seq") > F.col("_first")), "Category not found"))
-    firsts = ids.groupBy(F.col("id").alias("_fid")).agg(F.min("seq").alias("_first"))
-    r = r.join(firsts, F.col("id") == F.col("_fid"), "left").withColumn("error", error)
-    gone = r.filter(F.col("error").isNull()).select("id").distinct()
+         .join(known, F.col("id") == F.col("_known"), "left").join(went, F.col("id") == F.col("_gid"), "left"))
+    error = (F.when(F.col("_until") >= F.col("seq"), HAS_CHILDREN)
+             .when(F.col("_up").isNotNull(), HAS_PRODUCTS)
+             .when(F.col("_known").isNull() | (F.col("seq") > F.col("_gone")), NO_CATEGORY))
+    r = r.withColumn("error", error)
     return Change({"categories": categories.join(gone, "id", "left_anti")}, r.select("seq", "id", "error"))
 
 

@@ -120,7 +120,7 @@ _NAME = re.compile(r"\bshop_[a-z_]+\b")
 def with_fixtures(body: str, extra_ctes: dict | None = None) -> str:
     """Prefix ``body`` with the fixture CTEs (and ``extra_ctes``) it names.
 
-    Extra CTEs may themselves name fixtures; order follows first use.
+    Extra CTEs may themselves name fixtures, or themselves; order follows first use.
     """
     ctes = dict(FIXTURE_SQL)
     ctes.update(extra_ctes or {})
@@ -139,8 +139,10 @@ def with_fixtures(body: str, extra_ctes: dict | None = None) -> str:
         return body.strip()
     parts = ",\n".join(f"{n} AS ({ctes[n].strip()})" for n in needed)
     body = body.strip()
+    # a CTE that names itself makes the whole list recursive
+    plain = "WITH RECURSIVE" if any(re.search(rf"\b{n}\b", ctes[n]) for n in needed if n in (extra_ctes or {})) else "WITH"
     if body[:14].upper() == "WITH RECURSIVE":
         return f"WITH RECURSIVE {parts},\n{body[14:].lstrip()}"
     if body[:4].upper() == "WITH":
-        return f"WITH {parts},\n{body[4:].lstrip()}"
-    return f"WITH {parts}\n{body}"
+        return f"{plain} {parts},\n{body[4:].lstrip()}"
+    return f"{plain} {parts}\n{body}"

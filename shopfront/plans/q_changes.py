@@ -76,13 +76,17 @@ SELECT event_id AS seq, user_id,
        CAST(floor(value) % 7 AS INTEGER) AS rating, 'c' || CAST(event_id AS VARCHAR) AS comment
 FROM (SELECT *, {_K} AS k FROM events WHERE event_type = 'click')""",
     "c_cats": """
-SELECT CAST(n_nationkey + 1 AS BIGINT) AS seq,
-       CAST(CASE WHEN n_nationkey % 2 = 0 THEN NULL ELSE n_nationkey END AS BIGINT) AS id,
-       CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) WHEN n_nationkey % 5 = 0 THEN NULL
-            ELSE n_name || '_X' END AS name,
-       'about ' || n_name AS description,
-       CAST(CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_regionkey + 100 END AS BIGINT) AS parent_id
-FROM nation""",
+SELECT seq, id, name, 'about ' || n_name AS description,
+       CAST(CASE WHEN key % 4 = 0 THEN NULL ELSE n_regionkey + 100 END AS BIGINT) AS parent_id
+FROM (SELECT CAST(n_nationkey AS BIGINT) AS key, n_name, n_regionkey,
+             unnest([{'seq': key + 1, 'id': CASE WHEN key % 2 = 0 THEN NULL ELSE key END,
+                      'name': CASE WHEN key % 3 = 0 THEN lower(n_name) WHEN key % 5 = 0 THEN NULL ELSE n_name || '_X' END},
+                     {'seq': 100 + 2 * key, 'id': key + 500, 'name': 'Q' || n_name},
+                     {'seq': 101 + 2 * key, 'id': NULL, 'name': 'q' || lower(n_name)},
+                     {'seq': key + 200, 'id': key, 'name': 'R' || n_name},
+                     {'seq': key + 300, 'id': NULL, 'name': n_name}], recursive := true) FROM nation)""",
+    "c_cprod": """
+SELECT p.* FROM shop_products p WHERE p.category_id IN (SELECT id FROM shop_categories WHERE parent_id <> 101)""",
     "c_cdel": """
 SELECT id AS seq, id FROM shop_categories
 UNION ALL
@@ -642,17 +646,25 @@ def c11_brand_review_outcome(spark, sf_dir):
 
 # ------------------------------------------------------------------ C12 / C13
 
-_CAT = {"cat_out": """
-SELECT r.*,
-       CASE WHEN r.name IS NOT NULL AND (
-                 EXISTS (SELECT 1 FROM shop_categories c WHERE lower(c.name) = lower(r.name)
-                         AND (r.id IS NULL OR c.id <> r.id))
-              OR EXISTS (SELECT 1 FROM c_cats y WHERE lower(y.name) = lower(r.name) AND y.seq < r.seq
-                         AND (y.id IS NULL OR r.id IS NULL OR y.id <> r.id)))
-            THEN 'Category name already exists'
-            WHEN r.id IS NOT NULL AND r.id NOT IN (SELECT id FROM shop_categories) THEN 'Category not found'
-       END AS error
-FROM c_cats r"""}
+#: The rows one by one: a list of who holds which name goes from step to step.
+_CAT = {"cat_steps": "SELECT *, row_number() OVER (ORDER BY seq) AS k FROM c_cats",
+        "cat_fold": f"""
+SELECT CAST(0 AS BIGINT) AS k, list({{'holder': id, 'held': lower(name)}}) AS names, CAST(NULL AS VARCHAR) AS error
+FROM shop_categories
+UNION ALL
+SELECT o.k, CASE WHEN e.error IS NULL AND o.name IS NOT NULL
+                 THEN list_append(list_filter(f.names, lambda x: x.holder <> e.who), {{'holder': e.who, 'held': lower(o.name)}})
+                 ELSE f.names END, e.error
+FROM cat_fold f JOIN cat_steps o ON o.k = f.k + 1,
+LATERAL (SELECT coalesce(o.id, -1 - o.seq) AS who,
+                CASE WHEN len(list_filter(f.names, lambda x: x.held = lower(o.name) AND x.holder <> coalesce(o.id, -1 - o.seq))) > 0
+                       THEN '{C.NAME_TAKEN}'
+                     WHEN o.id IS NOT NULL AND o.id NOT IN (SELECT id FROM shop_categories) THEN '{C.NO_CATEGORY}' END AS error) e""",
+        "cat_out": "SELECT o.*, f.error FROM cat_steps o JOIN cat_fold f USING (k)",
+        "cat_last": """
+SELECT id, arg_max(name, seq) FILTER (name IS NOT NULL) AS name, arg_max(description, seq) AS description,
+       max({'seq': seq, 'parent': parent_id}).parent AS parent_id
+FROM cat_out WHERE error IS NULL AND id IS NOT NULL GROUP BY id"""}
 
 
 @reg("c12_upsert_categories_outcome", "SELECT seq, id, name, error FROM cat_out", **_CAT)
@@ -664,7 +676,7 @@ def c12_upsert_categories_outcome(spark, sf_dir):
 @reg("c12_upsert_categories", f"""
 SELECT c.id, COALESCE(u.name, c.name) AS name, COALESCE(u.description, c.description) AS description,
        CASE WHEN u.id IS NOT NULL THEN u.parent_id ELSE c.parent_id END AS parent_id, c.created_at
-FROM shop_categories c LEFT JOIN (SELECT * FROM cat_out WHERE error IS NULL AND id IS NOT NULL) u ON u.id = c.id
+FROM shop_categories c LEFT JOIN cat_last u ON u.id = c.id
 UNION ALL
 SELECT (SELECT MAX(id) + 1 FROM shop_categories) + seq, name, description, parent_id, {AS}
 FROM cat_out WHERE error IS NULL AND id IS NULL
@@ -674,20 +686,30 @@ def c12_upsert_categories(spark, sf_dir):
     return C.upsert_categories(s.categories, I.category_rows(s), I.AS_OF).tables["categories"]
 
 
-_CDEL = {"cdel_out": """
+#: Each id is deleted once here and the categories have two levels, so leaves are settled first, then their parents.
+_CDEL = {"free": """
+SELECT d.seq, d.id FROM c_cdel d JOIN shop_categories c ON c.id = d.id
+WHERE d.id NOT IN (SELECT category_id FROM c_cprod WHERE category_id IS NOT NULL)""",
+         "leaves": "SELECT * FROM free WHERE id NOT IN (SELECT parent_id FROM shop_categories WHERE parent_id IS NOT NULL)",
+         "went": """
+SELECT * FROM leaves
+UNION ALL
+SELECT p.seq, p.id FROM free p WHERE p.id IN (SELECT parent_id FROM shop_categories)
+  AND NOT EXISTS (SELECT 1 FROM shop_categories c LEFT JOIN leaves l ON l.id = c.id
+                  WHERE c.parent_id = p.id AND (l.seq IS NULL OR l.seq > p.seq))""",
+         "cdel_out": f"""
 SELECT d.seq, d.id,
-       CASE WHEN EXISTS (SELECT 1 FROM shop_categories c WHERE c.parent_id = d.id)
-                 THEN 'Cannot delete category with existing subcategories'
-            WHEN EXISTS (SELECT 1 FROM shop_products p WHERE p.category_id = d.id)
-                 THEN 'Cannot delete category with existing products'
-            WHEN d.id NOT IN (SELECT id FROM shop_categories) THEN 'Category not found' END AS error
+       CASE WHEN EXISTS (SELECT 1 FROM shop_categories c LEFT JOIN went w ON w.id = c.id
+                         WHERE c.parent_id = d.id AND (w.seq IS NULL OR w.seq > d.seq)) THEN '{C.HAS_CHILDREN}'
+            WHEN EXISTS (SELECT 1 FROM c_cprod p WHERE p.category_id = d.id) THEN '{C.HAS_PRODUCTS}'
+            WHEN d.id NOT IN (SELECT id FROM went) THEN '{C.NO_CATEGORY}' END AS error
 FROM c_cdel d"""}
 
 
 @reg("c13_delete_categories_outcome", "SELECT * FROM cdel_out", **_CDEL)
 def c13_delete_categories_outcome(spark, sf_dir):
     s = Shop.of(spark, sf_dir)
-    return C.delete_categories(s.categories, s.products, I.category_deletes(s)).outcome
+    return C.delete_categories(s.categories, I.category_products(s), I.category_deletes(s)).outcome
 
 
 @reg("c13_delete_categories", """
@@ -695,7 +717,7 @@ SELECT * FROM shop_categories WHERE id NOT IN (SELECT id FROM cdel_out WHERE err
 """, **_CDEL)
 def c13_delete_categories(spark, sf_dir):
     s = Shop.of(spark, sf_dir)
-    return C.delete_categories(s.categories, s.products, I.category_deletes(s)).tables["categories"]
+    return C.delete_categories(s.categories, I.category_products(s), I.category_deletes(s)).tables["categories"]
 
 
 # ------------------------------------------------------------------ C14

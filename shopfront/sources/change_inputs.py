@@ -149,16 +149,33 @@ def brand_review_rows(s: Shop) -> DataFrame:
 
 
 def category_rows(s: Shop) -> DataFrame:
-    """Nations as inserts/updates; some names collide case-blind with existing ones."""
+    """Nations as inserts/updates; some names collide case-blind with existing ones.
+
+    Then, per nation: an update of an unknown id and an insert of the same
+    name (a refused row holds no name), a renaming of every category and an
+    insert of the name that its nation has (a renaming frees a name).
+    """
     n = s.raw.nation
-    key = F.col("n_nationkey")
-    return n.select(
-        (key + 1).cast("long").alias("seq"),
-        F.when(key % 2 == 0, F.lit(None)).otherwise(key).cast("long").alias("id"),
-        F.when(key % 3 == 0, F.lower("n_name")).when(key % 5 == 0, F.lit(None))
-         .otherwise(F.concat("n_name", F.lit("_X"))).alias("name"),
-        F.concat(F.lit("about "), F.col("n_name")).alias("description"),
-        F.when(key % 4 == 0, F.lit(None)).otherwise(F.col("n_regionkey") + 100).cast("long").alias("parent_id"))
+    key, name = F.col("n_nationkey").cast("long"), F.col("n_name")
+    none = F.lit(None).cast("long")
+
+    def rows(seq, ident, text):
+        return n.select(
+            seq.alias("seq"), ident.alias("id"), text.alias("name"), F.concat(F.lit("about "), name).alias("description"),
+            F.when(key % 4 == 0, none).otherwise(F.col("n_regionkey") + 100).cast("long").alias("parent_id"))
+
+    return (rows(key + 1, F.when(key % 2 == 0, none).otherwise(key),
+                 F.when(key % 3 == 0, F.lower(name)).when(key % 5 == 0, F.lit(None)).otherwise(F.concat(name, F.lit("_X"))))
+            .unionByName(rows(key * 2 + 100, key + 500, F.concat(F.lit("Q"), name)))
+            .unionByName(rows(key * 2 + 101, none, F.concat(F.lit("q"), F.lower(name))))
+            .unionByName(rows(key + 200, key, F.concat(F.lit("R"), name)))
+            .unionByName(rows(key + 300, none, name)))
+
+
+def category_products(s: Shop) -> DataFrame:
+    """The products without those under parent 101, so that its categories and then 101 itself can go."""
+    others = s.categories.filter("parent_id <> 101").select(F.col("id").alias("category_id"))
+    return s.products.join(others, "category_id", "left_semi")
 
 
 def category_deletes(s: Shop) -> DataFrame:
