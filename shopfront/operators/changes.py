@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import first_by, last_by
 from ..functions.components import component_roots
 from ..functions.scan import key_scan
+from ..functions.slots import slot_scan
 from ..sources.io import cut
 from ..sources.model import LINKS, ORDER_STATUSES, PAYMENT_METHODS
 
@@ -481,113 +482,50 @@ def brand_review_changes(brand_reviews: DataFrame, rows: DataFrame, as_of) -> Ch
     already submitted a brand review'); update: rating and comment of the
     user's review ('Review not found'); delete: by (id, user) ('Review not
     found or you do not have permission to delete it').  Ops of a user apply
-    in seq order; the state before an op follows from the previous ops.  A
-    rating outside 1..5 (or null) changes nothing ('Rating must be between 1
-    and 5'); an add that names no id gets max(id) + 1 + seq.
-
-    No user's ops are gathered in one place.  The review exists between a
-    successful add (or the original review) and the first later delete of
-    that id; the next successful add is the first add after that delete.
-    So the successful adds form a chain per user: ``next(add) = first add
-    after the first delete of its id``.  Both "first after" lookups are
-    running counts (``key_scan``) plus equi-joins on (key, ordinal), and the
-    chain from each user's start is followed by pointer doubling: log2(adds
-    per user) rounds of joins on unique keys, each cut to the checkpoint
-    folder.  Every op then reads the state left by the last successful event
-    before it (again a running count and an equi-join).
+    in seq order.  A rating outside 1..5 (or null) changes nothing ('Rating
+    must be between 1 and 5').  A new review's id is max(id) + 1 + seq,
+    whatever id its row names; the id of a delete may be one of those.
+
+    Which review a user has before each op is a ``slot_scan``: one lazy plan,
+    and a user with a third of all ops is spread over many tasks.  Rating and
+    comment of the review that is left come from the last op on it, a partial
+    aggregate.
     """
-    lo = F.lit(-(2 ** 63)).cast("long")           # position of a review that predates the batch
-    old = brand_reviews.groupBy("user_id").agg(F.min(F.struct("id", "rating", "comment", "created_at")).alias("_o"))
+    start = F.lit(-(2 ** 63)).cast("long")          # a review that predates the batch is put first
+    touched = rows.select("user_id").distinct()
+    old = (brand_reviews.groupBy("user_id").agg(F.min(F.struct("id", "rating", "comment", "created_at")).alias("_o"))
+           .join(touched, "user_id", "left_semi"))
     rated = F.coalesce(F.col("rating").between(1, 5), F.lit(False))
-    ops = rows.select("seq", "op", "user_id",
-                      F.when(F.col("op") == "add", F.coalesce("id", _next_id(brand_reviews, F.col("seq"))))
-                       .otherwise(F.col("id")).alias("id"), "rating", "comment", rated.alias("_rated"))
-    adds = ops.filter((F.col("op") == "add") & F.col("_rated"))
-    dels = ops.filter(F.col("op") == "delete")
-    touched = ops.select("user_id").distinct()
-    # chain nodes: every add (review id = op id) and each touched user's original review
-    orig = old.join(touched, "user_id", "left_semi")
-    nodes = adds.select("user_id", F.col("seq").alias("pos"), F.col("id").alias("rid")).unionByName(
-        orig.select("user_id", lo.alias("pos"), F.col("_o.id").cast("long").alias("rid")))
-
-    # first delete of the node's id after it: the (c+1)-th delete of (user, id)
-    probe = nodes.select("user_id", F.col("rid").alias("_k"), F.col("pos").alias("_s"), F.lit(0).alias("_t"))
-    dk = dels.select("user_id", F.col("id").alias("_k"), F.col("seq").alias("_s"), F.lit(1).alias("_t"))
-    sc = key_scan(probe.unionByName(dk), ["user_id", "_k"], ["_s", "_t"], count_if=F.col("_t") == 1, count_name="_c")
-    first_del = (sc.filter("_t = 0").select("user_id", F.col("_s").alias("pos"), (F.col("_c") + 1).alias("_want"),
-                                            F.col("_k").alias("_rk"))
-                 .join(sc.filter("_t = 1").select(F.col("user_id").alias("_u"), F.col("_k").alias("_dk"),
-                                                  F.col("_c").alias("_have"), F.col("_s").alias("del_seq")),
-                       (F.col("user_id") == F.col("_u")) & (F.col("_rk") == F.col("_dk"))
-                       & (F.col("_want") == F.col("_have")), "inner")
-                 .select("user_id", "pos", "del_seq"))
-    # first add after that delete: the (c+1)-th add of the user
-    probe2 = first_del.select("user_id", F.col("del_seq").alias("_s"), F.col("pos").alias("_from"), F.lit(0).alias("_t"))
-    ak = adds.select("user_id", F.col("seq").alias("_s"), F.lit(None).cast("long").alias("_from"), F.lit(1).alias("_t"))
-    sc2 = key_scan(probe2.unionByName(ak), ["user_id"], ["_s", "_t"], count_if=F.col("_t") == 1, count_name="_c")
-    succ = (sc2.filter("_t = 0").select("user_id", F.col("_from").alias("pos"), (F.col("_c") + 1).alias("_want"))
-            .join(sc2.filter("_t = 1").select(F.col("user_id").alias("_u"), F.col("_c").alias("_have"),
-                                              F.col("_s").alias("nxt")),
-                  (F.col("user_id") == F.col("_u")) & (F.col("_want") == F.col("_have")), "inner")
-            .select("user_id", "pos", "nxt"))
-
-    # the chain from each user's start (original review, else first add), by pointer doubling
-    start = orig.select("user_id", lo.alias("pos")).unionByName(
-        adds.join(orig, "user_id", "left_anti").groupBy("user_id").agg(F.min("seq").alias("pos")))
-    # round k: path = chain nodes 0 .. 2^k - 1 steps from the start, jump = 2^k-th successor;
-    # done when no path node has a 2^k-th successor
-    path, jump = start, cut(succ)
-    while True:
-        step = cut(path.join(jump, ["user_id", "pos"]).select("user_id", F.col("nxt").alias("pos")))
-        if step.isEmpty():
-            break
-        path = cut(path.unionByName(step))
-        j2 = jump.select("user_id", F.col("pos").alias("_p"), F.col("nxt").alias("pos"))
-        jump = cut(j2.join(jump, ["user_id", "pos"]).select("user_id", F.col("_p").alias("pos"), "nxt"))
-
-    # successful events: the path's adds (or original) and the delete ending each
-    ev_add = (path.join(nodes, ["user_id", "pos"])
-              .select("user_id", F.col("pos").alias("_s"), F.lit("A").alias("_kind"), "rid"))
-    ev_del = (path.join(first_del, ["user_id", "pos"])
-              .select("user_id", F.col("del_seq").alias("_s"), F.lit("D").alias("_kind"), F.lit(None).cast("long").alias("rid")))
-    events = ev_add.unionByName(ev_del)
-    # state before each op: the last event at an earlier seq (an op sorts before its own event)
-    probe3 = ops.select("user_id", F.col("seq").alias("_s"), F.lit(0).alias("_t"), "op", F.col("id").alias("_oid"),
-                        "_rated")
-    ek = events.select("user_id", "_s", F.lit(1).alias("_t"), F.lit(None).cast("string").alias("op"),
-                       F.lit(None).cast("long").alias("_oid"), F.lit(True).alias("_rated"))
-    sc3 = key_scan(probe3.unionByName(ek), ["user_id"], ["_s", "_t"], count_if=F.col("_t") == 1, count_name="_c")
-    numbered = (sc3.filter("_t = 1").select(F.col("user_id").alias("_u"), F.col("_c").alias("_n"), F.col("_s").alias("_es"))
-                .join(events.select(F.col("user_id").alias("_u"), F.col("_s").alias("_es"), "_kind", "rid"), ["_u", "_es"]))
-    st = (sc3.filter("_t = 0").join(numbered, (F.col("user_id") == F.col("_u")) & (F.col("_c") == F.col("_n")), "left"))
-    present = F.coalesce(F.col("_kind") == "A", F.lit(False))
+    ops = rows.select("user_id", "seq", "op",
+                      F.when(F.col("op") == "add", _next_id(brand_reviews, F.col("seq"))).otherwise(F.col("id"))
+                       .cast("long").alias("id"), rated.alias("_rated"))
+    held = slot_scan(
+        ops.unionByName(old.select("user_id", start.alias("seq"), F.lit("stored").alias("op"),
+                                   F.col("_o.id").cast("long").alias("id"), F.lit(True).alias("_rated"))),
+        "user_id", "seq", put=F.when(F.col("op").isin("add", "stored") & F.col("_rated"), F.col("id")),
+        drop=F.when(F.col("op") == "delete", F.col("id")))
+    present = F.col("held_before").isNotNull()
     err = (F.when((F.col("op") == "add") & present, "You have already submitted a brand review")
            .when((F.col("op") == "update") & ~present, "Review not found")
            .when(F.col("op").isin("add", "update") & ~F.col("_rated"), "Rating must be between 1 and 5")
-           .when((F.col("op") == "delete") & ~(present & (F.col("_oid") == F.col("rid"))),
+           .when((F.col("op") == "delete") & ~(present & F.coalesce(F.col("id") == F.col("held_before"), F.lit(False))),
                  "Review not found or you do not have permission to delete it"))
-    outcome = st.select("user_id", F.col("_s").alias("seq"), err.alias("error"))
-
-    # final review per touched user: the last event; rating/comment from the last later update
-    last_ev = events.groupBy("user_id").agg(F.max_by(F.struct("_kind", "rid"), "_s").alias("_e"),
-                                            F.max("_s").alias("_es"))
-    last_upd = ops.filter((F.col("op") == "update") & F.col("_rated")).groupBy(F.col("user_id").alias("_uu")).agg(
-        F.max_by(F.struct("rating", "comment"), "seq").alias("_upd"), F.max("seq").alias("_us"))
-    added = adds.select(F.col("user_id").alias("_au"), F.col("seq").alias("_es"), F.col("rating").alias("_ar"),
-                        F.col("comment").alias("_ac"))
-    fin = (last_ev.filter(F.col("_e._kind") == "A")
-           .join(added.withColumnRenamed("_es", "_aes"),
-                 (F.col("user_id") == F.col("_au")) & (F.col("_es") == F.col("_aes")), "left")
-           .join(old.select(F.col("user_id").alias("_ou"), "_o"), F.col("user_id") == F.col("_ou"), "left")
-           .join(last_upd, (F.col("user_id") == F.col("_uu")) & (F.col("_us") > F.col("_es")), "left"))
-    is_orig = F.col("_es") == lo
+    outcome = held.filter("op <> 'stored'").select("user_id", "seq", err.alias("error"))
+    # per user the review that is left, and the op that wrote it last
+    last = held.groupBy("user_id").agg(
+        F.max_by("held_after", "seq").alias("_rid"),
+        F.max(F.when(F.col("op").isin("add", "update", "stored") & err.isNull(), F.col("seq"))).alias("_wrote"))
+    left = last.filter("_rid is not null").select(F.col("user_id").alias("_u"), "_rid", "_wrote")
+    wrote = rows.select(F.col("user_id").alias("_wu"), F.col("seq").alias("_wseq"), F.col("rating").alias("_wr"),
+                        F.col("comment").alias("_wc"))
+    fin = (left.join(wrote, F.col("_u").eqNullSafe(F.col("_wu")) & (F.col("_wrote") == F.col("_wseq")), "left")
+           .join(old.select(F.col("user_id").alias("_ou"), "_o"), F.col("_u").eqNullSafe(F.col("_ou")), "left"))
+    is_old = F.coalesce(F.col("_rid") == F.col("_o.id"), F.lit(False))
     final = fin.select(
-        F.col("_e.rid").alias("id"), "user_id",
-        F.when(F.col("_uu").isNotNull(), F.col("_upd.rating"))
-         .when(is_orig, F.col("_o.rating")).otherwise(F.col("_ar")).alias("rating"),
-        F.when(F.col("_uu").isNotNull(), F.col("_upd.comment"))
-         .when(is_orig, F.col("_o.comment")).otherwise(F.col("_ac")).alias("comment"),
-        F.when(is_orig, F.col("_o.created_at")).otherwise(_ts(as_of)).alias("created_at"))
+        F.col("_rid").alias("id"), F.col("_u").alias("user_id"),
+        F.when(F.col("_wrote") == start, F.col("_o.rating")).otherwise(F.col("_wr")).alias("rating"),
+        F.when(F.col("_wrote") == start, F.col("_o.comment")).otherwise(F.col("_wc")).alias("comment"),
+        F.when(is_old, F.col("_o.created_at")).otherwise(_ts(as_of)).alias("created_at"))
     untouched = brand_reviews.join(touched, "user_id", "left_anti")
     return Change({"brand_reviews": _align(untouched, brand_reviews).unionByName(_align(final, brand_reviews))},
                   outcome)

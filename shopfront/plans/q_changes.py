@@ -584,16 +584,19 @@ def c11_add_reviews_reviews(spark, sf_dir):
 
 
 # Sequential add/update/delete per user; the oracle is the plain per-user fold as a
-# recursive CTE (the Spark job follows the chain of successful adds instead).
+# recursive CTE (the Spark job composes transitions of a slot instead).
 _BROWS = {"c_brows": """
 SELECT e.event_id AS seq,
        CASE e.event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS op,
        e.user_id,
-       CASE WHEN e.event_id % 3 = 2 THEN COALESCE(b.id, e.event_id) ELSE e.event_id END AS id,
+       CASE WHEN e.event_id % 3 <> 2 THEN e.event_id WHEN e.event_id % 2 = 0 THEN COALESCE(b.id, e.event_id)
+            ELSE COALESCE((SELECT MAX(id) + 1 FROM shop_brand_reviews) + e.added, e.event_id) END AS id,
        CAST(1 + floor(e.value) % 5 AS INTEGER) AS rating,
        'e' || CAST(e.event_id AS VARCHAR) AS comment
-FROM events e LEFT JOIN shop_brand_reviews b ON b.user_id = e.user_id
-WHERE e.event_type = 'error'"""}
+FROM (SELECT *, max(CASE WHEN event_id % 3 = 0 THEN event_id END) OVER (
+                 PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS added
+      FROM events WHERE event_type = 'error') e
+LEFT JOIN shop_brand_reviews b ON b.user_id = e.user_id"""}
 
 
 _BRAND_FOLD = f"""
@@ -606,7 +609,7 @@ st AS (
   SELECT s.user_id, o.k,
          CASE WHEN o.op = 'add' THEN TRUE
               WHEN o.op = 'delete' AND s.present AND s.rid = o.id THEN FALSE ELSE s.present END,
-         CASE WHEN o.op = 'add' AND NOT s.present THEN o.id
+         CASE WHEN o.op = 'add' AND NOT s.present THEN (SELECT MAX(id) + 1 FROM shop_brand_reviews) + o.seq
               WHEN o.op = 'delete' AND s.present AND s.rid = o.id THEN NULL ELSE s.rid END,
          CASE WHEN (o.op = 'add' AND NOT s.present) OR (o.op = 'update' AND s.present) THEN o.rating
               WHEN o.op = 'delete' AND s.present AND s.rid = o.id THEN NULL ELSE s.rating END,

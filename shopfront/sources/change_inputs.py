@@ -8,7 +8,7 @@ own columns.  The DuckDB twins are in ``shopfront.plans.q_changes``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .fixtures import Shop
@@ -136,16 +136,25 @@ def review_rows(s: Shop) -> DataFrame:
 
 
 def brand_review_rows(s: Shop) -> DataFrame:
-    """C11 (brand): every error event adds, updates or deletes the user's brand review."""
+    """C11 (brand): every error event adds, updates or deletes the user's brand review.
+
+    A delete names the stored review of its user, or every second one the review that the user's last add
+    before would have made (ids of new reviews are max(id) + 1 + seq).
+    """
+    key = F.col("event_id")
     ev = s.raw.events.filter(F.col("event_type") == "error")
-    op = F.when(F.col("event_id") % 3 == 0, "add").when(F.col("event_id") % 3 == 1, "update").otherwise("delete")
+    op = F.when(key % 3 == 0, "add").when(key % 3 == 1, "update").otherwise("delete")
     br = s.brand_reviews.select(F.col("user_id").alias("_u"), F.col("id").alias("_bid"))
-    j = ev.join(br, F.col("user_id") == F.col("_u"), "left")
+    fresh = s.brand_reviews.select((F.max("id") + 1).cast("long")).scalar()
+    latest = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    made = fresh + F.max(F.when(key % 3 == 0, key)).over(latest)
+    j = ev.withColumn("_made", made).join(br, F.col("user_id") == F.col("_u"), "left")
     return j.select(
-        F.col("event_id").alias("seq"), op.alias("op"), "user_id",
-        F.when(op == "delete", F.coalesce("_bid", "event_id")).otherwise(F.col("event_id")).alias("id"),
+        key.alias("seq"), op.alias("op"), "user_id",
+        F.when(op == "delete", F.when(key % 2 == 0, F.coalesce("_bid", key)).otherwise(F.coalesce("_made", key)))
+         .otherwise(key).alias("id"),
         (F.lit(1) + F.floor("value") % 5).cast("int").alias("rating"),
-        F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("comment"))
+        F.concat(F.lit("e"), key.cast("string")).alias("comment"))
 
 
 def category_rows(s: Shop) -> DataFrame:

@@ -76,7 +76,7 @@ def _replay_brand(orig, ops, as_of):
             if s["present"]:
                 err = "You have already submitted a brand review"
             else:
-                s = dict(present=True, id=i, rating=r, comment=c, created=as_of)
+                s = dict(present=True, id=max(x[0] for x in orig.values()) + 1 + seq, rating=r, comment=c, created=as_of)
         elif op == "update":
             if s["present"]:
                 s = dict(s, rating=r, comment=c)
@@ -106,7 +106,7 @@ def test_brand_review_chain_matches_replay(spark):
         for _ in range(n):
             seq += rnd.randint(1, 3)
             op = rnd.choice(["add", "add", "delete", "delete", "update"])
-            rid = rnd.choice([501, 503, seq, seq - 1, seq - 2, seq - 3]) if op == "delete" else seq
+            rid = rnd.choice([501, 503, *(504 + seq - d for d in range(1, 7))]) if op == "delete" else seq
             ops.append((seq, op, u, rid, rnd.randint(1, 5), f"c{seq}"))
     # delete ids that hit recent adds make long chains
     br = spark.createDataFrame([(i, u, r, c, t) for u, (i, r, c, t) in orig.items()],
@@ -126,6 +126,45 @@ def test_brand_review_chain_matches_replay(spark):
     assert sum(e is None for e in want_err.values()) > 50   # the hot user really alternates
 
 
+def test_brand_review_plan_is_lazy(spark):
+    """Building the job runs nothing; an id that another review has is not taken over."""
+    from shopfront.operators import changes as C
+    br = spark.createDataFrame([(1, 7, 4, "x", None), (3, 9, 5, "y", None)],
+                               "id long, user_id long, rating int, comment string, created_at timestamp_ntz")
+    ops = spark.createDataFrame([(0, "add", 8, 3, 5, "z"), (1, "delete", 8, 3, None, None), (2, "delete", 7, 1, None, None),
+                                 (3, "add", 7, 1, 2, "again"), (4, "delete", 7, 7, None, None), (5, "add", None, 1, 3, "n")],
+                                "seq long, op string, user_id long, id long, rating int, comment string")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("brand-build", "building")
+    try:
+        ch = C.brand_review_changes(br, ops, "2024-02-01")
+        assert not tracker.getJobIdsForGroup("brand-build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    no = "Review not found or you do not have permission to delete it"
+    assert [r["error"] for r in rows(ch.outcome, ["seq"])] == [None, no, None, None, None, None]
+    assert sorted((r["id"], r["comment"]) for r in rows(ch.tables["brand_reviews"])) == [(3, "y"), (4, "z"), (9, "n")]
+
+
+def test_slot_transitions_compose():
+    import random
+
+    from shopfront.functions.slots import _after, transition
+    rnd = random.Random(5)
+    for _ in range(300):
+        puts, drops, n = [], [], rnd.randint(1, 25)
+        for i in range(n):
+            kind = rnd.random()
+            puts.append(100 + i if kind < 0.45 else None)
+            drops.append(rnd.choice([1, 2, *range(100, 100 + n)]) if kind > 0.5 else None)
+        for held in (None, 1, 2, 3):
+            now = held
+            for p, d in zip(puts, drops):
+                now = _after(now, p, d)
+            ends, dropped = transition(puts, drops)
+            assert now == (ends if held is None else dropped.get(held, held))
+
+
 def test_partition_count_knob(spark):
     df = _skewed(spark, 2000)
     w = Window.partitionBy("k").orderBy("t", "id")
