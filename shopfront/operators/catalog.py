@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import all_of, any_of, lower_in, lower_overlap
+from ..functions.joins import with_children
 
 SEARCH_TEXT = ("name", "description", "ingredients", "benefits", "product_details")
 
@@ -83,24 +84,30 @@ def catalog_search(products: DataFrame, categories: DataFrame, reviews: DataFram
         pattern = f"%{search.lower()}%"
         preds.append(any_of([F.lower(F.coalesce(F.col(c), F.lit(""))).like(pattern)
                              for c in SEARCH_TEXT if c in products.columns]))
-    df = products.filter(all_of(preds)).join(
-        cats, F.col("category_id") == F.col("_cid"), "left").drop("_cid")
+    found = products.filter(all_of(preds))
     if category:
         low = category.lower()
-        df = df.filter((F.lower("category_name") == low) | (F.lower("parent_category_name") == low))
+        wanted = cats.filter((F.lower("category_name") == low) | (F.lower("parent_category_name") == low)).select("_cid")
+        found = found.join(wanted, F.col("category_id") == F.col("_cid"), "left_semi")
+    total = found.select(F.count(F.lit(1))).scalar()
+    newest = [F.col("created_at").desc_nulls_first(), F.col("id")]
+    if limit is not None:  # the page first: categories and ratings are looked up for its rows alone
+        found = _page(found, newest, page, limit)
+        if reviews is not None:
+            ids = found.select(F.col("id").alias("_page_id"))
+            reviews = reviews.join(ids, F.col("product_id") == F.col("_page_id"), "left_semi")
+    df = found.join(cats, F.col("category_id") == F.col("_cid"), "left").drop("_cid")
     df = _with_review_stats(df, reviews)
-    total = df.select(F.count(F.lit(1))).scalar()
     keep = [c for c in ("id", "name", "description", "price", "category", "image_url", "image_url2",
                         "image_url3", "usage_instructions", "size", "benefits", "ingredients",
                         "product_details") if c in df.columns]
-    out = df.select(
+    return df.select(
         *keep,
         F.coalesce(F.col("stock_quantity"), F.lit(0)).alias("stock_quantity"),
         "created_at", "category_name", "parent_category_name", "average_rating", "review_count",
         F.coalesce(F.col("offer_percentage"), F.lit(0)).alias("offer_percentage"),
         total.alias("total_matches"),
-    )
-    return _page(out, [F.col("created_at").desc_nulls_first(), F.col("id")], page, limit)
+    ).orderBy(*newest)
 
 
 def product_detail(products: DataFrame, categories: DataFrame, reviews: DataFrame | None,
@@ -132,7 +139,7 @@ def product_detail(products: DataFrame, categories: DataFrame, reviews: DataFram
     if ids is not None:
         r = r.filter(F.col("_rp").isin(list(ids)))
     if not nested:
-        return base.join(r, F.col("id") == F.col("_rp"), "left").drop("_rp")
+        return with_children(base, r, "id", "_rp")
     per_product = r.groupBy("_rp").agg(F.sort_array(F.collect_list(F.struct(
         F.col("review_id").alias("id"), F.col("review_rating").alias("rating"),
         F.col("review_comment").alias("comment"), F.col("review_created_at").alias("created_at"),
@@ -183,7 +190,8 @@ def category_with_products(categories: DataFrame, products: DataFrame, ids: list
     if ids is not None:
         prods = prods.filter(F.col("product_category_id").isin(list(ids)))
     if not nested:
-        return cats.join(prods, F.col("id") == F.col("product_category_id"), "left")
+        prods = prods.withColumn("_category", F.col("product_category_id"))
+        return with_children(cats, prods, "id", "_category")
     per_cat = prods.groupBy(F.col("product_category_id").alias("_cid")).agg(F.sort_array(F.collect_list(
         F.struct(*[F.col(f"product_{c}").alias(c) for c in products.columns]))).alias("products"))
     return (cats.join(per_cat, F.col("id") == F.col("_cid"), "left").drop("_cid")

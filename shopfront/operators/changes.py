@@ -412,7 +412,9 @@ def add_products(products: DataFrame, categories: DataFrame, rows: DataFrame, as
     """Admin product inserts (all fields as submitted text).
 
     Checks in order: name, price and category present; category id an
-    integer; category exists; price, stock and offer parse; offer 0..100.
+    integer; category exists; price, stock and offer parse; offer 0..100;
+    price and stock fit their columns (numeric(10,2), integer): a row that
+    does not is refused alone.
     The category's name is copied into ``category``; stock and offer default
     to 0; of PRODUCT_EXTRAS, those that ``rows`` and ``products`` both have
     are taken over, with empty texts as null.
@@ -430,7 +432,9 @@ def add_products(products: DataFrame, categories: DataFrame, rows: DataFrame, as
              .when(price.isNull(), "Invalid price format")
              .when(stock.isNull(), "Invalid stock quantity format")
              .when(offer.isNull() | (offer < 0) | (offer > 100),
-                   "Invalid offer percentage. Must be between 0 and 100"))
+                   "Invalid offer percentage. Must be between 0 and 100")
+             .when(price.try_cast("decimal(10,2)").isNull(), "Price out of range")
+             .when(stock.try_cast("int").isNull(), "Stock quantity out of range"))
     r = r.withColumn("error", error).withColumn("_price", price).withColumn("_stock", stock).withColumn("_offer", offer)
     ok = r.filter(F.col("error").isNull())
     new = ok.select(

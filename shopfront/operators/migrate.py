@@ -42,6 +42,32 @@ def copy_matching(source: DataFrame, target: DataFrame, key: str = "id", unique:
     return target.unionByName(fresh, allowMissingColumns=True).select(*target.columns)
 
 
+GRAM = 3
+
+
+def texts_like_any(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """The distinct lower-cased ``text``s that match any ``pattern`` case-blind (ILIKE), without comparing all pairs.
+
+    A text that matches has every run of literal characters of the pattern in
+    it.  Each distinct pattern gives the first ``GRAM`` characters of its longest
+    run (fewer if it has no longer one, none if it is all wildcards), each
+    distinct text all its grams of those lengths; the two meet on equal grams
+    and only those pairs are verified.  A pattern with an escape meets all texts.
+    """
+    t = texts.select(F.lower(F.col(text)).alias(text)).filter(F.col(text).isNotNull()).distinct()
+    p = patterns.select(F.lower(F.col(pattern)).alias("_like")).filter("_like is not null").distinct()
+    runs = F.transform(F.split("_like", "[%_]"), lambda r: F.struct(F.length(r).alias("n"), r.alias("r")))
+    longest = F.array_max(runs)["r"]
+    p = p.withColumn("_gram", F.when(F.col("_like").contains("\\"), F.lit("")).otherwise(F.substring(longest, 1, GRAM)))
+    sizes = p.select(F.length("_gram").alias("_size")).distinct()
+    grams = F.when(F.col("_size") == 0, F.array(F.lit(""))).when(
+        F.length(text) >= F.col("_size"), F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.length(text) - F.col("_size") + 1), lambda i: F.substring(F.col(text), i, F.col("_size")))))
+    sized = t.withColumn("_size", F.explode(sizes.select(F.collect_set("_size")).scalar()))
+    met = sized.withColumn("_gram", F.explode(grams)).join(p, "_gram")
+    return met.filter(F.expr(f"`{text}` like _like")).select(text).distinct()
+
+
 def backfill_category(products: DataFrame, categories: DataFrame, text_col: str = "category",
                       as_written: bool = False) -> DataFrame:
     """Fill a null ``category_id`` from the product's category text.
@@ -58,12 +84,10 @@ def backfill_category(products: DataFrame, categories: DataFrame, text_col: str
     pick = F.col("_by_name")
     if as_written:
         subs = categories.filter(F.col("parent_id").isNotNull()).select(F.col("name").alias("_pattern"))
-        hits = (products.filter(need).select(F.col("id").alias("_hid"), F.col(text_col).alias("_t"))
-                .join(subs, F.expr("_t ilike _pattern"), "left_semi")
-                .select("_hid").withColumn("_any", F.lit(True)))
+        hits = texts_like_any(products.filter(need).select(F.col(text_col).alias("_t")), "_t", subs, "_pattern")
         lowest = categories.select(F.min("id")).scalar()
-        out = out.join(hits, F.col("id") == F.col("_hid"), "left")
-        pick = F.when(F.col("_any").isNotNull(), lowest).otherwise(F.col("_by_name"))
+        out = out.join(hits.withColumnRenamed("_t", "_hit"), F.lower(F.col(text_col)) == F.col("_hit"), "left")
+        pick = F.when(F.col("_hit").isNotNull(), lowest).otherwise(F.col("_by_name"))
     cols = [F.when(need, pick).otherwise(F.col("category_id")).cast(products.schema["category_id"].dataType)
             .alias("category_id") if c == "category_id" else F.col(c) for c in products.columns]
     return out.select(*cols, F.when(need, F.when(pick.isNotNull(), "matched").otherwise("unmatched"))
@@ -82,7 +106,7 @@ def seed_categories(categories: DataFrame, tree: DataFrame, as_of) -> DataFrame:
     """Insert-if-absent by exact name: parents first, then children.
 
     ``tree``: seq (unique per row), parent, parent_description,
-    parent_image, child (may be null).  A new parent takes id max(id) + 1 +
+    parent_image (goes to ``image_url`` where the table has it), child (may be null).  A new parent takes id max(id) + 1 +
     2*min(seq) of its rows, a new child max(id) + 2*seq + 2 of its first row,
     so ids are unique without a numbering pass.  A child gets its parent's
     id (existing or new) and the text 'X in Y category'; a name that exists
@@ -96,7 +120,7 @@ def seed_categories(categories: DataFrame, tree: DataFrame, as_of) -> DataFrame:
     new_parents = (parents.join(taken, F.col("parent") == F.col("_n"), "left_anti")
                    .select((base + 2 * F.col("_p.seq")).alias("id"), F.col("parent").alias("name"),
                            F.col("_p.parent_description").alias("description"),
-                           F.lit(None).cast("long").alias("parent_id")))
+                           F.lit(None).cast("long").alias("parent_id"), F.col("_p.parent_image").alias("image_url")))
     parent_ids = (categories.select(F.col("name").alias("_pn"), F.col("id").alias("_pid"))
                   .unionByName(new_parents.select(F.col("name").alias("_pn"), F.col("id").alias("_pid"))))
     children = (tree.filter(F.col("child").isNotNull())
@@ -107,7 +131,8 @@ def seed_categories(categories: DataFrame, tree: DataFrame, as_of) -> DataFrame:
                 .select((base + 2 * F.col("_c.seq") + 1).alias("id"), F.col("child").alias("name"),
                         F.concat(F.col("child"), F.lit(" in "), F.col("_c.parent"), F.lit(" category"))
                         .alias("description"), F.col("_pid").alias("parent_id")))
-    new = new_parents.unionByName(children).withColumn("created_at", F.lit(as_of).cast("timestamp_ntz"))
+    new = new_parents.unionByName(children, allowMissingColumns=True).withColumn("created_at", F.lit(as_of).cast("timestamp_ntz"))
+    new = new.select(*[c for c in new.columns if c in categories.columns])
     return categories.unionByName(new, allowMissingColumns=True).select(*categories.columns)
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import with_children
 from ..functions.columns import avg_1dp, money
 from ..functions.scan import key_scan
 from .orders import recent_orders, recently_bought
@@ -128,7 +129,7 @@ def user_snapshot(users: DataFrame, cart: DataFrame, wishlist: DataFrame,
         F.lit(None).cast("boolean").alias("item_selected"), F.col("created_at").alias("item_created_at"))
     rows = c.unionByName(w)
     if not nested:
-        return u.join(rows, F.col("id") == F.col("_u"), "left").drop("_u")
+        return with_children(u, rows, "id", "_u")
     cart_arr = c.groupBy("_u").agg(F.sort_array(F.collect_list(F.struct(
         "item_id", "item_product_id", "item_quantity", "item_selected", "item_created_at"))).alias("cart"))
     wish_arr = w.groupBy("_u").agg(F.sort_array(F.collect_list(F.struct(

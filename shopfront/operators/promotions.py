@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import with_children
 from ..functions.columns import money
 from ..functions.scan import key_scan
 
@@ -61,7 +62,7 @@ def coupon_catalog(coupons: DataFrame, coupon_products: DataFrame, products: Dat
                .withColumn("product_ids", F.coalesce("product_ids", F.array().cast("array<bigint>")))
                .withColumn("product_names", F.coalesce("product_names", F.array().cast("array<string>"))))
     else:
-        out = c.join(links, F.col("id") == F.col("coupon_id"), "left").drop("coupon_id")
+        out = with_children(c, links, "id", "coupon_id")
     if sort:
         out = out.orderBy(F.col("created_at").desc_nulls_first(), F.col("id"))
     return out

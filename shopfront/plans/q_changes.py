@@ -65,9 +65,10 @@ SELECT p_partkey AS seq,
        CASE WHEN p_partkey % 11 = 0 THEN '' ELSE p_name || ' II' END AS name,
        p_type AS description,
        CASE WHEN p_partkey % 13 = 0 THEN 'abc' WHEN p_partkey % 17 = 0 THEN CAST(p_retailprice AS VARCHAR) || 'x'
-            ELSE CAST(p_retailprice AS VARCHAR) END AS price,
+            WHEN p_partkey % 23 = 0 THEN '1e12' ELSE CAST(p_retailprice AS VARCHAR) END AS price,
        CASE WHEN p_size = 49 THEN 'x1' WHEN p_size = 48 THEN '77' ELSE CAST(p_size AS VARCHAR) END AS category_id,
-       CASE WHEN p_partkey % 7 = 0 THEN '' ELSE CAST(p_size * 3 AS VARCHAR) END AS stock_quantity,
+       CASE WHEN p_partkey % 7 = 0 THEN '' WHEN p_partkey % 19 = 0 THEN '3000000000'
+            ELSE CAST(p_size * 3 AS VARCHAR) END AS stock_quantity,
        CASE WHEN p_size > 40 THEN CAST(p_size * 3 AS VARCHAR) ELSE CAST(p_size AS VARCHAR) END AS offer_percentage
 FROM part""",
     "c_rrows": f"""
@@ -504,6 +505,8 @@ SELECT *, CASE WHEN name IS NULL OR name = '' OR price IS NULL OR price = ''
                WHEN pr IS NULL THEN 'Invalid price format'
                WHEN st IS NULL THEN 'Invalid stock quantity format'
                WHEN off IS NULL OR off < 0 OR off > 100 THEN 'Invalid offer percentage. Must be between 0 and 100'
+               WHEN TRY_CAST(pr AS DECIMAL(10,2)) IS NULL THEN 'Price out of range'
+               WHEN TRY_CAST(st AS INTEGER) IS NULL THEN 'Stock quantity out of range'
           END AS error
 FROM (SELECT x.*,
              TRY_CAST(NULLIF(regexp_extract(category_id, '{_INT}', 1), '') AS BIGINT) AS cat,

@@ -146,12 +146,12 @@ WITH tree AS (SELECT p_partkey AS seq, p_type AS parent, 'Type ' || p_type AS pa
      nc AS (SELECT child AS name, MIN(seq) AS s, arg_min(parent, seq) AS parent FROM tree
             WHERE child NOT IN (SELECT name FROM shop_categories) AND child NOT IN (SELECT name FROM np)
             GROUP BY child)
-SELECT * FROM shop_categories
+SELECT *, CAST(NULL AS VARCHAR) AS image_url FROM shop_categories
 UNION ALL
-SELECT (SELECT base FROM b) + 2 * s, name, description, CAST(NULL AS BIGINT), TIMESTAMP '{AS_OF}' FROM np
+SELECT (SELECT base FROM b) + 2 * s, name, description, CAST(NULL AS BIGINT), TIMESTAMP '{AS_OF}', name || '.jpg' FROM np
 UNION ALL
 SELECT (SELECT base FROM b) + 2 * nc.s + 1, nc.name, nc.name || ' in ' || nc.parent || ' category', pid.id,
-       TIMESTAMP '{AS_OF}'
+       TIMESTAMP '{AS_OF}', NULL
 FROM nc JOIN pid ON pid.name = nc.parent
 """)
 def d06_seed_categories(spark, sf_dir):
@@ -159,9 +159,10 @@ def d06_seed_categories(spark, sf_dir):
     p = s.raw.part
     tree = p.select(F.col("p_partkey").alias("seq"), F.col("p_type").alias("parent"),
                     F.concat(F.lit("Type "), F.col("p_type")).alias("parent_description"),
-                    F.lit(None).cast("string").alias("parent_image"),
+                    F.concat("p_type", F.lit(".jpg")).alias("parent_image"),
                     F.concat_ws(" ", "p_type", "p_brand").alias("child"))
-    return migrate.seed_categories(s.categories, tree, AS_OF)
+    categories = s.categories.withColumn("image_url", F.lit(None).cast("string"))
+    return migrate.seed_categories(categories, tree, AS_OF)
 
 
 _SPECS = [migrate.ColumnSpec("image_url2", "string", None, "add"),

@@ -117,10 +117,11 @@ def product_rows(s: Shop) -> DataFrame:
         F.when(key % 11 == 0, F.lit("")).otherwise(F.concat("p_name", F.lit(" II"))).alias("name"),
         F.col("p_type").alias("description"),
         F.when(key % 13 == 0, F.lit("abc")).when(key % 17 == 0, F.concat(F.col("p_retailprice").cast("string"), F.lit("x")))
-         .otherwise(F.col("p_retailprice").cast("string")).alias("price"),
+         .when(key % 23 == 0, F.lit("1e12")).otherwise(F.col("p_retailprice").cast("string")).alias("price"),
         F.when(F.col("p_size") == 49, F.lit("x1")).when(F.col("p_size") == 48, F.lit("77"))
          .otherwise(F.col("p_size").cast("string")).alias("category_id"),
-        F.when(key % 7 == 0, F.lit("")).otherwise((F.col("p_size") * 3).cast("string")).alias("stock_quantity"),
+        F.when(key % 7 == 0, F.lit("")).when(key % 19 == 0, F.lit("3000000000"))
+         .otherwise((F.col("p_size") * 3).cast("string")).alias("stock_quantity"),
         F.when(F.col("p_size") > 40, (F.col("p_size") * 3).cast("string"))
          .otherwise(F.col("p_size").cast("string")).alias("offer_percentage"))
 
