@@ -15,7 +15,9 @@ File format (one Parquet file per range of doc_id; names sort like the ranges):
 
 Defined results: null text counts as empty (only the end id); an empty table
 gives an empty table; extra columns are ignored; a null doc_id sorts first;
-rows with equal doc_id follow one another, ordered by their ids' checksum.
+rows with equal doc_id follow one another, ordered by file and then by their
+ids' checksum.  Ranges are of doc_id and then of the text's hash, so an id (or
+null) that many rows share is spread over several files.
 """
 
 from __future__ import annotations
@@ -56,6 +58,7 @@ class ByteBpe:
     """
 
     JOINED = 256  # unseen chunks that go to the library as one text
+    KEPT = 400_000  # chunks that come into use before those not used for as long are forgotten
 
     def __init__(self, spec: str):
         import os
@@ -64,7 +67,7 @@ class ByteBpe:
         self.tokenizer = Tokenizer.from_str(spec)
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.leads = np.array([n is not None and n.startswith("Ġ") for n in names])  # ids that start with a blank
-        self.table = ChunkTable(self.segment)
+        self.table = ChunkTable(self.segment, limit=self.KEPT)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -89,18 +92,19 @@ class ByteBpe:
         return [next(own if c[:1] == " " else rest) for c in chunks]
 
     def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
-        def combine(ids):
-            try:
-                return b"".join(ids) + tail
-            except TypeError:  # a chunk without a value
-                return None
-
+        """Ids of whole texts, ``tail`` after each, looked up in a table of the batch's distinct chunks."""
         rows = [t.split(" ") if t else [] for t in texts]
         for row in rows:
             if row:
                 row[0] = " " + row[0]  # no other chunk holds a blank
-        found = self.table.join(rows, combine)
-        return [self.whole([t])[0] + tail if ids is None else ids for t, ids in zip(texts, found, strict=True)]
+        find = self.table.lookup(set().union(*rows)).__getitem__
+        out = []
+        for text, row in zip(texts, rows, strict=True):
+            try:
+                out.append(b"".join(map(find, row)) + tail)
+            except TypeError:  # a chunk without a value
+                out.append(self.whole([text])[0] + tail)
+        return out
 
 
 _own: dict[str, ByteBpe] = {}
@@ -137,7 +141,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int =
                                              ["doc_id", "part", "n_tokens", "ids"])
 
     ranged = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-              .repartitionByRange(partitions(spark), "doc_id").sortWithinPartitions("doc_id")
+              .repartitionByRange(partitions(spark), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
               .withColumn("part", F.spark_partition_id()))
     (ranged.mapInArrow(run, "doc_id long, part int, n_tokens int, ids array<int>")
      .write.options(**FORMAT).option("parquet.block.size", str(row_group_bytes))

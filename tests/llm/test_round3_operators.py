@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shopfront.llm import interactions, oracles, queries, rules, whitening
+from shopfront.llm import common, interactions, oracles, queries, rules, token_output, whitening
 
 SF = "/root/testdata/sf0.001"
 RNG = random.Random(11)
@@ -235,3 +235,53 @@ def test_quality_without_classes(spark):
     none = spark.createDataFrame([], "doc_id long, label int")
     assert {r.score for r in rules.rate_quality(docs, none).collect()} == {0.5}
     assert rules.rate_quality(docs.filter("doc_id < 0"), none).count() == 0
+
+
+# ---- operator 1: hot ids, chunk table, file format --------------------------------------------------------------------
+
+def test_chunk_table_lookup_forgets_and_finds_again():
+    asked = []
+
+    def segment(chunks):
+        asked.extend(chunks)
+        return [None if c == "odd" else c.encode() for c in chunks]
+    table = common.ChunkTable(segment, limit=3, longest=5)
+    assert table.lookup({"a", "b", "odd", "longer chunk"}) == {"a": b"a", "b": b"b", "odd": None, "longer chunk": b"longer chunk"}
+    assert table.lookup({"a", "longer chunk", "c"}) == {"a": b"a", "longer chunk": b"longer chunk", "c": b"c"}
+    assert table.lookup({"d", "e", "f", "g"})["g"] == b"g" and table.lookup(set()) == {}
+    assert table.lookup({"a", "odd"}) == {"a": b"a", "odd": None}
+    assert asked.count("longer chunk") == 2 and len(table.known) <= 4 and len(table.older) <= 5
+
+
+def test_rows_that_share_an_id_are_spread_over_files(spark, tmp_path):
+    rows = [(None if i % 4 else i, f"text number {i} " * 5) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = token_output.token_output(docs, queries.tokenizer_json(), 0, str(tmp_path / "t"))
+    per_file = {r.part: r["count"] for r in token_output.read_tokens(spark, str(tmp_path / "t")).groupBy("part").count().collect()}
+    assert max(per_file.values()) < 700 and sum(per_file.values()) == 2000
+    out = sorted(got.collect(), key=lambda r: r.start)
+    assert [r.start for r in out] == list(itertools.accumulate((r.n_tokens for r in out), initial=0))[:-1]
+    ids = [-1 if r.doc_id is None else r.doc_id for r in out]
+    assert ids == sorted(ids)
+
+
+def test_token_files_have_the_stated_encodings_and_indexes(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+    path = str(tmp_path / "t")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    token_output.write_tokens(docs, path, queries.tokenizer_json(), row_group_bytes=64 << 10, page_rows=4)
+    groups = 0
+    for name in glob.glob(f"{path}/*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        groups += meta.num_row_groups
+        for g in range(meta.num_row_groups):
+            columns = {meta.row_group(g).column(i).path_in_schema: meta.row_group(g).column(i) for i in range(meta.num_columns)}
+            for c in ("doc_id", "n_tokens"):
+                assert "DELTA_BINARY_PACKED" in columns[c].encodings and not columns[c].has_dictionary_page
+                assert columns[c].has_offset_index and columns[c].has_column_index
+            assert any("DICTIONARY" in e for c, x in columns.items() if c.startswith("ids") for e in x.encodings)
+    assert groups >= 1
+    plan = token_output.read_ids(spark, path, [3])._jdf.queryExecution().toString()
+    assert "PushedFilters: [" in plan and "doc_id" in plan.split("PushedFilters: [")[1].split("]")[0]
