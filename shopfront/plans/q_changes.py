@@ -495,6 +495,23 @@ def c09_patch_coupons_outcome(spark, sf_dir):
     return _patch_coupons(Shop.of(spark, sf_dir)).outcome
 
 
+_PROFILE = {"c_profile": """
+SELECT c_custkey AS seq, c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'New ' || c_name END AS name,
+       CASE WHEN c_custkey % 3 = 1 THEN 'x' || CAST(c_custkey AS VARCHAR) || '@example.org' END AS email,
+       CASE WHEN c_custkey % 3 = 2 THEN '5550000000' END AS phone
+FROM customer WHERE c_custkey % 4 = 0"""}
+
+
+@reg("c09_patch_profile", f"""
+SELECT u.* REPLACE (COALESCE(x.name, u.name) AS name, COALESCE(x.email, u.email) AS email, COALESCE(x.phone, u.phone) AS phone),
+       CASE WHEN x.id IS NOT NULL THEN {AS} END AS updated_at
+FROM shop_users u LEFT JOIN c_profile x ON x.id = u.id
+""", **_PROFILE)
+def c09_patch_profile(spark, sf_dir):
+    s = Shop.of(spark, sf_dir)
+    return C.patch_rows(s.users, I.profile_patches(s), ["name", "email", "phone"], [], I.AS_OF).tables["table"]
+
+
 # ------------------------------------------------------------------ C10
 
 _PROWS = {"prow_out": f"""

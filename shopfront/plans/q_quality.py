@@ -27,6 +27,15 @@ def _rule_sql(rule: str, col: str) -> str:
         return f"NOT COALESCE({col} IN ('cod', 'online'), false)"
     if rule == "order_status":
         return f"NOT COALESCE({col} IN ('pending', 'processing', 'shipped', 'delivered', 'cancelled'), false)"
+    number = f"TRY_CAST({col} AS BIGINT)"
+    if rule == "offer_range":
+        return f"NOT ({col} IS NULL OR COALESCE({number} BETWEEN 0 AND 100, false))"
+    if rule == "rating_range":
+        return f"NOT COALESCE({number} BETWEEN 1 AND 5, false)"
+    if rule == "discount_type":
+        return f"NOT COALESCE({col} IN ('percentage', 'fixed'), false)"
+    if rule == "numeric":
+        return f"NOT ({col} IS NULL OR TRY_CAST({col} AS DOUBLE) IS NOT NULL)"
     raise ValueError(rule)
 
 
@@ -55,6 +64,26 @@ register("d01_check_addresses", oracle=_check_sql("shop_addresses", _ADDRESS_RUL
     _check("addresses", _ADDRESS_RULES))
 
 
+_FORM_RULES = [("offer_range", "offer"), ("rating_range", "rating"), ("discount_type", "discount"), ("numeric", "price")]
+
+
+@register("d01_check_forms", oracle=_check_sql("""
+(SELECT p_partkey AS id, CASE WHEN p_size % 9 = 0 THEN NULL WHEN p_size % 7 = 0 THEN 'x' ELSE CAST(p_size * 3 - 4 AS VARCHAR) END AS offer,
+        CASE WHEN p_size % 11 = 0 THEN NULL ELSE CAST(p_size % 8 AS VARCHAR) END AS rating,
+        CASE p_size % 4 WHEN 0 THEN 'percentage' WHEN 1 THEN 'fixed' WHEN 2 THEN 'other' END AS discount,
+        CASE WHEN p_size % 5 = 0 THEN 'abc' WHEN p_size % 6 = 0 THEN NULL ELSE CAST(p_retailprice AS VARCHAR) END AS price FROM part)
+""", _FORM_RULES))
+def d01_check_forms(spark, sf_dir):
+    size, text = F.col("p_size"), "string"
+    forms = Shop.of(spark, sf_dir).raw.part.select(
+        F.col("p_partkey").alias("id"),
+        F.when(size % 9 == 0, None).when(size % 7 == 0, "x").otherwise((size * 3 - 4).cast(text)).alias("offer"),
+        F.when(size % 11 == 0, None).otherwise((size % 8).cast(text)).alias("rating"),
+        F.when(size % 4 == 0, "percentage").when(size % 4 == 1, "fixed").when(size % 4 == 2, "other").alias("discount"),
+        F.when(size % 5 == 0, "abc").when(size % 6 == 0, None).otherwise(F.col("p_retailprice").cast(text)).alias("price"))
+    return quality.check_rules(forms, _FORM_RULES, keep=["id"]).drop("broken")
+
+
 @register("d02_copy_users", oracle="""
 SELECT u.id, u.name, u.email, u.role, u.created_at, true AS is_verified
 FROM shop_users u WHERE u.id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)

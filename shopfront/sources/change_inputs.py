@@ -108,6 +108,15 @@ def product_patches(s: Shop) -> DataFrame:
         F.when(r == 0, F.lit(None)).otherwise(F.lit(5)).cast("int").alias("offer_percentage"))
 
 
+def profile_patches(s: Shop) -> DataFrame:
+    """Every fourth user changes name and mail address or phone; what is not given stays."""
+    key = F.col("c_custkey")
+    return s.raw.customer.filter(key % 4 == 0).select(
+        key.alias("seq"), key.alias("id"), F.when(key % 3 != 0, F.concat(F.lit("New "), "c_name")).alias("name"),
+        F.when(key % 3 == 1, F.concat(F.lit("x"), key.cast("string"), F.lit("@example.org"))).alias("email"),
+        F.when(key % 3 == 2, "5550000000").alias("phone"))
+
+
 def product_rows(s: Shop) -> DataFrame:
     """Every part is submitted again as a new product, as form text."""
     p = s.raw.part
