@@ -62,17 +62,18 @@ def customer_dashboard(users: DataFrame, orders: DataFrame, order_items: DataFra
             .join(rv, F.col("id") == F.col("_u"), "left").drop("_u"))
 
 
-def brand_review_summary(brand_reviews: DataFrame | None, users: DataFrame, sort: bool = True) -> DataFrame | None:
+def brand_review_summary(brand_reviews: DataFrame | None, users: DataFrame, sort: bool = True) -> DataFrame:
     """Q18: each brand review with its author and the overall figures.
 
     ``user_name`` is 'Anonymous' when the author is unknown; every row carries
     the overall mean rating to one decimal (half away from zero, computed in
     integers) and the review count.  These are scalar subqueries evaluated
-    once, not a window over the whole table.  No table => None (the caller
-    answers with an empty list, rating 0 and count 0).
+    once, not a window over the whole table.  No table (None) is an empty
+    table: no rows.
     """
     if brand_reviews is None:
-        return None
+        brand_reviews = users.sparkSession.createDataFrame(
+            [], "id long, user_id long, rating int, comment string, created_at timestamp_ntz")
     total = brand_reviews.select(F.sum("rating")).scalar()
     n = brand_reviews.select(F.count(F.lit(1))).scalar()
     avg = F.when(n > 0, avg_1dp(total, n)).otherwise(F.lit(0).cast("decimal(10,1)"))

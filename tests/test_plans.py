@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
 from shopfront.functions.joins import with_children
-from shopfront.operators import catalog, changes as C, migrate
+from shopfront.operators import catalog, changes as C, migrate, people
 from shopfront.sources.fixtures import Shop
 
 
@@ -131,3 +131,9 @@ def test_seeded_parents_have_pictures(spark):
     for name, _, image in migrate.SEED_ROOTS:
         assert pictures[name] == image
     assert pictures["Serums"] is None
+
+
+def test_brand_summary_without_a_table_is_empty(spark):
+    s = Shop(spark, SF_SMALL)
+    none, some = people.brand_review_summary(None, s.users), people.brand_review_summary(s.brand_reviews, s.users)
+    assert none.collect() == [] and none.dtypes == some.dtypes
