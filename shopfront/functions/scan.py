@@ -7,8 +7,8 @@ that: it range-partitions on the composite (key, order) — the range
 partitioner samples that composite, so one hot key is cut into many
 partitions of bounded size — and then
 
-1. in each sorted partition a vectorized pass (``mapInPandas``, Arrow
-   batches) computes the running sums and previous value per key segment;
+1. in each sorted partition a vectorized pass (``mapInArrow``; carried columns
+   pass through as they are, so NaN and far dates stay) computes the running sums and previous value per key segment;
 2. a key that continues from earlier partitions takes its carry (sums so
    far, last value) from a table built from the partitions' first and last
    rows; only the first key of a partition can continue from an earlier
@@ -29,7 +29,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -45,60 +47,67 @@ def _loc(i: int) -> str:
     return f"_scan_l{i}"
 
 
-def _same_key(pdf: pd.DataFrame, keys: list[str], last: tuple | None) -> pd.Series:
-    """Row i has the key of row i-1 (row 0: of the carried ``last`` key); nulls equal nulls."""
-    same = pd.Series(True, index=pdf.index)
-    for j, k in enumerate(keys):
-        a = pdf[k]
-        b = a.shift(1)
-        eq = (a == b) | (a.isna() & b.isna())
-        if last is None:
-            eq.iloc[0] = False
-        else:
-            v = last[j]
-            eq.iloc[0] = (pd.isna(v) and pd.isna(a.iloc[0])) or (not pd.isna(v) and a.iloc[0] == v)
-        same &= eq.astype(bool)
+def _shifted(col: pa.Array, before: pa.Array) -> pa.Array:
+    """``col`` one row later, with the one-row array ``before`` in front."""
+    return pa.concat_arrays([before, col.slice(0, len(col) - 1)])
+
+
+def _same_key(batch: pa.RecordBatch, keys: list[str], last: dict | None) -> np.ndarray:
+    """Row i has the key of row i-1 (row 0: of the carried ``last`` key); nulls equal nulls, NaN equals NaN."""
+    same = np.ones(batch.num_rows, bool)
+    for k in keys:
+        col = batch.column(k)
+        prev = _shifted(col, last[k] if last else pa.nulls(1, col.type))
+        eq = pc.or_(pc.fill_null(pc.equal(col, prev), False), pc.and_(col.is_null(), prev.is_null()))
+        if pa.types.is_floating(col.type):
+            eq = pc.or_(eq, pc.fill_null(pc.and_(pc.is_nan(col), pc.is_nan(prev)), False))
+        same &= eq.to_numpy(zero_copy_only=False)
+    if last is None:
+        same[0] = False
     return same
 
 
 def _local_pass(keys: list[str], n_sums: int, lag_of: str | None):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last_key, carry, carry_v, first_batch, pending = None, [0] * n_sums, None, True, None
-        for pdf in batches:
-            if pdf.empty:
+    """Arrow batches in, the same columns plus the local results out; no carried column is converted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry, carry_v, pending, first = None, [0] * n_sums, None, None, True
+        for b in batches:
+            n = b.num_rows
+            if n == 0:
                 continue
-            pdf = pdf.reset_index(drop=True)
-            same = _same_key(pdf, keys, last_key)
-            seg = (~same).cumsum()
+            same = _same_key(b, keys, last)
+            begin = np.maximum.accumulate(np.where(same, -1, np.arange(n)))  # the row's segment starts there; -1: before
+            out, names = list(b.columns), list(b.schema.names)
             for i in range(n_sums):
-                cnt = pdf[_f(i)].astype("int64").groupby(seg).cumsum()
-                cnt[seg == 0] += carry[i]
-                pdf[_loc(i)] = cnt
-                carry[i] = int(cnt.iloc[-1])
-            pfirst = pd.Series(False, index=pdf.index)
-            if first_batch:
-                pfirst.iloc[0] = True
-            pdf[_PFIRST] = pfirst
+                total = np.cumsum(b.column(_f(i)).to_numpy(zero_copy_only=False).astype(np.int64))
+                local = total - np.where(begin > 0, total[begin - 1], 0) + np.where(begin < 0, carry[i], 0)
+                carry[i] = int(local[-1])
+                out.append(pa.array(local))
+                names.append(_loc(i))
+            out.append(pa.array(np.arange(n) == 0 if first else np.zeros(n, bool)))
+            names.append(_PFIRST)
             if lag_of is not None:
-                col = pdf[lag_of].astype(object)
-                prev = col.shift(1)
-                prev[~same] = None
-                if bool(same.iloc[0]):
-                    prev.iloc[0] = carry_v
-                pdf[_LLAG] = prev.where(pd.notna(prev), None)
-                carry_v = col.iloc[-1]
-            last_key = tuple(pdf[k].iloc[-1] for k in keys)
-            first_batch = False
-            pdf[_PLAST] = False
+                col = b.column(lag_of)
+                rows = pa.concat_arrays([pa.nulls(1, col.type) if carry_v is None else carry_v, col])
+                out.append(rows.take(pa.array(np.arange(n), mask=~same)))
+                names.append(_LLAG)
+                carry_v = col.slice(n - 1, 1)
+            last, first = {k: b.column(k).slice(n - 1, 1) for k in keys}, False
             if pending is not None:
-                yield pending
-            pending = pdf
+                yield _with_last(*pending, False)
+            pending = (out, names)
         if pending is not None:
-            pending.loc[pending.index[-1], _PLAST] = True
-            yield pending
+            yield _with_last(*pending, True)
     return run
 
 
+def _with_last(columns: list, names: list[str], ends: bool) -> pa.RecordBatch:
+    flag = np.zeros(len(columns[0]), bool)
+    flag[-1] = ends
+    return pa.RecordBatch.from_arrays([*columns, pa.array(flag)], [*names, _PLAST])
+
+
 def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column | None = None,
              lag_of: str | None = None, count_name: str = "running_count",
              lag_name: str = "previous", sum_of: Column | None = None,
@@ -147,7 +156,7 @@ def key_scan(df: DataFrame, keys: list[str], order: list[str], count_if: Column
     if lag_of is not None:
         fields.append(StructField(_LLAG, d.schema[lag_of].dataType))
     fields.append(StructField(_PLAST, BooleanType()))
-    local = d.sortWithinPartitions(*sort).mapInPandas(_local_pass(keys, len(names), lag_of), StructType(fields))
+    local = d.sortWithinPartitions(*sort).mapInArrow(_local_pass(keys, len(names), lag_of), StructType(fields))
 
     # Carry table from the partitions' first and last rows only (<= 2n rows; a
     # key's rows in an earlier partition are that partition's tail, so its

@@ -281,3 +281,20 @@ def test_range_exchange_is_reused(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan
     assert "ReusedExchange" in plan
+
+
+def test_carried_columns_stay_as_they_are(spark):
+    """NaN, nulls, far dates and nested values in carried, lagged and key columns."""
+    import datetime as dt
+    far = dt.datetime(9999, 12, 31, 23, 59, 59)
+    data = [(i, float("nan") if i % 3 == 0 else None if i % 3 == 1 else float(i % 2), far if i % 2 else None, [i, None])
+            for i in range(400)]
+    df = spark.createDataFrame(data, "id long, x double, end timestamp_ntz, xs array<int>")
+    show = lambda d: sorted(map(str, d.collect()))
+    w = Window.partitionBy("x").orderBy("id")
+    for lagged in ("end", "x", "xs"):
+        got = key_scan(df, ["x"], ["id"], lag_of=lagged, count_name="c", lag_name="p", partitions=7)
+        want = df.select("*", F.count(F.lit(1)).over(w).alias("c"), F.lag(lagged).over(w).alias("p"))
+        assert show(got) == show(want)
+    empty = key_scan(df.filter("id < 0"), ["x"], ["id"], lag_of="end", count_name="c", lag_name="p")
+    assert empty.count() == 0
