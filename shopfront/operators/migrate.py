@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.model import COPY_ORDER, LINKS, Link
+
 # The category tree the shop seeds (root: description, image;
 # then the children of each root, in order).
 SEED_ROOTS = (
@@ -25,11 +27,11 @@ SEED_CHILDREN = {
 }
 
 
-def copy_matching(source: DataFrame, target: DataFrame, key: str = "id", unique: tuple[str, ...] = ()) -> DataFrame:
+def copy_matching(source: DataFrame, target: DataFrame, key: str | tuple = "id", unique: tuple = ()) -> DataFrame:
     """Append ``source`` rows to ``target`` over the columns both share.
 
-    Rows whose key, or whose value of a ``unique`` column, already exists in
-    the target are skipped (ON CONFLICT DO NOTHING; nulls never conflict);
+    Rows whose key, or whose value of a ``unique`` column (or tuple of columns),
+    already exists in the target are skipped (ON CONFLICT DO NOTHING; nulls never conflict);
     target-only columns are null for copied rows; the result has
     the target's columns.  Running it twice gives the same table.
     """
@@ -37,11 +39,42 @@ def copy_matching(source: DataFrame, target: DataFrame, key: str = "id", unique:
     if not shared:
         return target
     fresh = source.select(*shared)
-    for c in (key, *(u for u in unique if u in shared)):
-        fresh = fresh.join(target.select(c), c, "left_anti")
+    for columns in ([u] if isinstance(u, str) else list(u) for u in (key, *unique)):
+        if set(columns) <= set(shared):
+            fresh = fresh.join(target.select(*columns), columns, "left_anti")
     return target.unionByName(fresh, allowMissingColumns=True).select(*target.columns)
 
 
+# The unique columns of the shop tables.
+UNIQUE = {"users": ("email",), "categories": ("name",), "coupons": ("code",), "wishlist": (("user_id", "product_id"),),
+          "coupon_products": (("coupon_id", "product_id"),), "reviews": (("user_id", "product_id"),),
+          "brand_reviews": ("user_id",)}
+
+
+def copy_database(source: dict[str, DataFrame], target: dict[str, DataFrame],
+                  links: tuple[Link, ...] = LINKS) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """Every table of ``source`` that ``target`` has too, copied by ``copy_matching``, parents before children.
+
+    Returns (the new target tables, the refused rows).  A row whose foreign key
+    names no row of the new parent table is refused and reported, where a
+    database stops the whole copy; links within a table and links to tables that
+    are in neither database are not checked.  All results are lazy.
+    """
+    done, refused = dict(target), {}
+    for name in (t for t in COPY_ORDER if t in source and t in target):
+        rows, held = source[name], source[name].columns
+        bad = F.lit(False)
+        for i, link in enumerate(x for x in links if x.child == name and x.parent != name):
+            if link.column in held and link.parent in done:
+                ids = done[link.parent].select(F.col("id").alias(f"_p{i}")).distinct()
+                rows = rows.join(ids, F.col(link.column) == F.col(f"_p{i}"), "left")
+                bad = bad | (F.col(link.column).isNotNull() & F.col(f"_p{i}").isNull())
+        key = "id" if "id" in held else tuple(held)
+        refused[name] = rows.filter(bad).select(*held)
+        done[name] = copy_matching(rows.filter(~bad).select(*held), target[name], key, UNIQUE.get(name, ()))
+    return done, refused
+
+
 GRAM = 3
 
 

@@ -21,6 +21,12 @@ def _ok(rule: str, c: Column) -> Column:
     present = c.isNotNull() & (c.cast("string") != "")
     if rule == "required":
         return present
+    if rule == "not_null":
+        return c.isNotNull()
+    if rule == "stars":      # a CHECK: null passes
+        return F.coalesce(c.between(1, 5), F.lit(True))
+    if rule.startswith("max_length:"):   # in characters, as VARCHAR(n)
+        return c.isNull() | (F.length(c) <= int(rule.partition(":")[2]))
     if rule == "email":
         return c.isNotNull() & c.rlike(EMAIL_PATTERN)
     if rule == "phone":      # optional field: only a given value must have 10 digits
@@ -43,7 +49,7 @@ def _ok(rule: str, c: Column) -> Column:
 
 
 RULES = ("required", "email", "phone", "offer_range", "rating_range", "discount_type",
-         "payment_method", "order_status", "numeric")
+         "payment_method", "order_status", "numeric", "not_null", "stars", "max_length:n")
 
 
 def check_rules(df: DataFrame, rules: list[tuple[str, str]], keep: list[str] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ def register(name: str, oracle: str | None = None, ctes: dict | None = None):
     return deco
 
 
-MODULES = ("q_catalog", "q_kpis", "q_orders", "q_promotions", "q_changes", "q_quality", "q_streams")
+MODULES = ("q_catalog", "q_kpis", "q_orders", "q_promotions", "q_changes", "q_quality", "q_streams", "q_documents")
 
 
 def load_all() -> None:
