@@ -26,8 +26,8 @@ the driver gets the counts of one shard's terms at a time.
 Defined results: null and empty texts, and items without a word, meet nothing;
 ties and repeated items are all reported, repeated (doc_id, item_id) rows once;
 an empty table gives an empty table; extra columns are ignored by ``find_leaks``
-and kept by ``drop_leaks``; rows with null doc_id are reported with null and
-kept by ``drop_leaks``.
+and kept by ``drop_leaks``; rows with null doc_id are reported with null;
+``drop_leaks`` goes by each row's text, whatever its doc_id.
 """
 
 from __future__ import annotations
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, packed, unpacked
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -230,13 +230,28 @@ def leaks(index: Index, texts: list[str | None], threshold: float, overlap: floa
             yield d, index.items[i].item_id, s, q, a
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8,
-               shard_chars: int = 4 << 20) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified leak."""
-    spark = docs.sparkSession
+def indexes(benchmark: DataFrame, shard_chars: int) -> list:
+    """One broadcast index a shard of ``benchmark``."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").filter("text is not null")
     size = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-int(size) // shard_chars))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
+    counted = term_counts(items) if shards > 1 else None
+    out = []
+    for k in range(shards):
+        rows, counts = items.filter(F.col("shard") == k).select("item_id", "text").collect(), None
+        if counted is not None:
+            known = {r["term"]: r for r in counted.filter((F.col("shard") == k) | F.col("term").isNull()).collect()}
+            if None in known:
+                counts = Counts(known[None]["n"], known[None]["words"], {t: r["n"] for t, r in known.items()})
+        out.append(spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], counts)))
+    return out
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8,
+               shard_chars: int = 4 << 20) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap) of every verified leak."""
 
     def scan(index):
         def run(batches):
@@ -249,16 +264,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
                                                  ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
         return run
 
-    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)))
-    counted = term_counts(items) if shards > 1 else None
     out = None
-    for k in range(shards):
-        rows, counts = items.filter(F.col("shard") == k).select("item_id", "text").collect(), None
-        if counted is not None:
-            known = {r["term"]: r for r in counted.filter((F.col("shard") == k) | F.col("term").isNull()).collect()}
-            if None in known:
-                counts = Counts(known[None]["n"], known[None]["words"], {t: r["n"] for t, r in known.items()})
-        index = spark.sparkContext.broadcast(build_index([(r[0], r[1]) for r in rows], counts))
+    for index in indexes(benchmark, shard_chars):
         got = docs.select("doc_id", "text").mapInArrow(
             scan(index), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         out = got if out is None else out.unionAll(got)
@@ -266,7 +273,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, ov
         "score", "question_overlap", "answer_overlap")])
 
 
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without the documents that hold a verified test item."""
-    leaked = find_leaks(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(leaked, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, overlap: float = 0.8,
+               shard_chars: int = 4 << 20) -> DataFrame:
+    """``docs`` without the rows whose text holds a verified test item: each row by its own text, without a shuffle."""
+
+    def clean(index):
+        def run(batches):
+            for b in batches:
+                keep = np.ones(b.num_rows, bool)
+                for d, *_ in leaks(index.value, b.column("text").to_pylist(), threshold, overlap):
+                    keep[d] = False
+                yield b.filter(pa.array(keep))
+        return run
+
+    rows = packed(docs).select("text", "_row")
+    for index in indexes(benchmark, shard_chars):
+        rows = rows.mapInArrow(clean(index), rows.schema)
+    return unpacked(rows)

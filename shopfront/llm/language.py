@@ -14,7 +14,7 @@ language's set only if ``least_rate`` of its texts hold it, so a set has at
 most (mean distinct n-grams of a text) / least_rate members at any corpus size.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0; with nothing learned every text is ``und``; rows without language or text
+0; with nothing learned every text is ``und`` (``keep_identified`` then keeps texts with a letter); rows without language or text
 are not learned from; ties go to the language that sorts first; an empty table
 gives an empty table; repeated rows give repeated results; extra columns are
 ignored by ``identify`` and kept by ``keep_identified``.
@@ -132,15 +132,23 @@ def identify(docs: DataFrame, learn_from: DataFrame, **options) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, learn_from: DataFrame, least_coverage: float = 0.05, **options) -> DataFrame:
-    """``docs`` without rows in ``und`` and rows whose n-grams hardly occur in their language (coverage)."""
+    """``docs`` without rows in ``und`` and rows whose n-grams hardly occur in their language (coverage).
+
+    Where nothing can be learned (no row has a language), no row can be held
+    against one: rows with a letter stay.
+    """
     filters = train(learn_from, **options)
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 
     def run(batches):
         f = shared.value
         for b in batches:
-            got = [f.decide(t) for t in b.column("text").to_pylist()]
-            keep = pa.array([lang != "und" and cover >= least_coverage for lang, _, cover in got], pa.bool_())
+            texts = b.column("text").to_pylist()
+            if f.langs:
+                keep = [lang != "und" and cover >= least_coverage for lang, _, cover in map(f.decide, texts)]
+            else:
+                keep = [f.counts(t)[0] > 0 for t in texts]
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("_row").filter(keep)], ["_row"])
 
     rows = packed(docs).select("text", "_row")

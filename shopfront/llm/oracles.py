@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .secrets import BASE, RULES
+from .secrets import BASE, RULES, plain
 
 REPEATS = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -56,7 +56,7 @@ FROM per
 
 def _matches(rank: int, rule) -> str:
     """Spans of one rule: what lies between matches, and the matches, add up to their places."""
-    p = rule.pattern.replace("'", "''")
+    p = plain(rule.pattern).replace("'", "''")
     return f"""
 SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind,
        list_sum(list_transform(b[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start,

@@ -32,21 +32,27 @@ class Rule:
     least: int = 1  # matches whose group is shorter are dropped
 
 
-# A private key runs from its BEGIN line to its END line, with no other line of five dashes (and at most 100 shorter
-# runs of dashes) between.  Without such an END line it takes armour headers with a blank line, then lines of 76, 70 and
-# 64 base64 characters, then up to 500 lines that hold base64 only, then up to 40 runs of 25 after blanks.  The forms are
-# those that Java, Python and RE2 read alike, and that Java matches in loops: repeats of variable groups are bounded, as
-# each of their rounds takes stack.
+# A private key runs from its BEGIN line to its END line, with no other line of five dashes between.  Without such an
+# END line it takes armour headers with a blank line, then lines of 76, 70 and 64 base64 characters, then lines that hold
+# base64 only, then runs of 25 after blanks; none of them has a bound.  Repeats of variable groups are possessive
+# (``*+``), which Java matches in a loop and not by recursion; as nothing that follows them can match what a round
+# took, the same pattern with plain repeats (``plain``) finds the same spans.
 _BASE64 = "[A-Za-z0-9+/]"
 _ARMOUR = r"PRIVATE KEY(?: BLOCK)?-----"
 _LINE = r"\r?\n[\x20\t>]*"
 PEM = (rf"-----BEGIN [A-Z ]{{0,40}}{_ARMOUR}(?:"
-       rf"[^-]*(?:-{{1,4}}[^-]+){{0,100}}-----END [A-Z ]{{0,40}}{_ARMOUR}|"
-       rf"(?:(?:{_LINE}[A-Za-z][A-Za-z0-9-]*:[^\r\n]*){{1,20}}{_LINE}{_LINE}{_BASE64}{{25,}}=*)?"
+       rf"[^-]*(?:-{{1,4}}[^-]+)*+-----END [A-Z ]{{0,40}}{_ARMOUR}|"
+       rf"(?:(?:{_LINE}[A-Za-z][A-Za-z0-9-]*:[^\r\n]*)++{_LINE}{_LINE}{_BASE64}{{25,}}=*)?"
        + "".join(rf"(?:{end}{_BASE64}{{{n}}})*" for end in (r"\s", r"\r\n", r"\\n") for n in (76, 70, 64))
        + rf"{_BASE64}*=*"
-       rf"(?:{_LINE}=?{_BASE64}+=*[\x20\t]*(?:\r|(?m:$))|(?:\\r)?\\n{_BASE64}+=*){{0,500}}"
-       rf"(?:[\s>]*(?:\\r)?(?:\\n)?{_BASE64}{{25,}}=*){{0,40}})")
+       rf"(?:{_LINE}=?{_BASE64}+=*[\x20\t]*(?:\r|(?m:$))|(?:\\r)?\\n{_BASE64}+=*)*+"
+       rf"(?:[\s>]*(?:\\r)?(?:\\n)?{_BASE64}{{25,}}=*)*+)")
+
+
+def plain(pattern: str) -> str:
+    """``pattern`` for engines without possessive repeats (RE2)."""
+    return pattern.replace("*+", "*").replace("++", "+")
+
 
 # Fixed values of the contract, then this operator's own rules, in the order in which kinds are listed.  A length
 # bound is inside the pattern where that finds the same spans: greedy runs that no failing match can hide.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, packed, unpacked
+from .common import cut, packed, partitions, unpacked
 from .components import components
 
 SEGMENTS = ((0, 23), (23, 23), (46, 18))  # first bit, bits
@@ -153,7 +153,8 @@ def link_classes(distinct: DataFrame, max_bits: int = 3) -> DataFrame:
 
     index = _keyed(first, probe=False)
     owners = index.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"))
-    probes = _keyed(first, probe=True).join(owners.hint("shuffle_hash"), "key")
+    spread = first.repartition(partitions(distinct.sparkSession), "fp")  # a fingerprint gives a few hundred probe rows
+    probes = _keyed(spread, probe=True).join(owners.hint("shuffle_hash"), "key")
     probes = probes.filter("lo <> cls or hi <> cls").select("key", "fp", "cls")
     met = probes.join(index.select("key", F.col("fp").alias("fp2"), F.col("cls").alias("cls2")), "key")
     met = met.filter("cls <> cls2").filter(near("fp", "fp2")).select(

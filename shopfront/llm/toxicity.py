@@ -6,8 +6,8 @@ between toxic and other training texts, and a logistic regression weighs the
 scaled features.  Training uses a bounded sample: at most ``most`` labelled
 texts, those with the smallest hash of doc_id.  Counting and featurizing run on
 the executors; the driver gets one count row a bucket (at most ``BUCKETS``) and
-``most`` rows of ``KEPT`` bits, the buckets whose rates differ most
-between the classes, and by ``LEAST_Z`` standard errors at least.
+for ``most`` rows the places of their features: all buckets whose rates
+differ between the classes by ``LEAST_Z`` standard errors or more.
 
 Defined results: a null or empty text has no feature and gets the score of the
 bias alone; rows without label or text are not learned from, a doc_id
@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, cut
 from .grams import gram_slices
-from .linear import fit
+from .linear import fit_sparse
 
 N = 5
 BUCKETS = 1 << 18
-KEPT = 512
 LEAST_Z = 6.0  # difference of the classes' rates in standard errors: beyond chance among BUCKETS
 
 
@@ -87,27 +86,22 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 8000, l2: float = 1.0)
     ratio = np.log(p1 / p0)
     pooled = (n0 + n1 + 2) / (s0 + s1 + 4)
     z = np.abs(p1 - p0) / np.sqrt(pooled * (1 - pooled) * (1 / (s0 + 1) + 1 / (s1 + 1)))
-    kept = np.lexsort((np.arange(BUCKETS), -z))[:KEPT]
-    kept = np.sort(kept[z[kept] >= LEAST_Z])
-    place = np.full(BUCKETS, -1, np.int64)
+    kept = np.flatnonzero(z >= LEAST_Z)
+    place = np.full(BUCKETS, -1, np.int32)
     place[kept] = np.arange(len(kept))
 
-    def bits(batches):
+    def features(batches):
         for b in batches:
-            out = []
-            for t in b.column("text").to_pylist():
-                x = np.zeros(KEPT, np.uint8)
-                f = place[buckets(t)]
-                x[f[f >= 0]] = 1
-                out.append(np.packbits(x).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(out, pa.binary())],
-                                             ["doc_id", "label", "bits"])
-
-    got = sample.mapInArrow(bits, "doc_id long, label int, bits binary").toArrow().sort_by("doc_id")
-    x = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(-1, KEPT // 8)
-    x = np.unpackbits(x, axis=1)[:, :len(kept)] * ratio[kept]
-    weights, bias = fit(x, got.column("label").to_numpy().astype(float), l2)
-    return Model(place.astype(np.int32), weights * ratio[kept], bias)
+            at = [place[buckets(t)] for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(
+                [a[a >= 0] for a in at], pa.list_(pa.int32()))], ["doc_id", "label", "at"])
+
+    got = sample.mapInArrow(features, "doc_id long, label int, at array<int>").toArrow().sort_by("doc_id")
+    held = got.column("at").to_pylist()
+    row = np.repeat(np.arange(len(held)), [len(x) for x in held])
+    col = np.array([c for x in held for c in x], np.int64)
+    weights, bias = fit_sparse(row, col, ratio[kept], got.column("label").to_numpy().astype(float), l2)
+    return Model(place, weights * ratio[kept], bias)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

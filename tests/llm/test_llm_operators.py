@@ -10,9 +10,10 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shopfront.llm import (common, components, decontaminate, grams, imatch, language, oracles, queries, repeats, secrets,
+from shopfront.llm import (common, components, decontaminate, grams, imatch, language, linear, oracles, queries, repeats, secrets,
                            sentence_pieces, simhash, token_output, toxicity, urls)
 
 SF = "/root/testdata/sf0.001"
@@ -193,6 +194,10 @@ def test_redaction_takes_whole_private_keys(spark):
     keys["open flat"] = " ".join(["-----BEGIN PRIVATE KEY-----", *body[:6]])
     keys["long"] = "\n".join(lines("PRIVATE KEY", [line(64) for _ in range(20_000)]))
     keys["open long"] = keys["long"].split("-----END")[0]
+    keys["odd"] = "\n".join(["-----BEGIN PRIVATE KEY-----", *(line(60) for _ in range(30_000))])
+    keys["runs"] = " ".join(["-----BEGIN PRIVATE KEY-----", *(line(31) for _ in range(20_000))])
+    keys["headers"] = "\n".join(["-----BEGIN PRIVATE KEY-----", *(f"Note-{i}: x" for i in range(20_000)), "", *body, ""])
+    keys["dashes"] = "\n".join(lines("PRIVATE KEY", [line(20) + "-" * (i % 5) + line(3) for i in range(30_000)]))
     texts = [(i, f"Words before it {k} and words after it") for i, k in enumerate(keys.values())]
     two = f"{keys['none']} is how a key begins, five words of prose - then\n{keys['pkcs8']}\nlast words"
     texts.append((len(texts), two))
@@ -252,6 +257,10 @@ def test_leaks(spark, docs, none):
     kept = decontaminate.drop_leaks(docs, benchmark)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == set(range(len(TEXTS))) - {9, 10, 11} | {None}
+    shared = spark.createDataFrame([(1, PASSAGE), (1, "clean"), (None, PASSAGE), (None, "clean"), (2, None)], "doc_id long, text string")
+    for options in ({}, {"shard_chars": 300}):  # each row by its own text
+        assert by_row(decontaminate.drop_leaks(shared, benchmark, **options), "doc_id", "text") == [
+            (1, "clean"), (2, None), (None, "clean")]
     assert decontaminate.find_leaks(none, benchmark).count() == 0
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
@@ -333,6 +342,8 @@ def test_language(spark, docs, none):
     kept = language.keep_identified(docs, spark.read.parquet(f"{SF}/documents.parquet"))
     assert kept.columns == docs.columns and not {r.doc_id for r in kept.collect()} & {0, 1, 2, 4}
     assert language.predict(none, filters, "doc_id").count() == 0
+    unlabelled = language.keep_identified(docs, none)  # nothing learned: all with a letter stay
+    assert {r.doc_id for r in unlabelled.collect()} == set(range(len(TEXTS))) - {0, 1, 2, 4} | {None}
 
 
 def test_many_languages_use_more_mask_words(spark):
@@ -355,6 +366,26 @@ def test_toxicity(spark, docs, none):
     assert toxicity.rate_toxicity(none, spark.createDataFrame([], "doc_id long, label int")).count() == 0
 
 
+def test_sparse_fit_is_the_dense_fit():
+    rng = np.random.default_rng(5)
+    x = rng.random((300, 40)) < 0.2
+    value, y = rng.normal(size=40), (x[:, 3] | (rng.random(300) < 0.1)).astype(float)
+    row, col = np.nonzero(x)
+    dense, sparse = linear.fit(x * value, y), linear.fit_sparse(row, col, value, y)
+    assert np.allclose(dense[0], sparse[0], atol=1e-9) and abs(dense[1] - sparse[1]) < 1e-9
+    assert linear.fit_sparse(row, col, value, np.zeros(300))[0].any() == 0
+    assert len(linear.fit_sparse(row[:0], col[:0], value[:0], y)[0]) == 0
+
+
+def test_toxicity_weighs_every_bucket_beyond_chance(spark):
+    rows = [(i, " ".join(RNG.sample(WORDS[400:800] if i % 2 else WORDS[:400], 60))) for i in range(600)]
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, label int")
+    model = toxicity.train(texts, labels)
+    assert len(model.weight) > 1500
+    assert all((model.score(t) >= 0.5) == bool(i % 2) for i, t in rows)
+
+
 URLS = [None, "", "no scheme", "HTTP://A.ORG/x?y", "https://www.example.org/es/1#a", "http://example.org/en/17",
         "http://notexample.org/es/", "http://x.com/fr/a", "http://x.com/de/b?://z", "http://x.com?/de/", "://", "s://h" + "/a" * 30_000,
         "https://m.casino-win.example.net/en/9", "https://www.thering.example.net/en/9"]
@@ -428,3 +459,24 @@ def test_pipeline_against_brute_force(spark):
             assert clean[r.doc_id] == r
     assert sorted(ids[5]) == sorted(ids[4]) == sorted(ids[3])
     assert sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect()) == sorted(ids[5])
+
+
+def _pipeline_tables(spark, path, documents, benchmark):
+    documents.write.parquet(f"{path}/documents.parquet")
+    benchmark.write.parquet(f"{path}/benchmark.parquet")
+    return corpus_pipeline.run(spark, str(path)).collect()
+
+
+def test_pipeline_on_awkward_and_empty_tables(spark, docs, none, tmp_path):
+    """Nulls, empty and long texts, repeated rows, shared and null ids, clashing columns, no labels, no rows."""
+    benchmark = spark.createDataFrame([(1, PASSAGE), (None, None), (2, "")], "item_id long, text string")
+    more = docs.filter("doc_id = 7").crossJoin(spark.range(50, 58)).withColumn("doc_id", F.col("id")).drop("id")
+    labelled = docs.unionByName(more).withColumn("lang", F.lit("en"))
+    got = _pipeline_tables(spark, tmp_path / "a", labelled, benchmark)
+    ids = [r.doc_id for r in got]
+    assert not set(ids) & {0, 1, 2, 4, 9, 10, 11, None}  # no letter, or the passage (whose null-id row goes too)
+    assert len(ids) == len(set(ids)) and set(ids) & {7, 8, *range(50, 58)} == {7}  # of the long copies the first
+    no_labels = docs.withColumn("lang", docs.lang.substr(1, 0)).replace("", None, ["lang"])
+    kept = {r.doc_id for r in _pipeline_tables(spark, tmp_path / "b", no_labels, benchmark.limit(0))}
+    assert {3, 5, 9} <= kept and not kept & {0, 1, 2, 4}
+    assert _pipeline_tables(spark, tmp_path / "c", none, benchmark) == []
