@@ -98,19 +98,21 @@ class ChunkTable:
         self.segment, self.limit, self.longest = segment, limit, longest
         self.known, self.older = {}, {}
 
-    def lookup(self, wanted: set[str]) -> dict:
-        """Values of distinct chunks: a small table of their own, which stays in the processor's cache."""
-        names = list(wanted)
-        found = dict(zip(names, map(self.known.get, names), strict=True))
-        missing = []
-        for c in [c for c, v in found.items() if v is None and c not in self.known]:
+    def values(self, chunks: list[str]) -> list:
+        """Values of distinct chunks, in their order."""
+        found = list(map(self.known.get, chunks))
+        places, missing = [], []
+        for i in [i for i, v in enumerate(found) if v is None]:
+            c = chunks[i]
             if c in self.older:
-                found[c] = self.known[c] = self.older[c]
-            else:
+                found[i] = self.known[c] = self.older[c]
+            elif c not in self.known:
+                places.append(i)
                 missing.append(c)
-        fresh = dict(zip(missing, self.segment(missing), strict=True))
-        found.update(fresh)
-        self.known.update((c, v) for c, v in fresh.items() if len(c) <= self.longest)
+        for i, c, v in zip(places, missing, self.segment(missing), strict=True):
+            found[i] = v
+            if len(c) <= self.longest:
+                self.known[c] = v
         if len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         return found

@@ -22,11 +22,13 @@ null) that many rows share is spread over several files.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ FORMAT = {
 #: added token.
 AWKWARD = re.compile(r"\s\s|[\x1c-\x1f]|<\|")
 
+#: A word of Latin letters (code points to U+024F) and ASCII punctuation that starts no contraction or added token.
+ENDED = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:;=-@\[-^`{}~]+)")
+
+
+def splits_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer is one for which the chunks of a text can be segmented on their own (see ``ByteBpe``)."""
+    first = spec.get("pre_tokenizer") or {}
+    return (spec.get("normalizer") is None and spec["model"].get("type") == "BPE" and not spec["model"].get("dropout")
+            and first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+            and all(t["content"].startswith("<|") for t in spec.get("added_tokens") or []))
+
 
 class ByteBpe:
     """Encodes texts with the tokenizers library, each distinct blank-led chunk once.
@@ -54,7 +67,7 @@ class ByteBpe:
     The byte-level pre-tokenizer starts a new pre-token at every blank between
     two other characters, and merges never cross pre-tokens; so the ids of a
     text are the ids of its chunks in a row.  An AWKWARD chunk has no value, and
-    its text goes whole.
+    its text goes whole; so do all texts if the tokenizer is of another kind.
     """
 
     JOINED = 256  # unseen chunks that go to the library as one text
@@ -65,6 +78,7 @@ class ByteBpe:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(spec)
+        self.by_chunk = splits_at_blanks(json.loads(spec))
         names = map(self.tokenizer.id_to_token, range(self.tokenizer.get_vocab_size()))
         self.leads = np.array([n is not None and n.startswith("Ġ") for n in names])  # ids that start with a blank
         self.table = ChunkTable(self.segment, limit=self.KEPT)
@@ -73,39 +87,90 @@ class ByteBpe:
         got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, "<u4").tobytes() for e in got]
 
-    def segment(self, chunks: list[str]) -> list[bytes | None]:
-        """Ids of chunks: a text's start, marked by a leading blank; else a blank and the chunk."""
+    def words(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of chunks that follow a blank; no chunk holds a blank, so each has one id that starts with it."""
         out: list[bytes | None] = []
-        own = [c[1:] for c in chunks if c[:1] == " "]
-        rest = [c for c in chunks if c[:1] != " "]
-        firsts = [None if AWKWARD.search(f" {c} ") else ids for c, ids in zip(own, self.whole(own), strict=True)]
-        for i in range(0, len(rest), self.JOINED):
-            part = rest[i:i + self.JOINED]
+        for i in range(0, len(chunks), self.JOINED):
+            part = chunks[i:i + self.JOINED]
             text = " " + " ".join(part)
             if AWKWARD.search(text + " "):
                 out += [None if AWKWARD.search(f" {c} ") else self.whole([" " + c])[0] for c in part]
                 continue
-            raw = self.whole([text])[0]  # no chunk holds a blank, so each has one id that starts with it
+            raw = self.whole([text])[0]
             cut = [*(np.flatnonzero(self.leads[np.frombuffer(raw, "<u4")]) * 4).tolist(), len(raw)]
             out += [raw[x:y] for x, y in zip(cut, cut[1:], strict=False)]
-        rest, own = iter(out), iter(firsts)
-        return [next(own if c[:1] == " " else rest) for c in chunks]
-
-    def encode(self, texts: list[str], tail: bytes) -> list[bytes]:
-        """Ids of whole texts, ``tail`` after each, looked up in a table of the batch's distinct chunks."""
-        rows = [t.split(" ") if t else [] for t in texts]
-        for row in rows:
-            if row:
-                row[0] = " " + row[0]  # no other chunk holds a blank
-        find = self.table.lookup(set().union(*rows)).__getitem__
-        out = []
-        for text, row in zip(texts, rows, strict=True):
-            try:
-                out.append(b"".join(map(find, row)) + tail)
-            except TypeError:  # a chunk without a value
-                out.append(self.whole([text])[0] + tail)
         return out
 
+    def segment(self, chunks: list[str]) -> list[bytes | None]:
+        """Ids of chunks: a text's start, marked by a leading blank; else a blank and the chunk.
+
+        A word with punctuation behind it is two pre-tokens, so its word is
+        looked up, and segmented only if the table does not hold it.
+        """
+        table, out, ended = self.table, {}, {}
+        own = [c for c in chunks if c[:1] == " "]
+        for c, ids in zip(own, self.whole([c[1:] for c in own]), strict=True):
+            out[c] = None if AWKWARD.search(f"{c} ") else ids
+        for c in chunks:
+            if not c.isalpha() and (m := ENDED.fullmatch(c)):
+                ended[c] = m
+        fresh = dict.fromkeys(c for c in chunks if c not in out and c not in ended)
+        for m in ended.values():
+            word = m[1]
+            if word not in fresh and word not in out:
+                ids = table.known.get(word) or table.older.get(word)
+                if ids is None:
+                    fresh[word] = None
+                else:
+                    out[word] = ids
+        out.update(zip(fresh, self.words(list(fresh)), strict=True))
+        ends = list({m[2] for m in ended.values()})
+        ends = dict(zip(ends, self.whole(ends), strict=True))
+        for c, m in ended.items():
+            word = m[1]
+            out[c] = out[word] + ends[m[2]]
+            if len(word) <= table.longest:
+                table.known[word] = out[word]
+        return [out[c] for c in chunks]
+
+    def encode(self, texts: pa.Array, tail: bytes) -> list[bytes]:
+        """Ids of whole texts (no nulls), ``tail`` after each.
+
+        The chunks of all texts are one Arrow array, dictionary encoded: the
+        table is asked for the batch's distinct chunks, and their ids, as
+        binary values, are taken by position.
+        """
+        if not self.by_chunk or not len(texts):
+            return [ids + tail for ids in self.whole(texts.to_pylist())]
+        split = pc.split_pattern(texts, " ")  # an empty text has one (empty) chunk
+        at = split.offsets.to_numpy() - split.offsets[0].as_py()
+        chunks, start = split.flatten(), np.zeros(at[-1], bool)
+        start[at[:-1]] = True
+        own = pc.binary_join_element_wise("", chunks.filter(pa.array(start)), " ")  # no other chunk holds a blank
+        coded = pc.replace_with_mask(chunks, pa.array(start), own).dictionary_encode()
+        found = self.table.values(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        place = coded.indices.to_numpy()
+        values = pa.array(found, pa.large_binary())
+        whole = np.logical_or.reduceat(values.is_null().to_numpy(zero_copy_only=False)[place], at[:-1])
+        ids = values.take(coded.indices)
+        ends = np.frombuffer(ids.buffers()[1], "i8")[at].tolist()
+        data = memoryview(ids.buffers()[2] or b"")
+        return [(self.whole([texts[i].as_py()])[0] if w else bytes(data[x:y])) + tail
+                for i, (w, x, y) in enumerate(zip(whole.tolist(), ends, ends[1:], strict=False))]
+
+
+def gathered(batches, column: str = "text", least: int = 4 << 20):
+    """Arrow batches put together until ``column`` holds ``least`` bytes: fewer distinct chunks in sum."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= least:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
 
 _own: dict[str, ByteBpe] = {}
 
@@ -131,9 +196,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_json: str, end_id: int =
 
     def run(batches):
         bpe = None
-        for b in batches:
+        for b in gathered(batches):
             bpe = bpe or byte_bpe(spec.value)
-            raw = bpe.encode(b.column("text").to_pylist(), tail)
+            raw = bpe.encode(b.column("text"), tail)
             n = np.fromiter((len(x) // 4 for x in raw), "i4", len(raw))
             offsets = np.concatenate([[0], np.cumsum(n, dtype="i8")]).astype("i4")
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))

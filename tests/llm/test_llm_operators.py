@@ -2,12 +2,14 @@
 
 import collections
 import hashlib
+import json
 import random
 import re
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -91,12 +93,30 @@ def test_chunk_tables_forget_and_agree():
     texts = ["".join(RNG.choice(alphabet) for _ in range(RNG.randint(0, 40))) for _ in range(2000)]
     for i in range(0, len(texts), 100):
         part = texts[i:i + 100]
-        assert bpe.encode(part, b"") == bpe.whole(part)
+        assert bpe.encode(pa.array(part), b"") == bpe.whole(part)
         want = [pieces.sp.encode(t) for t in part]
         assert [(g[0], g[1], g[2]) for g in pieces.encode(part)] == [
             (len(w), ",".join(map(str, w)), pieces.sp.decode(w)) for w in want]
 
 
+def test_byte_bpe_words_with_punctuation(docs):
+    """Words share their ids with the same words before punctuation, whichever comes first; other tokenizers: whole texts."""
+    spec = queries.tokenizer_json()
+    bpe = token_output.ByteBpe(spec)
+    bpe.table.limit = 50
+    ends = ["", ".", ",", "!?", "'s", "'", "<|", "<", "|", "_", "...\n", "½", "’", "$$$", "\u0301", "<|endoftext|>", "1", "é", "~"]
+    words = ["w", "été", "ɏx", "ɐx", "½", "日", "don't", "x1", "ẞ", "", "a" * 70]
+    texts = [" ".join(RNG.choice(words) + RNG.choice(ends) for _ in range(RNG.randint(0, 60))) for _ in range(600)]
+    for i in range(0, len(texts), 50):
+        assert bpe.encode(pa.array(texts[i:i + 50]), b"ab") == [x + b"ab" for x in bpe.whole(texts[i:i + 50])]
+    sliced = pa.array(texts)[7:90]  # an array with an offset
+    assert bpe.encode(sliced, b"") == bpe.whole(sliced.to_pylist()) and bpe.encode(pa.array([], pa.string()), b"") == []
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        other = token_output.ByteBpe(json.dumps(json.loads(spec) | change))
+        assert not other.by_chunk and bpe.by_chunk
+        assert other.encode(pa.array(texts[:20]), b"") == other.whole(texts[:20])
+
+
 def test_simhash_links(spark, docs, none):
     golay = simhash.Golay()
     for _ in range(300):

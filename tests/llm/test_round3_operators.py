@@ -246,10 +246,10 @@ def test_chunk_table_lookup_forgets_and_finds_again():
         asked.extend(chunks)
         return [None if c == "odd" else c.encode() for c in chunks]
     table = common.ChunkTable(segment, limit=3, longest=5)
-    assert table.lookup({"a", "b", "odd", "longer chunk"}) == {"a": b"a", "b": b"b", "odd": None, "longer chunk": b"longer chunk"}
-    assert table.lookup({"a", "longer chunk", "c"}) == {"a": b"a", "longer chunk": b"longer chunk", "c": b"c"}
-    assert table.lookup({"d", "e", "f", "g"})["g"] == b"g" and table.lookup(set()) == {}
-    assert table.lookup({"a", "odd"}) == {"a": b"a", "odd": None}
+    assert table.values(["a", "b", "odd", "longer chunk"]) == [b"a", b"b", None, b"longer chunk"]
+    assert table.values(["a", "longer chunk", "c"]) == [b"a", b"longer chunk", b"c"]
+    assert table.values(["d", "e", "f", "g"])[3] == b"g" and table.values([]) == []
+    assert table.values(["a", "odd"]) == [b"a", None]
     assert asked.count("longer chunk") == 2 and len(table.known) <= 4 and len(table.older) <= 5
 
 
