@@ -345,15 +345,20 @@ def apply_coupons(cart: DataFrame, coupons: DataFrame, allocations: DataFrame) -
 # ---------------------------------------------------------------- generic patches
 
 def patch_rows(table: DataFrame, patches: DataFrame, keep_cols: list[str], overwrite_cols: list[str],
-               as_of, key: str = "id", stamp: str | None = "updated_at", missing: str = "Not found") -> Change:
+               as_of, key: str = "id", stamp: str | None = "updated_at", missing: str = "Not found",
+               owner: str | None = None) -> Change:
     """Partial update by ``key`` in seq order.
 
     ``keep_cols`` take the last non-null patched value (COALESCE(new, old));
     ``overwrite_cols`` take the last patch's value even when null.  Patched
     rows get ``stamp`` = as_of; patches of unknown keys answer ``missing``.
+    With ``owner``, so do patches whose column of that name is not the row's.
     """
-    known = table.select(F.col(key).alias("_k"))
-    p = patches.join(known, F.col(key) == F.col("_k"), "left")
+    known = table.select(F.col(key).alias("_k"), *([F.col(owner).alias("_owner")] if owner else []))
+    same = F.col(key) == F.col("_k")
+    if owner:
+        same = same & (F.col(owner) == F.col("_owner"))
+    p = patches.join(known, same, "left").drop("_owner")
     outcome = p.select("seq", key, F.when(F.col("_k").isNull(), missing).alias("error"))
     p = p.filter(F.col("_k").isNotNull())
     aggs = [F.max(F.col("seq")).alias("_last_seq")]

@@ -63,11 +63,12 @@ def order_history(orders: DataFrame, order_items: DataFrame, products: DataFrame
 
 
 def order_book(orders: DataFrame, users: DataFrame, order_items: DataFrame, products: DataFrame,
-               nested: bool = False, sort: bool = True) -> DataFrame:
+               nested: bool = False, sort: bool = False) -> DataFrame:
     """Q8: every order (temporary too) with buyer name/email and items.
 
     Inner joins, as in the reference: orders without items, items of
-    unknown products and orders of unknown users drop out.
+    unknown products and orders of unknown users drop out.  ``sort`` puts
+    the newest first, by a global sort of the whole output.
     """
     u = users.select(F.col("id").alias("_uid"), F.col("name").alias("user_name"),
                      F.col("email").alias("user_email"))

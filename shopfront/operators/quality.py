@@ -69,18 +69,17 @@ def profile_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> tuple[D
     """D3: (table summary, column list).
 
     Summary: one row per table with its row count, column count and a
-    sample row as JSON (the row with the smallest first column, so the
-    sample is stable).  Counts are partial aggregates, one job per table
+    sample row as JSON (the row with the smallest first column, of equals
+    the smallest in the further columns, so the sample is stable; only that
+    row is rendered).  Counts are partial aggregates, one job per table
     union.  Column list: table, position, name and type from the schemas.
     """
     parts = []
     for name, df in tables.items():
-        first = df.columns[0]
-        sample = F.min(F.struct(F.col(first).alias("_k"), F.to_json(F.struct(*df.columns),
-                                                                     {"ignoreNullFields": "false"}).alias("_j")))
+        sample = F.min(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
         parts.append(df.agg(F.count(F.lit(1)).alias("row_count"), sample.alias("_s")).select(
             F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("n_columns"),
-            F.col("_s._j").alias("sample_row")))
+            F.to_json("_s", {"ignoreNullFields": "false"}).alias("sample_row")))
     summary = reduce(DataFrame.unionByName, parts)
     cols = [(name, i + 1, f.name, f.dataType.simpleString())
             for name, df in tables.items() for i, f in enumerate(df.schema.fields)]

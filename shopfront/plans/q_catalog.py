@@ -54,17 +54,10 @@ def q01_catalog_search_types_page3(spark, sf_dir):
                                   concerns=["RED", "blue"], page=3, limit=10)
 
 
-@register("q01_catalog_search_no_reviews_table", oracle="""
-SELECT p.id, p.name, p.description, p.price, p.category, p.image_url,
-       COALESCE(p.stock_quantity, 0) AS stock_quantity, p.created_at,
-       c.name AS category_name, pc.name AS parent_category_name,
-       CAST(0 AS DOUBLE) AS average_rating, CAST(0 AS BIGINT) AS review_count,
-       COALESCE(p.offer_percentage, 0) AS offer_percentage, COUNT(*) OVER () AS total_matches
-FROM shop_products p
-LEFT JOIN shop_categories c ON p.category_id = c.id
-LEFT JOIN shop_categories pc ON c.parent_id = pc.id
-WHERE LOWER(p.name) LIKE '%ring%'
-""")
+# Without a review table nothing is rated.
+@register("q01_catalog_search_no_reviews_table", oracle=_Q1_SELECT.replace(
+    _RATED, "(SELECT id AS product_id, CAST(0 AS DOUBLE) AS stars, CAST(0 AS BIGINT) AS n FROM shop_products)").format(
+    where="WHERE p.name ILIKE '%ring%' OR p.description ILIKE '%ring%'", page=""))
 def q01_catalog_search_no_reviews_table(spark, sf_dir):
     s = Shop.of(spark, sf_dir)
     return catalog.catalog_search(s.products, s.categories, None, search="ring", limit=None)
@@ -100,12 +93,10 @@ def q03_product_reviews(spark, sf_dir):
     return catalog.product_reviews(s.reviews, s.users)
 
 
-@register("q04_category_summary", oracle="""
-SELECT c.*, p.name AS parent_name, COUNT(DISTINCT pr.id) AS product_count
-FROM shop_categories c
-LEFT JOIN shop_categories p ON c.parent_id = p.id
-LEFT JOIN shop_products pr ON c.id = pr.category_id
-GROUP BY ALL
+@register("q04_category_summary", oracle=f"""
+SELECT own.*, tree.parent AS parent_name,
+       (SELECT COUNT(*) FROM shop_products p WHERE p.category_id = own.id) AS product_count
+FROM shop_categories own JOIN {_TREE} tree USING (id)
 """)
 def q04_category_summary(spark, sf_dir):
     s = Shop.of(spark, sf_dir)

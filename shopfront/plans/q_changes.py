@@ -512,6 +512,48 @@ def c09_patch_profile(spark, sf_dir):
     return C.patch_rows(s.users, I.profile_patches(s), ["name", "email", "phone"], [], I.AS_OF).tables["table"]
 
 
+_ADDRESS = {"c_apatch": f"""
+SELECT o_orderkey AS seq, o_orderkey AS id, o_custkey + CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS user_id,
+       CASE WHEN o_orderkey % 3 <> 1 THEN 'New City ' || CAST(o_orderkey % 4 AS VARCHAR) END AS city,
+       CASE WHEN o_orderkey % 2 = 0 THEN '5550000000' END AS phone_number,
+       CASE WHEN o_orderkey % 4 <> 0 THEN 'Unit ' || CAST(o_orderkey % 7 AS VARCHAR) END AS address_line2,
+       CASE WHEN o_orderkey % 6 = 0 THEN true END AS is_default
+FROM orders
+UNION ALL
+SELECT o_orderkey + {I.SECOND_BATCH}, o_orderkey, o_custkey, CASE WHEN o_orderkey % 12 = 0 THEN 'Old Town' END, NULL,
+       CASE WHEN o_orderkey % 2 = 1 THEN 'Back door' END, CASE WHEN o_orderkey % 9 = 0 THEN false END
+FROM orders WHERE o_orderkey % 3 = 0""", "c_afold": """
+SELECT x.id, arg_max(x.city, x.seq) FILTER (x.city IS NOT NULL) AS city,
+       arg_max(x.phone_number, x.seq) FILTER (x.phone_number IS NOT NULL) AS phone_number,
+       arg_max(x.is_default, x.seq) FILTER (x.is_default IS NOT NULL) AS is_default,
+       list(x.address_line2 ORDER BY x.seq)[-1] AS address_line2
+FROM c_apatch x SEMI JOIN shop_addresses a ON a.id = x.id AND a.user_id = x.user_id
+GROUP BY x.id"""}
+
+
+def _patch_addresses(s):
+    return C.patch_rows(s.addresses, I.address_patches(s), ["city", "phone_number", "is_default"], ["address_line2"],
+                        I.AS_OF, stamp=None, missing="Address not found or unauthorized", owner="user_id")
+
+
+@reg("c09_patch_addresses", """
+SELECT a.* REPLACE (COALESCE(f.city, a.city) AS city, COALESCE(f.phone_number, a.phone_number) AS phone_number,
+                    COALESCE(f.is_default, a.is_default) AS is_default,
+                    CASE WHEN f.id IS NULL THEN a.address_line2 ELSE f.address_line2 END AS address_line2)
+FROM shop_addresses a LEFT JOIN c_afold f ON f.id = a.id
+""", **_ADDRESS)
+def c09_patch_addresses(spark, sf_dir):
+    return _patch_addresses(Shop.of(spark, sf_dir)).tables["table"]
+
+
+@reg("c09_patch_addresses_outcome", """
+SELECT x.seq, x.id, CASE WHEN a.id IS NULL THEN 'Address not found or unauthorized' END AS error
+FROM c_apatch x LEFT JOIN shop_addresses a ON a.id = x.id AND a.user_id = x.user_id
+""", **_ADDRESS)
+def c09_patch_addresses_outcome(spark, sf_dir):
+    return _patch_addresses(Shop.of(spark, sf_dir)).outcome
+
+
 # ------------------------------------------------------------------ C10
 
 _PROWS = {"prow_out": f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions.crypto import hmac_sha256_hex
@@ -113,6 +115,31 @@ def d03_profile_tables(spark, sf_dir):
     return summary.drop("sample_row")
 
 
+# A sample is the row with the smallest first column, of equals the one with the smallest second.
+_SAMPLED = {"users": ("id", "name"), "orders": ("id", "user_id"), "order_items": ("order_id", "product_id"),
+            "reviews": ("id", "product_id"), "wishlist": ("id", "user_id"), "cart": ("id", "user_id"),
+            "coupon_products": ("id", "coupon_id"), "addresses": ("id", "user_id")}
+
+
+def _sample_sql(table: str) -> str:
+    first, second = _SAMPLED[table]
+    return (f"SELECT '{table}' AS table_name, CAST(lowest.{first} AS VARCHAR) AS first_value,"
+            f" CAST(lowest.{second} AS VARCHAR) AS second_value, {_N_COLUMNS[table]} AS n_fields"
+            f" FROM (SELECT {first}, {second} FROM shop_{table} ORDER BY {first}, {second} LIMIT 1) lowest")
+
+
+@register("d03_sample_rows", oracle="\nUNION ALL\n".join(map(_sample_sql, _SAMPLED)))
+def d03_sample_rows(spark, sf_dir):
+    """What the JSON sample of each table holds: its first two values and how many fields it has."""
+    s = Shop.of(spark, sf_dir)
+    tables = {t: s.table(t) for t in _SAMPLED}
+    summary, _ = quality.profile_tables(spark, tables)
+    value = lambda i: reduce(lambda c, t: c.when(F.col("table_name") == t, F.get_json_object(
+        "sample_row", f"$.{tables[t].columns[i]}")), tables, F)
+    return summary.select("table_name", value(0).alias("first_value"), value(1).alias("second_value"),
+                          F.size(F.json_object_keys("sample_row")).alias("n_fields"))
+
+
 def _fk_sql() -> str:
     parts = []
     for link in LINKS:

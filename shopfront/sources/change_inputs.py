@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .fixtures import Shop
 
 AS_OF = "2024-02-01 00:00:00"
+SECOND_BATCH = 10_000_000_000  # what later patches of a batch have in their seq
 UNKNOWN_PRODUCT_OFFSET = 100_000_000
 
 
@@ -117,6 +118,22 @@ def profile_patches(s: Shop) -> DataFrame:
         F.when(key % 3 == 2, "5550000000").alias("phone"))
 
 
+def address_patches(s: Shop) -> DataFrame:
+    """Every order patches the address of its number, one in five as somebody else; every third does so again."""
+    o, key = s.raw.orders, F.col("o_orderkey")
+    first = o.select(
+        key.alias("seq"), key.alias("id"), F.when(key % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("user_id"),
+        F.when(key % 3 != 1, F.concat(F.lit("New City "), (key % 4).cast("string"))).alias("city"),
+        F.when(key % 2 == 0, "5550000000").alias("phone_number"),
+        F.when(key % 4 != 0, F.concat(F.lit("Unit "), (key % 7).cast("string"))).alias("address_line2"),
+        F.when(key % 6 == 0, True).alias("is_default"))
+    again = o.filter(key % 3 == 0).select(
+        (key + SECOND_BATCH).alias("seq"), key.alias("id"), F.col("o_custkey").alias("user_id"),
+        F.when(key % 12 == 0, "Old Town").alias("city"), F.lit(None).cast("string").alias("phone_number"),
+        F.when(key % 2 == 1, "Back door").alias("address_line2"), F.when(key % 9 == 0, False).alias("is_default"))
+    return first.unionByName(again)
+
+
 def product_rows(s: Shop) -> DataFrame:
     """Every part is submitted again as a new product, as form text."""
     p = s.raw.part

@@ -1,6 +1,7 @@
 """Cases that the change batches do not hold: fresh ids, zero totals, repeated cart rows, null status, unknown ids."""
 
 import datetime as dt
+import json
 from decimal import Decimal as D
 
 import pytest
@@ -8,7 +9,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import rows
 from shopfront.operators import changes as C
-from shopfront.operators import migrate, promotions
+from shopfront.operators import migrate, promotions, quality
 
 AS_OF = dt.datetime(2024, 1, 1)
 SF = "/root/testdata/sf0.01"
@@ -126,3 +127,27 @@ def test_second_delete_of_a_category_is_not_found(spark):
     got = C.delete_categories(cats, products, spark.createDataFrame([(0, 1), (1, 1)], "seq long, id long"))
     assert [r["error"] for r in rows(got.outcome, ["seq"])] == [None, "Category not found"]
     assert [r["id"] for r in rows(got.tables["categories"])] == [2]
+
+
+def test_patches_need_the_owner(spark):
+    table = spark.createDataFrame([(1, 7, "a", "x"), (2, 8, "b", "y"), (3, None, "c", "z")],
+                                  "id long, user_id long, city string, line2 string")
+    patches = spark.createDataFrame(
+        [(1, 1, 7, "A", None), (2, 1, 8, "stranger", "s"), (3, 2, 8, None, "Y"), (4, 3, None, "nobody", "n"),
+         (5, 9, 7, "unknown", "u"), (6, 2, 8, "B", "YY")], "seq long, id long, user_id long, city string, line2 string")
+    got = C.patch_rows(table, patches, ["city"], ["line2"], "2026-01-01 00:00:00", stamp=None, owner="user_id")
+    assert sorted(map(tuple, got.tables["table"].collect())) == [
+        (1, 7, "A", None), (2, 8, "B", "YY"), (3, None, "c", "z")]
+    assert {r.seq: r.error for r in got.outcome.collect()} == {
+        1: None, 2: "Not found", 3: None, 4: "Not found", 5: "Not found", 6: None}
+    assert got.tables["table"].columns == table.columns and got.outcome.columns == ["seq", "id", "error"]
+
+
+def test_profile_sample_is_the_smallest_row(spark):
+    rows = spark.createDataFrame([(2, "b", None), (1, "z", ["q"]), (1, "a", ["r", None])], "`k.1` long, v string, tags array<string>")
+    empty = rows.filter("v = ''")
+    summary, columns = quality.profile_tables(spark, {"rows": rows, "empty": empty})
+    got = {r.table_name: r for r in summary.collect()}
+    assert json.loads(got["rows"].sample_row) == {"k.1": 1, "v": "a", "tags": ["r", None]}
+    assert got["empty"].sample_row is None and got["empty"].row_count == 0 and got["rows"].n_columns == 3
+    assert columns.filter("table_name = 'rows'").count() == 3
