@@ -17,11 +17,12 @@ columns are ignored by ``find_secrets`` and kept by ``redact``.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import cut, packed
 
 
 @dataclass(frozen=True)
@@ -138,12 +139,13 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
 
 WORD = 62  # trigrams a mask column
+FEW = 100_000  # candidates that are broadcast: under 10 MB
 
 
 def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
     """(doc_id, one boolean a rule): the rules whose trigram query a document satisfies.
 
-    Documents without any posting have no row.  Rules without a query have no column.
+    Documents that satisfy no query have no row.  Rules without a query have no column.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern))}
     grams = sorted({g for q in queries.values() for c in q for o in c for g in o})
@@ -174,7 +176,8 @@ def candidates(docs: DataFrame, rules=RULES) -> DataFrame:
             out = out & some
         return out
 
-    return masks.select("doc_id", *[query(q).alias(f"_c_{kind}") for kind, q in queries.items()])
+    flags = [query(q).alias(f"_c_{kind}") for kind, q in queries.items()]
+    return masks.select("doc_id", *flags).filter(reduce(Column.__or__, [query(q) for q in queries.values()], F.lit(False)))
 
 
 def spans_of(text: Column, rule: Rule, rank: int) -> Column:
@@ -200,10 +203,14 @@ def spans_of(text: Column, rule: Rule, rank: int) -> Column:
 
 
 def with_spans(docs: DataFrame, rules=RULES) -> DataFrame:
-    """``docs`` with ``_spans``: all verified matches, by start, then the rule's place in ``rules``."""
-    got = candidates(docs, rules)
+    """``docs`` with ``_spans``: all verified matches, by start, then the rule's place in ``rules``.
+
+    The candidates are computed first.  Up to FEW of them (an id and a flag a
+    rule each) go to the texts by broadcast; more are joined by doc_id.
+    """
+    got = cut(candidates(docs, rules))
     flags = [c for c in got.columns if c != "doc_id"]
-    found = docs.join(got, "doc_id", "left").withColumn("_text", F.coalesce("text", F.lit("")))
+    found = docs.join(F.broadcast(got) if got.count() <= FEW else got, "doc_id", "left").withColumn("_text", F.coalesce("text", F.lit("")))
     none = F.array().cast("array<struct<start:bigint,rank:int,end:bigint>>")
     parts = []
     for rank, rule in enumerate(rules):

@@ -180,13 +180,24 @@ def brute_secrets(text):
     return (*(sum(s[1] == k for s in spans) for k in range(3)), hashlib.sha256(line.encode()).hexdigest())
 
 
-def test_secrets(docs, none):
+def test_secrets(docs, none, monkeypatch):
     got = secrets.find_secrets(docs)
     want = sorted(((r[0], *brute_secrets(r[1])) for r in document_rows()), key=repr)
     assert by_row(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want
     assert sum(w[1] + w[2] + w[3] for w in want) >= 5
-    nodes = secrets.find_secrets(docs)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Arrow|Pandas", nodes)
+    kept = secrets.candidates(docs)
+    flagged = kept.filter(" OR ".join(c for c in kept.columns if c != "doc_id"))
+    assert 0 < kept.count() == flagged.count() < docs.count()  # documents that satisfy a query and no others
+    for few, join in (secrets.FEW, "BroadcastHashJoin"), (-1, "SortMergeJoin"):
+        monkeypatch.setattr(secrets, "FEW", few)
+        docs.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        try:
+            got = secrets.find_secrets(docs)
+            nodes = got._jdf.queryExecution().executedPlan().toString()
+            assert by_row(got, "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == want and join in nodes
+        finally:
+            docs.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert not re.search("Python|Arrow|Pandas", nodes + kept._jdf.queryExecution().executedPlan().toString())
     assert secrets.trigram_query("[0-9a-f]{24,}") == []
     assert secrets.find_secrets(none).count() == 0
 
