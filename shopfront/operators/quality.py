@@ -90,30 +90,35 @@ def profile_tables(spark: SparkSession, tables: dict[str, DataFrame]) -> tuple[D
 def fk_audit(tables: dict[str, DataFrame], links: tuple[Link, ...] = LINKS) -> DataFrame:
     """For every link among ``tables``: child rows, null links and orphans.
 
-    An orphan is a non-null key with no parent row.  The keys of all links
-    into one parent table are unioned (tagged by link) and probed against
-    that parent's ids in a single key join, then one aggregate counts per
-    link — one join per parent table instead of one per link.  Links whose
-    tables or column are absent are skipped.
+    An orphan is a non-null key with no parent row.  Per parent table its
+    ids and the keys of all links into it are unioned as (key, link number)
+    and aggregated by key: how often each link holds the key, and whether
+    the parent has it.  Keys are counted before the shuffle, so a hot or
+    null key is one row a task, and no side is sorted: a task holds one
+    entry per distinct key of its part, not its child rows.  Links whose
+    tables or column are absent are skipped, as are empty child tables.
     """
     by_parent: dict[str, list[Link]] = {}
     for link in links:
         if link.child in tables and link.parent in tables and link.column in tables[link.child].columns:
             by_parent.setdefault(link.parent, []).append(link)
-    probes = []
+    counts = []
     for parent, ls in by_parent.items():
-        keys = reduce(DataFrame.unionByName, [
-            tables[l.child].select(F.lit(l.child).alias("child_table"), F.lit(l.column).alias("column_name"),
-                                   F.lit(l.parent).alias("parent_table"), F.lit(l.on_delete).alias("on_delete"),
-                                   F.col(l.column).cast("long").alias("_k")) for l in ls])
-        ids = tables[parent].select(F.col("id").cast("long").alias("_k")).distinct().withColumn("_hit", F.lit(True))
-        probes.append(keys.join(ids, "_k", "left"))
-    return reduce(DataFrame.unionByName, probes).groupBy(
-        "child_table", "column_name", "parent_table", "on_delete").agg(
-        F.count(F.lit(1)).alias("child_rows"),
-        F.sum(F.when(F.col("_k").isNull(), 1).otherwise(0)).cast("long").alias("null_links"),
-        F.sum(F.when(F.col("_k").isNotNull() & F.col("_hit").isNull(), 1).otherwise(0)).cast("long")
-         .alias("orphan_rows"))
+        sides = [(tables[parent], "id", -1)] + [(tables[l.child], l.column, i) for i, l in enumerate(ls)]
+        keys = reduce(DataFrame.unionByName, [df.select(F.col(c).cast("long").alias("_k"), F.lit(i).alias("_link"))
+                                              for df, c, i in sides])
+        by_key = keys.groupBy("_k").agg((F.min("_link") == -1).alias("_hit"), *[
+            F.count_if(F.col("_link") == i).alias(f"_n{i}") for i in range(len(ls))])
+        orphan = F.col("_k").isNotNull() & ~F.col("_hit")
+        total = by_key.agg(*[F.coalesce(F.sum(F.when(which, F.col(f"_n{i}"))), F.lit(0)).alias(f"_{name}{i}")
+                             for i in range(len(ls)) for name, which in (
+                                 ("rows", F.lit(True)), ("nulls", F.col("_k").isNull()), ("orphans", orphan))])
+        counts.append(total.select(F.inline(F.array(*[F.struct(
+            F.lit(l.child).alias("child_table"), F.lit(l.column).alias("column_name"),
+            F.lit(l.parent).alias("parent_table"), F.lit(l.on_delete).alias("on_delete"),
+            F.col(f"_rows{i}").alias("child_rows"), F.col(f"_nulls{i}").alias("null_links"),
+            F.col(f"_orphans{i}").alias("orphan_rows")) for i, l in enumerate(ls)]))))
+    return reduce(DataFrame.unionByName, counts).filter(F.col("child_rows") > 0)
 
 
 def payment_audit(payments: DataFrame, secret: bytes | str) -> DataFrame:

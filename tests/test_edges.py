@@ -408,6 +408,40 @@ def test_add_products_parse_like_the_form(spark, shop):
 
 # ---------------------------------------------------------------- quality and access
 
+def test_fk_audit_counts_keys_without_sorting_child_rows(spark):
+    """Keys are counted before the shuffle; no side of a join is sorted, whatever its size."""
+    link = lambda child, column, parent: quality.Link(child, column, parent, "cascade")
+    frame = lambda data, schema: spark.createDataFrame(data, schema)
+    tables = {
+        "users": frame([(1,), (2,), (2,), (None,)], "id long"),
+        "gone": frame([], "id int"),
+        # key 1 holds most rows; null, unknown and repeated keys
+        "orders": frame([(1, 7)] * 3000 + [(2, None), (None, 8), (None, 8), (9, 9), (9, None), (0, 7)],
+                        "user_id int, gone_id long"),
+        "cart": frame([(5,), (2,)], "user_id long"),
+        "none": frame([], "user_id long"),
+    }
+    links = (link("orders", "user_id", "users"), link("cart", "user_id", "users"), link("none", "user_id", "users"),
+             link("orders", "gone_id", "gone"), link("orders", "absent", "users"), link("absent", "id", "users"))
+    thresholds = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k) for k in thresholds}
+    try:
+        for k in thresholds:
+            spark.conf.set(k, "-1")
+        got = quality.fk_audit(tables, links)
+        found = sorted(map(tuple, got.collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert found == [("cart", "user_id", "users", "cascade", 2, 0, 1),
+                     ("orders", "gone_id", "gone", "cascade", 3006, 2, 3004),
+                     ("orders", "user_id", "users", "cascade", 3006, 2, 3)]
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][4:] == [
+        ("child_rows", "bigint"), ("null_links", "bigint"), ("orphan_rows", "bigint")]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "Sort" not in plan and "Join" not in plan
+
+
 def test_payment_signature_matches_python_hmac(spark):
     secret = "made-up-test-secret"
     good = hmac.new(secret.encode(), b"order_1|pay_1", hashlib.sha256).hexdigest()
