@@ -81,7 +81,7 @@ def _local_pass(keys: list[str], n_sums: int, lag_of: str | None):
             out, names = list(b.columns), list(b.schema.names)
             for i in range(n_sums):
                 total = np.cumsum(b.column(_f(i)).to_numpy(zero_copy_only=False).astype(np.int64))
-                local = total - np.where(begin > 0, total[begin - 1], 0) + np.where(begin < 0, carry[i], 0)
+                local = total - np.where(begin > 0, total[np.maximum(begin - 1, 0)], 0) + np.where(begin < 0, carry[i], 0)
                 carry[i] = int(local[-1])
                 out.append(pa.array(local))
                 names.append(_loc(i))

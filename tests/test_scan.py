@@ -4,8 +4,10 @@ most rows and therefore spans many range partitions."""
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 from conftest import rows
-from shopfront.functions.scan import key_scan
+from shopfront.functions.scan import _f, _loc, _local_pass, key_scan
 
 
 def _skewed(spark, n=6000):
@@ -298,3 +300,10 @@ def test_carried_columns_stay_as_they_are(spark):
         assert show(got) == show(want)
     empty = key_scan(df.filter("id < 0"), ["x"], ["id"], lag_of="end", count_name="c", lag_name="p")
     assert empty.count() == 0
+
+
+def test_batch_of_one_row_that_continues_a_key():
+    batch = lambda ks, ns: pa.RecordBatch.from_pydict({"k": pa.array(ks, "int64"), _f(0): pa.array(ns, "int64")})
+    parts = [([1, 1, 2], [1, 2, 4]), ([2], [5]), ([2], [6]), ([3], [7]), ([3, 3], [8, 9])]
+    out = pa.Table.from_batches(_local_pass(["k"], 1, None)(iter([batch(*p) for p in parts])))
+    assert out[_loc(0)].to_pylist() == [1, 3, 4, 9, 15, 7, 15, 24]
